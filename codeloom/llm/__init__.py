@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "packing"]
+MODULES = ["embeddings", "language", "packing", "gram_join", "sharding", "line_dedup", "token_files"]
 
 
 def queries() -> dict:
