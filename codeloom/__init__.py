@@ -1,0 +1 @@
+"""Analytics of source repositories on Spark DataFrames."""

@@ -1,6 +1,373 @@
-"""Registered queries of the source-repository operators, with their SQL."""
+"""Registered queries of the source-repository operators over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import graph, resolve, stats, text
+from .views import SQL, Views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, more: str = ""):
+    """Register a function of the views under its name; ``sql`` follows the shared projections and those in ``more``."""
+
+    def add(f):
+        name = f.__name__.removeprefix("q_")
+        QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = SQL + (",\n" + more if more else "") + "\n" + sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# --- search --------------------------------------------------------------------
+
+
+@_query("SELECT id, path, language, loc FROM parts WHERE contains(lower(path), lower('RED_pl')) ORDER BY path")
+def q_A02_file_search(v):
+    return text.search_files(v.parts(), " RED_pl ").select("id", "path", "language", "loc")
+
+
+@_query("SELECT s.id, s.name, s.kind, f.path AS file, s.line_start FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77o') AND lower(s.kind) = 'high'")
+def q_A01_symbol_search(v):
+    return text.search_symbols(v.symbols(), v.files(), "77O", "HIGH").select("id", "name", "kind", "file", "line_start")
+
+
+_LINES = """ln AS (SELECT doc_id AS file_id, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM docs),
+kept AS (SELECT * FROM ln l WHERE NOT (text = '' AND line = (SELECT len(string_split(content, chr(10))) FROM docs d WHERE d.doc_id = l.file_id)))"""
+
+
+@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE contains(lower(text), 'license')", _LINES.split(",\nkept")[0])
+def q_F09_line_search(v):
+    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
+    return _long(text.search_lines(lines, "LICENSE", cap=None), "line")
+
+
+@_query("SELECT count(*) AS lines, count(DISTINCT file_id) AS files FROM ln WHERE regexp_matches(text, '(?i)\\b(token|secret)\\s*=')", _LINES.split(",\nkept")[0])
+def q_F09_regex_search(v):
+    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
+    return text.search_lines(lines, r"\b(token|secret)\s*=", regex=True, cap=None).agg(F.count("*").alias("lines"), F.count_distinct("file_id").alias("files"))
+
+
+@_query(
+    """SELECT t.name, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (
+SELECT name, file_id, count(*) AS n FROM (SELECT DISTINCT file_id, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM ln) w
+WHERE name IN (SELECT DISTINCT lower(p_type) FROM part UNION SELECT 'token' UNION SELECT 'with' UNION SELECT 'clown') GROUP BY name, file_id) t GROUP BY t.name""",
+    _LINES.split(",\nkept")[0],
+)
+def q_F10_whole_word(v):
+    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
+    names = v.t("part").select(F.lower("p_type").alias("name")).distinct().union(v.spark.createDataFrame([("token",), ("with",), ("clown",)], "name string")).distinct()
+    found = text.references(lines, names.select(F.xxhash64("name").alias("id"), "name", F.lit("").alias("path"), F.lit(0).alias("line_start")), cap=1 << 30)
+    return found.groupBy("name").agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("lines"))
+
+
+@_query(
+    """SELECT name, count(*) AS edges FROM (SELECT DISTINCT name, file_id FROM (
+SELECT name, file_id, row_number() OVER (PARTITION BY name ORDER BY path, line) AS r FROM (
+SELECT name, file_id, path, line, row_number() OVER (PARTITION BY name, path ORDER BY line) AS n FROM (
+SELECT DISTINCT file_id, path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM ln) w WHERE name IN ('token', 'with', 'clown', 'License', 'the'))
+x WHERE n <= 50) y WHERE r <= 50) z GROUP BY name""",
+    _LINES.split(",\nkept")[0],
+)
+def q_K03_reference_edges(v):
+    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
+    names = v.spark.createDataFrame([("token",), ("with",), ("clown",), ("License",), ("the",)], "name string")
+    hits = text.references(lines, names.select(F.xxhash64("name").alias("id"), "name", F.lit("").alias("path"), F.lit(0).alias("line_start")))
+    return hits.select("name", "file_id").distinct().groupBy("name").agg(F.count("*").alias("edges"))
+
+
+@_query("SELECT doc_id, CAST(len(string_split(content, chr(10))) - CASE WHEN suffix(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS BIGINT) AS loc FROM docs WHERE content IS NOT NULL")
+def q_S03_line_count(v):
+    return v.documents().where("content is not null").select("doc_id", text.line_count(F.col("content")).cast("long").alias("loc"))
+
+
+@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE line <= 3", _LINES.split(",\nkept")[0])
+def q_S18_snippets(v):
+    return _long(text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id")).where("line <= 3"), "line")
+
+
+@_query(
+    """SELECT n.id, CAST(count(f.path) AS BIGINT) AS linked FROM (SELECT doc_id AS id, content FROM docs) n
+LEFT JOIN (SELECT DISTINCT path FROM files) f ON contains(n.content, f.path) GROUP BY n.id"""
+)
+def q_J11_linked_files(v):
+    bodies = v.documents().select(F.col("doc_id").alias("id"), F.col("content").alias("body"))
+    return text.linked_paths(bodies, v.files()).select("id", F.coalesce(F.size("linked_files"), F.lit(0)).cast("long").alias("linked"))
+
+
+@_query(
+    """SELECT id, path FROM (SELECT id, path, rank, count(*) OVER (PARTITION BY rank) AS n, min(rank) OVER () AS best FROM (
+SELECT id, path, CASE WHEN path = 'ring_0' THEN 0 WHEN suffix(path, '/ring_0.py') THEN 1 WHEN suffix(path, '/ring_0/__init__.py') THEN 2 WHEN contains(lower(path), 'ring_0') THEN 3 END AS rank FROM parts) r
+WHERE rank IS NOT NULL) x WHERE rank = best AND n = 1"""
+)
+def q_R05_resolver(v):
+    return resolve.resolve_target(v.parts(), "ring_0")
+
+
+@_query(
+    """SELECT id, path, level FROM (SELECT id, path, CASE WHEN path = 'src/brand_7' THEN 1 WHEN suffix(path, '/src/brand_7') THEN 2 WHEN starts_with(path, 'src/brand_7/') OR contains(path, '/src/brand_7/') THEN 3 WHEN contains(path, 'src/brand_7') THEN 4 END AS level, loc FROM parts) x
+WHERE level IS NOT NULL ORDER BY level, -loc, path LIMIT 1"""
+)
+def q_R10_file_detail(v):
+    return resolve.resolve_detail(v.parts(), "src\\brand_7/:12")
+
+
+# --- relational ------------------------------------------------------------------
+
+
+@_query(
+    """SELECT r.id, r.name, coalesce(f.n, 0) AS file_count, CAST(coalesce(f.loc, 0) AS BIGINT) AS total_loc, coalesce(s.n, 0) AS symbol_count FROM repositories r
+LEFT JOIN (SELECT repository_id, count(*) AS n, sum(loc) AS loc FROM files GROUP BY 1) f ON f.repository_id = r.id
+LEFT JOIN (SELECT f.repository_id, count(*) AS n FROM symbols s JOIN files f ON f.id = s.file_id GROUP BY 1) s ON s.repository_id = r.id"""
+)
+def q_G01_repository_stats(v):
+    return stats.repository_stats(v.repositories(), v.files(), v.symbols())
+
+
+@_query("SELECT count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM commits) AS commits FROM files")
+def q_G02_detail_counts(v):
+    one = v.files().agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+    return one.withColumns({name: getattr(v, name)().agg(F.count("*")).scalar() for name in ("symbols", "edges", "documents", "commits")})
+
+
+@_query("SELECT coalesce(language, 'other') AS language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, round(100.0 * sum(loc) / sum(sum(loc)) OVER (), 1) AS share FROM files GROUP BY 1")
+def q_G03_language_share(v):
+    return stats.language_share(v.files()).select("language", "files", "loc", F.col("share").cast("double").alias("share"))
+
+
+@_query("SELECT f.id AS file_id, coalesce(s.name, 'external') AS symbol FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent'")
+def q_J03_left_label(v):
+    s = v.symbols().where("kind = 'urgent'").select("file_id", "name")
+    f = v.files().select(F.col("id").alias("file_id"))
+    return f.join(s, "file_id", "left").select("file_id", F.coalesce("name", F.lit("external")).alias("symbol"))
+
+
+@_query("SELECT DISTINCT f.id, f.path FROM files f JOIN edges e ON e.src = f.id")
+def q_J04_reverse_dependents(v):
+    return v.files().join(v.edges().select(F.col("src").alias("id")), "id").select("id", "path").distinct()
+
+
+@_query("SELECT id, path FROM files f WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.kind = 'urgent')")
+def q_J05_semi(v):
+    return v.files().join(v.symbols().where("kind = 'urgent'").select(F.col("file_id").alias("id")), "id", "left_semi").select("id", "path")
+
+
+@_query("SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.line_start > 900)")
+def q_J06_anti(v):
+    return v.files().join(v.symbols().where("line_start > 900").select(F.col("file_id").alias("id")), "id", "left_anti").select("id", "path")
+
+
+@_query("SELECT author, count(*) AS commits FROM commits WHERE message = 'purchase' GROUP BY author")
+def q_G05_contributors(v):
+    return stats.contributors(v.commits().where("message = 'purchase'"))
+
+
+@_query("SELECT author, id, hash, rank FROM (SELECT author, id, hash, row_number() OVER (PARTITION BY author ORDER BY date DESC, hash DESC) AS rank FROM commits) x WHERE rank <= 10")
+def q_R04_recent_commits(v):
+    return _long(stats.recent_commits(v.commits(), 10, "author").select("author", "id", "hash", "rank"), "rank")
+
+
+@_query("SELECT l.file_id, c.author, count(*) AS commits FROM (SELECT DISTINCT file_id, commit_id FROM links) l JOIN commits c ON c.id = l.commit_id GROUP BY 1, 2")
+def q_A03_file_history(v):
+    touched = v.links().distinct().join(v.commits().withColumnRenamed("id", "commit_id"), "commit_id")
+    return stats.contributors(touched, "file_id")
+
+
+@_query("SELECT session_id, count(*) AS messages, arg_max(content, id) AS last_message FROM messages GROUP BY session_id")
+def q_G12_chat_sessions(v):
+    return stats.chat_sessions(v.messages())
+
+
+@_query("SELECT session_id, id, role, content FROM messages")
+def q_A08_chat_messages(v):
+    return v.messages().orderBy("session_id", "id")
+
+
+@_query(
+    """SELECT repository, doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY
+CASE WHEN contains(lower(path), 'readme') THEN 1 WHEN contains(lower(path), 'overview') THEN 2 ELSE 3 END, path) AS r FROM docs) x WHERE r = 1"""
+)
+def q_R06_overview_document(v):
+    return stats.overview_document(v.documents().select("repository", "doc_id", "path"), "repository")
+
+
+@_query("SELECT repository_id, bool_or(contains(lower(path), 'auth')) AS has_auth, bool_or(contains(lower(path), 'mongo') OR contains(lower(path), 'db') OR contains(lower(path), 'prisma')) AS has_db, bool_or(contains(lower(path), 'mail') OR contains(lower(path), 'cron')) AS has_email FROM files GROUP BY 1")
+def q_G14_subsystem_flags(v):
+    return stats.subsystem_flags(v.files(), "repository_id")
+
+
+@_query("SELECT id, strftime(date, '%Y-%m-%dT%H:%M:%S.%f') AS iso FROM commits WHERE date_part('microsecond', date) % 1000000 <> 0 UNION ALL SELECT id, strftime(date, '%Y-%m-%dT%H:%M:%S') FROM commits WHERE date_part('microsecond', date) % 1000000 = 0")
+def q_C09_iso_time(v):
+    return v.commits().select("id", stats.iso(F.col("date")).alias("iso"))
+
+
+@_query("SELECT page_id, split_part(url, '/', 4) AS first, CASE WHEN contains(url, '/en/') THEN 'Authentication & User Session Management' ELSE 'other' END AS kind, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM pages")
+def q_C02_path_parts(v):
+    url = F.col("url")
+    return v.t("pages").select("page_id", F.split_part(url, F.lit("/"), F.lit(4)).alias("first"), F.when(F.contains(url, F.lit("/en/")), "Authentication & User Session Management").otherwise("other").alias("kind"), stats.safe_name(url).alias("safe"))
+
+
+@_query(
+    """SELECT id, CASE WHEN contains(path, 'auth') THEN 'Authentication & User Session Management' WHEN contains(path, 'mongodb') OR contains(path, 'db') THEN 'Database Connection & Persistence'
+WHEN contains(path, 'mail') THEN 'Email Scheduling & Dispatch' WHEN contains(path, 'admin') THEN 'Administrative Console & Operations' WHEN contains(path, 'api') THEN 'Backend API Endpoint Handler' ELSE 'Application Component' END AS role FROM parts"""
+)
+def q_C13_role(v):
+    return v.parts().select("id", stats.role(F.col("path")).alias("role"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(content) > 400 THEN left(content, 400) || ' …' ELSE content END AS shown FROM docs")
+def q_R13_capped_text(v):
+    return v.documents().select("doc_id", stats.capped(F.col("content"), 400).alias("shown"))
+
+
+@_query("SELECT doc_id, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS folded FROM docs")
+def q_C06_fold_newlines(v):
+    return v.documents().select("doc_id", stats.fold_newlines(F.col("content")).alias("folded"))
+
+
+@_query("SELECT session_id, id FROM (SELECT session_id, id FROM messages WHERE role = 'user' EXCEPT ALL SELECT session_id, id FROM messages WHERE length(content) > 300) x")
+def q_O05_multiset_difference(v):
+    a = v.messages().where("role = 'user'").select("session_id", "id")
+    return stats.multiset_difference(a, v.messages().where("length(content) > 300").select("session_id", "id")).where("side = 'left'").drop("side")
+
+
+@_query("SELECT src AS id FROM edges UNION SELECT dst FROM edges UNION SELECT id FROM files")
+def q_O01_node_union(v):
+    e = v.edges()
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(v.files().select("id")).distinct()
+
+
+# --- graph -------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT f.id, f.path, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM files f
+LEFT JOIN (SELECT dst, count(*) AS n FROM (SELECT DISTINCT src, dst FROM edges) e GROUP BY 1) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM (SELECT DISTINCT src, dst FROM edges) e GROUP BY 1) o ON o.src = f.id"""
+)
+def q_G07_degrees(v):
+    return graph.degrees(v.edges(), v.files())
+
+
+_CENTRAL = "n AS (SELECT count(*) AS n FROM (SELECT src FROM edges UNION SELECT dst FROM edges) x), c AS (SELECT f.id, f.path, coalesce(i.d, 0) AS in_degree, round(coalesce(i.d, 0) / ((SELECT n FROM n) - 1), 6) AS centrality FROM files f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id)"
+
+
+@_query("SELECT id, path, in_degree, centrality FROM c", _CENTRAL)
+def q_G08_centrality(v):
+    return graph.centrality(v.edges(), v.files()).withColumn("centrality", F.round("centrality", 6))
+
+
+@_query("SELECT id, path, in_degree, centrality FROM c ORDER BY centrality DESC, path, id LIMIT 10", _CENTRAL)
+def q_R03_key_files(v):
+    return graph.key_files(v.edges(), v.files(), 10).withColumn("centrality", F.round("centrality", 6))
+
+
+@_query("SELECT count(*) AS edges, CAST(sum(CASE WHEN a.repository_id = b.repository_id THEN 1 ELSE 0 END) AS BIGINT) AS intra, round(avg(CASE WHEN a.repository_id = b.repository_id THEN 1.0 ELSE 0.0 END), 3) AS modularity FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst")
+def q_G09_modularity(v):
+    return graph.modularity(v.edges(), v.files())
+
+
+_REACH = """r AS (WITH RECURSIVE w(root, node, dist) AS (SELECT DISTINCT src, src, 0 FROM edges UNION ALL SELECT DISTINCT w.root, e.dst, w.dist + 1 FROM w JOIN edges e ON e.src = w.node WHERE w.dist < 3)
+SELECT root, node, min(dist) AS dist FROM w WHERE root <> node GROUP BY 1, 2)"""
+
+
+@_query("SELECT root, node, CAST(dist AS INTEGER) AS dist FROM r", _REACH)
+def q_N02_closures(v):
+    e = v.edges()
+    return graph.reach(e, e.select(F.col("src").alias("root")).distinct(), 3)
+
+
+@_query(
+    """SELECT e.src, e.dst FROM edges e WHERE e.src IN (SELECT node FROM b) AND e.dst IN (SELECT node FROM b)""",
+    "top AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), b AS (SELECT id AS node FROM top UNION SELECT e.dst FROM edges e JOIN top ON e.src = top.id UNION SELECT e.src FROM edges e JOIN top ON e.dst = top.id)",
+)
+def q_N04_focused_subgraph(v):
+    e = v.edges()
+    top = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(1).select(F.col("dst").alias("root"))
+    return graph.induced(e, graph.ball(e, top, 1))
+
+
+@_query("SELECT e.src, e.dst, coalesce(a.path, '#' || e.src) AS source, coalesce(b.path, '#' || e.dst) AS target FROM edges e LEFT JOIN files a ON a.id = e.src LEFT JOIN files b ON b.id = e.dst")
+def q_J10_edge_views(v):
+    return graph.edge_views(v.edges(), v.files())
+
+
+@_query("SELECT id, array_to_string(list_sort(list_distinct(i)), ',') AS incoming FROM (SELECT dst AS id, list(src) AS i FROM edges GROUP BY 1) x")
+def q_N11_adjacency(v):
+    return graph.adjacency(v.edges()).where("size(incoming) > 0").select("id", F.array_join("incoming", ",").alias("incoming"))
+
+
+_CYCLES = """p AS (WITH RECURSIVE w(first, nodes, nxt) AS (SELECT src, [src], dst FROM edges UNION ALL SELECT w.first, list_append(w.nodes, w.nxt), e.dst FROM w JOIN edges e ON e.src = w.nxt
+WHERE w.nxt > w.first AND NOT list_contains(w.nodes, w.nxt) AND len(w.nodes) < 4) SELECT nodes FROM w WHERE nxt = first)"""
+
+
+@_query("SELECT array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS INTEGER) AS length FROM p", _CYCLES)
+def q_N06_cycles(v):
+    return graph.cycles(v.edges(), 4, None).select(F.array_join("nodes", ">").alias("cycle"), "length")
+
+
+@_query("SELECT id, path FROM files f WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+def q_N07_orphans(v):
+    return graph.orphans(v.edges(), v.files())
+
+
+@_query("SELECT f.id, f.path, d.n AS in_degree, CASE WHEN d.n >= 8 THEN 'High' ELSE 'Medium' END AS risk_level FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 4) d JOIN files f ON f.id = d.dst")
+def q_R09_hubs(v):
+    return graph.hubs(v.edges(), v.files())
+
+
+@_query(
+    """SELECT cycles, hubs, high_hubs, orphans, files, modularity, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (
+SELECT *, CAST(greatest(20, least(100, 100 - least(30, 15 * cycles) - least(15, 5 * high_hubs) - least(10, 2 * orphans))) AS BIGINT) AS score FROM (
+SELECT (SELECT least(5, count(*)) FROM p) AS cycles, (SELECT count(*) FROM d WHERE n >= 4) AS hubs, (SELECT count(*) FROM d WHERE n >= 8) AS high_hubs,
+(SELECT count(*) FROM files WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)) AS orphans, (SELECT count(*) FROM files) AS files,
+(SELECT round(avg(CASE WHEN a.repository_id = b.repository_id THEN 1.0 ELSE 0.0 END), 3) FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst) AS modularity) x) y""",
+    _CYCLES + ", d AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1)",
+)
+def q_N08_health(v):
+    return graph.health(v.edges(), v.files(), 4)
+
+
+@_query("SELECT id, CASE WHEN p2 = '' THEN 'root' ELSE p2 END AS subsystem FROM (SELECT id, split_part(path, '/', 2) AS p2 FROM parts) x")
+def q_N13_subsystem(v):
+    return v.parts().select("id", graph.subsystem(F.col("path")).alias("subsystem"))
+
+
+@_query("SELECT e.src, e.dst, CASE WHEN a.repository_id = b.repository_id THEN 0.85 ELSE 0.45 END::DOUBLE AS weight, CASE WHEN a.repository_id = b.repository_id THEN 'High Cohesion (Intra-Module)' ELSE 'Cross-Module Import' END AS label FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst")
+def q_N12_edge_weights(v):
+    # two-part paths are 'root' to the classifier; a leading part makes the module the subsystem
+    files = v.files().withColumn("path", F.concat(F.lit("repo/src/"), F.col("path")))
+    return graph.edge_weights(v.edges().withColumn("edge_type", F.lit("imports")), files)
+
+
+@_query("SELECT repository_id, id, 'mod' || CAST(repository_id AS VARCHAR) AS module FROM files WHERE repository_id % 2 = 0 UNION ALL SELECT repository_id, id, '' FROM files WHERE repository_id % 2 = 1")
+def q_J09_enclosing_module(v):
+    files = v.files().select("repository_id", "id", "path")
+    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
+    return resolve.enclosing_modules(files.unionAll(inits)).where("id >= 0")
+
+
+@_query("SELECT f.id, 'mod' || CAST(repository_id AS VARCHAR) || '.' || replace(split_part(path, '/', 2), '.py', '') AS name FROM files f WHERE repository_id % 2 = 0 UNION ALL SELECT f.id, NULL FROM files f WHERE repository_id % 2 = 1")
+def q_N10_importable_names(v):
+    files = v.files().select("repository_id", "id", "path")
+    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
+    return resolve.importable_names(files.unionAll(inits)).where("id >= 0").select("id", "name")
+
+
+@_query("SELECT e.src, e.dst, f.id AS target_id FROM edges e LEFT JOIN files f ON f.id = e.dst AND f.repository_id = (SELECT repository_id FROM files g WHERE g.id = e.src)")
+def q_J08_relative_imports(v):
+    files = v.files().select("repository_id", "id", "path")
+    src = files.select(F.col("id").alias("src"), "repository_id", "path")
+    imports = v.edges().join(src, "src").select(F.xxhash64("src", "dst").alias("import_id"), "repository_id", "path", F.lit(1).alias("level"), F.concat(F.lit("customer_"), F.lpad(F.col("dst").cast("string"), 9, "0")).alias("target"), "src", "dst")
+    return resolve.resolve_imports(imports, files).select("src", "dst", "target_id")
