@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, resolve, stats, text
+from ..operators import graph, report, resolve, stats, text
 from .views import SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,3 +371,79 @@ def q_J08_relative_imports(v):
     src = files.select(F.col("id").alias("src"), "repository_id", "path")
     imports = v.edges().join(src, "src").select(F.xxhash64("src", "dst").alias("import_id"), "repository_id", "path", F.lit(1).alias("level"), F.concat(F.lit("customer_"), F.lpad(F.col("dst").cast("string"), 9, "0")).alias("target"), "src", "dst")
     return resolve.resolve_imports(imports, files).select("src", "dst", "target_id")
+
+
+# --- composites ----------------------------------------------------------------------
+
+
+@_query("SELECT 'bolt' AS term, 2 AS rank, id, path FROM parts WHERE contains(path, 'bolt') UNION ALL SELECT 'widget', 3, id, path FROM parts WHERE contains(path, 'widget') AND (SELECT count(*) FROM parts WHERE contains(path, 'bolt')) < 25")
+def q_A10_fallback_search(v):
+    return report.fallback_search(v.parts(), "xx bolt widget").withColumn("rank", F.lit(1) + F.col("rank"))
+
+
+@_query(
+    """SELECT f.id, f.path, array_to_string(list_sort(list_distinct(s.names)), ',') AS symbols, array_to_string(list_sort(list_distinct(i.paths)), ',') AS imports, array_to_string(list_sort(list_distinct(r.paths)), ',') AS referenced_by FROM files f
+LEFT JOIN (SELECT file_id, list(name) AS names FROM symbols GROUP BY 1) s ON s.file_id = f.id
+LEFT JOIN (SELECT e.src, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.dst GROUP BY 1) i ON i.src = f.id
+LEFT JOIN (SELECT e.dst, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.src GROUP BY 1) r ON r.dst = f.id WHERE f.id IN (SELECT dst FROM edges)"""
+)
+def q_A05_file_detail(v):
+    e = v.edges().select("src", "dst", F.lit(None).cast("string").alias("label"), F.lit("file").alias("source_type"))
+    out = report.file_detail(v.files(), v.symbols(), e, e.select(F.col("dst").alias("id")))
+    names = F.array_sort(F.transform("symbols", lambda x: x["name"]))
+    return out.select("id", "path", F.array_join(names, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"), F.array_join("referenced_by", ",").alias("referenced_by"))
+
+
+@_query(
+    """SELECT p.id, p.language AS part, round(cx + cos(k * 2.39996) * a, 4) AS x, round(cy + sin(k * 2.39996) * a, 4) AS y, round(greatest(8.0, least(20.0, 8 + sqrt(CASE WHEN loc = 0 THEN 10 ELSE loc END) * 0.8)), 4) AS r FROM (
+SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE least(105.0, 28.0 + (k - 1) * 15) END AS a, (g % cols) * 320 - cols * 320 / 2 + 160 AS cx, floor(g / cols) * 270 - ceil(n / cols) * 270 / 2 + 135 AS cy FROM (
+SELECT p.*, row_number() OVER (PARTITION BY p.language ORDER BY id) - 1 AS k, g, n, greatest(1, ceil(sqrt(n * 1.25))) AS cols FROM parts p
+JOIN (SELECT language, row_number() OVER (ORDER BY language) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT language FROM parts) l) q ON q.language = p.language) z) p"""
+)
+def q_N14_layout(v):
+    none = v.edges().where("false")
+    out = report.layout(none, v.parts(), "language")
+    return out.select("id", "part", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "r")))
+
+
+@_query(
+    """SELECT repository_id, CAST(position AS INTEGER) AS position, '| **' || upper(left(language, 1)) || lower(substr(language, 2)) || '** | ' || loc || ' | ' || printf('%.1f', share) || '% |' AS line FROM (
+SELECT repository_id, language, sum(loc) AS loc, round(sum(loc) / sum(sum(loc)) OVER (PARTITION BY repository_id) * 100, 1) AS share, row_number() OVER (PARTITION BY repository_id ORDER BY sum(loc) DESC, language) AS position FROM files GROUP BY 1, 2) x"""
+)
+def q_A07_report_languages(v):
+    lines = report.report(v.repositories(), v.files(), v.symbols(), v.edges()).where("section = 2")
+    return lines.select("repository_id", "position", F.regexp_replace("line", r"(?<=\d),(?=\d)", "").alias("line"))
+
+
+@_query()
+def q_A07_report(v):
+    return report.report(v.repositories(), v.files(), v.symbols(), v.edges()).orderBy("repository_id", "section", "position")
+
+
+@_query("SELECT src, dst, '    ' || regexp_replace(coalesce(a.path, '#' || e.src), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(a.path, '#' || e.src) || '\"] --> ' || regexp_replace(coalesce(b.path, '#' || e.dst), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(b.path, '#' || e.dst) || '\"]' AS line FROM edges e LEFT JOIN files a ON a.id = e.src LEFT JOIN files b ON b.id = e.dst")
+def q_K09_mermaid(v):
+    return report.mermaid(v.edges(), v.files())
+
+
+@_query("SELECT name, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS saturated FROM (SELECT f.repository_id, f.id, count(s.id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent' GROUP BY 1, 2) x JOIN repositories r ON r.id = x.repository_id GROUP BY name")
+def q_G15_quality_counters(v):
+    s = v.symbols().where("kind = 'urgent'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
+    per = v.files().select("id", "repository_id").join(s, "id", "left").join(v.repositories().withColumnRenamed("id", "repository_id"), "repository_id")
+    n = F.coalesce("n", F.lit(0))
+    return per.groupBy("name").agg(F.count_if(n == 0).alias("unused"), F.count_if(n >= 3).alias("saturated"))
+
+
+@_query("SELECT page_id, CASE WHEN contains(url, '/pull/') THEN true ELSE false END AS is_pr, regexp_extract(url, '://([^/?#]+)/([^/?#.]+)', 2) AS repo FROM pages")
+def q_C08_pull_flag(v):
+    return v.t("pages").select("page_id", stats.is_pull(F.col("url")).alias("is_pr"), F.regexp_extract("url", r"://([^/?#]+)/([^/?#.]+)", 2).alias("repo"))
+
+
+@_query("SELECT id, CASE WHEN loc % 101 >= 90 THEN 'A+' WHEN loc % 101 >= 80 THEN 'A' WHEN loc % 101 >= 70 THEN 'B' WHEN loc % 101 >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN loc % 101 >= 85 THEN 'emerald' WHEN loc % 101 >= 70 THEN 'blue' WHEN loc % 101 >= 50 THEN 'amber' ELSE 'red' END AS band FROM files")
+def q_C21_score_bands(v):
+    return v.files().select("id", graph.grade(F.col("loc") % 101).alias("grade"), graph.score_band(F.col("loc") % 101).alias("band"))
+
+
+@_query("SELECT f.path || ':12-14' AS cite, f.id FROM files f")
+def q_F15_cited_nodes(v):
+    files = v.files().select("id", "path")
+    return stats.cited_nodes(files.select(F.concat("path", F.lit(":12-14")).alias("cite")), files)
