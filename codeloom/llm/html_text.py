@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,7 @@ BOILER_WORDS = frozenset(
     "sidebar sidebars aside widget widgets rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer copyright comment comments commentlist disqus respond reply replies discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager form search searchbox disclaimer skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies discussion".split())
 LAYOUT_WORDS = frozenset("content main article body wrapper container page layout with has no entry".split())
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)""", re.S)
@@ -65,15 +67,16 @@ def _marked(name: str, attributes: str) -> bool:
     """Whether an element is boilerplate by its own name or attributes."""
     if name in BOILER_TAGS:
         return True
-    if not attributes or name in ("body", "html", "article", "main"):
+    if not attributes or name in ("body", "html"):
         return False
+    marks = COMMENT_WORDS if name in ("article", "main") else BOILER_WORDS
     for key, *values in _attribute.findall(attributes):
         value = (values[0] or values[1] or values[2]).lower()
         key = key.lower()
         if key == "hidden" or key == "role" and value in BOILER_ROLES:
             return True
         words = set(re.split(r"[^a-z]+", value))
-        if key != "role" and words & BOILER_WORDS and not words & LAYOUT_WORDS:
+        if key != "role" and words & marks and not words & LAYOUT_WORDS:
             return True
     return False
 
@@ -82,6 +85,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, boilerplate by place, in the article) of each block that has text."""
     out: list[tuple[str, int, bool, bool]] = []
     holders: list[tuple[str, bool]] = []  # open elements that matter, with their mark
+    still_open: Counter[str] = Counter()
     bad = inside = 0
     own_bad = link = heading = False
     text: list[str] = []
@@ -93,7 +97,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
                 in_links = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
-                title = heading and inside and not own_bad and bad == 1 and any(h == "header" for h, _ in holders)
+                title = heading and inside and not own_bad and bad == 1 and still_open["header"] > 0
                 out.append((whole, in_links, bool((bad or own_bad) and not title), inside > 0))
             text, linked = [], []
 
@@ -124,9 +128,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             link = False
             own_bad = heading = False
         if closing:
-            if name in HOLDERS and any(h == name for h, _ in holders):
+            if still_open[name] > 0:
                 while holders:
                     h, mark = holders.pop()
+                    still_open[h] -= 1
                     bad -= mark
                     inside -= h in ("article", "main")
                     if h == name:
@@ -135,6 +140,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             mark = _marked(name, m[3] or "")
             if name in HOLDERS:
                 holders.append((name, mark))
+                still_open[name] += 1
                 bad += mark
                 inside += name in ("article", "main")
             elif name in BLOCK_TAGS:
@@ -158,6 +164,8 @@ def main_text(page: str) -> str:
         words = _word.findall(text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         labels.append(True if stops >= STOPS and (inside or len(text) >= LONG or stops >= 1.5 * STOPS) else None)
+    if True not in labels:  # no language of the word list: length alone decides
+        labels = [True if label is None and len(x[0]) >= LONG else label for x, label in zip(found, labels, strict=True)]
     before: list[tuple[bool, int] | None] = []
     last = None
     for k, label in enumerate(labels):
