@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, report, resolve, stats, text
@@ -447,3 +447,93 @@ def q_C21_score_bands(v):
 def q_F15_cited_nodes(v):
     files = v.files().select("id", "path")
     return stats.cited_nodes(files.select(F.concat("path", F.lit(":12-14")).alias("cite")), files)
+
+
+# --- set operations, rankings and scalars ------------------------------------------------
+
+
+@_query("SELECT src AS id FROM edges INTERSECT SELECT dst FROM edges")
+def q_O02_intersection(v):
+    return v.edges().select(F.col("src").alias("id")).intersect(v.edges().select("dst"))
+
+
+@_query("SELECT src AS id FROM edges EXCEPT ALL SELECT dst FROM edges")
+def q_O03_difference(v):
+    return v.edges().select(F.col("src").alias("id")).exceptAll(v.edges().select("dst"))
+
+
+@_query("SELECT repository_id, id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY coalesce(d, 0) DESC, id) AS INTEGER) AS place FROM files f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id")
+def q_R12_cluster_order(v):
+    d = graph.degrees(v.edges(), v.files()).select("id", "in_degree").join(v.files().select("id", "repository_id"), "id")
+    return d.select("repository_id", "id", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("in_degree"), "id")).alias("place"))
+
+
+@_query(
+    """SELECT repository, doc_id, CAST(row_number() OVER (PARTITION BY repository ORDER BY CASE WHEN contains(lower(path), 'readme') THEN 0 WHEN contains(lower(path), 'package') OR contains(lower(path), 'pyproject') THEN 1
+WHEN contains(lower(path), 'contributing') THEN 2 ELSE 3 END, lower(path)) AS INTEGER) AS place FROM docs"""
+)
+def q_R07_document_order(v):
+    low = F.lower("path")
+    rank = F.when(F.contains(low, F.lit("readme")), 0).when(F.contains(low, F.lit("package")) | F.contains(low, F.lit("pyproject")), 1).when(F.contains(low, F.lit("contributing")), 2).otherwise(3)
+    return v.documents().select("repository", "doc_id", F.row_number().over(Window.partitionBy("repository").orderBy(rank, low)).alias("place"))
+
+
+@_query("SELECT d.doc_id AS number, CASE WHEN l.quality = 1 THEN 'open' ELSE 'closed' END AS state, coalesce(l.toxic = 1, false) AS is_pr, array_to_string(string_split(d.source, 'c'), '|') AS labels FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def q_R08_issues(v):
+    d, lab = v.t("documents").select("doc_id", "source"), v.t("labels")
+    url = F.when(F.col("toxic") == 1, "https://x/pull/1").when(F.col("toxic") == 0, "https://x/issues/1")
+    issues = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("number"), F.lit("").alias("title"), F.when(F.col("quality") == 1, "open").otherwise("closed").alias("state"), F.split("source", "c").alias("labels"), url.alias("url"), F.lit(None).cast("array<string>").alias("linked_files"))
+    return stats.issues_of(issues).select("number", "state", "is_pr", F.array_join("labels", "|").alias("labels"))
+
+
+@_query("SELECT count(*) AS issues, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains(string_split(d.text, ' '), 'the')")
+def q_F07_array_membership(v):
+    both = v.t("documents").join(v.t("labels"), "doc_id").where(F.array_contains(F.split("text", " "), "the"))
+    return both.agg(F.count("*").alias("issues"), F.count_if(F.col("quality") == 0).alias("closed"))
+
+
+@_query("SELECT e.src, e.dst FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst WHERE a.repository_id < 5 OR b.repository_id < 5")
+def q_F14_edges_of_subsystems(v):
+    chosen = v.files().where("repository_id < 5").select("id")
+    a = v.edges().join(chosen.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+    return a.union(v.edges().join(chosen.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
+
+
+@_query("SELECT page_id, contains(url, '.html') OR contains(url, '/api/') AS is_route, '/' || split_part(url, 'example.', 2) AS endpoint FROM pages WHERE contains(url, 'example.')")
+def q_F12_route_predicate(v):
+    url = F.col("url")
+    return v.t("pages").where(F.contains(url, F.lit("example."))).select("page_id", (F.contains(url, F.lit(".html")) | F.contains(url, F.lit("/api/"))).alias("is_route"), F.concat(F.lit("/"), F.split_part(url, F.lit("example."), F.lit(2))).alias("endpoint"))
+
+
+@_query("SELECT id, path, loc FROM files WHERE repository_id = 7")
+def q_S16_repository_scan(v):
+    return v.files().where("repository_id = 7").select("id", "path", "loc")
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'python' WHEN p_size % 4 = 1 THEN 'typescript' WHEN p_size % 4 = 2 THEN 'javascript' END AS language FROM part")
+def q_S02_language(v):
+    from ..sources.walk import language
+
+    kind = F.element_at(F.array(*map(F.lit, (".py", ".TSX", ".mjs", ".md"))), F.col("p_size") % 4 + 1)
+    return v.t("part").withColumn("path", F.concat(F.lit("a.b/x"), kind)).select(F.col("p_partkey").alias("id"), language(F.col("path")).alias("language"))
+
+
+@_query("SELECT id, format('{:,}', loc) AS loc, replace(path, '/', '.') AS dotted, printf('%.1f', loc / 7.0) AS share FROM files")
+def q_C17_number_formats(v):
+    return v.files().select("id", F.format_number("loc", 0).alias("loc"), F.translate("path", "/", ".").alias("dotted"), F.format_string("%.1f", F.col("loc") / 7.0).alias("share"))
+
+
+@_query("SELECT part, count(*) AS count FROM (SELECT language AS part FROM parts) x GROUP BY part")
+def q_G13_hulls(v):
+    return report.hulls(report.layout(v.edges().where("false"), v.parts(), "language")).select("part", "count")
+
+
+@_query("SELECT event_id AS id, CASE WHEN try_cast(regexp_extract(props, '(\\d+)', 1) AS INTEGER) > 50 THEN true ELSE false END AS flag FROM events")
+def q_C14_loose_numbers(v):
+    number = F.regexp_extract("props", r"(\d+)", 1).try_cast("int")
+    return v.t("events").select(F.col("event_id").alias("id"), F.coalesce(number > 50, F.lit(False)).alias("flag"))
+
+
+@_query("SELECT author, strftime(date, '%Y-%m-%d') AS day, count(*) AS commits FROM commits GROUP BY 1, 2")
+def q_G05_activity_by_day(v):
+    return v.commits().groupBy("author", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("commits"))

@@ -6,7 +6,6 @@ names it current, so readers never meet half of one and a failed run changes not
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Callable
@@ -101,6 +100,14 @@ class Store:
             f.write(name)
         os.replace(pointer + ".new", pointer)
 
+    def append(self, repository_id: int, table: str, rows: DataFrame) -> None:
+        """Add rows, such as chat messages, to the current snapshot."""
+        where = self.snapshot(repository_id)
+        if where is None:
+            raise KeyError(repository_id)
+        kinds = [x.split() for x in TABLES[table].split(", ")]
+        rows.select(*(F.col(c).cast(k) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds)).write.mode("append").parquet(os.path.join(where, table))
+
     def delete(self, repository_id: int) -> None:
         """Forget a repository: its pointer goes, so no reader finds its tables."""
         if self.snapshot(repository_id):
@@ -164,7 +171,3 @@ def index_repository(store: Store, root: str, repository_id: int, *, name: str |
         if progress:
             progress(state)
     return state
-
-
-def load_trace(text_: str | None) -> dict | None:
-    return json.loads(text_) if text_ else None
