@@ -46,11 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder; Spark removes it with its last reader."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept in the shared folder (a checkpoint would compute its last stage twice)."""
+    return stored(df, "step")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -234,3 +231,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The strings of a column; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+# --- bitmaps --------------------------------------------------------------------
+
+MAP_BITS = 27
+
+
+class Bitmap:
+    """A broadcast filter over 64-bit keys: no false negatives, and at most ``2 ** MAP_BITS`` bits whatever the number of keys.
+
+    Its size follows the number of keys up to that bound; beyond it, more keys pass. What
+    passes is joined with the keys afterwards, so results don't depend on the filter.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, n: int):
+        bits = min(MAP_BITS, max(16, int(n * 32).bit_length()))
+        place = f"({column} & {(1 << bits) - 1}L)"
+        words = keys.selectExpr(f"shiftright({place}, 6) AS w", f"shiftleft(1L, cast({place} & 63 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        out = np.zeros(1 << (bits - 6), dtype=np.int64)
+        out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+        self.words, self.mask = keys.sparkSession.sparkContext.broadcast(out.view(np.uint64)), _U((1 << bits) - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) & self.mask
+        return (self.words.value[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) != 0

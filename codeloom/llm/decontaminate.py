@@ -1,17 +1,18 @@
 """Operator 1: benchmark decontamination by rare n-gram seeds and local alignment.
 
 Test items are cut into passages of at most ``passage`` words. One reading of the
-corpus counts in how many documents each passage n-gram stands; the rarer half of a
-passage's n-grams are its seeds, however common it is as a whole, so a passage that
-a third of all documents hold is still found. A second reading gathers windows of
-words around seeds; an equi-join on the n-gram gives (window, passage) candidates with
-at least two different seeds, and Smith-Waterman aligns each: 2 for a match, -1
-for a mismatch or gap, over 2 times the passage's length. Copies with replaced, dropped or
-inserted words keep a high score; ``least`` is the share that must be left.
-
-Both readings use a bitmap of n-gram hashes as a first filter. Its size follows the
-benchmark and is bounded (``MAP_BITS`` bits); the joins that follow are exact, so a
-benchmark of any size gives the same result, only less filtered.
+corpus counts in how many documents each passage n-gram stands; the rarer half (12
+at least) of a passage's n-grams are its seeds, however common it is as a whole, so
+a passage that a third of all documents hold is still found. A second reading
+gathers the seeds of windows; an equi-join on the n-gram gives (window, passage)
+candidates with at least two different seeds; a third fetches their words, and
+Smith-Waterman aligns each: 2 for a match, -1 for a mismatch or gap, over 2 times
+the passage's length. Copies with replaced, dropped or inserted words keep a high
+score; ``least`` is the share that must be left.
+
+The readings use a bitmap of hashes as a first filter. Its size follows the benchmark
+and is bounded (``common.MAP_BITS``); the joins that follow are exact, so a benchmark
+of any size gives the same result, only less filtered.
 
 Cases: null and short texts match nothing; items of fewer than ``n`` words aren't
 searched; equal items each match; rows of a null ``doc_id`` are matched and dropped
@@ -26,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, grams, mix, table, word_chunks
+from .common import Bitmap, durable, free_name, grams, mix, table, word_chunks
 
-MAP_BITS = 27
 _U = np.uint64
 
 
@@ -56,21 +56,6 @@ def _passages(n: int, passage: int):
     return run
 
 
-def _bitmap(spark: SparkSession, keys: DataFrame, n: int):
-    """A broadcast bitmap of the hashes in ``keys.gram``, of at most 2 ** MAP_BITS bits."""
-    bits = min(MAP_BITS, max(16, int(n * 32).bit_length()))
-    place = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
-    words = keys.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    return spark.sparkContext.broadcast(out.view(np.uint64)), _U((1 << bits) - 1)
-
-
-def _in(bitmap: np.ndarray, mask, g: np.ndarray) -> np.ndarray:
-    at = g & mask
-    return (bitmap[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) != 0
-
-
 def _spread(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n-grams of every position of a chunk and whether they lie within one text."""
     g = grams(hashes, n) if len(hashes) >= n else np.zeros(0, np.uint64)
@@ -81,14 +66,13 @@ def _spread(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return g, whole
 
 
-def _count(n: int, shared, mask):
+def _count(n: int, known: Bitmap):
     def run(batches):
-        bitmap = shared.value
         for batch in batches:
             for _, starts, hashes in word_chunks(batch.column(0)):
                 g, whole = _spread(starts, hashes, n)
                 at = np.flatnonzero(whole)
-                at = at[_in(bitmap, mask, g[at])]
+                at = at[known.has(g[at])]
                 doc = np.searchsorted(starts, at, side="right")
                 if not len(at):
                     continue
@@ -102,15 +86,17 @@ def _count(n: int, shared, mask):
     return run
 
 
-def _windows(n: int, passage: int, shared, mask):
+def _windows(n: int, passage: int, seeds: Bitmap, wanted: Bitmap | None):
+    """Windows around seeds: their seeds, or, of those wanted, their words."""
+
     def run(batches):
-        bitmap, reach = shared.value, passage + passage // 4
+        reach, longs = passage + passage // 4, pa.list_(pa.int64())
         for batch in batches:
             out: list[tuple] = []
             for first, starts, hashes in word_chunks(batch.column(2)):
                 g, whole = _spread(starts, hashes, n)
                 at = np.flatnonzero(whole)
-                at = at[_in(bitmap, mask, g[at])]
+                at = at[seeds.has(g[at])]
                 if not len(at):
                     continue
                 doc = np.searchsorted(starts, at, side="right") - 1
@@ -118,19 +104,18 @@ def _windows(n: int, passage: int, shared, mask):
                 new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > passage)
                 edge = [*np.flatnonzero(new).tolist(), len(at)]
                 for a, b in zip(edge, edge[1:]):
-                    seeds = np.unique(g[at[a:b]])
-                    if len(seeds) < 2:
-                        continue
-                    k = int(doc[a])
-                    lo, hi = max(int(starts[k]), int(at[a]) - reach), min(int(starts[k + 1]), int(at[b - 1]) + n + reach)
-                    out.append((first + k, lo - int(starts[k]), hashes[lo:hi], seeds))
+                    own = np.unique(g[at[a:b]])
+                    if len(own) > 1:
+                        k = int(doc[a])
+                        lo, hi = max(int(starts[k]), int(at[a]) - reach), min(int(starts[k + 1]), int(at[b - 1]) + n + reach)
+                        out.append((first + k, lo - int(starts[k]), own if wanted is None else hashes[lo:hi]))
             rows = pa.array([x[0] for x in out], pa.int64())
             ids, fps = batch.column(0).take(rows), batch.column(1).take(rows)
             at = np.array([x[1] for x in out], dtype=np.int64)
             doc = np.array([-1 if x is None else x for x in ids.to_pylist()], dtype=np.int64)
             wid = mix(mix(doc.view(np.uint64)) + mix(fps.to_numpy().view(np.uint64)) * _U(3) + at.view(np.uint64)).view(np.int64)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(wid), ids, fps, pa.array(at), pa.array([x[2].view(np.int64) for x in out], longs), pa.array([x[3].view(np.int64) for x in out], longs)], ["wid", "doc_id", "fp", "at", "window", "grams"])
+            made = pa.RecordBatch.from_arrays([pa.array(wid), ids, fps, pa.array(at), pa.array([x[2].view(np.int64) for x in out], longs)], ["wid", "doc_id", "fp", "at", "words"])
+            yield made if wanted is None else made.filter(pa.array(wanted.has(wid)))
 
     return run
 
@@ -184,23 +169,23 @@ def _align(least: float, cells: int):
 
 def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, fp, item_id, score, end_word) of each document row and item that align; ``fp`` is xxhash64 of the text."""
-    spark = docs.sparkSession
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     parts = durable(tests.mapInArrow(_passages(n, passage), "item_id long, part int, words array<long>, grams array<long>").distinct())
-    wanted = durable(parts.select(F.explode("grams").alias("gram")).distinct())
+    known = durable(parts.select(F.explode("grams").alias("gram")).distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
 
-    shared, mask = _bitmap(spark, wanted, wanted.count())
-    counts = rows.select("text").mapInArrow(_count(n, shared, mask), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(_count(n, Bitmap(known, "gram", known.count())), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     ranked = parts.select("item_id", "part", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts, "gram", "left")
     ranked = ranked.groupBy("item_id", "part", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
-    rare = ranked.select("item_id", "part", F.explode(F.slice("grams", 1, F.greatest(F.lit(4), F.ceil(F.col("size") / 2)).cast("int"))).alias("g"))
+    rare = ranked.select("item_id", "part", F.explode(F.slice("grams", 1, F.greatest(F.lit(12), F.ceil(F.col("size") / 2)).cast("int"))).alias("g"))
     seeds = durable(rare.select("item_id", "part", F.col("g.gram").alias("gram")))
 
-    shared, mask = _bitmap(spark, seeds, seeds.count())
-    found = durable(rows.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(_windows(n, passage, shared, mask), "wid long, doc_id long, fp long, at long, window array<long>, grams array<long>").dropDuplicates(["wid"]))
-    hits = found.select("wid", F.explode("grams").alias("gram")).join(seeds, "gram").groupBy("wid", "item_id", "part").agg(F.count("*").alias("hits")).where("hits > 1")
-    pairs = hits.join(found.select("wid", "doc_id", "fp", "at", "window"), "wid").join(parts.select("item_id", "part", "words"), ["item_id", "part"])
+    seed_map, keyed = Bitmap(seeds, "gram", seeds.count()), rows.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    schema = "wid long, doc_id long, fp long, at long, words array<long>"
+    hits = keyed.mapInArrow(_windows(n, passage, seed_map, None), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")
+    hits = durable(hits.groupBy("wid", "item_id", "part").agg(F.count_distinct("gram").alias("hits")).where("hits > 1").select("wid", "item_id", "part"))
+    found = keyed.mapInArrow(_windows(n, passage, seed_map, Bitmap(hits, "wid", hits.count())), schema).withColumnRenamed("words", "window")
+    pairs = hits.join(found, "wid").join(parts.select("item_id", "part", "words"), ["item_id", "part"])
     aligned = pairs.select("doc_id", "fp", "item_id", "at", "words", "window").mapInArrow(_align(least, 1 << 16), "doc_id long, fp long, item_id long, score double, end_word long")
     return aligned.groupBy("doc_id", "fp", "item_id").agg(F.max(F.struct("score", "end_word")).alias("top")).select("doc_id", "fp", "item_id", "top.score", "top.end_word")
 
