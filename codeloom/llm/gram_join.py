@@ -39,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, mix, overlap, shingle_sets, stored, table
+from .common import Bitmap, components, durable, mix, overlap, shingle_sets, stored, table
 
 _U = np.uint64
 WIDE = 16  # 64-bit words of the wide sketch
 _SEEN = 100_000
+_RUN = 50_000
 
 
 class Bands:
@@ -135,47 +136,55 @@ def _publish(n: int, bands: Bands):
 
 
 def _shared(batches):
-    """From rows sorted by (key, sid): distinct rows whose key another set has too, and those at the ends, whose key may go on in the next partition."""
-    last_key = last_sid = None
-    first_key, last_kept = None, False
+    """From rows sorted by (key, sid): the distinct ones whose key another set has too, with the number of sets met so far for the key at least 2; rows of a partition's first and last key are kept, as the key may go on next door."""
+    ends = [None, None]
+    held_key = held = None
+    n_held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last_key is not None:
-            key, sid = np.concatenate([[last_key], key]), np.concatenate([[last_sid], sid])
+        if held is not None:
+            key, sid = np.concatenate([np.full(len(held), held_key), key]), np.concatenate([held, sid])
         else:
-            first_key = key[0]
+            ends[0] = key[0]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
         key, sid = key[new], sid[new]
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep |= key == first_key
-        keep[0] |= last_kept
-        # the last row waits for its successor
-        last_key, last_sid, last_kept = key[-1], sid[-1], bool(keep[-1])
-        if len(key) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(sid[:-1][keep[:-1]])], ["key", "sid"])
-    if last_key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last_key], pa.int64()), pa.array([last_sid], pa.int64())], ["key", "sid"])
-
-
-def _widen(n: int):
-    """(sid, text) of the rows whose set is wanted, with the size and the wide sketch of the set."""
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        # the last run waits for its end; a long one is passed on but for its last row
+        last = start[-1]
+        total = size.copy()
+        if held is not None and key[0] == held_key:
+            total[0] += n_held
+        keep = np.repeat((total > 1) | (key[start] == ends[0]), size)
+        if size[-1] > _RUN:
+            n_held, cut = int(total[-1]) - 1, len(key) - 1
+            keep[last:] = True
+        else:
+            n_held, cut = int(total[-1]) - int(size[-1]), int(last)
+        held_key, held = key[-1], sid[cut:]
+        if cut:
+            counts = np.repeat(total, size)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:cut][keep[:cut]]), pa.array(sid[:cut][keep[:cut]]), pa.array(counts[:cut][keep[:cut]])], ["key", "sid", "n_sets"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), held_key)), pa.array(held), pa.array(np.full(len(held), n_held + len(held)))], ["key", "sid", "n_sets"])
+
+
+def _widen(n: int, wanted: Bitmap):
+    """Of (doc_id, text), the rows that may be wanted, with the id, the size and the wide sketch of their set."""
 
     def run(batches):
         for batch in batches:
-            sizes, words, right = [], np.zeros((batch.num_rows, WIDE), dtype=np.int64), []
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
+            ids, sizes, words = [], [], np.zeros((batch.num_rows, WIDE), dtype=np.int64)
             for k, s in shingle_sets(batch.column(1), n):
-                right.append(set_id(s))
                 odd = np.bincount((s & _U(WIDE * 64 - 1)).astype(np.int64), minlength=WIDE * 64) & 1
                 words[k] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+                ids.append(set_id(s))
                 sizes.append(len(s))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(words[:, k]) for k in range(WIDE))], ["sid", "text", "n", *(f"w{k}" for k in range(WIDE))])
-            yield out.filter(pa.array(batch.column(0).to_numpy() == np.array(right, dtype=np.int64)))  # else another row of a repeated doc_id
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(words[:, k]) for k in range(WIDE))], ["doc_id", "text", "sid", "n", *(f"w{k}" for k in range(WIDE))])
 
     return run
 
@@ -193,9 +202,17 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, wanted: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    left = wanted.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    right = wanted.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+def _similar(x: str, y: str, num: int, den: int):
+    """Whether sizes and wide sketches of two rows leave room for the similarity."""
+    bits = (F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(WIDE))
+    hamming = reduce(lambda p, q: p + q, bits)
+    sizes = den * F.least(f"{x}.n", f"{y}.n") >= num * F.greatest(f"{x}.n", f"{y}.n")
+    return sizes & ((den + num) * hamming <= (den - num) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
     return both.mapInArrow(_verify(n, num, den), "a long, b long")
 
@@ -206,43 +223,44 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     members = stored(rows.mapInArrow(_members(n), "doc_id long, sid long, n_shingles long"), "gram-members")
     published = rows.select("text").where("length(text) > 0").mapInArrow(_publish(n, bands), "key long, sid long")
-    shared = stored(published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_shared, "key long, sid long"), "gram-pieces")
+    runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_shared, "key long, sid long, n_sets long")
+    # a row per set: its shared pieces, bounded by its own size
+    sets = durable(runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys")))
 
     # one text of every set that shares a piece
-    shared = shared.distinct()
-    counts = shared.groupBy("key").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
-    shared = durable(shared.join(counts, "key"))
     firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    chosen = shared.select("sid").distinct().join(firsts, "sid")
-    found = rows.join(chosen, "doc_id").select("sid", "text")
-    fields = ", ".join(["sid long", "text string", "n long", *(f"w{k} long" for k in range(WIDE))])
-    wanted = stored(found.mapInArrow(_widen(n), fields).dropDuplicates(["sid"]), "gram-texts")
-
-    # each piece's most central set against the others
-    weight = shared.groupBy("sid").agg(F.sum("n_sets").alias("weight"))
-    centre = shared.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
-    stars = shared.join(centre, "key").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    links = durable(_links(stars, wanted, n, num, den))
+    chosen = durable(sets.select("sid").join(firsts, "sid"))
+    fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
+    found = rows.where("doc_id is not null").mapInArrow(_widen(n, Bitmap(chosen, "doc_id", chosen.count())), fields)
+    wanted = stored(found.join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]), "gram-texts")
+    texts, sketches = wanted.select("sid", "text"), wanted.drop("doc_id", "text")
+
+    # the most central set of each set's commonest and rarest piece against it
+    pieces = sets.select(F.explode("keys").alias("key"), "sid", "weight")
+    centre = pieces.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
+    own = sets.select(F.explode(F.array_distinct(F.array("common", "rare"))).alias("key"), F.col("sid").alias("b"))
+    stars = own.join(centre, "key").where("a <> b").select("a", "b").distinct()
+    x, y = sketches.alias("x"), sketches.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _similar("x", "y", num, den)).select("a", "b")
+    links = durable(_links(stars, texts, n, num, den))
     label = components(links, "a", "b").withColumnRenamed("node", "sid")
 
     # sets of one piece that are still in different components
-    marked = shared.select("key", "sid").join(label, "sid", "left").select("key", "sid", F.coalesce("component", "sid").alias("comp"))
-    open_keys = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    words = [f"w{k}" for k in range(WIDE)]
-    still = durable(marked.join(open_keys, "key").join(wanted.drop("text"), "sid"))
+    marked = sets.join(label, "sid", "left").select(F.explode("keys").alias("key"), "sid", F.coalesce("component", "sid").alias("comp"))
+    still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    still = durable(marked.join(still, "key").join(sketches, "sid"))
     x, y = still.alias("x"), still.alias("y")
-    hamming = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words))
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
-    near &= den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    near &= (den + num) * hamming <= (den - num) * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    pairs = pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _links(pairs, wanted, n, num, den)
-    final = components(links.unionAll(more), "a", "b").withColumnRenamed("node", "sid")
-
-    grouped = members.where("n_shingles > 0").join(final, "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = grouped.join(least, "comp").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    names = chosen.select(F.col("sid"), "doc_id")
+    more = links.unionAll(_links(pairs, texts, n, num, den))
+    ends = more.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select("u", "v")
+    final = components(ends, "u", "v").withColumnRenamed("node", "doc_id")
+
+    # a row per set, written: the join below is then one of plain shuffles, whose hot sets AQE splits
+    named = durable(firsts.join(final, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component_id")))
+    full = members.where("n_shingles > 0").join(named, "sid", "left")
+    full = full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionAll(alone)
 
