@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, table, texts_of
+from .common import free_name, slices, table, texts_of
 
 DIM, GRAM, TRAIN_ROWS, MAX_LANGUAGES = 1024, 3, 20_000, 500
 UNKNOWN = "und"
@@ -92,11 +93,11 @@ def _learn(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
 
-def _predict(names: list[str], matrix: np.ndarray):
+def _predict(names: list[str], matrix: np.ndarray, text: str, out: list[str]):
     def run(batches):
         for batch in batches:
-            for some in slices(batch, "text", 1 << 19):
-                got, has = bundles(texts_of(some, "text"))
+            for some in slices(batch, text, 1 << 19):
+                got, has = bundles(texts_of(some, text))
                 if names:
                     cosine = got @ matrix.T / np.maximum(1e-9, np.linalg.norm(got, axis=1, keepdims=True))
                     best = np.argmax(cosine, axis=1)
@@ -104,8 +105,8 @@ def _predict(names: list[str], matrix: np.ndarray):
                     lang = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has.tolist(), strict=True)]
                 else:
                     score, lang = np.zeros(some.num_rows), [UNKNOWN] * some.num_rows
-                rest = [some.column(k) for k in range(some.num_columns) if some.schema.names[k] != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score.astype(np.float64))], [*(n for n in some.schema.names if n != "text"), "lang_pred", "score"])
+                found = {out[-2]: pa.array(lang, pa.string()), out[-1]: pa.array(score.astype(np.float64))}
+                yield pa.RecordBatch.from_arrays([found[n] if n in found else some.column(some.schema.get_field_index(n)) for n in out], out)
 
     return run
 
@@ -129,15 +130,33 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row; rows held out aren't learned from."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = learn(rows.where(~held_out(F.col("doc_id"))), **options)
+def predict(rows: DataFrame, known: dict[str, np.ndarray], text_col: str, drop: tuple[str, ...] = ()) -> tuple[DataFrame, str, str]:
+    """``rows`` without ``drop``, with the predicted language and its score in the two columns named; no shuffle."""
     names = sorted(known)
     matrix = np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32)
-    inputs = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return inputs.mapInArrow(_predict(names, matrix), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    lang, score = free_name(rows, "lang"), free_name(rows, "score")
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in drop), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(_predict(names, matrix, text_col, schema.names), schema), lang, score
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return rows.where(~held_out(F.col("doc_id")))
+
+
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row; rows held out aren't learned from."""
+    known = learn(_labelled(docs, id_col, text_col, lang_col), **options)
+    inputs = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    out, lang, score = predict(inputs, known, "text", ("text",))
+    return out.withColumnsRenamed({lang: "lang_pred", score: "score"})
+
+
+def keep_known(docs: DataFrame, least_score: float, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` with letters that resemble a learned language by ``least_score`` at least."""
+    known = learn(_labelled(docs, id_col, text_col, lang_col), **options)
+    out, lang, score = predict(docs, known, text_col)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import prepare, stored, table
 from codeloom.llm.decontaminate import decontaminate
 from codeloom.llm.gram_join import jaccard_components
-from codeloom.llm.language import UNKNOWN, identify
+from codeloom.llm.language import keep_known
 from codeloom.llm.line_dedup import dedup_lines
 from codeloom.llm.packing import pack_documents
 
@@ -17,10 +17,9 @@ LEAST_SCORE = 0.05
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters, or like none, go. Rows of a null id are rejected."""
+    """Documents in a known language; those without letters, or like none, go."""
     prepare(spark)
-    found = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    return keep_known(docs, LEAST_SCORE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +29,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies."""
+    """One document, the smallest doc_id, of each group of near copies. Rows of a null id stay; repeated rows of one id are one document."""
     prepare(spark)
-    kept = jaccard_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    groups = jaccard_components(docs).where("doc_id is not null")
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("kept")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
