@@ -15,7 +15,9 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 450_000
+#: of each so many texts, one tells which pieces are frequent
+WATCHED = 16
 #: pieces longer than this, or with a line feed, are not kept
 PIECE_CHARS = 40
 
@@ -47,6 +49,8 @@ class Encoder:
             self.width[k] = len(token)  # byte-level: a character of a token is a byte
         self.special = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.frequent: set[str] = set()
+        self.seen = 0
         self.sign = {"": b""} | {x: self._batch([x])[0] for x in ",.\n"}
 
     @classmethod
@@ -89,8 +93,9 @@ class Encoder:
             known[x] = known[m[1]] + self.sign[m[2]] + (self.sign["\n"] if m[3] else b"") + after[m[3]] + self.sign[m[4] or ""]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
+        if len(self.known) > CACHE_ENTRIES:  # what the watched texts use stays, if it isn't too much itself
+            held = self.frequent if len(self.frequent) <= CACHE_ENTRIES // 2 else ()
+            self.known, self.frequent = {x: self.known[x] for x in held if x in self.known}, set()
         known, cut, new = self.known, [], set()
         for text in texts:
             if not text or any(x in text for x in _LOOSE) or any(x in text for x in self.special):
@@ -99,6 +104,9 @@ class Encoder:
             head, *rest = text.split(" ")
             cut.append((head, rest))
             new.update([x for x in rest if x not in known])
+            self.seen += 1
+            if self.seen % WATCHED == 0:
+                self.frequent.update(rest)
         if new:
             self._learn(new)
         get, out = known.__getitem__, []
