@@ -95,7 +95,8 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, id_col: str = "pa
     baskets = durable(rows.select("page_id", "tokens").join(known, "page_id").select("tokens", "block"))
     mined = mine_rules(baskets, **options)
     sets = rows.select("set_id", "tokens").distinct()
-    blocked = match_rules(sets, mined).select("set_id", F.lit(True).alias("mined"))
+    # written, so that its size is known: small, it is broadcast by Spark; else AQE splits the rows of a hot host
+    blocked = durable(match_rules(sets, mined)).select("set_id", F.lit(True).alias("mined"))
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
     out = rows.select("page_id", "host", "path", "set_id", rule.alias("rule"), verdict.alias("stated")).join(blocked, "set_id", "left")
     mined_verdict = F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))
