@@ -186,7 +186,8 @@ def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64,
     hits = durable(hits.groupBy("wid", "item_id", "part").agg(F.count_distinct("gram").alias("hits")).where("hits > 1").select("wid", "item_id", "part"))
     found = keyed.mapInArrow(_windows(n, passage, seed_map, Bitmap(hits, "wid", hits.count())), schema).withColumnRenamed("words", "window")
     pairs = hits.join(found, "wid").join(parts.select("item_id", "part", "words"), ["item_id", "part"])
-    aligned = pairs.select("doc_id", "fp", "item_id", "at", "words", "window").mapInArrow(_align(least, 1 << 16), "doc_id long, fp long, item_id long, score double, end_word long")
+    pairs = durable(pairs.select("doc_id", "fp", "item_id", "at", "words", "window"))  # a task then feeds one Python worker, not two
+    aligned = pairs.mapInArrow(_align(least, 1 << 16), "doc_id long, fp long, item_id long, score double, end_word long")
     return aligned.groupBy("doc_id", "fp", "item_id").agg(F.max(F.struct("score", "end_word")).alias("top")).select("doc_id", "fp", "item_id", "top.score", "top.end_word")
 
 
