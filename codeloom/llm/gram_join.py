@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, components, durable, mix, overlap, shingle_sets, stored, table
+from .common import Bitmap, components, durable, mix, overlap, shingle_sets, slices, stored, table
 
 _U = np.uint64
 WIDE = 16  # 64-bit words of the wide sketch
@@ -191,7 +191,7 @@ def _widen(n: int, wanted: Bitmap):
 
 def _verify(n: int, num: int, den: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for half in slices(whole, "text_a") for part in slices(half, "text_b")):
             a = [s for _, s in shingle_sets(batch.column(1), n)]
             b = [s for _, s in shingle_sets(batch.column(3), n)]
             common = np.array([overlap(x, y) for x, y in zip(a, b, strict=True)], dtype=np.int64)
@@ -210,10 +210,21 @@ def _similar(x: str, y: str, num: int, den: int):
     return sizes & ((den + num) * hamming <= (den - num) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
 
 
+def _only(wanted: Bitmap):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
+
+    return run
+
+
 def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "text_a", "b", "text_b")
+    """The pairs (a, da, b, db) of sets and their documents that are similar; only their texts are shuffled."""
+    pairs = durable(pairs)
+    ends = pairs.select(F.col("da").alias("doc_id")).unionAll(pairs.select("db")).distinct()
+    texts = texts.mapInArrow(_only(Bitmap(ends, "doc_id", ends.count())), "doc_id long, sid long, text string")
+    left, right = texts.toDF("da", "a", "text_a"), texts.toDF("db", "b", "text_b")
+    both = pairs.hint("merge").join(left, ["a", "da"]).join(right, ["b", "db"]).select("da", "text_a", "db", "text_b")
     return both.mapInArrow(_verify(n, num, den), "a long, b long")
 
 
@@ -232,8 +243,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     chosen = durable(sets.select("sid").join(firsts, "sid"))
     fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
     found = rows.where("doc_id is not null").mapInArrow(_widen(n, Bitmap(chosen, "doc_id", chosen.count())), fields)
-    wanted = stored(found.join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]), "gram-texts")
-    texts, sketches = wanted.select("sid", "text"), wanted.drop("doc_id", "text")
+    wanted = stored(found, "gram-texts")  # some others too, which no join below meets
+    texts = wanted.select("doc_id", "sid", "text")
+    sketches = durable(wanted.drop("text").join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]))
 
     # the most central set of each set's commonest and rarest piece against it
     pieces = sets.select(F.explode("keys").alias("key"), "sid", "weight")
@@ -241,21 +253,19 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     own = sets.select(F.explode(F.array_distinct(F.array("common", "rare"))).alias("key"), F.col("sid").alias("b"))
     stars = own.join(centre, "key").where("a <> b").select("a", "b").distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _similar("x", "y", num, den)).select("a", "b")
-    links = durable(_links(stars, texts, n, num, den))
-    label = components(links, "a", "b").withColumnRenamed("node", "sid")
+    stars = stars.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _similar("x", "y", num, den))
+    links = durable(_links(stars.select("a", F.col("x.doc_id").alias("da"), "b", F.col("y.doc_id").alias("db")), texts, n, num, den))
+    label = components(links, "a", "b").withColumnRenamed("node", "doc_id")
 
     # sets of one piece that are still in different components
-    marked = sets.join(label, "sid", "left").select(F.explode("keys").alias("key"), "sid", F.coalesce("component", "sid").alias("comp"))
+    known = chosen.join(label, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("comp"))
+    marked = sets.join(known, "sid").select(F.explode("keys").alias("key"), "sid", "comp")
     still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     still = durable(marked.join(still, "key").join(sketches, "sid"))
     x, y = still.alias("x"), still.alias("y")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    names = chosen.select(F.col("sid"), "doc_id")
-    more = links.unionAll(_links(pairs, texts, n, num, den))
-    ends = more.join(names.toDF("a", "u"), "a").join(names.toDF("b", "v"), "b").select("u", "v")
-    final = components(ends, "u", "v").withColumnRenamed("node", "doc_id")
+    pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("x.doc_id").alias("da"), F.col("y.sid").alias("b"), F.col("y.doc_id").alias("db")).distinct()
+    final = components(links.unionAll(_links(pairs, texts, n, num, den)), "a", "b").withColumnRenamed("node", "doc_id")
 
     # a row per set, written: the join below is then one of plain shuffles, whose hot sets AQE splits
     named = durable(firsts.join(final, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component_id")))
