@@ -1,14 +1,12 @@
-"""Operator 1: benchmark decontamination by rare n-gram seeds and local alignment.
-
-Test items are cut into passages of at most ``passage`` words. One reading of the
-corpus counts in how many documents each passage n-gram stands; the rarer half (12
-at least) of a passage's n-grams are its seeds, however common it is as a whole, so
-a passage that a third of all documents hold is still found. A second reading
-gathers the seeds of windows; an equi-join on the n-gram gives (window, passage)
-candidates with at least two different seeds; a third fetches their words, and
-Smith-Waterman aligns each: 2 for a match, -1 for a mismatch or gap, over 2 times
-the passage's length. Copies with replaced, dropped or inserted words keep a high
-score; ``least`` is the share that must be left.
+"""Operator 1: benchmark decontamination by n-gram seeds and local alignment.
+
+Test items are cut into passages of at most ``passage`` words, whose n-grams are all
+seeds: which of them an edit has left can't be told from counts, as those that it
+broke are the rarest. A first reading of the corpus gathers the seeds of windows; an
+equi-join on the n-gram gives (window, passage) candidates with at least two different
+seeds; a second fetches their words, and Smith-Waterman aligns each: 2 for a match, -1
+for a mismatch or gap, over 2 times the passage's length. Copies with replaced, dropped
+or inserted words keep a high score; ``least`` is the share that must be left.
 
 The readings use a bitmap of hashes as a first filter. Its size follows the benchmark
 and is bounded (``common.MAP_BITS``); the joins that follow are exact, so a benchmark
@@ -66,26 +64,6 @@ def _spread(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return g, whole
 
 
-def _count(n: int, known: Bitmap):
-    def run(batches):
-        for batch in batches:
-            for _, starts, hashes in word_chunks(batch.column(0)):
-                g, whole = _spread(starts, hashes, n)
-                at = np.flatnonzero(whole)
-                at = at[known.has(g[at])]
-                doc = np.searchsorted(starts, at, side="right")
-                if not len(at):
-                    continue
-                order = np.lexsort((doc, g[at]))
-                gs, ds = g[at][order], doc[order]
-                new = np.ones(len(gs), dtype=bool)
-                new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1])
-                keys, counts = np.unique(gs[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-    return run
-
-
 def _windows(n: int, passage: int, seeds: Bitmap, wanted: Bitmap | None):
     """Windows around seeds: their seeds, or, of those wanted, their words."""
 
@@ -171,15 +149,9 @@ def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64,
     """(doc_id, fp, item_id, score, end_word) of each document row and item that align; ``fp`` is xxhash64 of the text."""
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     parts = durable(tests.mapInArrow(_passages(n, passage), "item_id long, part int, words array<long>, grams array<long>").distinct())
-    known = durable(parts.select(F.explode("grams").alias("gram")).distinct())
+    seeds = durable(parts.select("item_id", "part", F.explode("grams").alias("gram")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
 
-    counts = rows.select("text").mapInArrow(_count(n, Bitmap(known, "gram", known.count())), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ranked = parts.select("item_id", "part", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(counts, "gram", "left")
-    ranked = ranked.groupBy("item_id", "part", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams"))
-    rare = ranked.select("item_id", "part", F.explode(F.slice("grams", 1, F.greatest(F.lit(12), F.ceil(F.col("size") / 2)).cast("int"))).alias("g"))
-    seeds = durable(rare.select("item_id", "part", F.col("g.gram").alias("gram")))
-
     seed_map, keyed = Bitmap(seeds, "gram", seeds.count()), rows.select("doc_id", F.xxhash64("text").alias("fp"), "text")
     schema = "wid long, doc_id long, fp long, at long, words array<long>"
     hits = keyed.mapInArrow(_windows(n, passage, seed_map, None), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")

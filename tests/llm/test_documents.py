@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm import html_text, language, sharding, url_rules
-from codeloom.llm.decontaminate import decontaminate, matches
+from codeloom.llm.decontaminate import decontaminate, matches, smith_waterman
 
 EN = "the of and to in that is was for on are with they be at this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part"
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ihr jahre schon wenn können gegen vom kein jetzt alle immer unter gut"
@@ -67,6 +67,23 @@ def test_decontamination(spark):
     assert matches(docs, tests.limit(0)).count() == 0 and matches(docs.limit(0), tests).count() == 0
 
 
+def test_edited_copies(spark):
+    """A copy alone in the corpus with 15 to 25 % of its words replaced is found if it aligns well enough."""
+    random.seed(11)
+    items = [(k, " ".join(f"i{k}w{random.randrange(5000)}" for _ in range(40 if k % 2 else 64))) for k in range(90)]
+    rows, want = [], set()
+    for k, text in items:
+        words = text.split()
+        copy = [f"x{k}y{j}" if random.random() < (0.15, 0.2, 0.25)[k % 3] else w for j, w in enumerate(words)]
+        best, _ = smith_waterman(*([np.array([hash(w) for w in x])] for x in (words, copy)))
+        if best[0] / (2 * len(words)) >= 0.6:
+            want.add((k, k))
+        rows.append((k, " ".join([*(f"a{k}b{j}" for j in range(50)), *copy, *(f"c{k}d{j}" for j in range(50))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 50 and got == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a = "</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">The and of to in</a></li></ul></nav><div class="ad">Buy the best of the best and more of it in the shop that is on this page.</div>
 <article><h1>Title &amp; more</h1><p>It is the <b>first</b> para&shy;graph of the text, and it has many of the words that are in use.<p>Short.<br>Next&nbsp;line</p>
