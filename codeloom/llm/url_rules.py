@@ -3,8 +3,8 @@
 Stated rules come first: the longest one whose host is the URL's or a parent of it
 and whose path begins the URL's decides. For the rest, Spark's FP-growth mines
 combinations of URL tokens (host labels, path words, query keys; digits are one
-token) that go with a label. Rules for ``block`` are kept at ``min_confidence`` and
-``min_support`` (``min_count`` pages at least), without those that a shorter rule of no less confidence covers.
+token) that go with a label. Rules for ``block`` are kept at ``min_confidence`` and from ``min_count`` blocked pages on,
+however many pages are labelled, without those that a shorter rule of no less confidence covers.
 Each rule is posted under its rarest token only; a URL meets the rules posted under
 its tokens and takes those whose tokens it has all. Any rule blocks; else allow.
 
@@ -60,12 +60,12 @@ def url_tokens(url, host, path):
     return F.array_sort(F.array_distinct(F.filter(F.concat(hosts, words, keys), lambda x: F.length(x) > 2)))
 
 
-def mine_rules(baskets: DataFrame, *, min_support: float = 0.005, min_count: int = 30, min_confidence: float = 0.6) -> DataFrame:
+def mine_rules(baskets: DataFrame, *, min_count: int = 30, min_confidence: float = 0.6) -> DataFrame:
     """(rule_id, tokens, confidence, support) for ``block``, from rows of (tokens, block)."""
     n = baskets.count()
-    min_support = max(min_support, min_count / max(n, 1))
-    if min_support > 1 or baskets.where("block").isEmpty():
+    if n < min_count or baskets.where("block").isEmpty():
         return baskets.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
+    min_support = (min_count - 0.5) / n  # Spark rounds the product with n up: half a page less stays clear of its rounding
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
         baskets.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     )

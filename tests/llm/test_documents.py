@@ -126,6 +126,15 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_url_rules_of_few_pages(spark):
+    """30 blocked pages make a rule, however many pages are labelled; 29 don't."""
+    urls = [(k, f"https://h{k % 400}.net/page/{k}", 1) for k in range(7000)] + [(8000 + k, f"https://bad.net/casino/{k}", 0) for k in range(30)] + [(9000 + k, f"https://rare.net/poker/{k}", 0) for k in range(29)]
+    pages = spark.createDataFrame([r[:2] for r in urls], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2], 0) for r in urls], "doc_id long, quality int, toxic int")
+    got = {r.page_id for r in url_rules.judge(pages, labels, rules=()).where("mined and verdict = 'block'").collect()}
+    assert got == set(range(8000, 8030))
+
+
 def test_shards(spark):
     rows = [(k, f"text {k % 40}" * (k % 5), k) for k in range(203)] + [(None, None, 1), (7, "text 7", 2), (7, "text 7", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3)
