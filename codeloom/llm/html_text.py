@@ -57,7 +57,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies dis
 LAYOUT_WORDS = frozenset("content main article body wrapper container page layout with has no entry".split())
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)""", re.S)
-_attribute = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_attribute = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")  # in order, so that values aren't read as names
 _word = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKS, STOPS = 70, 200, 0.5, 0.18
@@ -71,8 +71,10 @@ def _marked(name: str, attributes: str) -> bool:
         return False
     marks = COMMENT_WORDS if name in ("article", "main") else BOILER_WORDS
     for key, *values in _attribute.findall(attributes):
-        value = (values[0] or values[1] or values[2]).lower()
         key = key.lower()
+        if key not in ("class", "id", "role", "hidden"):
+            continue
+        value = (values[0] or values[1] or values[2]).lower()
         if key == "hidden" or key == "role" and value in BOILER_ROLES:
             return True
         words = set(re.split(r"[^a-z]+", value))

@@ -112,6 +112,17 @@ def test_html_table(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'aria-hidden="false"', 'data-id="comments"', "title='a class=\"ad\" here'", "data-x=hidden", 'data-role = "navigation"', 'onclick="x(\'id=ad\')"'])
+def test_html_attribute_names(attributes):
+    article = f"<article><p>{prose(EN, 60)}</p></article>"
+    assert html_text.main_text(f"<div {attributes}>{article}</div>") == html_text.main_text(article) != ""
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', "data-a='1' id=comments", 'class="a"id="sidebar"', 'role = "navigation"', "/class=ad"])
+def test_html_marked_attributes(attributes):
+    assert html_text.main_text(f"<div {attributes}><article><p>{prose(EN, 60)}</p></article></div>") == ""
+
+
 def test_url_rules(spark):
     urls = ["https://a.example.org/es/1", "http://EXAMPLE.org/en/12?q#f", "http://x.org", "http://x.org/", "https://shop.com/fr/a", "https://shop.com/de/", "https://notexample.org/es/", "ftp://foo.net/a", "no scheme", None, "http://h.net?x=1", "https://bad.net/casino/77"]
     pages = spark.createDataFrame([(k, u, "v") for k, u in enumerate(urls)] + [(100 + k, f"https://bad.net/casino/{k}", "v") for k in range(60)] + [(200 + k, f"https://good.net/page/{k}", "v") for k in range(60)], "page_id long, url string, verdict string")
