@@ -152,11 +152,12 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnsRenamed({lang: "lang_pred", score: "score"})
 
 
-def keep_known(docs: DataFrame, least_score: float, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` with letters that resemble a learned language by ``least_score`` at least."""
+def keep_known(docs: DataFrame, least_score: float, *, long_score: float = 0.0, long_letters: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` with letters that resemble a learned language by ``least_score`` at least, from ``long_letters`` letters on by ``long_score``."""
     known = learn(_labelled(docs, id_col, text_col, lang_col), **options)
     out, lang, score = predict(docs, known, text_col)
-    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(docs.columns)
+    short = F.length(F.regexp_replace(F.col(text_col).cast("string"), r"\P{L}+", "")) < long_letters
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score) & ((F.col(score) >= long_score) | short)).select(docs.columns)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,15 @@ from codeloom.llm.packing import pack_documents
 
 #: a document that resembles no known language this much is rejected
 LEAST_SCORE = 0.05
+#: from so many letters on, by this score: random letters and unlearned scripts lie below it, the documents of sf0.1 and check_s above.
+#: Shorter texts overlap: words like "All rights reserved." score as low as noise, so there only the limit above holds
+LONG_LETTERS, LONG_SCORE = 200, 0.14
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters, or like none, go."""
     prepare(spark)
-    return keep_known(docs, LEAST_SCORE)
+    return keep_known(docs, LEAST_SCORE, long_score=LONG_SCORE, long_letters=LONG_LETTERS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codeloom.llm import html_text, language, sharding, url_rules
 from codeloom.llm.decontaminate import decontaminate, matches, smith_waterman
 
@@ -39,6 +40,16 @@ def test_bundle_is_the_sum_of_bound_vectors():
     assert (got[0] == want).all() and has.tolist() == [True, False] and not got[1].any()
 
 
+def test_language_stage_rejects_noise(spark):
+    random.seed(4)
+    noise = lambda letters: " ".join("".join(random.choice(letters) for _ in range(6)) for _ in range(60))
+    rows = [(k, prose(EN if k % 2 else DE, 5 if k % 3 else 80), "en" if k % 2 else "de") for k in range(200)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x3041, 0x3090)], [chr(c) for c in range(0x627, 0x64A)], "0123456789abcdef"]
+    rows += [(1000 + k, noise(alphabets[k % 4]) + (" " + noise("abcdef") if k % 4 == 3 else ""), None) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()} == set(range(200))
+
+
 def test_decontamination(spark):
     random.seed(5)
     vocabulary = [f"v{k}" for k in range(400)] + ["the", "of", "and"] * 40
