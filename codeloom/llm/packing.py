@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import prepare, slices, table
 from .tokens import Encoder, default_path
 
 SIZES = (1024, 512, 256, 128)
@@ -149,7 +149,7 @@ def _packer(path: str, end_id: int, sizes: tuple[int, ...], window_ids: int, ste
         held = 0
         for batch in batches:
             for some in slices(batch, "text"):
-                for doc, got in zip(some.column(0).to_pylist(), encoder.encode(texts_of(some, "text")), strict=True):
+                for doc, got in zip(some.column(0).to_pylist(), encoder.encode_column(some.column(1)), strict=True):
                     window.append((doc, np.concatenate([got, end]), 0, len(got) + 1))
                     held += len(got) + 1
                 if held >= window_ids:
@@ -162,6 +162,7 @@ def _packer(path: str, end_id: int, sizes: tuple[int, ...], window_ids: int, ste
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, sizes: tuple[int, ...] = SIZES, window_ids: int = 1 << 21, step_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece. ``size`` is the sequence's length, ``step_id`` its step group."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_packer(tokenizer or default_path(), end_id, tuple(sorted(sizes, reverse=True)), window_ids, step_rows), SCHEMA)
 
