@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
-from codeloom.llm.packing import Pool, pack, pack_documents
-from codeloom.llm.token_files import read_index, write_token_files
+from codeloom.llm import tokens
+from codeloom.llm.packing import Pool, op4_packing, pack, pack_documents
+from codeloom.llm.token_files import EliasFano, op10_token_files, read_documents, read_index, write_token_files
 from codeloom.llm.tokens import Encoder, default_path
 
 ODD = ["", " ", "a", "a  b", "a   b", " \n", "a \n b", "don't.\nI'm, ok", "x <|endoftext|> y", "1.5,3 x.,", "é, ñ.\nü²", "a　b", "a\x85 b", "word.\n\nnext", "\x01a", "A.\r\nB", "it's 'll", "日本語 テキスト", "😀 a😀", "\n"]
@@ -20,22 +21,38 @@ def plain(encoder, text):
     return encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_agrees_with_the_tokenizer(encoder):
-    random.seed(4)
-    parts = ["a", "Th", " ", ".", ",", "\n", "'s", "é", "1", "_", "!", "\t", "　", "ing", "²"]
-    texts = ODD + ["".join(random.choice(parts) for _ in range(random.randint(1, 16))) for _ in range(3000)]
+PARTS = ["a", "Th", " ", ".", ",", "\n", "'s", "é", "1", "_", "!", "\t", "\u3000", "ing", "²", "'", "日", "\x1c", "😀", "\u0301", "\xa0", "'ll", "\r"]
+
+
+@pytest.mark.parametrize("window", [1 << 18, 24])
+def test_encoder_agrees_with_the_tokenizer(encoder, monkeypatch, window):
+    monkeypatch.setattr(tokens, "WINDOW", window)
+    random.seed(window)
+    texts = ODD + ["".join(random.choice(PARTS) for _ in range(random.randint(1, 16))) for _ in range(8000)]
     for text, got in zip(texts, encoder.encode(texts)):
         assert got.tolist() == plain(encoder, text), repr(text)
 
 
-def test_encoder_cache_is_bounded(encoder, monkeypatch):
-    from codeloom.llm import tokens
-
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 10)
+def test_encoder_table_is_bounded():
+    small = Encoder(default_path(), bits=6)
     for k in range(50):
-        (got,) = encoder.encode([f"a{k} b{k} c{k} d{k}"])
-        assert got.tolist() == plain(encoder, f"a{k} b{k} c{k} d{k}")
-    assert len(encoder.known) < 30
+        (got,) = small.encode([f"a{k} b{k} c{k} d{k}"])
+        assert got.tolist() == plain(small, f"a{k} b{k} c{k} d{k}")
+    assert small.table.n <= 40
+
+
+def test_encoder_takes_long_texts_and_pieces(encoder):
+    texts = ["x" * 300_000, "ab " * 200_000 + "\n\n", "日本" * 50_000, "<|endoftext|>" + " a" * 10]
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert got.tolist() == plain(encoder, text)
+
+
+def test_other_splitting_rules_are_left_to_the_tokenizer():
+    import public_tokenizers
+
+    other = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not other.known_rule
+    assert [x.tolist() for x in other.encode(ODD)] == [plain(other, t) for t in ODD]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +79,34 @@ def test_token_files(spark, docs, encoder):
     assert read_index(write_token_files(docs.limit(0))).count() == 0
 
 
+def test_documents_are_read_by_select(spark, docs, encoder):
+    blocks = write_token_files(docs, block_ids=500)
+    starts = {r.doc_id: r.start for r in read_index(blocks).collect() if r.doc_id != 102}
+    got = read_documents(blocks, spark.createDataFrame([(3,), (101,), (19,), (555,), (None,)], "doc_id long")).collect()
+    want = {doc: ids for doc, ids in expected(encoder, docs)}
+    assert sorted(r.doc_id for r in got) == [3, 19, 101]
+    assert all(r.ids == want[r.doc_id].tolist() and r.start == starts[r.doc_id] for r in got)
+    values = np.cumsum(np.random.default_rng(2).integers(0, 900, 500))
+    code = EliasFano.encode(values)
+    assert code.decode().tolist() == values.tolist() and [code.select(k) for k in range(500)] == values.tolist()
+
+
+@pytest.fixture(scope="module")
+def sf_dir(docs, tmp_path_factory):
+    where = str(tmp_path_factory.mktemp("tokens"))
+    docs.write.parquet(f"{where}/documents.parquet")
+    return where
+
+
+def test_queries_against_the_tokenizer(spark, docs, encoder, sf_dir):
+    got, start = op10_token_files(spark, sf_dir).orderBy("start").collect(), 0
+    for g, (doc, ids) in zip(got, expected(encoder, docs), strict=True):
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    pieces = op4_packing(spark, sf_dir).collect()
+    assert sum(p.length for p in pieces) == start and {p.doc_id for p in pieces} == {d for d, _ in expected(encoder, docs)}
+
+
 def test_packing(spark, docs, encoder):
     rows = pack_documents(docs.drop("part"), window_ids=3000, step_rows=4).collect()
     want = {}
