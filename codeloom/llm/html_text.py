@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by
 their own measures: characters, the share of them inside links, and the share of
 stop words. Blocks under menus, headers, footers, sidebars, notices, adverts, forms
-or reader comments (by element, role, or class and id words) are boilerplate at once,
-and so are blocks outside the article or main element of a page that has one. Short
+or reader comments (by element, role, or clear class and id words) are boilerplate at once,
+and so are blocks outside the article or main element of a page that has one. Class words
+that frameworks also give to content (``form-group``, ``alert``) only raise the bar: a run
+of such blocks is content if it is long prose as a whole, else boilerplate. A form around
+the whole article is a page's frame and no form. Short
 blocks, and long ones with few stop words, stay open. The second pass gives each
 open block the label of its nearest decided neighbours: good if both are, or the
 nearer one is; with none decided, whether it stands in the article.
@@ -20,12 +23,13 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import prepare, slices, table, texts_of
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -53,6 +57,8 @@ BOILER_WORDS = frozenset(
     "sidebar sidebars aside widget widgets rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer copyright comment comments commentlist disqus respond reply replies discussion "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager form search searchbox disclaimer skip".split()
 )
+# Those of them that content has too
+SOFT_WORDS = frozenset("alert alerts aside discussion form header masthead overlay rail related respond search share sharing skip social toolbar topbar widget widgets".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies discussion".split())
 LAYOUT_WORDS = frozenset("content main article body wrapper container page layout with has no entry".split())
 
@@ -61,14 +67,16 @@ _attribute = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*
 _word = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKS, STOPS = 70, 200, 0.5, 0.18
+HARD, SOFT, FRAME = 1, 2, 3
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its own name or attributes."""
+def _marked(name: str, attributes: str) -> int:
+    """``HARD`` if an element is boilerplate by its own name or attributes, ``SOFT`` if its class words hint at it, else 0."""
     if name in BOILER_TAGS:
-        return True
+        return HARD
     if not attributes or name in ("body", "html"):
-        return False
+        return 0
+    soft = False
     marks = COMMENT_WORDS if name in ("article", "main") else BOILER_WORDS
     for key, *values in _attribute.findall(attributes):
         key = key.lower()
@@ -76,20 +84,23 @@ def _marked(name: str, attributes: str) -> bool:
             continue
         value = (values[0] or values[1] or values[2]).lower()
         if key == "hidden" or key == "role" and value in BOILER_ROLES:
-            return True
+            return HARD
         words = set(re.split(r"[^a-z]+", value))
         if key != "role" and words & marks and not words & LAYOUT_WORDS:
-            return True
-    return False
+            if words & marks - SOFT_WORDS or marks is COMMENT_WORDS:
+                return HARD
+            soft = True
+    return SOFT if soft else 0
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, boilerplate by place, in the article) of each block that has text."""
-    out: list[tuple[str, int, bool, bool]] = []
-    holders: list[tuple[str, bool]] = []  # open elements that matter, with their mark
+def blocks(page: str) -> list[tuple[str, int, int, bool]]:
+    """(text, characters in links, mark by place, in the article) of each block that has text."""
+    out: list[tuple[str, int, int, bool]] = []
+    holders: list[tuple[str, int]] = []  # open elements that matter, with their mark
     still_open: Counter[str] = Counter()
-    bad = inside = 0
-    own_bad = link = heading = False
+    marks = [0, 0, 0, 0]  # how many open elements have each mark
+    inside = own_mark = 0
+    link = heading = False
     text: list[str] = []
     linked: list[str] = []
 
@@ -99,8 +110,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
                 in_links = len(" ".join(_html.unescape("".join(linked)).split())) if linked else 0
-                title = heading and inside and not own_bad and bad == 1 and still_open["header"] > 0
-                out.append((whole, in_links, bool((bad or own_bad) and not title), inside > 0))
+                title = heading and inside and not own_mark and marks[HARD] == 1 and not marks[SOFT] and still_open["header"] > 0
+                hard = marks[HARD] or own_mark == HARD or marks[FRAME] and not inside
+                soft = marks[SOFT] or own_mark == SOFT
+                out.append((whole, in_links, 0 if title else HARD if hard else SOFT if soft else 0, inside > 0))
             text, linked = [], []
 
     at, n = 0, len(page)
@@ -128,31 +141,50 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if name in BLOCK_TAGS or name in HOLDERS:
             close()
             link = False
-            own_bad = heading = False
+            own_mark, heading = 0, False
         if closing:
             if still_open[name] > 0:
                 while holders:
                     h, mark = holders.pop()
                     still_open[h] -= 1
-                    bad -= mark
+                    marks[mark] -= 1
                     inside -= h in ("article", "main")
                     if h == name:
                         break
         elif name not in VOID_TAGS and not (m[3] or "").endswith("/"):
             mark = _marked(name, m[3] or "")
             if name in HOLDERS:
+                if name == "form" and not inside:
+                    mark = FRAME
                 holders.append((name, mark))
                 still_open[name] += 1
-                bad += mark
+                marks[mark] += 1
                 inside += name in ("article", "main")
             elif name in BLOCK_TAGS:
-                own_bad, heading = mark, name in ("h1", "h2", "h3")
+                own_mark, heading = mark, name in ("h1", "h2", "h3")
     close()
     return out
 
 
+def _stops(text: str) -> float:
+    words = _word.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _softened(found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, bool, bool]]:
+    """Blocks with a plain mark: a run of softly marked ones is boilerplate unless it is long prose."""
+    out: list[tuple[str, int, bool, bool]] = []
+    for mark, run in groupby(found, key=lambda x: x[2]):
+        some = list(run)
+        if mark == SOFT:
+            whole = " ".join(x[0] for x in some)
+            mark = len(whole) < LONG or sum(x[1] for x in some) > len(whole) / 5 or _stops(whole) < STOPS
+        out += [(text, in_links, bool(mark), inside) for text, in_links, _, inside in some]
+    return out
+
+
 def main_text(page: str) -> str:
-    found = blocks(page)
+    found = _softened(blocks(page))
     has_article = any(inside and not bad for _, _, bad, inside in found)
     labels: list[bool | None] = []
     for text, in_links, bad, inside in found:
@@ -163,8 +195,7 @@ def main_text(page: str) -> str:
         if len(text) < SHORT:
             labels.append(False if density > 0 and not inside else None)
             continue
-        words = _word.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        stops = _stops(text)
         labels.append(True if stops >= STOPS and (inside or len(text) >= LONG or stops >= 1.5 * STOPS) else None)
     if True not in labels:  # no language of the word list: length alone decides
         labels = [True if label is None and len(x[0]) >= LONG else label for x, label in zip(found, labels, strict=True)]
@@ -202,6 +233,7 @@ def _run(batches):
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 

@@ -134,6 +134,47 @@ def test_html_marked_attributes(attributes):
     assert html_text.main_text(f"<div {attributes}><article><p>{prose(EN, 60)}</p></article></div>") == ""
 
 
+@pytest.mark.parametrize("name", ["form-group", "social", "header", "alert", "widget share"])
+def test_html_class_words_of_content(name):
+    random.seed(8)
+    long, short = prose(EN, 60), prose(EN, 12)
+    for page in (f"<article><div class='{name}'><p>{long}</p></div></article>", f"<body><div class='{name}'><p>{long}</p></div></body>", f"<article><div class='{name}'><p>{prose(EN, 20)}</p><p>{prose(EN, 40)}</p></div></article>"):
+        assert len(html_text.main_text(page)) > 200
+    assert html_text.main_text(f"<article><p>{long}</p><div class='{name}'>{short}</div></article>") == long  # short: furniture
+    assert html_text.main_text(f"<article><p>{long}</p><div class='{name}'>" + "<a href=x>the one of the</a> and " * 20 + "</div></article>") == long
+
+
+@pytest.mark.parametrize("name", ["ad", "sidebar", "cookie-notice", "comments", "menu"])
+def test_html_clear_class_words(name):
+    random.seed(8)
+    assert html_text.main_text(f"<article><p>{prose(EN, 60)}</p><div class='{name}'><p>{prose(DE, 80)}</p></div></article>").isascii()
+
+
+def test_html_form_around_the_page():
+    random.seed(8)
+    long = prose(EN, 60)
+    assert html_text.main_text(f"<form><p>{long}</p><article><p>{long}</p><form><p>{long}</p></form></article></form>") == long
+
+
+def test_html_query_against_pages_built_from_known_text(spark, tmp_path):
+    """Random pages of known blocks: the text is the article's blocks, in order."""
+    random.seed(12)
+    rows, want = [], {}
+    for k in range(60):
+        parts, text = [], []
+        for _ in range(random.randint(1, 8)):
+            body = prose(random.choice([EN, DE]), random.randint(12, 60))
+            kind = random.choice(["p", "p", "h2", "ad", "aside", "script"])
+            parts.append({"ad": f"<div class=ad>{body}</div>", "aside": f"<aside>{body}</aside>", "script": f"<script>{body}</script>"}.get(kind, f"<{kind}>{body.replace(' ', '  ', 1)}</{kind}>"))
+            if kind in ("p", "h2"):
+                text.append(body)
+        want[k] = " ".join(text)
+        rows.append((k, f"u{k}", f"<html><head><title>t</title></head><body><nav><a href=/>{prose(EN, 5)}</a></nav><article>{''.join(parts)}</article><footer>{prose(EN, 30)}</footer></body></html>"))
+    spark.createDataFrame(rows + [(99, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = html_text.op5_html_text(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.text for r in got} == want | {99: ""} and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_url_rules(spark):
     urls = ["https://a.example.org/es/1", "http://EXAMPLE.org/en/12?q#f", "http://x.org", "http://x.org/", "https://shop.com/fr/a", "https://shop.com/de/", "https://notexample.org/es/", "ftp://foo.net/a", "no scheme", None, "http://h.net?x=1", "https://bad.net/casino/77"]
     pages = spark.createDataFrame([(k, u, "v") for k, u in enumerate(urls)] + [(100 + k, f"https://bad.net/casino/{k}", "v") for k in range(60)] + [(200 + k, f"https://good.net/page/{k}", "v") for k in range(60)], "page_id long, url string, verdict string")
