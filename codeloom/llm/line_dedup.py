@@ -14,7 +14,7 @@ shuffle; marking the lines of a very common key is a join that AQE splits.
 
 Cases: null and empty texts are one empty line, kept; rows of a null ``doc_id`` keep
 all lines and hold none; repeated ``doc_id`` rows are one document: the smallest id
-keeps a line in each of its rows; short keys always stay; extra columns are passed
+keeps a line in each of its rows, and equal rows each count their own lines; short keys always stay; extra columns are passed
 through; empty tables give no rows.
 """
 
@@ -86,7 +86,7 @@ def dropped_lines(docs: DataFrame, *, batches: int = 4, fanout: int = 3, least_c
         out.append(stored(marked.select("doc_id", "fp", "pos"), "line-drops"))
         runs.add(new.select("h1", "h2"))
     every = reduce(DataFrame.unionAll, out)
-    return every.groupBy("doc_id", "fp").agg(F.collect_list("pos").alias("positions"))
+    return every.groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("positions"))
 
 
 def _deduped(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tuple[DataFrame, str, str, str]:
