@@ -8,18 +8,18 @@ bucket (one's own bucket with the other's own or probed one); each is verified b
 cosine in double precision, so no pair below the threshold is returned.
 
 Equal vectors of a label are one class throughout: a class of a third of all rows
-is one row, and its size enters the counts. The join keeps a pair only in the
+is one row with an id of its own, and its size enters the counts. The join keeps a pair only in the
 first table in which both own the bucket, so a dense group isn't emitted once a
 table. Links between different vectors are all counted, which a dense group of k
 different vectors makes k^2 / 2: the result asks for that number.
 
 The index holds every vector. Recall against brute force is measured in
-tests/llm/test_embeddings.py (at least 0.9 is asked for).
+tests/llm/test_pairs.py (at least 0.9 is asked for).
 
 Cases: a null label, and vectors that are null, empty, zero or hold null or non-
 finite components, link with nothing; vectors of different length don't link; a
 null ``vec_id`` row has no component and is not kept; repeated ``vec_id`` rows
-count as vectors of their own; extra columns are ignored; empty tables give no rows.
+count as vectors of their own, which only share the name; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, table
+from .common import components, durable, prepare, table
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def _buckets(tables: int, functions: int, seed: int):
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, t, np.int32)), labels, pa.array(np.full(n, dim, np.int32)), pa.array(code), ids, pa.array(np.full(n, mine)), *(pa.array(c) for c in own)],
-                        ["t", "label", "dim", "bucket", "rep", "own", *(f"s{k}" for k in range(tables))],
+                        ["t", "label", "dim", "bucket", "cls", "own", *(f"s{k}" for k in range(tables))],
                     )
 
     return run
@@ -114,12 +114,13 @@ def _verify(least: float):
 
 
 def near_vectors(vectors: DataFrame, *, least: float = 0.98, tables: int = 6, functions: int = 2, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(classes, links): one row per distinct vector of a label, and the verified links between them."""
+    """(classes, links): one row per distinct vector of a label, with its own id ``cls``, and the verified links (a, b) between them."""
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     fine = "vec_id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
-    classes = durable(rows.where(fine).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
-    schema = ", ".join(["t int, label string, dim int, bucket long, rep long, own boolean", *(f"s{k} long" for k in range(tables))])
-    hashed = durable(classes.select("rep", "v", "dim", "label").mapInArrow(_buckets(tables, functions, seed), schema))
+    classes = durable(rows.where(fine).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")).withColumn("cls", F.monotonically_increasing_id()))
+    schema = ", ".join(["t int, label string, dim int, bucket long, cls long, own boolean", *(f"s{k} long" for k in range(tables))])
+    hashed = durable(classes.select("cls", "v", "dim", "label").mapInArrow(_buckets(tables, functions, seed), schema))
     x, y = hashed.where("own").alias("x"), hashed.alias("y")
     near = F.lit(True)
     for c in ("t", "label", "dim", "bucket"):
@@ -127,9 +128,9 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, tables: int = 6, fu
     first = F.lit(-1)
     for k in reversed(range(tables)):
         first = F.when(F.col(f"x.s{k}") == F.col(f"y.s{k}"), k).otherwise(first)
-    near &= F.when(F.col("y.own"), (F.col("x.rep") < F.col("y.rep")) & (first == F.col("x.t"))).otherwise((F.col("x.rep") != F.col("y.rep")) & (first == -1))
-    pairs = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    left, right = classes.select(F.col("rep").alias("a"), F.col("v").alias("va"), "dim"), classes.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
+    near &= F.when(F.col("y.own"), (F.col("x.cls") < F.col("y.cls")) & (first == F.col("x.t"))).otherwise((F.col("x.cls") != F.col("y.cls")) & (first == -1))
+    pairs = x.join(y, near).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    left, right = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"), "dim"), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "va", "b", "vb", "dim")
     return classes, durable(both.mapInArrow(_verify(least), "a long, b long, cosine double"))
 
@@ -137,11 +138,12 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, tables: int = 6, fu
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     classes, links = near_vectors(vectors, id_col=id_col, vector_col=vector_col, label_col=label_col, **options)
-    sizes = classes.select("rep", "n")
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    degree = ends.join(sizes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("others"))
-    named = components(links, "a", "b").withColumnRenamed("node", "rep")
-    found = classes.join(degree, "rep", "left").join(named, "rep", "left").select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    sizes = classes.select(F.col("cls").alias("other"), "n")
+    ends = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    degree = ends.join(sizes, "other").groupBy("cls").agg(F.sum("n").alias("others"))
+    member = durable(components(links, "a", "b").withColumnRenamed("node", "cls").join(classes.select("cls", "rep"), "cls"))
+    named = member.join(member.groupBy("component").agg(F.min("rep").alias("least")), "component").select("cls", "least")
+    found = classes.join(degree, "cls", "left").join(named, "cls", "left").select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     out = rows.join(found, (rows.label == found.label) & (rows.v == found.v) & rows.vec_id.isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")

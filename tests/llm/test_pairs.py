@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from codeloom.llm.common import components
-from codeloom.llm.embeddings import near_duplicates
+from codeloom.llm.embeddings import near_duplicates, op2_near_vectors
 from codeloom.llm.gram_join import jaccard_components
 from codeloom.llm.line_dedup import dedup_lines, op9_line_dedup
 
@@ -117,5 +118,29 @@ def test_line_dedup(spark, batches, fanout):
     assert dedup_lines(docs).columns == docs.columns
 
 
-def test_line_query_has_sql(spark):
-    assert op9_line_dedup.__name__ == "op9_line_dedup"
+def test_line_query_on_repeated_rows(spark, tmp_path):
+    """The query's own columns against a plain computation; rows equal in id and text each lose a line once."""
+    rows = [(1, "a common line here\nown line of one"), (2, "a common line here\nkept line of two"), (2, "a common line here\nkept line of two"), (2, "short\nA COMMON LINE HERE "), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for (d, text), (_, kept) in zip(rows, deduped(rows)):
+        n = len((text or "").split("\n"))
+        want.append((d, n, n - len(kept.split("\n")) if kept or n == 1 else n, hashlib.sha256(kept.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in op9_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_vector_query_with_repeated_ids(spark, tmp_path):
+    """The query's own columns against all pairs; vectors of one repeated id are vectors of their own."""
+    rng = np.random.default_rng(5)
+    e, z = rng.normal(size=32), rng.normal(size=32)
+    e2 = e + rng.normal(size=32) * 0.01
+    rows = [(5, e, "a"), (5, z, "b"), (9, e2, "a"), (11, z, "b"), (4, z, "b"), (7, e, "c"), (7, e2, "c"), (3, e2, "c"), (8, e, None), (12, e, "d"), (12, e, "d")]
+    spark.createDataFrame([(k, v.tolist(), label) for k, v, label in rows], "vec_id long, embedding array<double>, label string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if rows[a][2] and rows[a][2] == rows[b][2] and rows[a][1] @ rows[b][1] >= 0.98 * np.linalg.norm(rows[a][1]) * np.linalg.norm(rows[b][1])]
+    group = union(len(rows), near)
+    want = []
+    for k, (vec, _, _) in enumerate(rows):
+        least = min(rows[j][0] for j in range(len(rows)) if group[j] == group[k])
+        want.append((vec, sum(k in p for p in near), least, vec == least))
+    assert sorted(tuple(r)[:4] for r in op2_near_vectors(spark, str(tmp_path)).collect()) == sorted(want)
