@@ -12,7 +12,8 @@ language; more than ``max_languages`` values raise an error.
 
 Cases: null texts and texts without letters are ``und`` with score 0; with nothing to
 learn from, all are; ties go to the smaller name; rows of null or repeated ids are
-predicted like others, a null id isn't learned from or held out; extra columns are
+predicted like others, a text of any length is read whole, in bounded memory besides a few
+numbers a character; a null id isn't learned from or held out; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, table, texts_of
+from .common import free_name, prepare, slices, table, texts_of
 
 DIM, GRAM, TRAIN_ROWS, MAX_LANGUAGES = 1024, 3, 20_000, 500
+TEXTS, GRAMS = 512, 8192
 UNKNOWN = "und"
 _letter: list[np.ndarray] = []
 _vectors: dict[int, np.ndarray] = {}
@@ -47,7 +49,14 @@ def _vector(code: int) -> np.ndarray:
 
 
 def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, whether each text has a letter)."""
+    """(vectors, whether each text has a letter), from ``TEXTS`` texts and ``GRAMS`` n-grams at a time: matrices stay within some 40 MB."""
+    some = [_bundles(texts[k : k + TEXTS]) for k in range(0, len(texts), TEXTS)]
+    if not some:
+        return np.zeros((0, DIM), np.float32), np.zeros(0, dtype=bool)
+    return np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
+
+
+def _bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letters, parts, has = _letters(), [], np.zeros(len(texts), dtype=bool)
     for k, text in enumerate(texts):
         s = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -69,15 +78,21 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             code = code * radix + p[d : d + max(0, m)]
         per.append(np.unique(code, return_counts=True))
     grams = np.unique(np.concatenate([u for u, _ in per])) if per else np.zeros(0, np.int64)
-    counts = np.zeros((len(texts), len(grams)), dtype=np.float32)
-    for k, (u, c) in enumerate(per):
-        counts[k, np.searchsorted(grams, u)] = c
-    base, rest = np.stack([_vector(int(c)) for c in known]), grams
-    bound = np.ones((len(grams), DIM), dtype=np.int8)
-    for d in range(GRAM):
-        rest, at = np.divmod(rest, radix)
-        bound *= np.roll(base, d, axis=1)[at]
-    return counts @ bound.astype(np.float32), has
+    base = np.stack([_vector(int(c)) for c in known])
+    rolled = [np.roll(base, d, axis=1) for d in range(GRAM)]
+    out = np.zeros((len(texts), DIM), dtype=np.float32)
+    for first in range(0, len(grams), GRAMS):
+        some = grams[first : first + GRAMS]
+        counts = np.zeros((len(texts), len(some)), dtype=np.float32)
+        for k, (u, c) in enumerate(per):
+            a, b = np.searchsorted(u, (some[0], some[-1] + 1))
+            counts[k, np.searchsorted(some, u[a:b])] = c[a:b]
+        bound, rest = np.ones((len(some), DIM), dtype=np.int8), some
+        for d in range(GRAM):
+            rest, at = np.divmod(rest, radix)
+            bound *= rolled[d][at]
+        out += counts @ bound.astype(np.float32)
+    return out, has
 
 
 def _learn(batches):
@@ -113,6 +128,7 @@ def _predict(names: list[str], matrix: np.ndarray, text: str, out: list[str]):
 
 def learn(texts: DataFrame, *, train_rows: int = TRAIN_ROWS, max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
     """Unit prototypes from rows of (doc_id, text, lang)."""
+    prepare(texts.sparkSession)
     rows = texts.where("doc_id is not null and text is not null and lang is not null")
     n = rows.select("doc_id").count()
     if n > train_rows:
