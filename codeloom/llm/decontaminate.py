@@ -4,7 +4,7 @@ Test items are cut into passages of at most ``passage`` words, whose n-grams are
 seeds: which of them an edit has left can't be told from counts, as those that it
 broke are the rarest. A first reading of the corpus gathers the seeds of windows; an
 equi-join on the n-gram gives (window, passage) candidates with at least two different
-seeds; a second fetches their words, and Smith-Waterman aligns each: 2 for a match, -1
+seeds, or the only one of a passage that has no more; a second fetches their words, and Smith-Waterman aligns each: 2 for a match, -1
 for a mismatch or gap, over 2 times the passage's length. Copies with replaced, dropped
 or inserted words keep a high score; ``least`` is the share that must be left.
 
@@ -12,8 +12,9 @@ The readings use a bitmap of hashes as a first filter. Its size follows the benc
 and is bounded (``common.MAP_BITS``); the joins that follow are exact, so a benchmark
 of any size gives the same result, only less filtered.
 
-Cases: null and short texts match nothing; items of fewer than ``n`` words aren't
-searched; equal items each match; rows of a null ``doc_id`` are matched and dropped
+Cases: null and empty texts match nothing, nor do items without words; an item of fewer
+than ``n`` words has no n-gram and matches the documents that consist of just its words
+(anywhere inside, so short a phrase would be chance); equal items each match; rows of a null ``doc_id`` are matched and dropped
 like others; repeated rows give one row per (doc_id, item_id); extra columns are passed
 through by ``decontaminate``; empty tables on either side mean no matches.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, durable, free_name, grams, mix, table, word_chunks
+from .common import Bitmap, durable, free_name, grams, mix, prepare, table, word_chunks
 
 _U = np.uint64
 
@@ -33,11 +34,18 @@ _U = np.uint64
 def _passages(n: int, passage: int):
     def run(batches):
         for batch in batches:
-            items, parts, words, seeds = [], [], [], []
+            items, parts, words, seeds, need = [], [], [], [], []
             for first, starts, hashes in word_chunks(batch.column(1)):
                 for k in range(len(starts) - 1):
                     own = hashes[starts[k] : starts[k + 1]]
-                    if len(own) < n:
+                    if not len(own):
+                        continue
+                    if len(own) < n:  # no words: found by its key alone
+                        items.append(batch.column(0)[first + k].as_py())
+                        parts.append(0)
+                        words.append([])
+                        seeds.append(grams(own, n).view(np.int64).tolist())
+                        need.append(0)
                         continue
                     step = passage // 2
                     for p, a in enumerate(range(0, max(1, len(own) - step), step)):
@@ -48,8 +56,9 @@ def _passages(n: int, passage: int):
                         parts.append(p)
                         words.append(some.view(np.int64).tolist())
                         seeds.append(np.unique(grams(some, n)).view(np.int64).tolist())
+                        need.append(min(2, len(seeds[-1])))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(parts, pa.int32()), pa.array(words, longs), pa.array(seeds, longs)], ["item_id", "part", "words", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(parts, pa.int32()), pa.array(words, longs), pa.array(seeds, longs), pa.array(need, pa.int32())], ["item_id", "part", "words", "grams", "need"])
 
     return run
 
@@ -64,8 +73,8 @@ def _spread(starts: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return g, whole
 
 
-def _windows(n: int, passage: int, seeds: Bitmap, wanted: Bitmap | None):
-    """Windows around seeds: their seeds, or, of those wanted, their words."""
+def _windows(n: int, passage: int, seeds: Bitmap, lone: Bitmap, wanted: Bitmap | None):
+    """Windows around at least two seeds, or one that is ``lone``: their seeds, or, of those wanted, their words."""
 
     def run(batches):
         reach, longs = passage + passage // 4, pa.list_(pa.int64())
@@ -83,7 +92,7 @@ def _windows(n: int, passage: int, seeds: Bitmap, wanted: Bitmap | None):
                 edge = [*np.flatnonzero(new).tolist(), len(at)]
                 for a, b in zip(edge, edge[1:]):
                     own = np.unique(g[at[a:b]])
-                    if len(own) > 1:
+                    if len(own) > 1 or lone.has(own).any():
                         k = int(doc[a])
                         lo, hi = max(int(starts[k]), int(at[a]) - reach), min(int(starts[k + 1]), int(at[b - 1]) + n + reach)
                         out.append((first + k, lo - int(starts[k]), own if wanted is None else hashes[lo:hi]))
@@ -98,6 +107,25 @@ def _windows(n: int, passage: int, seeds: Bitmap, wanted: Bitmap | None):
     return run
 
 
+def _whole(n: int):
+    """The keys of texts of fewer than ``n`` words."""
+
+    def run(batches):
+        for batch in batches:
+            rows, keys, sizes = [], [], []
+            for first, starts, hashes in word_chunks(batch.column(2)):
+                size = np.diff(starts)
+                for k in np.flatnonzero((size > 0) & (size < n)).tolist():
+                    rows.append(first + k)
+                    keys.append(grams(hashes[starts[k] : starts[k + 1]], n))
+                    sizes.append(int(size[k]))
+            at = pa.array(rows, pa.int64())
+            found = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found.view(np.int64)), pa.array(sizes, pa.int64())], ["doc_id", "fp", "gram", "end_word"])
+
+    return run
+
+
 def smith_waterman(seqs: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment scores (2, -1, -1) of pairs of word sequences, and where in the windows they end."""
     n, rows, width = len(seqs), max(map(len, seqs), default=0), max(map(len, windows), default=0)
@@ -147,19 +175,25 @@ def _align(least: float, cells: int):
 
 def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, fp, item_id, score, end_word) of each document row and item that align; ``fp`` is xxhash64 of the text."""
+    prepare(docs.sparkSession)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    parts = durable(tests.mapInArrow(_passages(n, passage), "item_id long, part int, words array<long>, grams array<long>").distinct())
-    seeds = durable(parts.select("item_id", "part", F.explode("grams").alias("gram")))
+    every = durable(tests.mapInArrow(_passages(n, passage), "item_id long, part int, words array<long>, grams array<long>, need int").distinct())
+    parts, tiny = every.where("need > 0"), every.where("need = 0")
+    seeds = durable(parts.select("item_id", "part", "need", F.explode("grams").alias("gram")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
 
-    seed_map, keyed = Bitmap(seeds, "gram", seeds.count()), rows.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    lone = seeds.where("need = 1")
+    seed_map, lone_map, keyed = Bitmap(seeds, "gram", seeds.count()), Bitmap(lone, "gram", lone.count()), rows.select("doc_id", F.xxhash64("text").alias("fp"), "text")
     schema = "wid long, doc_id long, fp long, at long, words array<long>"
-    hits = keyed.mapInArrow(_windows(n, passage, seed_map, None), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")
-    hits = durable(hits.groupBy("wid", "item_id", "part").agg(F.count_distinct("gram").alias("hits")).where("hits > 1").select("wid", "item_id", "part"))
-    found = keyed.mapInArrow(_windows(n, passage, seed_map, Bitmap(hits, "wid", hits.count())), schema).withColumnRenamed("words", "window")
+    hits = keyed.mapInArrow(_windows(n, passage, seed_map, lone_map, None), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")
+    hits = durable(hits.groupBy("wid", "item_id", "part").agg(F.count_distinct("gram").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("wid", "item_id", "part"))
+    found = keyed.mapInArrow(_windows(n, passage, seed_map, lone_map, Bitmap(hits, "wid", hits.count())), schema).withColumnRenamed("words", "window")
     pairs = hits.join(found, "wid").join(parts.select("item_id", "part", "words"), ["item_id", "part"])
     pairs = durable(pairs.select("doc_id", "fp", "item_id", "at", "words", "window"))  # a task then feeds one Python worker, not two
     aligned = pairs.mapInArrow(_align(least, 1 << 16), "doc_id long, fp long, item_id long, score double, end_word long")
+    if not tiny.isEmpty():
+        small = keyed.mapInArrow(_whole(n), "doc_id long, fp long, gram long, end_word long").join(tiny.select("item_id", F.col("grams")[0].alias("gram")), "gram")
+        aligned = aligned.unionAll(small.select("doc_id", "fp", "item_id", F.lit(1.0).alias("score"), "end_word"))
     return aligned.groupBy("doc_id", "fp", "item_id").agg(F.max(F.struct("score", "end_word")).alias("top")).select("doc_id", "fp", "item_id", "top.score", "top.end_word")
 
 

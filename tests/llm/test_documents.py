@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm import html_text, language, sharding, url_rules
-from codeloom.llm.decontaminate import decontaminate, matches, smith_waterman
+from codeloom.llm.decontaminate import decontaminate, matches, op1_decontaminate, smith_waterman
 
 EN = "the of and to in that is was for on are with they be at this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part"
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ihr jahre schon wenn können gegen vom kein jetzt alle immer unter gut"
@@ -40,6 +41,47 @@ def test_bundle_is_the_sum_of_bound_vectors():
     assert (got[0] == want).all() and has.tolist() == [True, False] and not got[1].any()
 
 
+def test_bundles_in_blocks(monkeypatch):
+    random.seed(6)
+    texts = [prose(EN, random.randint(0, 40)) for _ in range(30)]
+    whole, has = language.bundles(texts)
+    monkeypatch.setattr(language, "TEXTS", 7)
+    monkeypatch.setattr(language, "GRAMS", 5)
+    some, again = language.bundles(texts)
+    assert (whole == some).all() and (has == again).all() and language.bundles([])[0].shape == (0, language.DIM)
+
+
+def test_long_texts_of_many_letters_take_bounded_memory():
+    import subprocess
+    import sys
+
+    code = "import random, resource; from codeloom.llm.language import bundles; random.seed(1); t = ''.join(map(chr, random.choices(range(0x4E00, 0x9FA0), k=1_700_000))); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; bundles([t]); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 500  # MB, for 5 MB of text
+
+
+def test_query_predicts_by_the_nearest_prototype(spark, tmp_path):
+    """The query's own columns against a plain computation of prototypes and cosines."""
+    random.seed(13)
+    rows = [(k, prose(EN if k % 2 else DE, random.randint(3, 40)), "en" if k % 2 else "de") for k in range(60)] + [(70, None, "en"), (71, "12", None), (72, "Öl", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k, _, _ in rows}
+    sums = {}
+    for k, text, lang in rows:
+        if text and lang and not out[k]:
+            (v,), _ = language.bundles([text])
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    for r in language.op3_language(spark, str(tmp_path)).collect():
+        text = dict((k, t) for k, t, _ in rows)[r.doc_id]
+        assert r.held_out == out[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        (v,), _ = language.bundles([text])
+        cosine = {lang: float(v @ s / np.linalg.norm(v) / np.linalg.norm(s)) for lang, s in sums.items()}
+        assert r.lang_pred == max(sorted(cosine), key=cosine.get) and abs(r.score - max(0, max(cosine.values()))) < 1e-4
+
+
 def test_language_stage_rejects_noise(spark):
     random.seed(4)
     noise = lambda letters: " ".join("".join(random.choice(letters) for _ in range(6)) for _ in range(60))
@@ -66,18 +108,57 @@ def test_decontamination(spark):
             text[len(text) // 2 : len(text) // 2] = [w.upper() for w in words]
             planted.add((d, item))
         rows.append((d, " ".join(text), "s"))
-    rows += [(300, None, "s"), (301, "", "s"), (None, items[3][1], "s"), (302, "two words", "s")]
+    rows += [(300, None, "s"), (301, "", "s"), (None, items[3][1], "s"), (302, "Two  words", "s"), (303, "two words more", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, wid string").repartition(4)
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in matches(docs, tests).collect()}
-    want = planted | {(d, 102) for d, i in planted if i == 0} | {(None, 3)}
+    want = planted | {(d, 102) for d, i in planted if i == 0} | {(None, 3), (302, 101)}
     assert set(got) == want and all(0.6 <= s <= 1 for s in got.values())
     left = {r.doc_id for r in decontaminate(docs, tests).collect()}
-    assert left == {r[0] for r in rows if r[0] is not None} - {d for d, _ in planted}
+    assert left == {r[0] for r in rows if r[0] is not None} - {d for d, _ in planted} - {302}
     assert decontaminate(docs, tests).columns == docs.columns
     assert matches(docs, tests.limit(0)).count() == 0 and matches(docs.limit(0), tests).count() == 0
 
 
+def test_short_items(spark):
+    """Items of three words are found anywhere, of one and two where they are the whole document."""
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta delta delta"), (3, "two words"), (4, "one"), (5, "  "), (6, "beta gamma delta epsilon")], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "Alpha beta\ngamma"), (2, "x " * 90 + "alpha beta gamma" + " y" * 90), (3, "z delta delta delta z"), (4, " TWO  words "), (5, "one"), (6, "one more of the two words"), (7, "alpha beta"), (8, ""), (9, "one"), (10, "beta gamma delta epsilon")], "doc_id long, text string"
+    )
+    got = {(r.doc_id, r.item_id) for r in matches(docs, items).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (9, 4), (10, 6)}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """The query's own columns: every document against every item by the whole alignment."""
+    random.seed(21)
+    vocabulary = [f"v{k}" for k in range(150)]
+    items = [(k, " ".join(random.choice(vocabulary) for _ in range(random.choice([3, 9, 30, 60])))) for k in range(12)]
+    docs = []
+    for d in range(80):
+        text = [random.choice(vocabulary) for _ in range(random.randint(0, 120))]
+        if d % 3 == 0:
+            words = ["zz" if random.random() < 0.15 else w for w in items[d // 3 % 12][1].split()]
+            text[len(text) // 2 : len(text) // 2] = words
+        docs.append((d, " ".join(text)))
+    docs += [docs[0], (None, items[3][1]), (200, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    numbers = lambda t: np.array([int(w[1:]) if w != "zz" else -1 for w in t.split()])
+    want = {}
+    for d, text in docs:
+        for k, item in items:
+            if text and len(text.split()) > 2:
+                a, b = numbers(item), numbers(text)
+                (score,), (end,) = smith_waterman([a], [b])
+                shared = {tuple(a[x : x + 3]) for x in range(len(a) - 2)} & {tuple(b[x : x + 3]) for x in range(len(b) - 2)}
+                if score / (2 * len(a)) >= 0.6 and len(shared) >= min(2, len(a) - 2):
+                    want[(d, k)] = round(score / (2 * len(a)), 9)
+    got = {(r.doc_id, r.item_id): round(r.score, 9) for r in op1_decontaminate(spark, str(tmp_path)).collect()}
+    assert len(want) >= 15 and got == want
+
+
 def test_edited_copies(spark):
     """A copy alone in the corpus with 15 to 25 % of its words replaced is found if it aligns well enough."""
     random.seed(11)
@@ -212,4 +293,5 @@ def test_shards(spark):
     order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
     assert order != sorted(order)
     assert sharding.write_shards(docs.limit(3)).count() == 3 and sharding.write_shards(docs.limit(0)).count() == 0
-    assert spark.range(1).select(F.lit(1)).count() == 1
+    padded = sharding.write_shards(docs.withColumn("shard", F.lit("mine")).withColumn("__bucket", F.lit("x")))
+    assert padded.columns == ["doc_id", "text", "__bucket", "slot", "shard"] and {r.shard for r in padded.collect()} == set(range(8))
