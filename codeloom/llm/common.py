@@ -2,8 +2,8 @@
 intermediate results, and the vectorised text kernel.
 
 Intermediate results go to ``spark.checkpoint.dir`` (read from the session; a
-private folder is set only where the session has none, as in tests), so a lost
-executor never takes rows with it.
+private folder is set only where a local session has none, as in tests; on a cluster
+that is an error), so a lost executor never takes rows with it.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -52,10 +54,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read again (columnar, pruned, splittable)."""
+    return written(df, what)[0]
+
+
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """``stored``, with the table's folder."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return spark.read.schema(df.schema).parquet(where), where
+
+
+def discard(spark: SparkSession, where: str) -> None:
+    """Delete a table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -193,7 +206,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Null ends and self-links are ignored.
     """
     now = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    now = durable(now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    now, where = written(now.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
         # large star: a node's larger neighbours go to the smallest of its neighbourhood
@@ -205,9 +218,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         out = down.join(small, "u").select("u", "v", "m")
         new = out.select(F.col("m").alias("p"), F.col("v").alias("q")).unionAll(out.select(F.col("m").alias("p"), F.col("u").alias("q")))
-        new = durable(new.where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct())
+        new, there = written(new.where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v")).distinct(), "links")
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = new
+        discard(links.sparkSession, where)  # the next round reads the new table alone
+        now, where = new, there
         if tuple(seen) == mark:
             break
         mark = tuple(seen)

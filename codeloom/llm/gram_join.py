@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, components, durable, mix, overlap, shingle_sets, slices, stored, table
+from .common import Bitmap, components, durable, mix, overlap, prepare, shingle_sets, slices, stored, table
 
 _U = np.uint64
 WIDE = 16  # 64-bit words of the wide sketch
@@ -230,6 +230,7 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when ``den * intersection >= num * union``."""
+    prepare(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     members = stored(rows.mapInArrow(_members(n), "doc_id long, sid long, n_shingles long"), "gram-members")

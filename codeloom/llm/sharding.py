@@ -23,19 +23,20 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, shared_dir, table
+from .common import free_name, prepare, shared_dir, table
 
 
-def _second_pass(seed: int, starts: np.ndarray, cuts: np.ndarray, bucket: str, order: list[str]):
+def _second_pass(seed: int, starts: Broadcast, cuts: np.ndarray, bucket: str, order: list[str]):
     def run(group: pa.Table) -> pa.Table:
         b = group.column(bucket)[0].as_py()
         rows = group.take(pc.sort_indices(group, sort_keys=[(c, "ascending") for c in order])).drop_columns([bucket])
         rows = rows.take(pa.array(np.random.default_rng([seed, b]).permutation(rows.num_rows)))
-        at = starts[b] + np.arange(rows.num_rows)
+        at = starts.value[b] + np.arange(rows.num_rows)
         shard = np.searchsorted(cuts, at, side="right") - 1
         return rows.append_column("slot", pa.array(at - cuts[shard])).append_column("shard", pa.array(shard, pa.int32()))
 
@@ -45,6 +46,7 @@ def _second_pass(seed: int, starts: np.ndarray, cuts: np.ndarray, bucket: str, o
 def write_shards(docs: DataFrame, *, shards: int = 8, seed: int = 17, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` as ``shard=k`` folders, records in slot order; the returned DataFrame reads them."""
     spark = docs.sparkSession
+    prepare(spark)
     docs = docs.drop("shard", "slot")
     bucket = free_name(docs, "bucket")
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()[0] or 0
@@ -57,7 +59,7 @@ def write_shards(docs: DataFrame, *, shards: int = 8, seed: int = 17, bucket_byt
     cuts = np.array([k * rows // shards for k in range(shards)], dtype=np.int64)
     schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
     plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, text_col)]
-    shuffled = dealt.groupBy(bucket).applyInArrow(_second_pass(seed, starts, cuts, bucket, [id_col, text_col, *plain]), schema)
+    shuffled = dealt.groupBy(bucket).applyInArrow(_second_pass(seed, spark.sparkContext.broadcast(starts), cuts, bucket, [id_col, text_col, *plain]), schema)
     where = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     shuffled.write.partitionBy("shard").parquet(where)
     return spark.read.schema(schema).parquet(where)
