@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -279,6 +281,56 @@ def test_url_rules_of_few_pages(spark):
     assert got == set(range(8000, 8030))
 
 
+def mined_by_brute_force(baskets, least, confidence, lift):
+    """All token sets of labelled pages, counted; kept as the operator's docstring states."""
+    n = len(baskets)
+    counts, having = {}, {}
+    for tokens, block in baskets:
+        for size in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), size):
+                counts[some] = counts.get(some, 0) + 1
+                key = (some, "block" if block else "allow")
+                having[key] = having.get(key, 0) + 1
+    share = {"block": sum(b for _, b in baskets) / n}
+    share["allow"] = 1 - share["block"]
+    rules = {(some, verdict): (c / counts[some], c / counts[some] / share[verdict], c / n) for (some, verdict), c in having.items() if c >= least and c / counts[some] >= confidence and c / counts[some] / share[verdict] >= lift}
+    return {k: v for k, v in rules.items() if not any(o != k and o[1] == k[1] and set(o[0]) < set(k[0]) and w[0] >= v[0] for o, w in rules.items())}
+
+
+def test_url_query_against_a_brute_force_miner(spark, tmp_path):
+    random.seed(17)
+    bad = {"x.net": 0.9, "y.net": 0.1, "z.org": 0.5}
+    pages, labels = [], []
+    for k in range(600):
+        host, word, key = random.choice(list(bad)), random.choice(["a", "b", "c"]), random.choice(["", "?q=1", "?ref=2&q=3"])
+        pages.append((k, f"https://{host}/{word}/{k}{key}"))
+        if k % 3:
+            labels.append((k, int(random.random() >= (0.95 if word == "c" and host == "y.net" else bad[host])), 0))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def tokens(url):
+        rest = url.split("://")[1]
+        host, path = rest.split("?")[0].split("/", 1)
+        words = {f"h={x}" for x in host.split(".")} | {"p=" + re.sub(r"\d+", "#", x) for x in path.split("/")}
+        return words | {"q=" + x.split("=")[0] for x in (rest.split("?")[1].split("&") if "?" in rest else [])}
+
+    quality = {d: q for d, q, _ in labels}
+    rules = mined_by_brute_force([(tokens(u), quality[k] == 0) for k, u in pages if k in quality], 30, 0.6, 1.05)
+    assert {v for _, v in rules} == {"allow", "block"}
+    stated = {"z.org": ("org/", "allow")}
+    decided = 0
+    for r in url_rules.op7_url_rules(spark, str(tmp_path)).collect():
+        url = dict(pages)[r.page_id]
+        fits = [((round(w[1], 9), round(w[0], 9), w[2], v, list(some)), v) for (some, v), w in rules.items() if set(some) <= tokens(url)]
+        rule, verdict = stated.get(r.host, (None, max(fits)[1] if fits else "allow"))
+        assert (r.rule, r.verdict, r.mined) == (rule, verdict, bool(fits)), url
+        decided += rule is None and bool(fits)
+    assert decided > 200
+    seen = {r.verdict: r for r in url_rules.held_out_precision(*(spark.read.parquet(str(tmp_path / f"{x}.parquet")) for x in ("pages", "labels")), min_count=15).collect()}
+    assert seen["block"].right / seen["block"].pages > 0.7 > seen["block"].share
+
+
 def test_shards(spark):
     rows = [(k, f"text {k % 40}" * (k % 5), k) for k in range(203)] + [(None, None, 1), (7, "text 7", 2), (7, "text 7", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3)
