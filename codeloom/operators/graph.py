@@ -7,19 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTRY_WORDS = ("config", "readme", "license", "package", "setup", "layout", "page", "route", ".d.ts")
-
+from .resolve import module_map, resolve_target
+from .steps import kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut the plan of a loop's state: to the checkpoint folder where the session has one, else in memory."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint(eager=True)
-    out = df.cache()
-    out.count()
-    return out
+# Words of configuration and entry file names.
+ENTRY_WORDS = ("config", "readme", "license", "package", "setup", "layout", "page", "route", ".d.ts")
 
 
 def internal_edges(edges: DataFrame, repository_id: int | None = None) -> DataFrame:
@@ -158,34 +150,36 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return now
 
 
-def cycles(edges: DataFrame, longest: int = 6, most: int | None = 5) -> DataFrame:
-    """(nodes, length) of simple directed cycles of at most ``longest`` nodes, each once, from its smallest node.
+def cycles(edges: DataFrame, most: int | None = 5, *, longest: int | None = None) -> DataFrame:
+    """(nodes, length) of simple directed cycles, each once, from its smallest node.
 
-    The reference's order of cycles is open; here the shortest come first, then by
-    nodes, and ``most`` are reported. Paths grow within the cyclic core only, over nodes
-    larger than their first.
+    The order of cycles is open; here the shortest come first, then by nodes, and
+    ``most`` are reported (None: all). Paths grow within the cyclic core only, over nodes
+    larger than their first, and stop once the shorter cycles are enough or no path is
+    left; there is no longest cycle unless ``longest`` asks for one.
     """
     core = cyclic_core(edges)
     links = core.select(F.col("src").alias("s"), F.col("dst").alias("d"))
     paths = core.where("dst >= src").select(F.array("src").alias("nodes"), F.col("dst").alias("next"))
-    found = paths.where("next = nodes[0]").select("nodes")
+    found, n, length = paths.where("next = nodes[0]").select("nodes"), 0, 1
+    n = found.count()
     paths = paths.where("next <> nodes[0]")
-    for _ in range(2, longest + 1):
+    while (most is None or n < most) and (longest is None or length < longest):
         paths = paths.select(F.concat("nodes", F.array("next")).alias("nodes"), F.col("next").alias("at"))
-        paths = paths.join(links, paths.at == links.s).where("d >= nodes[0]").select("nodes", F.col("d").alias("next"))
-        paths = kept(paths)
-        found = found.unionAll(paths.where("next = nodes[0]").select("nodes"))
-        paths = paths.where("not array_contains(nodes, next)")
+        paths = kept(paths.join(links, paths.at == links.s).where("d = nodes[0] or d > nodes[0] and not array_contains(nodes, d)").select("nodes", F.col("d").alias("next")))
+        closed = paths.where("next = nodes[0]").select("nodes")
+        found, n, length = found.unionAll(closed), n + closed.count(), length + 1
+        paths = paths.where("next <> nodes[0]")
         if paths.isEmpty():
             break
     out = found.select("nodes", F.size("nodes").alias("length")).orderBy("length", "nodes")
     return out if most is None else out.limit(most)
 
 
-def health(edges: DataFrame, files: DataFrame, longest: int = 6) -> DataFrame:
+def health(edges: DataFrame, files: DataFrame) -> DataFrame:
     """One row: cycles (five at most), hubs, high hubs, orphans, modularity, score and grade."""
     counts = {
-        "cycles": cycles(edges, longest).agg(F.count("*")),
+        "cycles": cycles(edges, 5).agg(F.count("*")),
         "hubs": hubs(edges, files).agg(F.count("*")),
         "high_hubs": hubs(edges, files).agg(F.count_if(F.col("risk_level") == "High")),
         "orphans": orphans(edges, files).agg(F.count("*")),
@@ -197,6 +191,92 @@ def health(edges: DataFrame, files: DataFrame, longest: int = 6) -> DataFrame:
     return one.withColumn("score", score.cast("long")).withColumn("grade", grade(F.col("score")))
 
 
+def health_cycles(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(cycle, length) of the five cycles that ``health`` counts, as paths, ``file_`` and the id where a path is unknown."""
+    top = cycles(edges, 5).withColumn("k", F.monotonically_increasing_id())
+    at = top.select("k", "length", F.posexplode("nodes").alias("at", "id")).join(files.select("id", "path"), "id", "left")
+    name = F.coalesce("path", F.concat(F.lit("file_"), F.col("id").cast("string")))
+    return at.groupBy("k", "length").agg(F.array_sort(F.collect_list(F.struct("at", name.alias("name")))).alias("c")).select(F.transform("c", lambda x: x["name"]).alias("cycle"), "length")
+
+
+def whole_number(value, default: int, least: int) -> int:
+    """A loosely typed number as an int; what isn't one is the default, what is too small the least."""
+    try:
+        return max(least, int(value))
+    except (TypeError, ValueError):
+        return default
+
+
+def truth(value) -> bool:
+    """A loosely typed flag: true, a number other than 0, or a word for yes."""
+    return value.strip().lower() in ("true", "1", "yes", "y", "on") if isinstance(value, str) else bool(value)
+
+
+def dependencies(edges: DataFrame, files: DataFrame, target: str, depth=1) -> DataFrame:
+    """(node_id, node_path, depth, direction, id, path, dist): what the file that ``target`` names depends on (``out``) and what depends on it (``in``).
+
+    A depth that is no number is 1, a negative one 0. Where nothing is within reach, one
+    row has the file and nulls; where the target names no file, one row has the depth alone.
+    """
+    depth = whole_number(depth, 1, 0)
+    root = resolve_target(files, target)
+    near = closures(edges, root.select(F.col("id").alias("root")), depth).join(files.select(F.col("id").alias("node"), "path"), "node", "left")
+    near = near.select("direction", F.col("node").alias("id"), F.coalesce("path", F.concat(F.lit("#"), F.col("node").cast("string"))).alias("path"), "dist")
+    head = edges.sparkSession.range(1).select(F.lit(depth).alias("depth")).join(root.select(F.col("id").alias("node_id"), F.col("path").alias("node_path")), F.lit(True), "left")
+    return head.join(near, F.col("node_id").isNotNull(), "left").select("node_id", "node_path", "depth", "direction", "id", "path", "dist")
+
+
+def architecture(edges: DataFrame, files: DataFrame, target: str | None = None, *, top_k=10, radius=2) -> DataFrame:
+    """(scope, focus_path, part, position, name, value, other) of a map of a repository (edges of file ids, files with repository_id).
+
+    ``part`` is ``module`` (name, number of files), ``key_file`` (path, centrality in the
+    whole graph) or ``edge`` (source, target as ``other``). A target makes it the map of the
+    files within ``radius`` undirected hops; one that names no file gives an empty map.
+    """
+    top_k, radius, target = whole_number(top_k, 10, 1), whole_number(radius, 2, 0), (target or "").strip()
+    if target:
+        root = kept(resolve_target(files, target))
+        nodes = kept(ball(edges, root.select(F.col("id").alias("root")), radius).select("node").distinct())
+        inside, scope, focus = induced(edges, nodes), "file", root.select("path").scalar()
+    else:
+        nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(files.select("id")).distinct()
+        inside, scope, focus = edges.select("src", "dst").distinct(), "whole", F.lit(None).cast("string")
+    known = nodes.select(F.col("node").alias("id"))
+    modules = module_map(files, only=known).select(F.lit("module").alias("part"), F.lit(None).cast("long").alias("position"), F.col("module").alias("name"), F.col("files").cast("double").alias("value"), F.lit(None).cast("string").alias("other"))
+    central = centrality(edges, files).join(known, "id", "left_semi").orderBy(F.desc("centrality"), F.asc_nulls_last("path"), "id").limit(top_k)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("centrality")).alias("c"), F.coalesce("path", F.concat(F.lit("#"), F.col("id").cast("string"))).alias("path"))))
+    keys = central.agg(order.alias("k")).select(F.posexplode("k").alias("at", "k")).select(F.lit("key_file").alias("part"), (F.col("at") + 1).cast("long").alias("position"), F.col("k.path").alias("name"), (-F.col("k.c")).alias("value"), F.lit(None).cast("string").alias("other"))  # top_k rows
+    links = edge_views(inside, files).select(F.lit("edge").alias("part"), F.lit(None).cast("long").alias("position"), F.col("source").alias("name"), F.lit(None).cast("double").alias("value"), F.col("target").alias("other"))
+    return modules.unionAll(keys).unionAll(links).select(F.lit(scope).alias("scope"), focus.alias("focus_path"), "part", "position", "name", "value", "other")
+
+
+def viewer_nodes(edges: DataFrame, files: DataFrame, target: str | None = None, *, depth=1) -> DataFrame:
+    """(id, path, language, loc, in_degree, out_degree) of a graph for viewers: all files, or those within ``depth`` hops either way of the one ``target`` names."""
+    chosen = files
+    if (target or "").strip():
+        root = kept(resolve_target(files, target).select(F.col("id").alias("root")))
+        near = closures(edges, root, whole_number(depth, 1, 0)).select(F.col("node").alias("id")).union(root.select("root")).distinct()
+        chosen = files.join(near, "id", "left_semi")
+    return chosen.select("id", "path", "language", "loc").join(degrees(edges, files).select("id", "in_degree", "out_degree"), "id")
+
+
+def edges_of(edges: DataFrame, files: DataFrame, parts: list[str], part: str = "subsystem") -> DataFrame:
+    """Edges with at least one end in a file whose column ``part`` is among ``parts``."""
+    chosen = files.where(F.col(part).isin(*parts)).select("id")
+    a = edges.select("src", "dst").join(chosen.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+    return a.union(edges.select("src", "dst").join(chosen.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
+
+
+def dependents(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, path) of the files that some edge leaves."""
+    return files.join(edges.select(F.col("src").alias("id")), "id", "left_semi").select("id", "path")
+
+
+def endpoints(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(id) of every node: ends of edges and files."""
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(files.select("id")).distinct()
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A+").when(score >= 80, "A").when(score >= 70, "B").when(score >= 60, "C").otherwise("D")
 

@@ -9,34 +9,6 @@ from pyspark.sql import functions as F
 
 from . import graph, stats, text
 
-# Search words and the shorter forms that names use.
-ALIASES = {"authentication": "auth", "authorization": "auth", "database": "db", "configuration": "config", "repository": "repo", "middleware": "middle"}
-REPO_WIDE = frozenset(("", ".", "repository_root", "repo", "all", "root", "*", "whole_repo"))
-
-
-def search_terms(query: str) -> list[str]:
-    """The query, its alias, then its words of three letters and more (aliased), each once."""
-    import re
-
-    query = query.strip()
-    words = [w for w in re.findall(r"[A-Za-z0-9_]+", query) if len(w) >= 3]
-    return list(dict.fromkeys([query, ALIASES.get(query.lower(), query), *(ALIASES.get(w.lower(), w) for w in words)]))
-
-
-def fallback_search(files: DataFrame, query: str, enough: int = 25) -> DataFrame:
-    """(term, rank, id, path): hits of the query; where it has none, of its alias and words in turn, until ``enough``.
-
-    All terms are met in one pass; which of them count follows from their numbers of hits.
-    """
-    terms = search_terms(query)
-    hits = reduce(DataFrame.unionAll, [files.where(text.contains_folded(F.col("path"), t)).select(F.lit(t).alias("term"), F.lit(k).alias("rank"), "id", "path") for k, t in enumerate(terms)])
-    counts = hits.groupBy("rank").agg(F.count("*").alias("n"))
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # a row per term of the query
-    earlier = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("direct", F.min("rank").over(Window.partitionBy()) == 0)
-    used = earlier.where((F.col("direct") & (F.col("rank") == 0)) | (~F.col("direct") & (F.col("earlier") < enough)))
-    return hits.join(F.broadcast(used.select("rank")), "rank").select("term", "rank", "id", "path")
-
-
 def file_detail(files: DataFrame, symbols: DataFrame, edges: DataFrame, target: DataFrame) -> DataFrame:
     """(id, path, symbols, imports, referenced_by) of the files in ``target`` (column id); edges are (src, dst, label, source_type)."""
     chosen = files.join(target.select("id"), "id", "left_semi")
@@ -48,12 +20,18 @@ def file_detail(files: DataFrame, symbols: DataFrame, edges: DataFrame, target:
     return chosen.select("id", "path").join(s, "id", "left").join(i, "id", "left").join(r, "id", "left")
 
 
-def layout(edges: DataFrame, files: DataFrame, part: str = "subsystem") -> DataFrame:
-    """(id, part, x, y, r): parts in a grid, files of a part in a spiral around its most imported."""
+def cluster_order(edges: DataFrame, files: DataFrame, part: str = "subsystem") -> DataFrame:
+    """(id, part, loc, in_degree, k): the files of each part, the most imported first, from 0."""
     d = graph.degrees(edges, files).select("id", "in_degree")
     nodes = files.select("id", "loc", F.col(part).alias("part")).join(d, "id")
+    return nodes.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("in_degree"), "id")) - 1)
+
+
+def layout(edges: DataFrame, files: DataFrame, part: str = "subsystem") -> DataFrame:
+    """(id, part, x, y, r): parts in a grid, files of a part in a spiral around its most imported."""
+    nodes = cluster_order(edges, files, part)
     parts = nodes.select("part").distinct().withColumn("g", F.row_number().over(Window.orderBy("part")) - 1).withColumn("parts", F.count("*").over(Window.partitionBy()))  # a row per part
-    placed = nodes.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("in_degree"), "id")) - 1).join(parts, "part")
+    placed = nodes.join(parts, "part")
     cols = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("parts") * 1.25)))
     cx = F.pmod(F.col("g"), cols) * 320 - cols * 320 / 2 + 160
     cy = F.floor(F.col("g") / cols) * 270 - F.ceil(F.col("parts") / cols) * 270 / 2 + 135
@@ -70,33 +48,74 @@ def hulls(positions: DataFrame, padding: float = 45.0) -> DataFrame:
 
 
 def mermaid(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(line_no, line): the edges as Mermaid flow chart lines; lines are numbered within an edge source, no text is held whole."""
+    """(src, dst, line): the edges as Mermaid flow chart lines, in order of both ids."""
     views = graph.edge_views(edges, files)
     name = lambda c: F.regexp_replace(c, "[^a-zA-Z0-9]", "_")
     return views.select("src", "dst", F.concat(F.lit("    "), name("source"), F.lit('["'), "source", F.lit('"] --> '), name("target"), F.lit('["'), "target", F.lit('"]')).alias("line"))
 
 
-def report(repositories: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repository_id, section, position, line): the lines of every repository's report, in order of section and position."""
+EXCERPT = 3000
+
+
+def report(repositories: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, *, contents: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(repository_id, section, position, line): the lines of every repository's report, in order of section and position.
+
+    Sections: 1 scale, 2 languages, 3 key files, 4 endpoints with the methods that their
+    sources (``contents``: id, content) export, 5 subsystems, 6 the overview document
+    (``documents``: repository_id, path, content). Tables begin with two head lines; a
+    section without rows has none. Centrality is that of a repository's own edges.
+    """
+
+    def section(k: int, rows: DataFrame, head: list[str]) -> DataFrame:
+        """The lines of ``rows`` (repository_id, position, line) after ``head``, for repositories that have any."""
+        body = rows.select("repository_id", F.lit(k).alias("section"), (F.col("position") + len(head)).cast("int").alias("position"), "line")
+        if not head:
+            return body
+        top = rows.select("repository_id").distinct().select("repository_id", F.lit(k).alias("section"), F.posexplode(F.array(*map(F.lit, head))).alias("at", "line"))
+        return top.select("repository_id", "section", (F.col("at") + 1).alias("position"), "line").unionAll(body)
+
     per = stats.repository_stats(repositories, files, symbols)
+    routes = files.where(stats.is_route(F.col("path"))).withColumn("endpoint", stats.endpoint(F.col("path")))
+    routes = routes.join(contents.select("id", "content"), "id", "left") if contents is not None else routes.withColumn("content", F.lit(None).cast("string"))
+    found = routes.groupBy("repository_id").agg(F.count("*").alias("routes"))
+    per = per.join(found, per.id == found.repository_id, "left").drop("repository_id")
     head = per.select(
         F.col("id").alias("repository_id"), F.lit(1).alias("section"),
         F.posexplode(F.array(
-            F.concat(F.lit("# Architecture Report: "), "name"), F.concat(F.lit("- **Total Lines of Code (LOC):** "), F.format_number("total_loc", 0)),
-            F.concat(F.lit("- **Indexed Source Files:** "), F.format_number("file_count", 0)), F.concat(F.lit("- **Parsed Symbols:** "), F.format_number("symbol_count", 0)),
-        )).alias("position", "line"),
-    )
+            F.concat(F.lit("# Architecture Report: "), "name"), F.concat(F.lit("- **Total Lines of Code (LOC):** "), stats.thousands(F.col("total_loc"))), F.concat(F.lit("- **Indexed Source Files:** "), stats.thousands(F.col("file_count"))),
+            F.concat(F.lit("- **Parsed Symbols:** "), stats.thousands(F.col("symbol_count"))), F.concat(F.lit("- **API Endpoints:** "), F.coalesce("routes", F.lit(0)).cast("string")),
+        )).alias("at", "line"),
+    ).select("repository_id", "section", (F.col("at") + 1).alias("position"), "line")
+
     langs = files.groupBy("repository_id", F.coalesce("language", F.lit("other")).alias("language")).agg(F.sum("loc").alias("loc"))
     total = F.sum("loc").over(Window.partitionBy("repository_id"))
-    share = F.when(total > 0, F.round(F.col("loc") / total * 100, 1)).otherwise(0.0)
-    langs = langs.withColumn("share", share).withColumn("position", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("loc"), "language")))
+    langs = langs.withColumn("share", stats.percent(F.col("loc"), total)).withColumn("position", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("loc"), "language")))
     label = F.concat(F.upper(F.left("language", F.lit(1))), F.lower(F.substr("language", F.lit(2))))
-    languages = langs.select("repository_id", F.lit(2).alias("section"), "position", F.concat(F.lit("| **"), label, F.lit("** | "), F.format_number("loc", 0), F.lit(" | "), F.format_string("%.1f", "share"), F.lit("% |")).alias("line"))
-    central = graph.centrality(edges, files).join(files.select("id", "repository_id"), "id")
+    languages = langs.select("repository_id", "position", F.concat(F.lit("| **"), label, F.lit("** | "), stats.thousands(F.col("loc")), F.lit(" | "), "share", F.lit("% |")).alias("line"))
+
+    home = files.select("id", "repository_id")
+    links = edges.select("src", "dst").distinct().join(home.toDF("src", "a"), "src").join(home.toDF("dst", "b"), "dst").where("a = b")
+    nodes = links.select("a", F.col("src").alias("id")).union(links.select("a", "dst")).distinct().groupBy(F.col("a").alias("repository_id")).agg(F.count("*").alias("nodes"))
+    ins = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    central = files.select("repository_id", "id", "path").join(ins, "id", "left").join(nodes, "repository_id", "left").select("repository_id", "id", "path", F.when(F.col("nodes") == 1, 1.0).otherwise(F.coalesce(F.col("n") / (F.col("nodes") - 1), F.lit(0.0))).alias("centrality"))
     order = Window.partitionBy("repository_id").orderBy(F.desc("centrality"), "path", "id")
     top = central.withColumn("position", F.row_number().over(order)).where("position <= 10")
-    keys = top.select("repository_id", F.lit(3).alias("section"), "position", F.concat(F.lit("| #"), F.col("position").cast("string"), F.lit(" | `"), "path", F.lit("` | "), F.format_string("%.3f", "centrality"), F.lit(" | "), stats.role(F.col("path")), F.lit(" |")).alias("line"))
-    routes = files.where(F.contains("path", F.lit("route.")) | F.contains("path", F.lit("/api/"))).withColumn("endpoint", stats.endpoint(F.col("path")))
-    routes = routes.withColumn("position", F.row_number().over(Window.partitionBy("repository_id").orderBy("endpoint", "path")))
-    ends = routes.select("repository_id", F.lit(4).alias("section"), "position", F.concat(F.lit("| `"), "endpoint", F.lit("` | `"), "path", F.lit("` |")).alias("line"))
-    return head.unionAll(languages).unionAll(keys).unionAll(ends)
+    keys = top.select("repository_id", "position", F.concat(F.lit("| #"), F.col("position").cast("string"), F.lit(" | `"), "path", F.lit("` | "), F.format_string("%.3f", F.round("centrality", 3)), F.lit(" | "), stats.role(F.col("path")), F.lit(" |")).alias("line"))
+
+    routes = routes.withColumn("position", F.row_number().over(Window.partitionBy("repository_id").orderBy("endpoint", "path", "id")))
+    methods = F.array_join(F.transform(F.split(stats.route_methods(F.coalesce("content", F.lit(""))), ", "), lambda m: F.concat(F.lit("`"), m, F.lit("`"))), ", ")
+    ends = routes.select("repository_id", "position", F.concat(F.lit("| `"), "endpoint", F.lit("` | "), methods, F.lit(" | `"), "path", F.lit("` |")).alias("line"))
+
+    flags = stats.subsystem_flags(files, "repository_id")
+    named = F.filter(F.array(*(F.when(F.col(c), F.lit(t)) for c, t in (("has_auth", "### Authentication & Access Control"), ("has_db", "### Database & Persistence Layer"), ("has_email", "### Background & Integration Services")))), lambda x: x.isNotNull())
+    parts = flags.select("repository_id", F.posexplode(named).alias("at", "line")).select("repository_id", (F.col("at") + 1).alias("position"), "line")
+
+    out = head.unionAll(section(2, languages, ["| Language | Lines of Code | Share (%) |", "| :--- | :--- | :--- |"]))
+    out = out.unionAll(section(3, keys, ["| Rank | File Path | Centrality Score | Role in Architecture |", "| :--- | :--- | :--- | :--- |"]))
+    out = out.unionAll(section(4, ends, ["| HTTP Endpoint | Methods | Source File |", "| :--- | :--- | :--- |"])).unionAll(section(5, parts, []))
+    if documents is not None:
+        best = stats.overview_document(documents.select("repository_id", "path", "content"), "repository_id").where("content <> ''")
+        note = F.when(F.length("content") > EXCERPT, F.concat(F.left("content", F.lit(EXCERPT)), F.lit("\n\n*(Excerpt truncated for report summary)*"))).otherwise(F.col("content"))
+        lines = best.select("repository_id", F.posexplode(F.array(F.concat(F.lit("## Documentation & Package Overview (`"), "path", F.lit("`)")), note)).alias("at", "line"))
+        out = out.unionAll(section(6, lines.select("repository_id", (F.col("at") + 1).alias("position"), "line"), []))
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Suffixes tried in order for relative and for aliased imports.
 SOURCE_SUFFIXES = [".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ""]
 ALIAS_SUFFIXES = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", ".py", ""]
 
@@ -30,16 +31,17 @@ def resolve_target(files: DataFrame, target: str) -> DataFrame:
 
 
 def resolve_detail(files: DataFrame, target: str) -> DataFrame:
-    """(id, path, level) of the file that a loose path names: exact, suffix, main file of a directory, then substring."""
-    import re
+    """(id, path, level) of the file that a loose path names: exact, suffix, main or else largest file of a directory, then substring.
 
-    clean = re.sub(r":\d+(?:[-:]\d+)?$", "", (target or "").strip().replace("\\", "/")).rstrip("/")
+    What follows the first ``:`` is no part of the path. Of several files on a level the
+    first by path is taken; an empty path names none.
+    """
+    clean = (target or "").strip().replace("\\", "/").split(":")[0].strip().rstrip("/")
     if not clean:
         return files.limit(0).select("id", "path", F.lit(0).alias("level"))
     path = F.col("path")
     main = F.when(F.endswith(path, F.lit("__init__.py")) | F.endswith(path, F.lit("index.ts")) | F.endswith(path, F.lit("app.py")) | F.endswith(path, F.lit("main.py")), 0).otherwise(1)
-    inside = F.startswith(path, F.lit(clean + "/")) | F.contains(path, F.lit("/" + clean + "/"))
-    level = F.when(path == clean, 1).when(F.endswith(path, F.lit("/" + clean)), 2).when(inside, 3).when(F.contains(path, F.lit(clean)), 4)
+    level = F.when(path == clean, 1).when(F.endswith(path, F.lit(clean)), 2).when(F.startswith(path, F.lit(clean + "/")), 3).when(F.contains(path, F.lit(clean)), 4)
     ranked = files.select("id", "path", "loc", level.alias("level"), main.alias("main")).where("level is not null")
     order = [F.col("level"), F.when(F.col("level") == 3, F.col("main")).otherwise(0), F.when(F.col("level") == 3, -F.coalesce("loc", F.lit(0))).otherwise(0), path]
     return ranked.orderBy(*order).limit(1).select("id", "path", "level")
@@ -72,9 +74,11 @@ def importable_names(files: DataFrame) -> DataFrame:
     # every directory from the first package down to the file's own is a package
     chain = (F.col("last") >= last) & (F.col("n") == F.col("last") - F.col("first") + 1)
     name = F.when(F.col("first").isNotNull() & chain, F.array_join(F.slice("d", F.col("first") + 1, F.size("d")), "."))
-    ranked = named.withColumn("name", name)
+    ranked = named.select("repository_id", "id", "path", name.alias("name"))
+    # files without a name, which may be most, are not ranked with each other
     first = F.row_number().over(Window.partitionBy("repository_id", "name").orderBy("path"))
-    return ranked.select("repository_id", "id", "path", F.when(F.col("name").isNotNull() & (first == 1), F.col("name")).alias("name"))
+    own = ranked.where("name is not null").select("repository_id", "id", "path", F.when(first == 1, F.col("name")).alias("name"))
+    return own.unionAll(ranked.where("name is null"))
 
 
 def enclosing_modules(files: DataFrame) -> DataFrame:
@@ -84,8 +88,12 @@ def enclosing_modules(files: DataFrame) -> DataFrame:
     return files.select("repository_id", "id").join(found, "id", "left").select("repository_id", "id", F.coalesce("module", F.lit("")).alias("module"))
 
 
-def module_map(files: DataFrame) -> DataFrame:
-    return enclosing_modules(files).groupBy("repository_id", "module").agg(F.count("*").alias("files")).orderBy("repository_id", F.desc("files"), "module")
+def module_map(files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(repository_id, module, files), of the files in ``only`` (column id) if given; packages are those of all files."""
+    found = enclosing_modules(files)
+    if only is not None:
+        found = found.join(only, "id", "left_semi")
+    return found.groupBy("repository_id", "module").agg(F.count("*").alias("files")).orderBy("repository_id", F.desc("files"), "module")
 
 
 def _candidates(imports: DataFrame) -> DataFrame:

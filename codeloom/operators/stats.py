@@ -16,6 +16,11 @@ def repository_stats(repositories: DataFrame, files: DataFrame, symbols: DataFra
     return out.fillna(0, ["file_count", "total_loc", "symbol_count"])
 
 
+def of_repository(df: DataFrame, repository_id: int | None = None) -> DataFrame:
+    """The rows of one repository; of all without an id."""
+    return df if repository_id is None else df.where(F.col("repository_id") == repository_id)
+
+
 def language_share(files: DataFrame) -> DataFrame:
     """(language, files, loc, share): the share of all lines in percent, largest first."""
     per = files.groupBy(F.coalesce("language", F.lit("other")).alias("language")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
@@ -72,6 +77,40 @@ def overview_document(documents: DataFrame, *keys: str) -> DataFrame:
     return documents.groupBy(*keys).agg(best.alias("d")).select("d.*")
 
 
+def document_rank(path: Column) -> Column:
+    """The order of documents: readmes, package files, contributing guides, others."""
+    low = F.lower(path)
+    return F.when(F.contains(low, F.lit("readme")), 0).when(F.contains(low, F.lit("package")) | F.contains(low, F.lit("pyproject")), 1).when(F.contains(low, F.lit("contributing")), 2).otherwise(3)
+
+
+def document_order(documents: DataFrame, *keys: str) -> DataFrame:
+    """Documents with their place (of each ``keys``) by rank and path."""
+    order = Window.partitionBy(*keys).orderBy(document_rank(F.col("path")), F.lower("path"), "path")
+    return documents.withColumn("place", F.row_number().over(order))
+
+
+def is_route(path: Column) -> Column:
+    return F.contains(path, F.lit("route.")) | F.contains(path, F.lit("/api/"))
+
+
+def location(cite: Column) -> tuple[Column, Column, Column]:
+    """(path, first, last) of a cite such as ``a/b.py:3-9``; the last line is the first where only one is named, both null where none is."""
+    span = r":(\d+)(?:[-:](\d+))?$"
+    number = lambda k: F.regexp_extract(cite, span, k)
+    first = F.when(number(1) != "", number(1).cast("long"))
+    return strip_location(cite), first, F.when(number(2) != "", number(2).cast("long")).otherwise(first)
+
+
+def loose_number(value: Column, default: int, least: int) -> Column:
+    """A loosely typed number: what isn't one is the default, what is too small the least."""
+    return F.greatest(F.lit(least), F.coalesce(F.trim(value.cast("string")).try_cast("int"), F.lit(default)))
+
+
+def loose_flag(value: Column) -> Column:
+    """A loosely typed flag: a word for yes."""
+    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "1", "yes", "y", "on"), F.lit(False))
+
+
 def any_word(path: Column, *words: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(path), F.lit(w)) for w in words])
 
@@ -109,8 +148,9 @@ def route_methods(content: Column) -> Column:
 
 
 def github_owner(url: Column) -> tuple[Column, Column]:
-    pattern = r"github\.com[:/]([^/]+)/([^/.]+)"
-    return F.regexp_extract(url, pattern, 1), F.regexp_extract(url, pattern, 2)
+    """(owner, name) of a GitHub address, a closing ``.git`` left out; empty where there is none."""
+    pattern = r"github\.com[/:]([a-zA-Z0-9_.\-]+)/([a-zA-Z0-9_.\-]+?)(?:\.git)?$"
+    return F.regexp_extract(F.trim(url), pattern, 1), F.regexp_extract(F.trim(url), pattern, 2)
 
 
 def safe_name(name: Column) -> Column:
@@ -130,6 +170,15 @@ def capped(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(" …"))).otherwise(text)
 
 
+def thousands(number: Column) -> Column:
+    return F.format_number(number, 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """A share with one decimal; 0.0 of nothing."""
+    return F.format_string("%.1f", F.round(F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0)), 1))
+
+
 def line_range(first: Column, last: Column) -> Column:
     return F.when((last.isNull()) | (last == first), F.concat(F.lit("L"), first.cast("string"))).otherwise(F.concat(F.lit("L"), first.cast("string"), F.lit("-"), last.cast("string")))
 

@@ -56,21 +56,41 @@ def search_lines(lines: DataFrame, query: str, *, regex: bool = False, cap: int
     return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n").orderBy("path", "line").limit(cap)
 
 
-def references(lines: DataFrame, symbols: DataFrame, *, cap: int = 50) -> DataFrame:
-    """(symbol_id, file_id, path, line) of whole-word uses of symbol names, without the definition line.
-
-    Lines are cut into words once and joined with the names, so the scan doesn't
-    grow with the number of symbols. A symbol takes ``cap`` lines of a file, its own
-    line among them, and ``cap`` in all.
+def references(lines: DataFrame, symbols: DataFrame, *, cap: int | None = 50) -> DataFrame:
+    """(symbol_id, name, file_id, path, line) of whole-word uses of symbol names, without the definition line.
+
+    Lines are cut into words once, and only words that are a name go on, so the scan
+    doesn't grow with the number of symbols. Caps hold for names before symbols come in,
+    so a name that many symbols share is not multiplied by all its lines: a symbol takes
+    ``cap`` lines of a file, its own line among them, and ``cap`` in all, which are among
+    the first ``cap + 1`` of its name. Spark caps the rows of a name in each task first.
     """
     names = symbols.select(F.col("id").alias("symbol_id"), "name", F.col("path").alias("own_path"), F.col("line_start").alias("own_line"))
     words = lines.select("file_id", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("name"))
-    found = words.join(names, "name")
-    per_file = Window.partitionBy("symbol_id", "path").orderBy("line")
-    found = found.withColumn("__n", F.row_number().over(per_file)).where(F.col("__n") <= cap)
-    found = found.where(~((F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))))
-    over_all = Window.partitionBy("symbol_id").orderBy("path", "line")
-    return found.withColumn("__n", F.row_number().over(over_all)).where(F.col("__n") <= cap).select("symbol_id", "name", "file_id", "path", "line")
+    found = words.join(names.select("name").distinct(), "name", "left_semi")
+    if cap is not None:
+        per_file, per_name = Window.partitionBy("name", "path").orderBy("line"), Window.partitionBy("name").orderBy("path", "line")
+        found = found.withColumn("__n", F.row_number().over(per_file)).where(F.col("__n") <= cap)
+        found = found.withColumn("__n", F.row_number().over(per_name)).where(F.col("__n") <= cap + 1)
+    found = found.join(names, "name").where(~((F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))))
+    if cap is not None:
+        over_all = Window.partitionBy("symbol_id").orderBy("path", "line")
+        found = found.withColumn("__n", F.row_number().over(over_all)).where(F.col("__n") <= cap)
+    return found.select("symbol_id", "name", "file_id", "path", "line")
+
+
+def reference_tallies(symbols: DataFrame, hits: DataFrame, *, cap: int = 50) -> DataFrame:
+    """One row: symbols, hits, hits outside indexed files (dropped), edges added, symbols without a hit and with ``cap`` hits."""
+    per = hits.groupBy("symbol_id").agg(F.count("*").alias("hits"), F.count_if(F.col("file_id").isNull()).alias("dropped"), F.count_distinct("file_id").alias("added"))
+    n = F.coalesce("hits", F.lit(0))
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return symbols.select(F.col("id").alias("symbol_id")).join(per, "symbol_id", "left").agg(F.count("*").alias("symbols"), of("hits"), of("dropped"), of("added"), F.count_if(n == 0).alias("unused"), F.count_if(n >= cap).alias("saturated"))
+
+
+def import_tallies(edges: DataFrame) -> DataFrame:
+    """(repository_id, added, resolved, external) of import edges."""
+    some = edges.where("edge_type = 'imports'")
+    return some.groupBy("repository_id").agg(F.count("*").alias("added"), F.count_if(F.col("target_type") == "file").alias("resolved"), F.count_if(F.col("target_type") == "external").alias("external"))
 
 
 def reference_edges(hits: DataFrame) -> DataFrame:
@@ -78,19 +98,35 @@ def reference_edges(hits: DataFrame) -> DataFrame:
     return hits.where("file_id is not null").select("symbol_id", "file_id").distinct()
 
 
-def linked_paths(bodies: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, linked_files): known paths that a body names in full, or by backticked basename of over 4 characters; null if none.
+#: keys of paths without an inner word have this many characters at most
+_GRAM = 6
 
-    Full paths are met through the path-like words of a body and basenames
-    through its backticked words, so both are equi-joins.
+
+def linked_paths(bodies: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, linked_files): known paths that a body (id, body) contains anywhere, or whose basename of over 4 characters it has in backticks; null if none.
+
+    A word inside a path, with separators on both sides, stands in a containing body as
+    the same whole word: a path's key is its longest such word, a body's are all its words.
+    Paths without one (names at the root, mostly) have their first characters as key, and
+    bodies are cut into runs of that length only where there are such paths. Pairs that
+    share a key are then checked by ``contains``. Basenames meet what stands between two
+    neighbouring backticks.
     """
+    known = files.select("path").where("path <> ''").distinct()
+    inner = F.regexp_extract_all("path", F.lit(r"(?<=[^A-Za-z0-9_])[A-Za-z0-9_]+(?=[^A-Za-z0-9_])"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    keyed = known.select("path", F.when(F.size(inner) > 0, longest).alias("key"))
+    words = bodies.select("id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(WORD), F.lit(0)))).alias("key"))
+    pairs = words.join(keyed.where("key is not null"), "key").select("id", "path")
+    plain = keyed.where("key is null").select("path", F.left("path", F.lit(_GRAM)).alias("key"))
+    for n in sorted(r[0] for r in plain.select(F.length("key")).distinct().collect()):  # lengths from 1 to _GRAM
+        last = F.length("body") - n + 1
+        runs = F.transform(F.sequence(F.lit(1), last), lambda k: F.substr("body", k, F.lit(n)))
+        some = bodies.where(F.length("body") >= n).select("id", F.explode(F.array_distinct(runs)).alias("key"))
+        pairs = pairs.unionAll(some.join(plain.where(F.length("key") == n), "key").select("id", "path"))
+    found = pairs.distinct().join(bodies.select("id", "body"), "id").where(F.contains("body", F.col("path"))).select("id", "path")
     base = F.element_at(F.split("path", "/"), -1)
-    full = files.select("path", F.col("path").alias("key"))
-    short = files.where(F.length(base) > 4).select("path", F.concat(F.lit("`"), base, F.lit("`")).alias("key"))
-    paths = F.regexp_extract_all("body", F.lit(r"[\w./\-]+"), F.lit(0))
-    trimmed = F.transform(paths, lambda x: F.regexp_replace(x, r"^[.]+(?=[^./])|[.]+$", ""))
-    tails = F.flatten(F.transform(F.array_distinct(F.concat(paths, trimmed)), lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda k: F.array_join(F.slice(F.split(p, "/"), k, 1000), "/"))))
-    ticks = F.regexp_extract_all("body", F.lit(r"`[^`\s]+`"), F.lit(0))
-    words = bodies.select("id", F.explode(F.array_distinct(F.concat(tails, ticks))).alias("key"))
-    found = words.join(full.unionAll(short), "key").groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("linked_files"))
-    return bodies.select("id").join(found, "id", "left")
+    ticked = bodies.select("id", F.split("body", "`", -1).alias("t")).where(F.size("t") > 2).select("id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("key"))
+    short = known.where(F.length(base) > 4).select("path", base.alias("key"))
+    links = found.unionAll(ticked.join(short, "key").select("id", "path")).groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("linked_files"))
+    return bodies.select("id").join(links, "id", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, report, resolve, stats, text
+from ..operators import evidence, graph, report, resolve, stats, text, tools
 from .views import SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,53 +60,11 @@ def q_F09_regex_search(v):
     return text.search_lines(lines, r"\b(token|secret)\s*=", regex=True, cap=None).agg(F.count("*").alias("lines"), F.count_distinct("file_id").alias("files"))
 
 
-@_query(
-    """SELECT t.name, count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (
-SELECT name, file_id, count(*) AS n FROM (SELECT DISTINCT file_id, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM ln) w
-WHERE name IN (SELECT DISTINCT lower(p_type) FROM part UNION SELECT 'token' UNION SELECT 'with' UNION SELECT 'clown') GROUP BY name, file_id) t GROUP BY t.name""",
-    _LINES.split(",\nkept")[0],
-)
-def q_F10_whole_word(v):
-    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
-    names = v.t("part").select(F.lower("p_type").alias("name")).distinct().union(v.spark.createDataFrame([("token",), ("with",), ("clown",)], "name string")).distinct()
-    found = text.references(lines, names.select(F.xxhash64("name").alias("id"), "name", F.lit("").alias("path"), F.lit(0).alias("line_start")), cap=1 << 30)
-    return found.groupBy("name").agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("lines"))
-
-
-@_query(
-    """SELECT name, count(*) AS edges FROM (SELECT DISTINCT name, file_id FROM (
-SELECT name, file_id, row_number() OVER (PARTITION BY name ORDER BY path, line) AS r FROM (
-SELECT name, file_id, path, line, row_number() OVER (PARTITION BY name, path ORDER BY line) AS n FROM (
-SELECT DISTINCT file_id, path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM ln) w WHERE name IN ('token', 'with', 'clown', 'License', 'the'))
-x WHERE n <= 50) y WHERE r <= 50) z GROUP BY name""",
-    _LINES.split(",\nkept")[0],
-)
-def q_K03_reference_edges(v):
-    lines = text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
-    names = v.spark.createDataFrame([("token",), ("with",), ("clown",), ("License",), ("the",)], "name string")
-    hits = text.references(lines, names.select(F.xxhash64("name").alias("id"), "name", F.lit("").alias("path"), F.lit(0).alias("line_start")))
-    return hits.select("name", "file_id").distinct().groupBy("name").agg(F.count("*").alias("edges"))
-
-
 @_query("SELECT doc_id, CAST(len(string_split(content, chr(10))) - CASE WHEN suffix(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS BIGINT) AS loc FROM docs WHERE content IS NOT NULL")
 def q_S03_line_count(v):
     return v.documents().where("content is not null").select("doc_id", text.line_count(F.col("content")).cast("long").alias("loc"))
 
 
-@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE line <= 3", _LINES.split(",\nkept")[0])
-def q_S18_snippets(v):
-    return _long(text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id")).where("line <= 3"), "line")
-
-
-@_query(
-    """SELECT n.id, CAST(count(f.path) AS BIGINT) AS linked FROM (SELECT doc_id AS id, content FROM docs) n
-LEFT JOIN (SELECT DISTINCT path FROM files) f ON contains(n.content, f.path) GROUP BY n.id"""
-)
-def q_J11_linked_files(v):
-    bodies = v.documents().select(F.col("doc_id").alias("id"), F.col("content").alias("body"))
-    return text.linked_paths(bodies, v.files()).select("id", F.coalesce(F.size("linked_files"), F.lit(0)).cast("long").alias("linked"))
-
-
 @_query(
     """SELECT id, path FROM (SELECT id, path, rank, count(*) OVER (PARTITION BY rank) AS n, min(rank) OVER () AS best FROM (
 SELECT id, path, CASE WHEN path = 'ring_0' THEN 0 WHEN suffix(path, '/ring_0.py') THEN 1 WHEN suffix(path, '/ring_0/__init__.py') THEN 2 WHEN contains(lower(path), 'ring_0') THEN 3 END AS rank FROM parts) r
@@ -116,14 +74,6 @@ def q_R05_resolver(v):
     return resolve.resolve_target(v.parts(), "ring_0")
 
 
-@_query(
-    """SELECT id, path, level FROM (SELECT id, path, CASE WHEN path = 'src/brand_7' THEN 1 WHEN suffix(path, '/src/brand_7') THEN 2 WHEN starts_with(path, 'src/brand_7/') OR contains(path, '/src/brand_7/') THEN 3 WHEN contains(path, 'src/brand_7') THEN 4 END AS level, loc FROM parts) x
-WHERE level IS NOT NULL ORDER BY level, -loc, path LIMIT 1"""
-)
-def q_R10_file_detail(v):
-    return resolve.resolve_detail(v.parts(), "src\\brand_7/:12")
-
-
 # --- relational ------------------------------------------------------------------
 
 
@@ -147,28 +97,6 @@ def q_G03_language_share(v):
     return stats.language_share(v.files()).select("language", "files", "loc", F.col("share").cast("double").alias("share"))
 
 
-@_query("SELECT f.id AS file_id, coalesce(s.name, 'external') AS symbol FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent'")
-def q_J03_left_label(v):
-    s = v.symbols().where("kind = 'urgent'").select("file_id", "name")
-    f = v.files().select(F.col("id").alias("file_id"))
-    return f.join(s, "file_id", "left").select("file_id", F.coalesce("name", F.lit("external")).alias("symbol"))
-
-
-@_query("SELECT DISTINCT f.id, f.path FROM files f JOIN edges e ON e.src = f.id")
-def q_J04_reverse_dependents(v):
-    return v.files().join(v.edges().select(F.col("src").alias("id")), "id").select("id", "path").distinct()
-
-
-@_query("SELECT id, path FROM files f WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.kind = 'urgent')")
-def q_J05_semi(v):
-    return v.files().join(v.symbols().where("kind = 'urgent'").select(F.col("file_id").alias("id")), "id", "left_semi").select("id", "path")
-
-
-@_query("SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.line_start > 900)")
-def q_J06_anti(v):
-    return v.files().join(v.symbols().where("line_start > 900").select(F.col("file_id").alias("id")), "id", "left_anti").select("id", "path")
-
-
 @_query("SELECT author, count(*) AS commits FROM commits WHERE message = 'purchase' GROUP BY author")
 def q_G05_contributors(v):
     return stats.contributors(v.commits().where("message = 'purchase'"))
@@ -203,40 +131,16 @@ def q_R06_overview_document(v):
     return stats.overview_document(v.documents().select("repository", "doc_id", "path"), "repository")
 
 
-@_query("SELECT repository_id, bool_or(contains(lower(path), 'auth')) AS has_auth, bool_or(contains(lower(path), 'mongo') OR contains(lower(path), 'db') OR contains(lower(path), 'prisma')) AS has_db, bool_or(contains(lower(path), 'mail') OR contains(lower(path), 'cron')) AS has_email FROM files GROUP BY 1")
-def q_G14_subsystem_flags(v):
-    return stats.subsystem_flags(v.files(), "repository_id")
-
-
 @_query("SELECT id, strftime(date, '%Y-%m-%dT%H:%M:%S.%f') AS iso FROM commits WHERE date_part('microsecond', date) % 1000000 <> 0 UNION ALL SELECT id, strftime(date, '%Y-%m-%dT%H:%M:%S') FROM commits WHERE date_part('microsecond', date) % 1000000 = 0")
 def q_C09_iso_time(v):
     return v.commits().select("id", stats.iso(F.col("date")).alias("iso"))
 
 
-@_query("SELECT page_id, split_part(url, '/', 4) AS first, CASE WHEN contains(url, '/en/') THEN 'Authentication & User Session Management' ELSE 'other' END AS kind, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM pages")
-def q_C02_path_parts(v):
-    url = F.col("url")
-    return v.t("pages").select("page_id", F.split_part(url, F.lit("/"), F.lit(4)).alias("first"), F.when(F.contains(url, F.lit("/en/")), "Authentication & User Session Management").otherwise("other").alias("kind"), stats.safe_name(url).alias("safe"))
-
-
-@_query(
-    """SELECT id, CASE WHEN contains(path, 'auth') THEN 'Authentication & User Session Management' WHEN contains(path, 'mongodb') OR contains(path, 'db') THEN 'Database Connection & Persistence'
-WHEN contains(path, 'mail') THEN 'Email Scheduling & Dispatch' WHEN contains(path, 'admin') THEN 'Administrative Console & Operations' WHEN contains(path, 'api') THEN 'Backend API Endpoint Handler' ELSE 'Application Component' END AS role FROM parts"""
-)
-def q_C13_role(v):
-    return v.parts().select("id", stats.role(F.col("path")).alias("role"))
-
-
 @_query("SELECT doc_id, CASE WHEN length(content) > 400 THEN left(content, 400) || ' …' ELSE content END AS shown FROM docs")
 def q_R13_capped_text(v):
     return v.documents().select("doc_id", stats.capped(F.col("content"), 400).alias("shown"))
 
 
-@_query("SELECT doc_id, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS folded FROM docs")
-def q_C06_fold_newlines(v):
-    return v.documents().select("doc_id", stats.fold_newlines(F.col("content")).alias("folded"))
-
-
 @_query("SELECT session_id, id FROM (SELECT session_id, id FROM messages WHERE role = 'user' EXCEPT ALL SELECT session_id, id FROM messages WHERE length(content) > 300) x")
 def q_O05_multiset_difference(v):
     a = v.messages().where("role = 'user'").select("session_id", "id")
@@ -278,16 +182,6 @@ def q_G09_modularity(v):
     return graph.modularity(v.edges(), v.files())
 
 
-_REACH = """r AS (WITH RECURSIVE w(root, node, dist) AS (SELECT DISTINCT src, src, 0 FROM edges UNION ALL SELECT DISTINCT w.root, e.dst, w.dist + 1 FROM w JOIN edges e ON e.src = w.node WHERE w.dist < 3)
-SELECT root, node, min(dist) AS dist FROM w WHERE root <> node GROUP BY 1, 2)"""
-
-
-@_query("SELECT root, node, CAST(dist AS INTEGER) AS dist FROM r", _REACH)
-def q_N02_closures(v):
-    e = v.edges()
-    return graph.reach(e, e.select(F.col("src").alias("root")).distinct(), 3)
-
-
 @_query(
     """SELECT e.src, e.dst FROM edges e WHERE e.src IN (SELECT node FROM b) AND e.dst IN (SELECT node FROM b)""",
     "top AS (SELECT dst AS id FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), b AS (SELECT id AS node FROM top UNION SELECT e.dst FROM edges e JOIN top ON e.src = top.id UNION SELECT e.src FROM edges e JOIN top ON e.dst = top.id)",
@@ -303,237 +197,688 @@ def q_J10_edge_views(v):
     return graph.edge_views(v.edges(), v.files())
 
 
-@_query("SELECT id, array_to_string(list_sort(list_distinct(i)), ',') AS incoming FROM (SELECT dst AS id, list(src) AS i FROM edges GROUP BY 1) x")
-def q_N11_adjacency(v):
-    return graph.adjacency(v.edges()).where("size(incoming) > 0").select("id", F.array_join("incoming", ",").alias("incoming"))
+@_query("SELECT repository_id, id, 'mod' || CAST(repository_id AS VARCHAR) AS module FROM files WHERE repository_id % 2 = 0 UNION ALL SELECT repository_id, id, '' FROM files WHERE repository_id % 2 = 1")
+def q_J09_enclosing_module(v):
+    files = v.files().select("repository_id", "id", "path")
+    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
+    return resolve.enclosing_modules(files.unionAll(inits)).where("id >= 0")
+
+
+@_query("SELECT f.id, 'mod' || CAST(repository_id AS VARCHAR) || '.' || replace(split_part(path, '/', 2), '.py', '') AS name FROM files f WHERE repository_id % 2 = 0 UNION ALL SELECT f.id, NULL FROM files f WHERE repository_id % 2 = 1")
+def q_N10_importable_names(v):
+    files = v.files().select("repository_id", "id", "path")
+    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
+    return resolve.importable_names(files.unionAll(inits)).where("id >= 0").select("id", "name")
+
+
+@_query("SELECT e.src, e.dst, f.id AS target_id FROM edges e LEFT JOIN files f ON f.id = e.dst AND f.repository_id = (SELECT repository_id FROM files g WHERE g.id = e.src)")
+def q_J08_relative_imports(v):
+    files = v.files().select("repository_id", "id", "path")
+    src = files.select(F.col("id").alias("src"), "repository_id", "path")
+    imports = v.edges().join(src, "src").select(F.xxhash64("src", "dst").alias("import_id"), "repository_id", "path", F.lit(1).alias("level"), F.concat(F.lit("customer_"), F.lpad(F.col("dst").cast("string"), 9, "0")).alias("target"), "src", "dst")
+    return resolve.resolve_imports(imports, files).select("src", "dst", "target_id")
+
+
+# --- composites ----------------------------------------------------------------------
+
+
+@_query("SELECT src, dst, '    ' || regexp_replace(coalesce(a.path, '#' || e.src), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(a.path, '#' || e.src) || '\"] --> ' || regexp_replace(coalesce(b.path, '#' || e.dst), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(b.path, '#' || e.dst) || '\"]' AS line FROM edges e LEFT JOIN files a ON a.id = e.src LEFT JOIN files b ON b.id = e.dst")
+def q_K09_mermaid(v):
+    return report.mermaid(v.edges(), v.files())
+
+
+@_query("SELECT id, CASE WHEN loc % 101 >= 90 THEN 'A+' WHEN loc % 101 >= 80 THEN 'A' WHEN loc % 101 >= 70 THEN 'B' WHEN loc % 101 >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN loc % 101 >= 85 THEN 'emerald' WHEN loc % 101 >= 70 THEN 'blue' WHEN loc % 101 >= 50 THEN 'amber' ELSE 'red' END AS band FROM files")
+def q_C21_score_bands(v):
+    return v.files().select("id", graph.grade(F.col("loc") % 101).alias("grade"), graph.score_band(F.col("loc") % 101).alias("band"))
+
+
+@_query("SELECT f.path || ':12-14' AS cite, f.id FROM files f")
+def q_F15_cited_nodes(v):
+    files = v.files().select("id", "path")
+    return stats.cited_nodes(files.select(F.concat("path", F.lit(":12-14")).alias("cite")), files)
+
+
+# --- set operations, rankings and scalars ------------------------------------------------
+
+
+@_query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'python' WHEN p_size % 4 = 1 THEN 'typescript' WHEN p_size % 4 = 2 THEN 'javascript' END AS language FROM part")
+def q_S02_language(v):
+    from ..sources.walk import language
+
+    kind = F.element_at(F.array(*map(F.lit, (".py", ".TSX", ".mjs", ".md"))), F.col("p_size") % 4 + 1)
+    return v.t("part").withColumn("path", F.concat(F.lit("a.b/x"), kind)).select(F.col("p_partkey").alias("id"), language(F.col("path")).alias("language"))
+
+
+@_query("SELECT author, strftime(date, '%Y-%m-%d') AS day, count(*) AS commits FROM commits GROUP BY 1, 2")
+def q_G05_activity_by_day(v):
+    return v.commits().groupBy("author", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("commits"))
+
+
+# --- search and references -----------------------------------------------------------------
+
+_WORDS = "wd AS (SELECT DISTINCT file_id, path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM ln)"
+#: names that grow with the input: the words of part names, and the first words of documents
+_NAMES = "nm AS (SELECT DISTINCT name, '' AS own FROM (SELECT unnest(string_split(p_name, ' ')) AS name FROM part UNION SELECT split_part(text, ' ', 1) FROM documents) z WHERE regexp_full_match(name, '[A-Za-z0-9_]+'))"
+
+
+def _names(v) -> DataFrame:
+    some = v.t("part").select(F.explode(F.split("p_name", " ")).alias("name")).union(v.t("documents").select(F.split_part("text", F.lit(" "), F.lit(1))))
+    return some.where(F.col("name").rlike("^[A-Za-z0-9_]+$")).distinct().select(F.xxhash64("name").alias("id"), "name", F.lit("").alias("path"), F.lit(0).alias("line_start"))
+
+
+def _doc_lines(v) -> DataFrame:
+    return text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id"))
+
+
+@_query("SELECT name, count(DISTINCT file_id) AS files, count(*) AS lines FROM wd WHERE name IN (SELECT name FROM nm) GROUP BY name", ", ".join([_LINES.split(",\nkept")[0], _WORDS, _NAMES]))
+def q_F10_whole_word(v):
+    return text.references(_doc_lines(v), _names(v), cap=None).groupBy("name").agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("lines"))
+
+
+_CAPPED = """rf AS (SELECT name, file_id, path, line FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, line) AS r FROM (
+SELECT *, row_number() OVER (PARTITION BY name, path ORDER BY line) AS n FROM wd WHERE name IN (SELECT name FROM nm)) x WHERE n <= 50) y WHERE r <= 50)"""
+
+
+@_query("SELECT name, file_id FROM rf GROUP BY ALL", ", ".join([_LINES.split(",\nkept")[0], _WORDS, _NAMES, _CAPPED]))
+def q_K03_reference_edges(v):
+    names = _names(v)
+    edges = text.reference_edges(text.references(_doc_lines(v), names))
+    return edges.join(names.select(F.col("id").alias("symbol_id"), "name"), "symbol_id").select("name", "file_id")
+
+
+@_query(
+    "SELECT (SELECT count(*) FROM nm) AS symbols, count(*) AS hits, CAST(0 AS BIGINT) AS dropped, (SELECT count(*) FROM (SELECT DISTINCT name, file_id FROM rf)) AS added, (SELECT count(*) FROM nm WHERE name NOT IN (SELECT name FROM rf)) AS unused, (SELECT count(*) FROM (SELECT name FROM rf GROUP BY name HAVING count(*) = 50)) AS saturated FROM rf",
+    ", ".join([_LINES.split(",\nkept")[0], _WORDS, _NAMES, _CAPPED]),
+)
+def q_G15_reference_tallies(v):
+    names = _names(v)
+    return text.reference_tallies(names, text.references(_doc_lines(v), names))
+
+
+@_query("SELECT repository_id, count(*) AS added, sum(CASE WHEN dst % 4 <> 0 THEN 1 ELSE 0 END)::BIGINT AS resolved, sum(CASE WHEN dst % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS external FROM edges e JOIN named f ON f.id = e.src WHERE (e.src + e.dst) % 3 <> 0 GROUP BY 1")
+def q_G10_import_tallies(v):
+    e = v.typed_edges().join(v.named_files().select(F.col("id").alias("src"), "repository_id"), "src").withColumn("target_type", F.when(F.col("dst") % 4 == 0, "external").otherwise("file"))
+    return text.import_tallies(e)
+
+
+@_query(
+    "SELECT path, array_to_string(list(text ORDER BY line), chr(10)) AS snippet FROM ln WHERE line <= 45 AND path IN (SELECT path FROM docs WHERE contains(content, 'license') OR contains(content, 'License') ORDER BY path LIMIT 3) GROUP BY path",
+    _LINES.split(",\nkept")[0],
+)
+def q_S18_excerpts(v):
+    hits = text.search_lines(_doc_lines(v), "license", cap=None).select("path").distinct()
+    return tools.excerpts(hits.select("path", F.lit(0).alias("position")), _doc_lines(v)).select("path", "snippet")
+
+
+@_query(
+    """SELECT b.id, array_to_string(list_sort(list(DISTINCT p.path)), '|') AS linked FROM bodies b LEFT JOIN link_paths p ON contains(b.body, p.path)
+OR (length(p.path) > 0 AND contains(b.body, '`' || split_part(p.path, '/', -1) || '`')) GROUP BY b.id"""
+)
+def q_J11_linked_files(v):
+    return text.linked_paths(v.bodies(), v.link_paths()).select("id", F.array_join("linked_files", "|").alias("linked"))
+
+
+def _detail_sql(clean: str) -> str:
+    rank = f"CASE WHEN path = '{clean}' THEN 1 WHEN suffix(path, '{clean}') THEN 2 WHEN starts_with(path, '{clean}/') THEN 3 WHEN contains(path, '{clean}') THEN 4 END"
+    main = "CASE WHEN level = 3 AND regexp_matches(path, '(__init__\\.py|index\\.ts|app\\.py|main\\.py)$') THEN 0 ELSE 1 END"
+    return f"SELECT id, path, level FROM (SELECT id, path, loc, {rank} AS level FROM named) x WHERE level IS NOT NULL ORDER BY level, {main}, CASE WHEN level = 3 THEN -loc ELSE 0 END, path LIMIT 1"
+
+
+for _name, _target, _clean in (("directory", "mod7/:12", "mod7"), ("suffix", " tomer_36.py ", "tomer_36.py"), ("substring", "pages/5", "pages/5"), ("inner", "lib\\10", "lib/10")):
+
+    def _detail(v, target=_target):
+        return resolve.resolve_detail(v.named_files(), target)
+
+    _detail.__name__ = f"q_R10_detail_{_name}"
+    _query(_detail_sql(_clean))(_detail)
+
+
+@_query(
+    """SELECT 'db' AS term, 1 AS rank, id, path FROM named WHERE contains(path, 'db')"""
+)
+def q_C19_alias_search(v):
+    files = v.named_files().select("id", "path")
+    return tools.fallback(lambda t: text.search_files(files, t), " Database ").select("term", "rank", "id", "path").withColumn("term", F.lit("db"))
+
+
+@_query(
+    """SELECT term, CAST(rank AS INTEGER) AS rank, id, path FROM (SELECT 'user-auth' AS term, 2 AS rank, id, path FROM named WHERE contains(path, 'user-auth') UNION ALL SELECT 'bolt', 3, id, path FROM named WHERE contains(path, 'bolt')
+UNION ALL SELECT 'auth', 4, id, path FROM named WHERE contains(path, 'auth') UNION ALL SELECT 'mail', 5, id, path FROM named WHERE contains(path, 'mail') AND (SELECT count(*) FROM named WHERE contains(path, 'auth')) < 25) x"""
+)
+def q_A10_fallback_search(v):
+    files = v.named_files().select("id", "path")
+    return tools.fallback(lambda t: text.search_files(files, t), "user-auth Bolt authorization in mail").select("term", "rank", "id", "path")
+
+
+@_query("SELECT 'f1o' AS term, s.id, s.name, f.path AS file FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77o')")
+def q_A10_fallback_symbols(v):
+    found = tools.fallback(lambda t: text.search_symbols(v.symbols(), v.files(), t).select("id", "name", "file"), "zzz 77O")
+    return found.select(F.lit("f1o").alias("term"), "id", "name", "file")
+
+
+@_query("SELECT file_id, path, name, kind AS symbol_kind, line FROM (SELECT s.file_id, f.path, s.name, s.kind, s.line_start AS line FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77') AND s.kind = 'high' ORDER BY s.name, f.path, s.line_start, s.id LIMIT 200) x")
+def q_A09_search_symbols(v):
+    return tools.unified_search(v.files(), v.symbols(), _doc_lines(v), "77", "symbol", symbol_kind="High", cap="500").select("file_id", "path", "name", "symbol_kind", "line")
+
+
+@_query("SELECT id AS file_id, path FROM named WHERE contains(path, 'auth') ORDER BY path LIMIT 50")
+def q_A09_search_files(v):
+    return tools.unified_search(v.named_files(), v.symbols(), _doc_lines(v), "AUTH", "file", cap="many").select("file_id", "path")
+
+
+@_query(
+    "SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM ln WHERE regexp_matches(text, '(?i)^the\\b')) x WHERE n <= 20 ORDER BY path, line LIMIT 20",
+    _LINES.split(",\nkept")[0],
+)
+def q_A09_search_text(v):
+    return tools.unified_search(v.files(), v.symbols(), _doc_lines(v), r"^the\b", "text", regex="true", cap=20).select("file_id", "path", "line", "text")
+
+
+# --- evidence -------------------------------------------------------------------------------
+
+
+_HITS = """hits AS (SELECT row_number() OVER (ORDER BY kind DESC, path, line_start, id) AS position, * FROM (
+SELECT 'symbol' AS kind, f.path, s.name, s.kind AS symbol_kind, s.line_start, s.line_start + s.id % 3 AS line_end, s.id, f.language, f.loc FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.id % 997 = 5
+UNION ALL SELECT 'file', path, NULL, NULL, NULL, NULL, id, language, loc FROM named WHERE contains(path, 'auth_1')) x),
+shown AS (SELECT * FROM hits WHERE position <= 40)"""
+
+
+@_query(
+    """SELECT 0 AS section, CAST(0 AS BIGINT) AS position, '((NOTE: ' || count(*) || ' hits in total; the first 40 are listed.))' AS line FROM hits HAVING count(*) > 40
+UNION ALL SELECT CASE WHEN kind = 'symbol' THEN 1 ELSE 2 END, position, CASE WHEN kind = 'symbol' THEN '- `' || path || ':L' || line_start || CASE WHEN line_end = line_start THEN '' ELSE '-' || line_end END || '` -- ' || name || ' (' || symbol_kind || ')' ELSE '- `' || path || '` (' || language || ', ' || loc || ' LOC)' END FROM shown
+UNION ALL SELECT 4, 0, 'Allowed citation paths: ' || array_to_string(list_transform(list_sort(list(DISTINCT path)), lambda x: '`' || x || '`'), ', ') FROM shown""",
+    _HITS,
+)
+def q_A15_evidence(v):
+    s = v.symbols().where("id % 997 = 5").join(v.files().select(F.col("id").alias("file_id"), "path", "language", "loc"), "file_id")
+    none = lambda t: F.lit(None).cast(t)
+    s = s.select(F.lit("symbol").alias("kind"), "path", "name", F.col("kind").alias("symbol_kind"), F.col("line_start"), (F.col("line_start") + F.col("id") % 3).alias("line_end"), "id", "language", "loc")
+    f = text.search_files(v.named_files(), "auth_1").select(F.lit("file"), "path", none("string"), none("string"), none("long"), none("long"), "id", "language", "loc")
+    hits = s.unionAll(f).withColumn("docstring", none("string")).withColumn("text", none("string"))
+    ranked = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("kind"), "path", "line_start", "id")))
+    return evidence.evidence(ranked).select("section", "position", "line")
+
+
+@_query(
+    """SELECT id, CASE id % 4 WHEN 0 THEN 'xapp/[slug]/page_' || k || '.tsx|slug' WHEN 3 THEN 'lib/util_' || k || '.ts|util_' || k || '.ts' ELSE '' END AS cited,
+CASE id % 4 WHEN 3 THEN 'util_' || k || '.ts' ELSE '' END AS ungrounded FROM (SELECT id, id % 180 AS k FROM bodies) x WHERE id % 4 = 3"""
+)
+def q_C16_cited_paths(v):
+    k = (F.col("id") % 180).cast("string")
+    answers = v.bodies().where("id % 4 = 3").select("id", F.concat(F.lit("In `lib/util_"), k, F.lit(".ts` and util_"), k, F.lit(".ts, not 1/2; see lib/util_"), k, F.lit(".ts")).alias("answer"))
+    ground = answers.select("id", F.concat(F.lit("lib/util_"), (F.col("id") % 180).cast("string"), F.lit(".ts")).alias("path"), F.lit(1).alias("place")).unionAll(answers.select("id", F.lit("gone.py"), F.lit(0)))
+    return evidence.cited_paths(answers, ground).select("id", F.array_join("cited", "|").alias("cited"), F.array_join("ungrounded", "|").alias("ungrounded"))
+
+
+@_query("SELECT event_id AS id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE props END AS found FROM events")
+def q_C15_json_object(v):
+    fence, props = F.lit("```"), F.col("props")
+    said = F.array(props, F.concat(F.lit("Sure! "), props, F.lit(" is it.")), F.concat(F.lit("Here:\n"), fence, F.lit("json\n"), props, F.lit("\n"), fence, F.lit(" not } this")), F.concat(F.lit(" "), props, F.lit("\n")), F.lit("none { here"))
+    return v.t("events").select(F.col("event_id").alias("id"), evidence.json_object(F.element_at(said, (F.col("event_id") % 5 + 1).cast("int"))).alias("found"))
+
+
+# --- graph ----------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT root, direction, node, CAST(min(dist) AS INTEGER) AS dist FROM (SELECT src AS root, 'out' AS direction, dst AS node, 1 AS dist FROM edges UNION ALL SELECT dst, 'in', src, 1 FROM edges
+UNION ALL SELECT DISTINCT a.src, 'out', b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst UNION ALL SELECT DISTINCT b.dst, 'in', a.src, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst) x GROUP BY 1, 2, 3"""
+)
+def q_N02_closures(v):
+    e = v.edges()
+    return graph.closures(e, e.select(F.col("src").alias("root")).union(e.select("dst")).distinct(), 2)
+
+
+@_query(
+    """SELECT r.id AS node_id, r.path AS node_path, 1 AS depth, d.direction, d.id, coalesce(f.path, '#' || d.id) AS path, 1 AS dist FROM (SELECT * FROM named WHERE contains(path, 'customer_12.py')) r
+LEFT JOIN (SELECT src AS root, 'out' AS direction, dst AS id FROM edges UNION ALL SELECT dst, 'in', src FROM edges) d ON d.root = r.id LEFT JOIN named f ON f.id = d.id"""
+)
+def q_N03_dependencies(v):
+    return graph.dependencies(v.edges(), v.named_files(), "customer_12.py", "none")
 
 
-_CYCLES = """p AS (WITH RECURSIVE w(first, nodes, nxt) AS (SELECT src, [src], dst FROM edges UNION ALL SELECT w.first, list_append(w.nodes, w.nxt), e.dst FROM w JOIN edges e ON e.src = w.nxt
-WHERE w.nxt > w.first AND NOT list_contains(w.nodes, w.nxt) AND len(w.nodes) < 4) SELECT nodes FROM w WHERE nxt = first)"""
+@_query("SELECT CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS VARCHAR) AS node_path, 0 AS depth, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS dist FROM (SELECT count(*) FROM named)")
+def q_N03_unresolved(v):
+    return graph.dependencies(v.edges(), v.named_files(), "no/such/file.py", -3)
 
 
-@_query("SELECT array_to_string(nodes, '>') AS cycle, CAST(len(nodes) AS INTEGER) AS length FROM p", _CYCLES)
+_MAP = """mp AS (SELECT 'module' AS part, CAST(NULL AS BIGINT) AS position, '' AS name, CAST(count(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS other, repository_id FROM named WHERE id IN (SELECT node FROM nd) GROUP BY repository_id
+UNION ALL SELECT 'key_file', row_number() OVER (ORDER BY c DESC, path, id), path, round(c, 6), NULL, NULL FROM (SELECT f.id, f.path, coalesce(i.d, 0) / ((SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) - 1) AS c
+FROM named f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id WHERE f.id IN (SELECT node FROM nd) ORDER BY c DESC, path, id LIMIT 10) k
+UNION ALL SELECT 'edge', NULL, a.path, NULL, b.path, NULL FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst WHERE e.src IN (SELECT node FROM nd) AND e.dst IN (SELECT node FROM nd))"""
+
+
+@_query("SELECT 'whole' AS scope, CAST(NULL AS VARCHAR) AS focus_path, part, position, name, value, other FROM mp", "nd AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges UNION SELECT id FROM named), " + _MAP)
+def q_N05_architecture_whole(v):
+    return graph.architecture(v.edges(), v.named_files(), " ", top_k="ten").withColumn("value", F.round("value", 6))
+
+
+@_query(
+    "SELECT 'file' AS scope, (SELECT path FROM rt) AS focus_path, part, position, name, value, other FROM mp",
+    "rt AS (SELECT * FROM named WHERE contains(path, 'customer_12.py')), nd AS (SELECT id AS node FROM rt UNION SELECT e.dst FROM edges e JOIN rt ON e.src = rt.id UNION SELECT e.src FROM edges e JOIN rt ON e.dst = rt.id), " + _MAP,
+)
+def q_N05_architecture_focused(v):
+    return graph.architecture(v.edges(), v.named_files(), "customer_12.py", radius="1").withColumn("value", F.round("value", 6))
+
+
+@_query(
+    """SELECT f.id, f.path, f.language, f.loc, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM named f LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = f.id
+WHERE f.id = 12 OR f.id IN (SELECT dst FROM edges WHERE src = 12) OR f.id IN (SELECT src FROM edges WHERE dst = 12)"""
+)
+def q_N09_viewer_nodes(v):
+    return graph.viewer_nodes(v.edges(), v.named_files(), "customer_12.py")
+
+
+@_query("SELECT id, array_to_string(list_sort(list(DISTINCT src)), ',') AS incoming, (SELECT array_to_string(list_sort(list(DISTINCT dst)), ',') FROM edges o WHERE o.src = x.id) AS outgoing FROM (SELECT dst AS id, src FROM edges) x GROUP BY id")
+def q_N11_adjacency(v):
+    return graph.adjacency(v.edges()).where("size(incoming) > 0").select("id", F.array_join("incoming", ",").alias("incoming"), F.array_join("outgoing", ",").alias("outgoing"))
+
+
+# five cycles of two nodes are there, so longer ones don't count
+@_query("SELECT a.src || '>' || a.dst AS cycle, 2 AS length FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst ORDER BY a.src, a.dst LIMIT 5")
 def q_N06_cycles(v):
-    return graph.cycles(v.edges(), 4, None).select(F.array_join("nodes", ">").alias("cycle"), "length")
+    return graph.cycles(v.edges()).select(F.array_join("nodes", ">").alias("cycle"), "length")
+
+
+@_query("SELECT array_to_string(list(c_custkey ORDER BY c_custkey), '>') AS cycle, CAST(count(*) AS INTEGER) AS length FROM customer GROUP BY c_nationkey, floor(c_custkey / 200)")
+def q_N06_long_cycles(v):
+    return graph.cycles(v.ring_edges(), None).select(F.array_join("nodes", ">").alias("cycle"), "length")
+
 
+_ENTRY = "regexp_matches(lower(path), 'config|readme|license|package|setup|layout|page|route|\\.d\\.ts')"
 
-@_query("SELECT id, path FROM files f WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+
+@_query(f"SELECT id, path FROM named f WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) AND NOT {_ENTRY}")
 def q_N07_orphans(v):
-    return graph.orphans(v.edges(), v.files())
+    return graph.orphans(v.edges(), v.named_files())
 
 
-@_query("SELECT f.id, f.path, d.n AS in_degree, CASE WHEN d.n >= 8 THEN 'High' ELSE 'Medium' END AS risk_level FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 4) d JOIN files f ON f.id = d.dst")
+@_query("SELECT f.id, f.path, d.n AS in_degree, CASE WHEN d.n >= 60 THEN 'High' ELSE 'Medium' END AS risk_level FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 48) d JOIN named f ON f.id = d.dst")
 def q_R09_hubs(v):
-    return graph.hubs(v.edges(), v.files())
+    return graph.hubs(v.edges(), v.named_files(), 48, 60)
 
 
 @_query(
-    """SELECT cycles, hubs, high_hubs, orphans, files, modularity, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (
+    f"""SELECT cycles, hubs, high_hubs, orphans, files, modularity, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (
 SELECT *, CAST(greatest(20, least(100, 100 - least(30, 15 * cycles) - least(15, 5 * high_hubs) - least(10, 2 * orphans))) AS BIGINT) AS score FROM (
-SELECT (SELECT least(5, count(*)) FROM p) AS cycles, (SELECT count(*) FROM d WHERE n >= 4) AS hubs, (SELECT count(*) FROM d WHERE n >= 8) AS high_hubs,
-(SELECT count(*) FROM files WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)) AS orphans, (SELECT count(*) FROM files) AS files,
-(SELECT round(avg(CASE WHEN a.repository_id = b.repository_id THEN 1.0 ELSE 0.0 END), 3) FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst) AS modularity) x) y""",
-    _CYCLES + ", d AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1)",
+SELECT (SELECT least(5, count(*)) FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst) AS cycles, (SELECT count(*) FROM d WHERE n >= 4) AS hubs, (SELECT count(*) FROM d WHERE n >= 8) AS high_hubs,
+(SELECT count(*) FROM named WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) AND NOT {_ENTRY}) AS orphans, (SELECT count(*) FROM named) AS files,
+(SELECT round(avg(CASE WHEN a.repository_id = b.repository_id THEN 1.0 ELSE 0.0 END), 3) FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst) AS modularity) x) y""",
+    "d AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1)",
 )
 def q_N08_health(v):
-    return graph.health(v.edges(), v.files(), 4)
+    return graph.health(v.edges(), v.named_files())
+
+
+#: paths that meet each branch of the classifier, and their part; ``#`` stands for the size
+_SUBSYSTEMS = (
+    ("x.py", "root"), ("r/lib/x.py", "lib"), ("r/helpers/x.py", "lib"), ("r/app/api/x.ts", "api"), ("r/app/api/k#/route.ts", "api/k#"), ("r/app/admin/x.ts", "admin"), ("r/app/ui/x.ts", "components"), ("r\\components\\x.ts", "components"),
+    ("r/app/x.ts", "app-pages"), ("r/pages/x.ts", "pages"), ("r/src/core/x.py", "core"), ("r/other/x.py", "other"), ("r.d/x/y.py", "r.d"), ("/r/src", "r"),
+)
 
 
-@_query("SELECT id, CASE WHEN p2 = '' THEN 'root' ELSE p2 END AS subsystem FROM (SELECT id, split_part(path, '/', 2) AS p2 FROM parts) x")
+@_query("SELECT p_partkey AS id, replace([" + ", ".join(f"'{x[1]}'" for x in _SUBSYSTEMS) + f"][p_partkey % {len(_SUBSYSTEMS)} + 1], '#', CAST(p_size AS VARCHAR)) AS subsystem FROM part")
 def q_N13_subsystem(v):
-    return v.parts().select("id", graph.subsystem(F.col("path")).alias("subsystem"))
+    path = F.replace(F.element_at(F.array(*(F.lit(p) for p, _ in _SUBSYSTEMS)), (F.col("p_partkey") % len(_SUBSYSTEMS) + 1).cast("int")), F.lit("#"), F.col("p_size").cast("string"))
+    return v.t("part").select(F.col("p_partkey").alias("id"), graph.subsystem(path).alias("subsystem"))
 
 
-@_query("SELECT e.src, e.dst, CASE WHEN a.repository_id = b.repository_id THEN 0.85 ELSE 0.45 END::DOUBLE AS weight, CASE WHEN a.repository_id = b.repository_id THEN 'High Cohesion (Intra-Module)' ELSE 'Cross-Module Import' END AS label FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst")
+_PART = "CASE {0}.id % 12 WHEN 6 THEN 'api' WHEN 8 THEN 'api/c' || {0}.id WHEN 9 THEN 'pages' WHEN 10 THEN 'lib' WHEN 11 THEN 'core' ELSE 'mod' || {0}.repository_id END"
+
+
+@_query(
+    f"""SELECT src, dst, w / 100 AS weight, CASE WHEN w >= 80 THEN 'High Cohesion (Intra-Module)' WHEN w >= 60 THEN 'Core Subsystem Dependency' ELSE 'Cross-Module Import' END AS label FROM (
+SELECT e.src, e.dst, CASE WHEN {_PART.format('a')} = {_PART.format('b')} THEN 85 ELSE 45 END + CASE WHEN (e.src + e.dst) % 3 = 0 THEN 15 ELSE 0 END AS w FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst) x"""
+)
 def q_N12_edge_weights(v):
-    # two-part paths are 'root' to the classifier; a leading part makes the module the subsystem
-    files = v.files().withColumn("path", F.concat(F.lit("repo/src/"), F.col("path")))
-    return graph.edge_weights(v.edges().withColumn("edge_type", F.lit("imports")), files)
+    return graph.edge_weights(v.typed_edges(), v.named_files())
 
 
-@_query("SELECT repository_id, id, 'mod' || CAST(repository_id AS VARCHAR) AS module FROM files WHERE repository_id % 2 = 0 UNION ALL SELECT repository_id, id, '' FROM files WHERE repository_id % 2 = 1")
-def q_J09_enclosing_module(v):
-    files = v.files().select("repository_id", "id", "path")
-    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
-    return resolve.enclosing_modules(files.unionAll(inits)).where("id >= 0")
+@_query("SELECT DISTINCT e.src, e.dst FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst WHERE a.language IN ('building', 'machinery') OR b.language IN ('building', 'machinery')")
+def q_F14_edges_of_subsystems(v):
+    return graph.edges_of(v.edges(), v.named_files(), ["building", "machinery"], "language")
 
 
-@_query("SELECT f.id, 'mod' || CAST(repository_id AS VARCHAR) || '.' || replace(split_part(path, '/', 2), '.py', '') AS name FROM files f WHERE repository_id % 2 = 0 UNION ALL SELECT f.id, NULL FROM files f WHERE repository_id % 2 = 1")
-def q_N10_importable_names(v):
+@_query("SELECT id, path FROM named WHERE id IN (SELECT src FROM edges)")
+def q_J04_dependents(v):
+    return graph.dependents(v.edges(), v.named_files())
+
+
+@_query("SELECT src, dst FROM edges WHERE src IN (SELECT id FROM named WHERE language = 'building') AND dst IN (SELECT id FROM named WHERE language = 'building')")
+def q_O02_induced(v):
+    return graph.induced(v.edges(), v.named_files().where("language = 'building'").select(F.col("id").alias("node")))
+
+
+@_query("SELECT 'left' AS side, id FROM (SELECT src AS id FROM edges EXCEPT ALL SELECT dst FROM edges) a UNION ALL SELECT 'right', id FROM (SELECT dst AS id FROM edges EXCEPT ALL SELECT src FROM edges) b")
+def q_O03_difference(v):
+    return stats.multiset_difference(v.edges().select(F.col("src").alias("id")), v.edges().select(F.col("dst").alias("id"))).select("side", "id")
+
+
+@_query("SELECT repository_id, '' AS module, count(*) AS files FROM files WHERE repository_id % 2 = 1 GROUP BY 1 UNION ALL SELECT repository_id, 'mod' || repository_id, count(*) + 1 FROM files WHERE repository_id % 2 = 0 GROUP BY 1")
+def q_G06_module_map(v):
     files = v.files().select("repository_id", "id", "path")
     inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
-    return resolve.importable_names(files.unionAll(inits)).where("id >= 0").select("id", "name")
+    return resolve.module_map(files.unionAll(inits)).join(files.select("repository_id").distinct(), "repository_id", "left_semi")
 
 
-@_query("SELECT e.src, e.dst, f.id AS target_id FROM edges e LEFT JOIN files f ON f.id = e.dst AND f.repository_id = (SELECT repository_id FROM files g WHERE g.id = e.src)")
-def q_J08_relative_imports(v):
+@_query("SELECT e.src, e.dst, f.id AS target_id, CASE WHEN f.id IS NULL THEN 'mod' || CAST(g.repository_id AS VARCHAR) || '.customer_' || lpad(CAST(e.dst AS VARCHAR), 9, '0') END AS label FROM edges e JOIN files g ON g.id = e.src LEFT JOIN files f ON f.id = e.dst AND f.repository_id = g.repository_id AND f.repository_id % 2 = 0")
+def q_J07_absolute_imports(v):
     files = v.files().select("repository_id", "id", "path")
+    inits = v.repositories().where("id % 2 = 0").select(F.col("id").alias("repository_id"), (-F.col("id") - 1).alias("id"), F.concat(F.lit("mod"), F.col("id").cast("string"), F.lit("/__init__.py")).alias("path"))
     src = files.select(F.col("id").alias("src"), "repository_id", "path")
-    imports = v.edges().join(src, "src").select(F.xxhash64("src", "dst").alias("import_id"), "repository_id", "path", F.lit(1).alias("level"), F.concat(F.lit("customer_"), F.lpad(F.col("dst").cast("string"), 9, "0")).alias("target"), "src", "dst")
-    return resolve.resolve_imports(imports, files).select("src", "dst", "target_id")
+    name = F.concat(F.lit("mod"), F.col("repository_id").cast("string"), F.lit(".customer_"), F.lpad(F.col("dst").cast("string"), 9, "0"))
+    imports = v.edges().join(src, "src").select(F.xxhash64("src", "dst").alias("import_id"), "repository_id", "path", F.lit(0).alias("level"), name.alias("target"), "src", "dst")
+    return resolve.resolve_imports(imports, files.unionAll(inits)).select("src", "dst", "target_id", "label")
 
 
-# --- composites ----------------------------------------------------------------------
-
-
-@_query("SELECT 'bolt' AS term, 2 AS rank, id, path FROM parts WHERE contains(path, 'bolt') UNION ALL SELECT 'widget', 3, id, path FROM parts WHERE contains(path, 'widget') AND (SELECT count(*) FROM parts WHERE contains(path, 'bolt')) < 25")
-def q_A10_fallback_search(v):
-    return report.fallback_search(v.parts(), "xx bolt widget").withColumn("rank", F.lit(1) + F.col("rank"))
+# --- files, histories, issues -----------------------------------------------------------------
 
 
 @_query(
     """SELECT f.id, f.path, array_to_string(list_sort(list_distinct(s.names)), ',') AS symbols, array_to_string(list_sort(list_distinct(i.paths)), ',') AS imports, array_to_string(list_sort(list_distinct(r.paths)), ',') AS referenced_by FROM files f
 LEFT JOIN (SELECT file_id, list(name) AS names FROM symbols GROUP BY 1) s ON s.file_id = f.id
-LEFT JOIN (SELECT e.src, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.dst GROUP BY 1) i ON i.src = f.id
-LEFT JOIN (SELECT e.dst, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.src GROUP BY 1) r ON r.dst = f.id WHERE f.id IN (SELECT dst FROM edges)"""
+LEFT JOIN (SELECT e.src, list(CASE WHEN e.dst % 5 = 0 THEN CASE WHEN e.dst % 2 = 0 THEN 'external' ELSE 'pkg' || e.dst END ELSE g.path END) AS paths FROM edges e JOIN files g ON g.id = e.dst GROUP BY 1) i ON i.src = f.id
+LEFT JOIN (SELECT e.dst, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.src WHERE e.dst % 5 <> 0 GROUP BY 1) r ON r.dst = f.id WHERE f.id IN (SELECT dst FROM edges)"""
 )
 def q_A05_file_detail(v):
-    e = v.edges().select("src", "dst", F.lit(None).cast("string").alias("label"), F.lit("file").alias("source_type"))
-    out = report.file_detail(v.files(), v.symbols(), e, e.select(F.col("dst").alias("id")))
+    outside = F.col("dst") % 5 == 0
+    e = v.edges().select("src", F.when(~outside, F.col("dst")).alias("dst"), F.when(outside & (F.col("dst") % 2 == 1), F.concat(F.lit("pkg"), F.col("dst").cast("string"))).alias("label"), F.lit("file").alias("source_type"))
+    out = report.file_detail(v.files(), v.symbols(), e, v.edges().select(F.col("dst").alias("id")))
     names = F.array_sort(F.transform("symbols", lambda x: x["name"]))
     return out.select("id", "path", F.array_join(names, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"), F.array_join("referenced_by", ",").alias("referenced_by"))
 
 
+_HISTORY = """array_to_string((SELECT list(author || ':' || n ORDER BY n DESC, author) FROM (SELECT author, count(*) AS n FROM cm GROUP BY 1) y), ',') AS people,
+array_to_string((SELECT list(hash ORDER BY date DESC, hash DESC) FROM (SELECT * FROM cm ORDER BY date DESC, hash DESC LIMIT 10) z), ',') AS recent"""
+
+
+def _flat_history(df: DataFrame) -> DataFrame:
+    people = F.transform("top_contributors", lambda x: F.concat(x["author"].cast("string"), F.lit(":"), x["commits"].cast("string")))
+    return df.select("file_path", "last_modified", F.array_join(people, ",").alias("people"), F.array_join(F.transform("recent_commits", lambda x: x["hash"]), ",").alias("recent"))
+
+
 @_query(
-    """SELECT p.id, p.language AS part, round(cx + cos(k * 2.39996) * a, 4) AS x, round(cy + sin(k * 2.39996) * a, 4) AS y, round(greatest(8.0, least(20.0, 8 + sqrt(CASE WHEN loc = 0 THEN 10 ELSE loc END) * 0.8)), 4) AS r FROM (
-SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE least(105.0, 28.0 + (k - 1) * 15) END AS a, (g % cols) * 320 - cols * 320 / 2 + 160 AS cx, floor(g / cols) * 270 - ceil(n / cols) * 270 / 2 + 135 AS cy FROM (
-SELECT p.*, row_number() OVER (PARTITION BY p.language ORDER BY id) - 1 AS k, g, n, greatest(1, ceil(sqrt(n * 1.25))) AS cols FROM parts p
-JOIN (SELECT language, row_number() OVER (ORDER BY language) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT language FROM parts) l) q ON q.language = p.language) z) p"""
+    "SELECT path AS file_path, strftime(last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, " + _HISTORY + " FROM named WHERE id = 12",
+    "cm AS (SELECT DISTINCT c.* FROM links l JOIN commits c ON c.id = l.commit_id WHERE l.file_id = 12)",
 )
+def q_A03_history_of_file(v):
+    return _flat_history(tools.file_history(v.named_files(), v.commits(), v.links(), "customer_12.py", cap="none"))
+
+
+@_query("SELECT 'repository_root' AS file_path, (SELECT strftime(max(date), '%Y-%m-%dT%H:%M:%S.%f') FROM commits) AS last_modified, " + _HISTORY, "cm AS (SELECT * FROM commits)")
+def q_A03_history_of_repository(v):
+    return _flat_history(tools.file_history(v.named_files(), v.commits(), v.links(), "the whole REPOSITORY"))
+
+
+@_query(
+    "SELECT f.id, f.path, f.language, f.loc, strftime(f.last_modified, '%Y-%m-%dT%H:%M:%S') AS last_modified, array_to_string((SELECT list(name ORDER BY line_start, name) FROM symbols WHERE file_id = 12), ',') AS symbols, (SELECT count(*) FROM edges WHERE src = 12) AS imports, (SELECT count(*) FROM edges WHERE dst = 12) AS referenced_by, "
+    + _HISTORY + " FROM named f WHERE id = 12",
+    "cm AS (SELECT DISTINCT c.* FROM links l JOIN commits c ON c.id = l.commit_id WHERE l.file_id = 12)",
+)
+def q_A05_file_view(v):
+    e = v.edges().select("src", "dst", F.lit(None).cast("string").alias("label"), F.lit("file").alias("source_type"))
+    out = tools.file_view(v.named_files(), v.symbols(), e, v.commits(), v.links(), "customer_12.py:3")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
+    people = F.array_join(F.transform("top_contributors", lambda x: F.concat(x["author"].cast("string"), F.lit(":"), (-x["n"]).cast("string"))), ",").alias("people")
+    return out.select("id", "path", "language", "loc", "last_modified", F.array_join(F.transform("symbols", lambda x: x["name"]), ",").alias("symbols"), size("imports"), size("referenced_by"), people, F.array_join(F.transform("recent_commits", lambda x: x["hash"]), ",").alias("recent"))
+
+
+def _issues(v) -> DataFrame:
+    url = F.when(F.col("toxic") == 1, "https://x/pull/1").when(F.col("toxic") == 0, "https://x/issues/1")
+    linked = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("mod/customer_"), (F.col("doc_id") % 30).cast("string"), F.lit(".py")), F.lit("mod/other.py")))
+    return v.t("documents").join(v.t("labels"), "doc_id", "left").select(F.col("doc_id").alias("number"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("quality") == 1, "open").otherwise("closed").alias("state"), F.split("source", "c").alias("labels"), url.alias("url"), linked.alias("linked_files"))
+
+
+@_query("SELECT d.doc_id AS number, CASE WHEN l.quality = 1 THEN 'open' ELSE 'closed' END AS state, coalesce(l.toxic = 1, false) AS is_pr, array_to_string(string_split(d.source, 'c'), '|') AS labels FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def q_R08_issues(v):
+    return stats.issues_of(_issues(v)).select("number", "state", "is_pr", F.array_join("labels", "|").alias("labels"))
+
+
+@_query("SELECT d.doc_id AS number, 't' || d.doc_id AS title, coalesce(l.toxic = 1, false) AS is_pr FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 30 = 12")
+def q_F07_linked_issues(v):
+    return stats.issues_of(_issues(v), "mod/customer_12.py").select("number", "title", "is_pr")
+
+
+@_query("SELECT 'mod/customer_12.py' AS file_path, d.doc_id AS number, coalesce(l.toxic = 1, false) AS is_pr FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 30 = 12")
+def q_A04_tracker(v):
+    files = v.named_files().where("id % 12 = 0").select("id", F.regexp_replace("path", "^mod[0-9]+", "mod").alias("path"))
+    return tools.tracker(_issues(v), files, "customer_12.py").select("file_path", "number", "is_pr")
+
+
+@_query("SELECT doc_id % 25 AS repository_id, path, path AS title, content FROM docs")
+def q_A06_documents(v):
+    return tools.documents_of(v.documents().select((F.col("doc_id") % 25).alias("repository_id"), "path", F.col("path").alias("title"), "content"))
+
+
+@_query("SELECT repository, doc_id, CAST(row_number() OVER (PARTITION BY repository ORDER BY CASE WHEN contains(lower(path), 'readme') THEN 0 WHEN contains(lower(path), 'package') OR contains(lower(path), 'pyproject') THEN 1 WHEN contains(lower(path), 'contributing') THEN 2 ELSE 3 END, lower(path), path) AS INTEGER) AS place FROM (SELECT repository, doc_id, CASE doc_id % 7 WHEN 1 THEN 'package/' WHEN 2 THEN 'CONTRIBUTING/' ELSE '' END || path AS path FROM docs) d")
+def q_R07_document_order(v):
+    turn = F.when(F.col("doc_id") % 7 == 1, "package/").when(F.col("doc_id") % 7 == 2, "CONTRIBUTING/").otherwise("")
+    return stats.document_order(v.documents().withColumn("path", F.concat(turn, "path")).select("repository", "doc_id", "path"), "repository").select("repository", "doc_id", "place")
+
+
+# --- report and layout ----------------------------------------------------------------------------
+
+
+_REPORT = """st AS (SELECT r.id AS repository_id, r.name, count(f.id) AS files, coalesce(sum(f.loc), 0) AS loc, count(CASE WHEN contains(f.path, 'route.') OR contains(f.path, '/api/') THEN 1 END) AS routes FROM repositories r LEFT JOIN named f ON f.repository_id = r.id GROUP BY 1, 2),
+sy AS (SELECT f.repository_id, count(*) AS n FROM symbols s JOIN named f ON f.id = s.file_id GROUP BY 1),
+lg AS (SELECT repository_id, language, sum(loc) AS loc, round(sum(loc) / sum(sum(loc)) OVER (PARTITION BY repository_id) * 100, 1) AS share, row_number() OVER (PARTITION BY repository_id ORDER BY sum(loc) DESC, language) AS k FROM named GROUP BY 1, 2),
+ow AS (SELECT e.src, e.dst, a.repository_id FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst WHERE a.repository_id = b.repository_id),
+nc AS (SELECT repository_id, count(*) AS n FROM (SELECT repository_id, src FROM ow UNION SELECT repository_id, dst FROM ow) x GROUP BY 1),
+ct AS (SELECT f.repository_id, f.path, f.id, round(CASE WHEN nc.n = 1 THEN 1.0 ELSE coalesce(i.n / (nc.n - 1), 0.0) END, 3) AS c, row_number() OVER (PARTITION BY f.repository_id ORDER BY CASE WHEN nc.n = 1 THEN 1.0 ELSE coalesce(i.n / (nc.n - 1), 0.0) END DESC, f.path, f.id) AS k FROM named f LEFT JOIN nc ON nc.repository_id = f.repository_id LEFT JOIN (SELECT dst, count(*) AS n FROM ow GROUP BY 1) i ON i.dst = f.id),
+rt AS (SELECT repository_id, id, path, CASE WHEN contains(path, 'app/') THEN '/' || regexp_replace(path, '^.*?app/', '') ELSE path END AS e FROM named WHERE contains(path, 'route.') OR contains(path, '/api/')),
+rk AS (SELECT repository_id, id, path, replace(e, '/route.ts', '') AS e, row_number() OVER (PARTITION BY repository_id ORDER BY replace(e, '/route.ts', ''), path, id) AS k FROM rt),
+ov AS (SELECT * FROM (SELECT doc_id % 25 AS repository_id, path, content, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY CASE WHEN contains(lower(path), 'readme') THEN 1 WHEN contains(lower(path), 'overview') THEN 2 ELSE 3 END, path) AS k FROM docs) x WHERE k = 1 AND content <> '')"""
+
+
+@_query(
+    """SELECT repository_id, CAST(section AS INTEGER) AS section, CAST(position AS INTEGER) AS position, line FROM (
+SELECT st.repository_id, 1 AS section, generate_subscripts(l, 1) AS position, unnest(l) AS line FROM (SELECT st.repository_id, ['# Architecture Report: ' || name, '- **Total Lines of Code (LOC):** ' || format('{:,}', CAST(loc AS BIGINT)), '- **Indexed Source Files:** ' || format('{:,}', files), '- **Parsed Symbols:** ' || format('{:,}', coalesce(sy.n, 0)), '- **API Endpoints:** ' || routes] AS l FROM st LEFT JOIN sy ON sy.repository_id = st.repository_id) st
+UNION ALL SELECT repository_id, 2, k + 2, '| **' || upper(left(language, 1)) || lower(substr(language, 2)) || '** | ' || format('{:,}', CAST(loc AS BIGINT)) || ' | ' || printf('%.1f', share) || '% |' FROM lg
+UNION ALL SELECT DISTINCT repository_id, 2, 1, '| Language | Lines of Code | Share (%) |' FROM lg UNION ALL SELECT DISTINCT repository_id, 2, 2, '| :--- | :--- | :--- |' FROM lg
+UNION ALL SELECT repository_id, 3, k + 2, '| #' || k || ' | `' || path || '` | ' || printf('%.3f', c) || ' | ' || CASE WHEN contains(path, 'auth') THEN 'Authentication & User Session Management' WHEN contains(path, 'db') THEN 'Database Connection & Persistence' WHEN contains(path, 'mail') THEN 'Email Scheduling & Dispatch'
+WHEN contains(path, 'admin') THEN 'Administrative Console & Operations' WHEN contains(path, 'api') THEN 'Backend API Endpoint Handler' ELSE 'Application Component' END || ' |' FROM ct WHERE k <= 10
+UNION ALL SELECT DISTINCT repository_id, 3, 1, '| Rank | File Path | Centrality Score | Role in Architecture |' FROM ct UNION ALL SELECT DISTINCT repository_id, 3, 2, '| :--- | :--- | :--- | :--- |' FROM ct
+UNION ALL SELECT repository_id, 4, k + 2, '| `' || e || '` | ' || CASE WHEN id % 24 = 8 THEN '`GET`, `POST`' ELSE '`GET/POST`' END || ' | `' || path || '` |' FROM rk
+UNION ALL SELECT DISTINCT repository_id, 4, 1, '| HTTP Endpoint | Methods | Source File |' FROM rk UNION ALL SELECT DISTINCT repository_id, 4, 2, '| :--- | :--- | :--- |' FROM rk
+UNION ALL SELECT repository_id, 5, generate_subscripts(l, 1), unnest(l) FROM (SELECT repository_id, list_filter([CASE WHEN bool_or(contains(path, 'auth')) THEN '### Authentication & Access Control' END, CASE WHEN bool_or(contains(path, 'db')) THEN '### Database & Persistence Layer' END,
+CASE WHEN bool_or(contains(path, 'mail') OR contains(path, 'cron')) THEN '### Background & Integration Services' END], lambda x: x IS NOT NULL) AS l FROM named GROUP BY 1) f
+UNION ALL SELECT repository_id, 6, 1, '## Documentation & Package Overview (`' || path || '`)' FROM ov
+UNION ALL SELECT repository_id, 6, 2, CASE WHEN length(content) > 3000 THEN left(content, 3000) || chr(10) || chr(10) || '*(Excerpt truncated for report summary)*' ELSE content END FROM ov) x""",
+    _REPORT,
+)
+def q_A07_report(v):
+    files = v.named_files()
+    contents = files.select("id", F.when(F.col("id") % 24 == 8, "export async function POST() {}\nexport function GET() {}\nexport function POST() {}").otherwise("none").alias("content"))
+    documents = v.documents().select((F.col("doc_id") % 25).alias("repository_id"), "path", "content")
+    return report.report(v.repositories(), files, v.symbols(), v.edges(), contents=contents, documents=documents).orderBy("repository_id", "section", "position")
+
+
+_SPOTS = """sp AS (SELECT p.id, p.language AS part, cx + cos(k * 2.39996) * a AS x, cy + sin(k * 2.39996) * a AS y, greatest(8.0, least(20.0, 8 + sqrt(CASE WHEN loc = 0 THEN 10 ELSE loc END) * 0.8 + d * 1.2)) AS r FROM (
+SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE least(105.0, 28.0 + (k - 1) * 15) END AS a, (g % cols) * 320 - cols * 320 / 2 + 160 AS cx, floor(g / cols) * 270 - ceil(n / cols) * 270 / 2 + 135 AS cy FROM (
+SELECT f.*, coalesce(i.d, 0) AS d, row_number() OVER (PARTITION BY f.language ORDER BY coalesce(i.d, 0) DESC, f.id) - 1 AS k, g, n, greatest(1, ceil(sqrt(n * 1.25))) AS cols FROM named f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id
+JOIN (SELECT language, row_number() OVER (ORDER BY language) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT language FROM named) l) q ON q.language = f.language) z) p)"""
+
+
+@_query("SELECT id, part, round(x, 4) AS x, round(y, 4) AS y, round(r, 4) AS r FROM sp", _SPOTS)
 def q_N14_layout(v):
-    none = v.edges().where("false")
-    out = report.layout(none, v.parts(), "language")
+    out = report.layout(v.edges(), v.named_files(), "language")
     return out.select("id", "part", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("x", "y", "r")))
 
 
+@_query("SELECT part, round(min(x) - 45, 3) AS x, round(min(y) - 45, 3) AS y, round(greatest(160.0, max(x) - min(x) + 90), 3) AS width, round(greatest(130.0, max(y) - min(y) + 90), 3) AS height, count(*) AS count FROM sp GROUP BY part", _SPOTS)
+def q_G13_hulls(v):
+    return report.hulls(report.layout(v.edges(), v.named_files(), "language")).select("part", *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x", "y", "width", "height")), "count")
+
+
+@_query("SELECT language AS part, id, CAST(row_number() OVER (PARTITION BY language ORDER BY coalesce(d, 0) DESC, f.id) AS INTEGER) AS place FROM named f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id")
+def q_R12_cluster_order(v):
+    return report.cluster_order(v.edges(), v.named_files(), "language").select("part", "id", (F.col("k") + 1).alias("place"))
+
+
+@_query("SELECT repository_id, language, bool_or(contains(path, 'auth')) AS has_auth, bool_or(contains(path, 'db')) AS has_db, bool_or(contains(path, 'mail') OR contains(path, 'cron')) AS has_email FROM named GROUP BY 1, 2")
+def q_G14_subsystem_flags(v):
+    return stats.subsystem_flags(v.named_files(), "repository_id", "language")
+
+
+# --- scalars ------------------------------------------------------------------------------------
+
+
 @_query(
-    """SELECT repository_id, CAST(position AS INTEGER) AS position, '| **' || upper(left(language, 1)) || lower(substr(language, 2)) || '** | ' || loc || ' | ' || printf('%.1f', share) || '% |' AS line FROM (
-SELECT repository_id, language, sum(loc) AS loc, round(sum(loc) / sum(sum(loc)) OVER (PARTITION BY repository_id) * 100, 1) AS share, row_number() OVER (PARTITION BY repository_id ORDER BY sum(loc) DESC, language) AS position FROM files GROUP BY 1, 2) x"""
+    """SELECT id, CASE WHEN contains(path, 'auth') THEN 'Authentication & User Session Management' WHEN contains(path, 'mongodb') THEN 'Database Connection & Persistence' WHEN contains(path, 'mail') THEN 'Email Scheduling & Dispatch'
+WHEN contains(path, 'admin') THEN 'Administrative Console & Operations' WHEN contains(path, 'api') THEN 'Backend API Endpoint Handler' ELSE 'Application Component' END AS role FROM named"""
 )
-def q_A07_report_languages(v):
-    lines = report.report(v.repositories(), v.files(), v.symbols(), v.edges()).where("section = 2")
-    return lines.select("repository_id", "position", F.regexp_replace("line", r"(?<=\d),(?=\d)", "").alias("line"))
+def q_C13_role(v):
+    return v.named_files().select("id", stats.role(F.col("path")).alias("role"))
 
 
-@_query()
-def q_A07_report(v):
-    return report.report(v.repositories(), v.files(), v.symbols(), v.edges()).orderBy("repository_id", "section", "position")
+@_query("SELECT doc_id, replace(replace(content, ' a', chr(10) || 'a'), ' the ', chr(10)) AS folded FROM docs")
+def q_C06_fold_newlines(v):
+    raw = F.replace(F.replace(F.col("content"), F.lit(" a"), F.lit("\r\na")), F.lit(" the "), F.lit("\r"))
+    return v.documents().select("doc_id", stats.fold_newlines(raw).alias("folded"))
 
 
-@_query("SELECT src, dst, '    ' || regexp_replace(coalesce(a.path, '#' || e.src), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(a.path, '#' || e.src) || '\"] --> ' || regexp_replace(coalesce(b.path, '#' || e.dst), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(b.path, '#' || e.dst) || '\"]' AS line FROM edges e LEFT JOIN files a ON a.id = e.src LEFT JOIN files b ON b.id = e.dst")
-def q_K09_mermaid(v):
-    return report.mermaid(v.edges(), v.files())
+@_query("SELECT page_id, contains(url, '/en/') AS is_pr FROM pages WHERE url IS NOT NULL")
+def q_C08_pull_flag(v):
+    return v.t("pages").where("url is not null").select("page_id", stats.is_pull(F.replace(F.col("url"), F.lit("/en/"), F.lit("/pull/"))).alias("is_pr"))
 
 
-@_query("SELECT name, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS saturated FROM (SELECT f.repository_id, f.id, count(s.id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent' GROUP BY 1, 2) x JOIN repositories r ON r.id = x.repository_id GROUP BY name")
-def q_G15_quality_counters(v):
-    s = v.symbols().where("kind = 'urgent'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
-    per = v.files().select("id", "repository_id").join(s, "id", "left").join(v.repositories().withColumnRenamed("id", "repository_id"), "repository_id")
-    n = F.coalesce("n", F.lit(0))
-    return per.groupBy("name").agg(F.count_if(n == 0).alias("unused"), F.count_if(n >= 3).alias("saturated"))
+@_query("SELECT id, ['acme-' || id, '', 'next.' || id][id % 3 + 1] AS owner, ['repo_' || id, '', 'js.lib-' || id][id % 3 + 1] AS name FROM named")
+def q_C04_github_owner(v):
+    k = F.col("id").cast("string")
+    kinds = F.array(F.concat(F.lit(" https://github.com/acme-"), k, F.lit("/repo_"), k, F.lit(".git ")), F.concat(F.lit("https://example.org/a/b"), k), F.concat(F.lit("git@github.com:next."), k, F.lit("/js.lib-"), k))
+    owner, name = stats.github_owner(F.element_at(kinds, (F.col("id") % 3 + 1).cast("int")))
+    return v.named_files().select("id", owner.alias("owner"), name.alias("name"))
 
 
-@_query("SELECT page_id, CASE WHEN contains(url, '/pull/') THEN true ELSE false END AS is_pr, regexp_extract(url, '://([^/?#]+)/([^/?#.]+)', 2) AS repo FROM pages")
-def q_C08_pull_flag(v):
-    return v.t("pages").select("page_id", stats.is_pull(F.col("url")).alias("is_pr"), F.regexp_extract("url", r"://([^/?#]+)/([^/?#.]+)", 2).alias("repo"))
+@_query("SELECT id, path, regexp_replace(path, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM named")
+def q_C02_safe_name(v):
+    return v.named_files().select("id", "path", stats.safe_name(F.col("path")).alias("safe"))
 
 
-@_query("SELECT id, CASE WHEN loc % 101 >= 90 THEN 'A+' WHEN loc % 101 >= 80 THEN 'A' WHEN loc % 101 >= 70 THEN 'B' WHEN loc % 101 >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN loc % 101 >= 85 THEN 'emerald' WHEN loc % 101 >= 70 THEN 'blue' WHEN loc % 101 >= 50 THEN 'amber' ELSE 'red' END AS band FROM files")
-def q_C21_score_bands(v):
-    return v.files().select("id", graph.grade(F.col("loc") % 101).alias("grade"), graph.score_band(F.col("loc") % 101).alias("band"))
+@_query("SELECT id, path AS shown FROM named")
+def q_C01_slash_path(v):
+    return v.named_files().select("id", stats.slash_path(F.concat(F.lit(".\\"), F.translate("path", "/", "\\"))).alias("shown"))
 
 
-@_query("SELECT f.path || ':12-14' AS cite, f.id FROM files f")
-def q_F15_cited_nodes(v):
-    files = v.files().select("id", "path")
-    return stats.cited_nodes(files.select(F.concat("path", F.lit(":12-14")).alias("cite")), files)
+@_query("SELECT id, CASE WHEN id % 2 = 0 THEN 'L' || loc ELSE 'L' || loc || '-' || (loc + id) END AS shown FROM named")
+def q_C07_line_range(v):
+    last = F.when(F.col("id") % 4 == 0, F.col("loc")).when(F.col("id") % 2 == 1, F.col("loc") + F.col("id"))
+    return v.named_files().select("id", stats.line_range(F.col("loc"), last).alias("shown"))
 
 
-# --- set operations, rankings and scalars ------------------------------------------------
+@_query("SELECT id, path, CASE WHEN id % 3 > 0 THEN loc END AS first, CASE id % 3 WHEN 1 THEN loc WHEN 2 THEN loc + 7 END AS last FROM named")
+def q_C20_location(v):
+    loc = F.col("loc").cast("string")
+    tail = F.when(F.col("id") % 3 == 1, F.concat(F.lit(":"), loc)).when(F.col("id") % 3 == 2, F.concat(F.lit(":"), loc, F.lit("-"), (F.col("loc") + 7).cast("string"))).otherwise("")
+    path, first, last = stats.location(F.concat(F.col("path"), tail))
+    return v.named_files().select("id", path.alias("path"), first.alias("first"), last.alias("last"))
 
 
-@_query("SELECT src AS id FROM edges INTERSECT SELECT dst FROM edges")
-def q_O02_intersection(v):
-    return v.edges().select(F.col("src").alias("id")).intersect(v.edges().select("dst"))
+@_query("SELECT id, CASE WHEN id % 12 = 8 THEN '/api/c' || id ELSE path END AS endpoint, id % 12 IN (6, 8) AS is_route, CASE id % 3 WHEN 0 THEN 'GET, POST' WHEN 1 THEN 'DELETE' ELSE 'GET/POST' END AS methods FROM named")
+def q_C11_C12_F12_routes(v):
+    source = F.element_at(F.array(F.lit("export function POST() {}\nexport async  function GET() {}\nexport function GET() {}"), F.lit("export async function DELETE(r) {}"), F.lit("function PUT() {}")), (F.col("id") % 3 + 1).cast("int"))
+    path = F.col("path")
+    return v.named_files().select("id", stats.endpoint(path).alias("endpoint"), stats.is_route(path).alias("is_route"), stats.route_methods(source).alias("methods"))
 
 
-@_query("SELECT src AS id FROM edges EXCEPT ALL SELECT dst FROM edges")
-def q_O03_difference(v):
-    return v.edges().select(F.col("src").alias("id")).exceptAll(v.edges().select("dst"))
+@_query("SELECT id, format('{:,}', loc) AS loc, printf('%.1f', round(loc / (SELECT sum(loc) FROM named) * 100, 1)) AS share FROM named")
+def q_C17_number_formats(v):
+    files = v.named_files()
+    total = files.agg(F.sum("loc")).scalar()
+    return files.select("id", stats.thousands(F.col("loc")).alias("loc"), stats.percent(F.col("loc"), total).alias("share"))
 
 
-@_query("SELECT repository_id, id, CAST(row_number() OVER (PARTITION BY repository_id ORDER BY coalesce(d, 0) DESC, id) AS INTEGER) AS place FROM files f LEFT JOIN (SELECT dst, count(*) AS d FROM edges GROUP BY 1) i ON i.dst = f.id")
-def q_R12_cluster_order(v):
-    d = graph.degrees(v.edges(), v.files()).select("id", "in_degree").join(v.files().select("id", "repository_id"), "id")
-    return d.select("repository_id", "id", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("in_degree"), "id")).alias("place"))
+@_query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN greatest(2, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER)) WHEN 1 THEN 7 ELSE 2 END AS n, event_id % 4 < 2 AS flag FROM events")
+def q_C14_loose_values(v):
+    number = F.element_at(F.array(F.concat(F.lit(" "), F.regexp_extract("props", r"(\d+)", 1)), F.col("props"), F.lit("-5")), (F.col("event_id") % 3 + 1).cast("int"))
+    word = F.element_at(F.array(F.lit("True"), F.lit(" yes"), F.lit("no"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
+    return v.t("events").select(F.col("event_id").alias("id"), stats.loose_number(number, 7, 2).alias("n"), stats.loose_flag(word).alias("flag"))
+
+
+@_query("SELECT id, path, loc FROM named WHERE repository_id = 7")
+def q_S16_repository_scan(v):
+    return stats.of_repository(v.named_files(), 7).select("id", "path", "loc")
+
+
+# --- plain relational forms ---------------------------------------------------------------------
+
+
+@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE line <= 3", _LINES.split(",\nkept")[0])
+def q_S18_snippets(v):
+    return _long(text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id")).where("line <= 3"), "line")
 
 
 @_query(
-    """SELECT repository, doc_id, CAST(row_number() OVER (PARTITION BY repository ORDER BY CASE WHEN contains(lower(path), 'readme') THEN 0 WHEN contains(lower(path), 'package') OR contains(lower(path), 'pyproject') THEN 1
-WHEN contains(lower(path), 'contributing') THEN 2 ELSE 3 END, lower(path)) AS INTEGER) AS place FROM docs"""
+    """SELECT id, path, level FROM (SELECT id, path, CASE WHEN path = 'src/brand_7' THEN 1 WHEN suffix(path, 'src/brand_7') THEN 2 WHEN starts_with(path, 'src/brand_7/') THEN 3 WHEN contains(path, 'src/brand_7') THEN 4 END AS level, loc FROM parts) x
+WHERE level IS NOT NULL ORDER BY level, -loc, path LIMIT 1"""
 )
-def q_R07_document_order(v):
-    low = F.lower("path")
-    rank = F.when(F.contains(low, F.lit("readme")), 0).when(F.contains(low, F.lit("package")) | F.contains(low, F.lit("pyproject")), 1).when(F.contains(low, F.lit("contributing")), 2).otherwise(3)
-    return v.documents().select("repository", "doc_id", F.row_number().over(Window.partitionBy("repository").orderBy(rank, low)).alias("place"))
+def q_R10_file_detail(v):
+    return resolve.resolve_detail(v.parts(), "src\\brand_7/:12")
 
 
-@_query("SELECT d.doc_id AS number, CASE WHEN l.quality = 1 THEN 'open' ELSE 'closed' END AS state, coalesce(l.toxic = 1, false) AS is_pr, array_to_string(string_split(d.source, 'c'), '|') AS labels FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def q_R08_issues(v):
-    d, lab = v.t("documents").select("doc_id", "source"), v.t("labels")
-    url = F.when(F.col("toxic") == 1, "https://x/pull/1").when(F.col("toxic") == 0, "https://x/issues/1")
-    issues = d.join(lab, "doc_id", "left").select(F.col("doc_id").alias("number"), F.lit("").alias("title"), F.when(F.col("quality") == 1, "open").otherwise("closed").alias("state"), F.split("source", "c").alias("labels"), url.alias("url"), F.lit(None).cast("array<string>").alias("linked_files"))
-    return stats.issues_of(issues).select("number", "state", "is_pr", F.array_join("labels", "|").alias("labels"))
+@_query("SELECT f.id AS file_id, coalesce(s.name, 'external') AS symbol FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent'")
+def q_J03_left_label(v):
+    s = v.symbols().where("kind = 'urgent'").select("file_id", "name")
+    f = v.files().select(F.col("id").alias("file_id"))
+    return f.join(s, "file_id", "left").select("file_id", F.coalesce("name", F.lit("external")).alias("symbol"))
 
 
-@_query("SELECT count(*) AS issues, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains(string_split(d.text, ' '), 'the')")
-def q_F07_array_membership(v):
-    both = v.t("documents").join(v.t("labels"), "doc_id").where(F.array_contains(F.split("text", " "), "the"))
-    return both.agg(F.count("*").alias("issues"), F.count_if(F.col("quality") == 0).alias("closed"))
+@_query("SELECT DISTINCT f.id, f.path FROM files f JOIN edges e ON e.src = f.id")
+def q_J04_reverse_dependents(v):
+    return v.files().join(v.edges().select(F.col("src").alias("id")), "id").select("id", "path").distinct()
 
 
-@_query("SELECT e.src, e.dst FROM edges e JOIN files a ON a.id = e.src JOIN files b ON b.id = e.dst WHERE a.repository_id < 5 OR b.repository_id < 5")
-def q_F14_edges_of_subsystems(v):
-    chosen = v.files().where("repository_id < 5").select("id")
-    a = v.edges().join(chosen.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
-    return a.union(v.edges().join(chosen.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")).distinct()
+@_query("SELECT id, path FROM files f WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.kind = 'urgent')")
+def q_J05_semi(v):
+    return v.files().join(v.symbols().where("kind = 'urgent'").select(F.col("file_id").alias("id")), "id", "left_semi").select("id", "path")
 
 
-@_query("SELECT page_id, contains(url, '.html') OR contains(url, '/api/') AS is_route, '/' || split_part(url, 'example.', 2) AS endpoint FROM pages WHERE contains(url, 'example.')")
-def q_F12_route_predicate(v):
+@_query("SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.line_start > 900)")
+def q_J06_anti(v):
+    return v.files().join(v.symbols().where("line_start > 900").select(F.col("file_id").alias("id")), "id", "left_anti").select("id", "path")
+
+
+@_query("SELECT page_id, split_part(url, '/', 4) AS first, CASE WHEN contains(url, '/en/') THEN 'Authentication & User Session Management' ELSE 'other' END AS kind, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM pages")
+def q_C02_path_parts(v):
     url = F.col("url")
-    return v.t("pages").where(F.contains(url, F.lit("example."))).select("page_id", (F.contains(url, F.lit(".html")) | F.contains(url, F.lit("/api/"))).alias("is_route"), F.concat(F.lit("/"), F.split_part(url, F.lit("example."), F.lit(2))).alias("endpoint"))
+    return v.t("pages").select("page_id", F.split_part(url, F.lit("/"), F.lit(4)).alias("first"), F.when(F.contains(url, F.lit("/en/")), "Authentication & User Session Management").otherwise("other").alias("kind"), stats.safe_name(url).alias("safe"))
 
 
-@_query("SELECT id, path, loc FROM files WHERE repository_id = 7")
-def q_S16_repository_scan(v):
-    return v.files().where("repository_id = 7").select("id", "path", "loc")
+@_query(
+    """SELECT repository_id, CAST(position AS INTEGER) AS position, '| **' || upper(left(language, 1)) || lower(substr(language, 2)) || '** | ' || loc || ' | ' || printf('%.1f', share) || '% |' AS line FROM (
+SELECT repository_id, language, sum(loc) AS loc, round(sum(loc) / sum(sum(loc)) OVER (PARTITION BY repository_id) * 100, 1) AS share, row_number() OVER (PARTITION BY repository_id ORDER BY sum(loc) DESC, language) AS position FROM files GROUP BY 1, 2) x"""
+)
+def q_A07_report_languages(v):
+    lines = report.report(v.repositories(), v.files(), v.symbols(), v.edges()).where("section = 2 and position > 2")
+    return lines.select("repository_id", (F.col("position") - 2).cast("int").alias("position"), F.regexp_replace("line", r"(?<=\d),(?=\d)", "").alias("line"))
 
 
-@_query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'python' WHEN p_size % 4 = 1 THEN 'typescript' WHEN p_size % 4 = 2 THEN 'javascript' END AS language FROM part")
-def q_S02_language(v):
-    from ..sources.walk import language
+@_query("SELECT name, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS saturated FROM (SELECT f.repository_id, f.id, count(s.id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent' GROUP BY 1, 2) x JOIN repositories r ON r.id = x.repository_id GROUP BY name")
+def q_G15_quality_counters(v):
+    s = v.symbols().where("kind = 'urgent'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
+    per = v.files().select("id", "repository_id").join(s, "id", "left").join(v.repositories().withColumnRenamed("id", "repository_id"), "repository_id")
+    n = F.coalesce("n", F.lit(0))
+    return per.groupBy("name").agg(F.count_if(n == 0).alias("unused"), F.count_if(n >= 3).alias("saturated"))
 
-    kind = F.element_at(F.array(*map(F.lit, (".py", ".TSX", ".mjs", ".md"))), F.col("p_size") % 4 + 1)
-    return v.t("part").withColumn("path", F.concat(F.lit("a.b/x"), kind)).select(F.col("p_partkey").alias("id"), language(F.col("path")).alias("language"))
 
+@_query("SELECT src AS id FROM edges INTERSECT SELECT dst FROM edges")
+def q_O02_intersection(v):
+    return v.edges().select(F.col("src").alias("id")).intersect(v.edges().select("dst"))
 
-@_query("SELECT id, format('{:,}', loc) AS loc, replace(path, '/', '.') AS dotted, printf('%.1f', loc / 7.0) AS share FROM files")
-def q_C17_number_formats(v):
-    return v.files().select("id", F.format_number("loc", 0).alias("loc"), F.translate("path", "/", ".").alias("dotted"), F.format_string("%.1f", F.col("loc") / 7.0).alias("share"))
+
+@_query("SELECT count(*) AS issues, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains(string_split(d.text, ' '), 'the')")
+def q_F07_array_membership(v):
+    both = v.t("documents").join(v.t("labels"), "doc_id").where(F.array_contains(F.split("text", " "), "the"))
+    return both.agg(F.count("*").alias("issues"), F.count_if(F.col("quality") == 0).alias("closed"))
 
 
-@_query("SELECT part, count(*) AS count FROM (SELECT language AS part FROM parts) x GROUP BY part")
-def q_G13_hulls(v):
-    return report.hulls(report.layout(v.edges().where("false"), v.parts(), "language")).select("part", "count")
+@_query("SELECT page_id, contains(url, '.html') OR contains(url, '/api/') AS is_route, '/' || split_part(url, 'example.', 2) AS endpoint FROM pages WHERE contains(url, 'example.')")
+def q_F12_route_predicate(v):
+    url = F.col("url")
+    return v.t("pages").where(F.contains(url, F.lit("example."))).select("page_id", (F.contains(url, F.lit(".html")) | F.contains(url, F.lit("/api/"))).alias("is_route"), F.concat(F.lit("/"), F.split_part(url, F.lit("example."), F.lit(2))).alias("endpoint"))
 
 
 @_query("SELECT event_id AS id, CASE WHEN try_cast(regexp_extract(props, '(\\d+)', 1) AS INTEGER) > 50 THEN true ELSE false END AS flag FROM events")
 def q_C14_loose_numbers(v):
     number = F.regexp_extract("props", r"(\d+)", 1).try_cast("int")
     return v.t("events").select(F.col("event_id").alias("id"), F.coalesce(number > 50, F.lit(False)).alias("flag"))
-
-
-@_query("SELECT author, strftime(date, '%Y-%m-%d') AS day, count(*) AS commits FROM commits GROUP BY 1, 2")
-def q_G05_activity_by_day(v):
-    return v.commits().groupBy("author", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("commits"))

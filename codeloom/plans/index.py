@@ -2,6 +2,8 @@
 
 A snapshot is a folder of Parquet tables written in full before a small pointer file
 names it current, so readers never meet half of one and a failed run changes nothing.
+Folders are reached through Hadoop's file systems, so a store may lie in any that Spark
+reads. The snapshot before the current one stays for its readers; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import resolve, text
+from ..operators.steps import numbered
 from ..schema import TABLES
 from ..sources import parse, walk
 
@@ -33,11 +36,6 @@ class Progress:
     completed: datetime | None = None
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Deterministic ids from 1 within a repository, by ``order``."""
-    return df.withColumn("id", F.row_number().over(Window.partitionBy("repository_id").orderBy(*order)).cast("long"))
-
-
 def symbol_rows(parsed: DataFrame) -> DataFrame:
     """Symbols with ids and, for methods, the id of their class."""
     rows = parsed.select("repository_id", "file_id", F.posexplode("symbols").alias("at", "s")).select("repository_id", "file_id", "at", "s.*")
@@ -63,55 +61,103 @@ def reference_rows(lines: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
     return hits.join(owner, "symbol_id").select("repository_id", F.lit("file").alias("source_type"), F.col("file_id").alias("source_id"), F.lit("symbol").alias("target_type"), F.col("symbol_id").alias("target_id"), F.lit(None).cast("string").alias("target_label"), F.lit("references").alias("edge_type"))
 
 
+class Folders:
+    """The few file operations of a store, by Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def path(self, where: str):
+        return self.jvm.org.apache.hadoop.fs.Path(where)
+
+    def exists(self, where: str) -> bool:
+        return self.path(where).getFileSystem(self.conf).exists(self.path(where))
+
+    def names(self, where: str) -> list[str]:
+        at = self.path(where)
+        fs = at.getFileSystem(self.conf)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def read(self, where: str) -> str | None:
+        at = self.path(where)
+        fs = at.getFileSystem(self.conf)
+        if not fs.exists(at):
+            return None
+        stream = fs.open(at)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+
+    def replace(self, where: str, content: str) -> None:
+        """A small file written beside its place and renamed over it."""
+        new, at = self.path(f"{where}.{uuid.uuid4().hex}"), self.path(where)
+        stream = new.getFileSystem(self.conf).create(new, True)
+        stream.writeUTF(content)
+        stream.close()
+        options = self.jvm.org.apache.hadoop.fs.Options
+        array = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        array[0] = getattr(options, "Rename").OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.conf).rename(new, at, array)
+
+    def delete(self, where: str) -> None:
+        self.path(where).getFileSystem(self.conf).delete(self.path(where), True)
+
+
 class Store:
     """Tables of all repositories below one folder, a snapshot for each repository."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.folders = spark, root.rstrip("/"), Folders(spark)
 
-    def _pointer(self, repository_id: int) -> str:
-        return os.path.join(self.root, f"repository={repository_id}", "CURRENT")
+    def _home(self, repository_id: int) -> str:
+        return f"{self.root}/repository={repository_id}"
 
     def snapshot(self, repository_id: int) -> str | None:
-        try:
-            with open(self._pointer(repository_id)) as f:
-                return os.path.join(self.root, f"repository={repository_id}", f.read().strip())
-        except OSError:
-            return None
+        name = self.folders.read(f"{self._home(repository_id)}/CURRENT")
+        return None if name is None else f"{self._home(repository_id)}/{name}"
 
     def repositories(self) -> list[int]:
-        names = os.listdir(self.root) if os.path.isdir(self.root) else []
-        return sorted(int(x.split("=")[1]) for x in names if x.startswith("repository=") and self.snapshot(int(x.split("=")[1])))
+        found = (int(x.split("=")[1]) for x in self.folders.names(self.root) if x.startswith("repository="))
+        return sorted(k for k in found if self.snapshot(k))
 
     def read(self, table: str, repository_id: int | None = None) -> DataFrame:
         ids = self.repositories() if repository_id is None else [repository_id]
-        paths = [p for p in (os.path.join(s, table) for s in map(self.snapshot, ids) if s) if os.path.isdir(p)]
+        paths = [p for p in (f"{s}/{table}" for s in map(self.snapshot, ids) if s) if self.folders.exists(p)]
         reader = self.spark.read.schema(TABLES[table])
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
 
+    @staticmethod
+    def _typed(table: str, df: DataFrame) -> DataFrame:
+        kinds = [x.split() for x in TABLES[table].split(", ")]
+        return df.select(*(F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds))
+
     def write(self, repository_id: int, tables: dict[str, DataFrame]) -> None:
-        name = uuid.uuid4().hex
-        where = os.path.join(self.root, f"repository={repository_id}", name)
+        before, name = self.snapshot(repository_id), uuid.uuid4().hex
         for table, df in tables.items():
-            kinds = [x.split() for x in TABLES[table].split(", ")]
-            df.select(*(F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in kinds)).write.parquet(os.path.join(where, table))
-        pointer = self._pointer(repository_id)
-        with open(pointer + ".new", "w") as f:
-            f.write(name)
-        os.replace(pointer + ".new", pointer)
+            self._typed(table, df).write.parquet(f"{self._home(repository_id)}/{name}/{table}")
+        self.folders.replace(f"{self._home(repository_id)}/CURRENT", name)
+        keep = {"CURRENT", name, before.rsplit("/", 1)[-1] if before else name}
+        for old in self.folders.names(self._home(repository_id)):
+            if old not in keep and "." not in old:
+                self.folders.delete(f"{self._home(repository_id)}/{old}")
 
     def append(self, repository_id: int, table: str, rows: DataFrame) -> None:
         """Add rows, such as chat messages, to the current snapshot."""
         where = self.snapshot(repository_id)
         if where is None:
             raise KeyError(repository_id)
-        kinds = [x.split() for x in TABLES[table].split(", ")]
-        rows.select(*(F.col(c).cast(k) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in kinds)).write.mode("append").parquet(os.path.join(where, table))
+        self._typed(table, rows).write.mode("append").parquet(f"{where}/{table}")
 
     def delete(self, repository_id: int) -> None:
-        """Forget a repository: its pointer goes, so no reader finds its tables."""
-        if self.snapshot(repository_id):
-            os.remove(self._pointer(repository_id))
+        """Forget a repository: first its pointer, so that no reader finds its tables, then chats, derived tables and all else."""
+        where = self.snapshot(repository_id)
+        if where is None:
+            return
+        self.folders.delete(f"{self._home(repository_id)}/CURRENT")
+        for table in ("chat_messages", "chat_sessions"):
+            self.folders.delete(f"{where}/{table}")
+        self.folders.delete(self._home(repository_id))
 
 
 def index_repository(store: Store, root: str, repository_id: int, *, name: str | None = None, issues: str | None = None, progress: Callable[[Progress], None] | None = None) -> Progress:
@@ -125,7 +171,7 @@ def index_repository(store: Store, root: str, repository_id: int, *, name: str |
 
     try:
         at("source")
-        name = name or os.path.basename(root.rstrip("/")).removesuffix(".git")
+        name = name or os.path.basename(root.strip().rstrip("/\\").replace("\\", "/")).removesuffix(".git")
         at("clear")
         at("walk")
         listed = numbered(walk.source_files(spark, root, repository_id), "path").cache()
@@ -162,6 +208,8 @@ def index_repository(store: Store, root: str, repository_id: int, *, name: str |
         }
         store.write(repository_id, tables)
         state.counts = {t: store.read(t, repository_id).count() for t in tables}
+        tally = text.import_tallies(store.read("edges", repository_id)).drop("repository_id").first()
+        state.counts |= {f"imports_{k}": n for k, n in (tally.asDict() if tally else {}).items()}
         state.stage, state.completed = "ready", datetime.now()
     except Exception as e:
         state.stage, state.error, state.completed = "failed", str(e), datetime.now()

@@ -1,8 +1,7 @@
-"""Files of a code tree: discovery on the driver, contents read by tasks.
+"""Files of a code tree, listed and read by tasks.
 
 Spark's file sources pass over names that start with ``_`` or ``.``, and with them
-every package's ``__init__.py``; a tree is therefore listed here and only the list
-of names is turned into rows. On a cluster the tree must be on storage that all
+every package's ``__init__.py``; a tree is therefore walked here. On a cluster the tree must be on storage that all
 machines share.
 """
 
@@ -17,25 +16,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.stats import document_rank
 from ..operators.text import line_count
 
 # Directories that are never entered.
 PRUNED = frozenset(
-    (
-        ".git .hg .svn .bzr __pycache__ venv .venv env .env node_modules bower_components jspm_packages build dist _build out target .output "
-        ".next .nuxt .svelte-kit .turbo .vercel .cache .eggs eggs .mypy_cache .ruff_cache .pytest_cache .tox .nox htmlcov coverage .idea .vscode"
-    ).split()
-)
+    {
+        ".git", ".hg", ".svn", ".bzr", "__pycache__", "venv", ".venv", "env", ".env", "node_modules", "bower_components", "jspm_packages", "build", "dist", "_build", "out", "target", ".output", ".next", ".nuxt", ".svelte-kit", ".turbo", ".vercel", ".cache", ".eggs", "eggs", ".mypy_cache", ".ruff_cache", ".pytest_cache", ".tox", ".nox", "htmlcov", "coverage", ".idea", ".vscode",
+    }
+)
 # Languages by file extension.
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
 # Extensions that line search reads.
 SEARCHED = (".py", ".ts", ".tsx", ".js", ".jsx", ".json", ".md", ".yaml", ".yml")
 # Documentation names at the root, directories, extensions and name parts; directories that the scan doesn't enter.
-DOC_NAMES = frozenset("readme.md readme.rst readme.txt readme contributing.md contributing.rst contributing.txt contributing license.md architecture.md changelog.md".split())
-DOC_DIRS = frozenset("docs doc documentation".split())
+DOC_NAMES = frozenset({"readme.md", "readme.rst", "readme.txt", "readme", "contributing.md", "contributing.rst", "contributing.txt", "contributing", "license.md", "architecture.md", "changelog.md"})
+DOC_DIRS = frozenset({"docs", "doc", "documentation"})
 DOC_SUFFIXES = (".md", ".markdown", ".rst", ".txt")
 DOC_PARTS = ("readme", "contributing", "guide", "spec", "architecture")
-DOC_PRUNED = frozenset("node_modules venv .venv __pycache__ build dist .next .nuxt .turbo .vercel .output".split())
+DOC_PRUNED = frozenset({"node_modules", "venv", ".venv", "__pycache__", "build", "dist", ".next", ".nuxt", ".turbo", ".vercel", ".output"})
 MAX_BYTES = 1 << 20
 MAX_DOC_CHARS = 5 << 20
 PATHS = "repository_id long, root string, path string, bytes long, mtime double"
@@ -50,12 +49,10 @@ def language(path):
     return out
 
 
-def list_tree(spark: SparkSession, root: str, repository_id: int, *, pruned=PRUNED, dot_dirs: bool = True) -> DataFrame:
-    """(repository_id, root, path, bytes, mtime) of all files below ``root`` outside pruned directories."""
-    if not os.path.isdir(root):
-        raise NotADirectoryError(root)
-    rows = []
-    for here, dirs, names in os.walk(root):
+def _below(root: str, start: str, pruned, dot_dirs: bool, deep: bool):
+    """(path, bytes, mtime) of the files below ``start``, and its sub-directories where they aren't entered (``deep`` false)."""
+    files, folders = [], []
+    for here, dirs, names in os.walk(os.path.join(root, start)):
         dirs[:] = sorted(d for d in dirs if d not in pruned and (dot_dirs or not d.startswith(".")))
         for name in sorted(names):
             full = os.path.join(here, name)
@@ -63,8 +60,38 @@ def list_tree(spark: SparkSession, root: str, repository_id: int, *, pruned=PRUN
                 info = os.stat(full)
             except OSError:
                 continue
-            rows.append((repository_id, root, Path(full).relative_to(root).as_posix(), info.st_size, info.st_mtime))
-    return spark.createDataFrame(rows, PATHS)
+            files.append((Path(full).relative_to(root).as_posix(), info.st_size, info.st_mtime))
+        if not deep:
+            folders = [os.path.join(start, d) for d in dirs]
+            break
+    return files, folders
+
+
+def list_tree(spark: SparkSession, root: str, repository_id: int, *, pruned=PRUNED, dot_dirs: bool = True) -> DataFrame:
+    """(repository_id, root, path, bytes, mtime) of all files below ``root`` outside pruned directories.
+
+    The driver lists two levels; tasks list what lies below, a directory of the second level each.
+    """
+    if not os.path.isdir(root):
+        raise NotADirectoryError(root)
+    found, first = _below(root, "", pruned, dot_dirs, False)
+    second: list[str] = []
+    for folder in first:
+        files, below = _below(root, folder, pruned, dot_dirs, False)
+        found, second = found + files, second + below
+    where = [F.lit(repository_id).cast("long").alias("repository_id"), F.lit(root).alias("root"), "path", "bytes", "mtime"]
+    rows = spark.createDataFrame(found, "path string, bytes long, mtime double")
+    if second:
+
+        def walk(batches):
+            for pdf in batches:
+                files = [x for start in pdf["start"] for x in _below(root, start, pruned, dot_dirs, True)[0]]
+                yield pd.DataFrame(files, columns=["path", "bytes", "mtime"])
+
+        tasks = max(1, min(len(second), 4 * spark.sparkContext.defaultParallelism))
+        starts = spark.createDataFrame([(x,) for x in second], "start string").repartition(tasks)
+        rows = rows.unionAll(starts.mapInPandas(walk, "path string, bytes long, mtime double"))
+    return rows.select(*where)
 
 
 def _read(batches):
@@ -140,9 +167,7 @@ def documents(spark: SparkSession, root: str, repository_id: int) -> DataFrame:
     stand_in = told.select("repository_id", "path", F.concat(F.lit("Package Configuration ("), "path", F.lit(")")).alias("title"), summary.alias("content"))
     if found.where(F.contains(F.lower("path"), F.lit("readme"))).isEmpty():
         found = found.unionAll(stand_in)
-    low = F.lower("path")
-    rank = F.when(F.contains(low, F.lit("readme")), 0).when(F.contains(low, F.lit("package")) | F.contains(low, F.lit("pyproject")), 1).when(F.contains(low, F.lit("contributing")), 2).otherwise(3)
-    return found.orderBy(rank, low)
+    return found.orderBy(document_rank(F.col("path")), F.lower("path"))
 
 
 def git_log(spark: SparkSession, root: str, repository_id: int, *, max_commits: int = 500) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import graph, report, resolve, stats, text
+from codeloom.operators import evidence, graph, report, resolve, stats, text, tools
+from codeloom.operators.steps import numbered
 
 EDGES = [(1, 2), (1, 3), (2, 4), (3, 4), (5, 1)]
 FILES = [(1, "pkg/__init__.py"), (2, "pkg/helpers.py"), (3, "pkg/models.py"), (4, "pkg/utils.py"), (5, "tools/run.py")]
@@ -60,7 +62,7 @@ def test_modules(spark, files):
 
 def test_cycles_and_core(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6), (4, 3)], "src long, dst long")
-    assert [r.nodes for r in graph.cycles(e, 6).collect()] == [[6], [3, 4], [1, 2, 3]]
+    assert [r.nodes for r in graph.cycles(e).collect()] == [[6], [3, 4], [1, 2, 3]]
     assert {tuple(r) for r in graph.cyclic_core(e).collect()} == {(1, 2), (2, 3), (3, 1), (3, 4), (4, 3), (6, 6)}
     assert graph.cycles(spark.createDataFrame(EDGES, "src long, dst long")).count() == 0
 
@@ -156,12 +158,146 @@ def test_scalars(spark):
 
 
 def test_report_and_fallback(spark, edges, files):
-    assert report.search_terms("Where is authentication") == ["Where is authentication", "Where", "auth"]
-    got = report.fallback_search(files, "zzz helpers").collect()
-    assert [(r.term, r.id) for r in got] == [("helpers", 2)]
+    assert tools.search_terms("Where is authentication") == ("Where is authentication", None, ["where", "auth"])
+    assert tools.search_terms(" Database") == (" Database", "db", []) and tools.search_terms("user-auth") == ("user-auth", None, [])
+    find = lambda t: text.search_files(files, t).select("id", "path")
+    assert [(r.term, r.id) for r in tools.fallback(find, "zzz helpers").collect()] == [("helpers", 2)]
+    assert [r.id for r in tools.fallback(find, "zzz-helpers").collect()] == []  # words are what spaces part
+    assert {r.term for r in tools.fallback(find, "pkg helpers").collect()} == {"pkg", "helpers"}
+    assert {r.term for r in tools.fallback(find, "pkg helpers", enough=4).collect()} == {"pkg"}
+    many = files.unionAll(files.withColumn("path", F.concat(F.lit("auth/"), "path")))
+    assert {r.term for r in tools.fallback(lambda t: text.search_files(many, t).select("id"), "Authentication").collect()} == {"auth"}
     repos = spark.createDataFrame([(1, "demo")], "id long, name string")
     symbols = spark.createDataFrame([(1, 1)], "id long, file_id long")
     lines = report.report(repos, files.withColumn("language", F.lit("python")), symbols, edges).orderBy("section", "position").collect()
+    assert (lines[4].line, lines[4].position) == ("- **API Endpoints:** 0", 5) and lines[5].line.startswith("| Language |")
     assert lines[0].line == "# Architecture Report: demo" and any("| #1 | `pkg/utils.py` | 0.500 |" in r.line for r in lines) and any(r.line == "| **Python** | 150 | 100.0% |" for r in lines)
     spots = report.layout(edges, files.withColumn("subsystem", F.lit("a")))
     assert spots.count() == 5 and report.hulls(spots.withColumnRenamed("subsystem", "part")).first()["count"] == 5
+
+
+def simple_cycles(links):
+    """All simple cycles, by walks over nodes larger than their first."""
+    out = set()
+
+    def go(first, path):
+        for a, b in links:
+            if a == path[-1]:
+                if b == first:
+                    out.add(tuple(path))
+                elif b > first and b not in path:
+                    go(first, [*path, b])
+
+    for a in {x for e in links for x in e}:
+        go(a, [a])
+    return out
+
+
+def test_cycles_of_any_length(spark):
+    ring = [(k, (k + 1) % 8) for k in range(8)]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    assert [r.nodes for r in graph.cycles(e).collect()] == [list(range(8))]
+    assert graph.cycles(e, longest=7).count() == 0
+    files = spark.createDataFrame([(k, f"a/{k}.py") for k in range(8)], "id long, path string")
+    row = graph.health(e, files).first()
+    assert (row.cycles, row.score, row.grade) == (1, 85, "A")
+    (shown,) = graph.health_cycles(e, files.where("id < 7")).collect()
+    assert shown.cycle == [*(f"a/{k}.py" for k in range(7)), "file_7"] and shown.length == 8
+    random.seed(2)
+    links = {(random.randrange(9), random.randrange(9)) for _ in range(20)}
+    got = {tuple(r.nodes) for r in graph.cycles(spark.createDataFrame(sorted(links), "src long, dst long"), None).collect()}
+    assert got == simple_cycles(links) and max(map(len, got)) > 4
+    top = [len(r.nodes) for r in graph.cycles(spark.createDataFrame(sorted(links), "src long, dst long")).collect()]
+    assert top == sorted(map(len, got))[:5]
+
+
+def test_linked_paths_against_contains(spark):
+    random.seed(5)
+    paths = ["app/[id]/page.tsx", "src/a b/c.py", "src/a/x.py", "a/x.py", "x.py", "ab", "Ünï/côde.py", "lib/(group)/@slot+1.ts", "README.md", "deep/er/and/deeper.js", "`odd.py", "c/tiny", "d/verylong.name"]
+    bodies = ["see " + p for p in paths] + ["xsrc/a/x.pyc", "`verylong.name`", "`tiny`", "` verylong.name`", "a `b` `page.tsx` c", "page.tsx", "", None, "x`y`z.py`", "nothing", "AB ab.c", "Read README.mdx"]
+    bodies += ["".join(random.choice(["src/", "a/", "x.py", " ", "`", "ab", "page.tsx", "app/[id]/"]) for _ in range(12)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    files = spark.createDataFrame([(p,) for p in [*paths, paths[0], ""]], "path string")
+    got = {r.id: r.linked_files for r in text.linked_paths(rows, files).collect()}
+    for k, body in enumerate(bodies):
+        want = sorted(p for p in paths if p in (body or "") or len(p.split("/")[-1]) > 4 and f"`{p.split('/')[-1]}`" in (body or ""))
+        assert got[k] == (want or None), body
+
+
+@pytest.mark.parametrize("url,want", [("https://github.com/vercel/next.js", ("vercel", "next.js")), (" git@github.com:me/it.git ", ("me", "it")), ("https://github.com/a.b/c-d.git", ("a.b", "c-d")), ("https://example.org/a/b", ("", "")), ("https://github.com/a", ("", ""))])
+def test_github_owner(spark, url, want):
+    assert tuple(spark.range(1).select(*stats.github_owner(F.lit(url))).first()) == want
+
+
+@pytest.mark.parametrize("target,path,level", [("src/flask/app.py:12-14", "src/flask/app.py", 1), ("ask/app.py", "src/flask/app.py", 2), ("app.py", "src/flask/app.py", 2), ("src\\flask/", "src/flask/__init__.py", 3), ("src/big", "src/big/most.py", 3), ("flask/sans", "src/flask/sansio/x.ts", 4), ("flask", "src/flask/__init__.py", 4), ("none", None, 0), (" ", None, 0)])
+def test_loose_paths(spark, target, path, level):
+    rows = [("src/flask/app.py", 9), ("src/flask/__init__.py", 900), ("src/flask/sansio/x.ts", 5), ("src/big/less.py", 1), ("src/big/most.py", 8)]
+    files = spark.createDataFrame([(k, p, n) for k, (p, n) in enumerate(rows)], "id long, path string, loc long")
+    assert [(r.path, r.level) for r in resolve.resolve_detail(files, target).collect()] == ([(path, level)] if path else [])
+
+
+def test_numbered(spark):
+    rows = [(r, k) for r in (1, 2, None) for k in range(30)]
+    random.seed(3)
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "repository_id long, name long").repartition(5)
+    assert sorted((r.repository_id or 0, r.name, r.id) for r in numbered(df, "name").collect()) == sorted((r or 0, k, k + 1) for r, k in rows)
+    assert numbered(df.limit(0), "name").count() == 0
+
+
+def test_wrappers(spark, edges, files):
+    rows = graph.dependencies(edges, files, "pkg/helpers.py", "2").collect()
+    assert {(r.direction, r.path, r.dist) for r in rows} == {("out", "pkg/utils.py", 1), ("in", "pkg/__init__.py", 1), ("in", "tools/run.py", 2)} and rows[0].depth == 2
+    (row,) = graph.dependencies(edges, files, "pkg/helpers.py", -4).collect()
+    assert (row.node_path, row.depth, row.direction) == ("pkg/helpers.py", 0, None)
+    (row,) = graph.dependencies(edges, files, "zzz", "bad").collect()
+    assert tuple(row) == (None, None, 1, None, None, None, None)
+    whole = graph.architecture(edges, files, None, top_k="x").collect()
+    assert {(r.name, r.value) for r in whole if r.part == "module"} == {("pkg", 4.0), ("", 1.0)} and [r.name for r in sorted((r for r in whole if r.part == "key_file"), key=lambda r: r.position)][0] == "pkg/utils.py"
+    near = graph.architecture(edges, files, "pkg/utils.py", radius="1").collect()
+    assert {(r.name, r.other) for r in near if r.part == "edge"} == {("pkg/helpers.py", "pkg/utils.py"), ("pkg/models.py", "pkg/utils.py")} and {r.focus_path for r in near} == {"pkg/utils.py"}
+    assert {r.value for r in near if r.part == "key_file"} == {0.5, 0.25}  # centrality is the whole graph's
+    assert graph.architecture(edges, files, "zzz").count() == 0
+    shown = graph.viewer_nodes(edges, files.withColumn("language", F.lit("python")), "pkg/utils.py").collect()
+    assert {r.path for r in shown} == {"pkg/utils.py", "pkg/helpers.py", "pkg/models.py"}
+    assert (graph.whole_number("7", 1, 0), graph.whole_number(None, 1, 0), graph.whole_number(-3, 1, 0), graph.truth(" Yes"), graph.truth("false"), graph.truth(1)) == (7, 1, 0, True, False, True)
+
+
+def test_file_history_targets(spark):
+    day = lambda d: dt.datetime(2024, 3, d)
+    files = spark.createDataFrame([(1, "a/app.py", day(9)), (2, "b/util.py", None)], "id long, path string, last_modified timestamp_ntz")
+    commits = spark.createDataFrame([(1, "h1", "m", day(1), "Ann"), (2, "h2", "m", day(2), "Bob"), (3, "h3", "m", day(3), "Ann")], "id long, hash string, message string, date timestamp_ntz, author string")
+    touches = spark.createDataFrame([(1, 1), (1, 2), (1, 2)], "file_id long, commit_id long")
+    get = lambda t, **k: tools.file_history(files, commits, touches, t, **k).first()
+    row = get("app.py")
+    assert (row.file_path, row.last_modified) == ("a/app.py", "2024-03-09T00:00:00") and [(c.author, c.commits) for c in row.top_contributors] == [("Ann", 1), ("Bob", 1)] and [c.hash for c in row.recent_commits] == ["h2", "h1"]
+    for target in (None, " ALL ", "*", "the repo", "git"):
+        row = get(target, cap="2")
+        assert row.file_path == "repository_root" and [c.hash for c in row.recent_commits] == ["h3", "h2"] and row.top_contributors[0].commits == 2
+    row = get("zzz")
+    assert (row.file_path, row.last_modified, row.top_contributors, row.recent_commits) == (None, None, [], [])
+    assert get("util.py").recent_commits == [] and get("app.py", cap=-1).recent_commits == []
+
+
+def test_excerpts_and_search(spark):
+    lines = spark.createDataFrame([(1, "a.py", k, f"l{k}") for k in range(1, 60)] + [(2, "b.py", 1, " "), (3, "yarn.lock", 1, "x"), (4, "in/c.py", 1, "c")], "file_id long, path string, line int, text string")
+    paths = spark.createDataFrame([(1, "yarn.lock"), (2, "a.py"), (3, "a.py"), (4, "b.py"), (5, "root/in/c.py"), (6, "never.py")], "position long, path string")
+    got = {r.path: r.snippet for r in tools.excerpts(paths, lines).collect()}
+    assert set(got) == {"a.py", "root/in/c.py"} and got["a.py"].split("\n")[-1] == "l45"
+    assert len(tools.excerpts(paths, lines, files=1, rows=75).first().snippet.split("\n")) == 59
+    with pytest.raises(ValueError):
+        tools.unified_search(lines, lines, lines, "x", "other")
+
+
+def test_evidence(spark):
+    schema = "position long, kind string, path string, name string, symbol_kind string, line_start long, line_end long, docstring string, language string, loc long, text string"
+    hits = spark.createDataFrame([(1, "text", "a.py", None, None, 3, None, None, None, None, "x\r\ny"), (2, "symbol", "b.py", "f", "function", 4, 9, "d" * 200, None, None, None), (3, "file", "c.py", None, None, None, None, None, "python", 7, None)], schema)
+    got = [r.line for r in evidence.evidence(hits).orderBy("section", "position").collect()]
+    assert got == ["- `b.py:L4-9` -- f (function) -- " + "d" * 160 + " …", "- `c.py` (python, 7 LOC)", "- `a.py:3` -- x\ny", "Allowed citation paths: `a.py`, `b.py`, `c.py`"]
+    got = [r.line for r in evidence.evidence(hits, most=1).orderBy("section", "position").collect()]
+    assert got[0] == "((NOTE: 3 hits in total; the first 1 are listed.))" and got[-1] == "Allowed citation paths: `a.py`"
+    assert [r.line for r in evidence.evidence(hits.limit(0)).collect()] == ["Allowed citation paths: (none)"]
+    answers = spark.createDataFrame([(1, "See src/app.py, lib/ and app.py; 1/2 no. x.md")], "id long, answer string")
+    ground = spark.createDataFrame([(1, "src/app.py", 2), (1, "x", 1), (1, "gone.py", 3)], "id long, path string, place int")
+    row = evidence.cited_paths(answers, ground).first()
+    assert row.cited == ["x", "src/app.py", "app.py", "x.md"] and row.ungrounded == ["app.py", "x.md"]

@@ -1,7 +1,9 @@
+import datetime as dt
 import os
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators import text
 from codeloom.plans.index import Store, index_repository
@@ -106,9 +108,10 @@ def tree(tmp_path_factory):
     git = ["git", "-C", str(root), "-c", "user.name=Ann", "-c", "user.email=a@example.org"]
     subprocess.run(["git", "init", "-q", str(root)], check=True)
     subprocess.run([*git, "add", "-A"], check=True)
-    subprocess.run([*git, "commit", "-qm", "Start\n\nbody"], check=True)
+    at = lambda hour: os.environ | {"GIT_AUTHOR_DATE": f"2024-01-01T0{hour}:00:00Z", "GIT_COMMITTER_DATE": f"2024-01-01T0{hour}:00:00Z"}
+    subprocess.run([*git, "commit", "-qm", "Start\n\nbody"], check=True, env=at(1))
     (root / "src/demo/utils.py").write_text(files["src/demo/utils.py"] + "\n")
-    subprocess.run([*git, "commit", "-qam", "Touch utils"], check=True)
+    subprocess.run([*git, "commit", "-qam", "Touch utils"], check=True, env=at(2))
     (root / "issues.json").write_text('[{"number": 3, "title": "t", "state": "open", "labels": [{"name": "bug"}], "html_url": "https://x/pull/3", "body": "in src/demo/app.py and `utils.py`", "updated_at": "2024"}, {"number": 4, "title": "u", "state": "closed", "labels": [], "html_url": null, "body": null, "updated_at": "2023"}]')
     return root
 
@@ -133,7 +136,7 @@ def test_index_repository(spark, tree, tmp_path):
     titles = {r.path: r.title for r in store.read("documents", 7).collect()}
     assert titles == {"README.md": "Demo Project", "docs/guide.rst": "Guide"}
     commits = store.read("commits", 7).orderBy("id").collect()
-    assert [c.message for c in sorted(commits, key=lambda c: len(c.message))] == ["Touch utils", "Start\n\nbody"] and commits[0].author == "Ann"
+    assert [(c.id, c.message, c.date) for c in commits] == [(1, "Start\n\nbody", dt.datetime(2024, 1, 1, 1)), (2, "Touch utils", dt.datetime(2024, 1, 1, 2))] and commits[0].author == "Ann"
     touched = store.read("file_commits", 7).collect()
     assert sum(by_id[t.file_id] == "src/demo/utils.py" for t in touched) == 2
     linked = {r.number: r.linked_files for r in store.read("issues", 7).collect()}
@@ -145,8 +148,19 @@ def test_index_repository(spark, tree, tmp_path):
     with pytest.raises(NotADirectoryError):
         index_repository(store, str(tree / "nowhere"), 7)
     assert store.read("files", 7).count() == 5
+    snapshots = lambda: [x for x in os.listdir(tmp_path / "store" / "repository=7") if x != "CURRENT" and not x.startswith(".")]
+    assert len(snapshots()) == 2
+    store.write(7, {"files": store.read("files", 7), "chat_messages": store.read("chat_messages", 7)})
+    assert store.read("files", 7).count() == 5 and len(snapshots()) == 2 and store.snapshot(7).endswith(tuple(snapshots()))  # the third write removed the first
+    assert state.counts["imports_resolved"] == 3 and state.counts["imports_external"] == 1
+    message = spark.createDataFrame([(1, 1, "user", "hello")], "id long, session_id long, role string, content string")
+    store.append(7, "chat_messages", message)
+    store.append(7, "chat_messages", message.withColumn("content", F.lit("again")))
+    assert sorted(r.content for r in store.read("chat_messages", 7).collect()) == ["again", "hello"]
+    with pytest.raises(KeyError):
+        store.append(8, "chat_messages", message)
     store.delete(7)
-    assert store.repositories() == [] and store.read("files").count() == 0
+    assert store.repositories() == [] and store.read("files").count() == 0 and not (tmp_path / "store" / "repository=7").exists()
 
 
 def test_walk_prunes_and_sees_dunder_files(spark, tree):
