@@ -8,7 +8,9 @@ that is an error), so a lost executor never takes rows with it.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -229,6 +231,26 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return members.unionAll(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+# --- Python workers ------------------------------------------------------------
+
+
+def lean(run):
+    """``run`` for ``mapInArrow`` whose worker hands back unused memory when a task is done: workers wait for their next task beside Spark's heap."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+                if trim is not None:
+                    trim(0)
+
+    return wrapped
+
+
 # --- Arrow batches ------------------------------------------------------------
 
 

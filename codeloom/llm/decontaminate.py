@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, durable, free_name, grams, mix, prepare, table, word_chunks
+from .common import Bitmap, durable, free_name, grams, lean, mix, prepare, table, word_chunks
 
 _U = np.uint64
 
@@ -177,7 +177,7 @@ def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64,
     """(doc_id, fp, item_id, score, end_word) of each document row and item that align; ``fp`` is xxhash64 of the text."""
     prepare(docs.sparkSession)
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    every = durable(tests.mapInArrow(_passages(n, passage), "item_id long, part int, words array<long>, grams array<long>, need int").distinct())
+    every = durable(tests.mapInArrow(lean(_passages(n, passage)), "item_id long, part int, words array<long>, grams array<long>, need int").distinct())
     parts, tiny = every.where("need > 0"), every.where("need = 0")
     seeds = durable(parts.select("item_id", "part", "need", F.explode("grams").alias("gram")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
@@ -185,14 +185,14 @@ def matches(docs: DataFrame, items: DataFrame, *, n: int = 3, passage: int = 64,
     lone = seeds.where("need = 1")
     seed_map, lone_map, keyed = Bitmap(seeds, "gram", seeds.count()), Bitmap(lone, "gram", lone.count()), rows.select("doc_id", F.xxhash64("text").alias("fp"), "text")
     schema = "wid long, doc_id long, fp long, at long, words array<long>"
-    hits = keyed.mapInArrow(_windows(n, passage, seed_map, lone_map, None), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")
+    hits = keyed.mapInArrow(lean(_windows(n, passage, seed_map, lone_map, None)), schema).select("wid", F.explode("words").alias("gram")).join(seeds, "gram")
     hits = durable(hits.groupBy("wid", "item_id", "part").agg(F.count_distinct("gram").alias("hits"), F.max("need").alias("need")).where("hits >= need").select("wid", "item_id", "part"))
-    found = keyed.mapInArrow(_windows(n, passage, seed_map, lone_map, Bitmap(hits, "wid", hits.count())), schema).withColumnRenamed("words", "window")
+    found = keyed.mapInArrow(lean(_windows(n, passage, seed_map, lone_map, Bitmap(hits, "wid", hits.count()))), schema).withColumnRenamed("words", "window")
     pairs = hits.join(found, "wid").join(parts.select("item_id", "part", "words"), ["item_id", "part"])
     pairs = durable(pairs.select("doc_id", "fp", "item_id", "at", "words", "window"))  # a task then feeds one Python worker, not two
-    aligned = pairs.mapInArrow(_align(least, 1 << 16), "doc_id long, fp long, item_id long, score double, end_word long")
+    aligned = pairs.mapInArrow(lean(_align(least, 1 << 16)), "doc_id long, fp long, item_id long, score double, end_word long")
     if not tiny.isEmpty():
-        small = keyed.mapInArrow(_whole(n), "doc_id long, fp long, gram long, end_word long").join(tiny.select("item_id", F.col("grams")[0].alias("gram")), "gram")
+        small = keyed.mapInArrow(lean(_whole(n)), "doc_id long, fp long, gram long, end_word long").join(tiny.select("item_id", F.col("grams")[0].alias("gram")), "gram")
         aligned = aligned.unionAll(small.select("doc_id", "fp", "item_id", F.lit(1.0).alias("score"), "end_word"))
     return aligned.groupBy("doc_id", "fp", "item_id").agg(F.max(F.struct("score", "end_word")).alias("top")).select("doc_id", "fp", "item_id", "top.score", "top.end_word")
 

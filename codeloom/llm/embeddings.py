@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, prepare, table
+from .common import components, durable, lean, prepare, table
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, tables: int = 6, fu
     fine = "vec_id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
     classes = durable(rows.where(fine).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")).withColumn("cls", F.monotonically_increasing_id()))
     schema = ", ".join(["t int, label string, dim int, bucket long, cls long, own boolean", *(f"s{k} long" for k in range(tables))])
-    hashed = durable(classes.select("cls", "v", "dim", "label").mapInArrow(_buckets(tables, functions, seed), schema))
+    hashed = durable(classes.select("cls", "v", "dim", "label").mapInArrow(lean(_buckets(tables, functions, seed)), schema))
     x, y = hashed.where("own").alias("x"), hashed.alias("y")
     near = F.lit(True)
     for c in ("t", "label", "dim", "bucket"):
@@ -132,7 +132,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.98, tables: int = 6, fu
     pairs = x.join(y, near).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     left, right = classes.select(F.col("cls").alias("a"), F.col("v").alias("va"), "dim"), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "va", "b", "vb", "dim")
-    return classes, durable(both.mapInArrow(_verify(least), "a long, b long, cosine double"))
+    return classes, durable(both.mapInArrow(lean(_verify(least)), "a long, b long, cosine double"))
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", **options) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, components, durable, mix, overlap, prepare, shingle_sets, slices, stored, table
+from .common import Bitmap, components, durable, lean, mix, overlap, prepare, shingle_sets, slices, stored, table
 
 _U = np.uint64
 WIDE = 16  # 64-bit words of the wide sketch
@@ -222,10 +222,10 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     """The pairs (a, da, b, db) of sets and their documents that are similar; only their texts are shuffled."""
     pairs = durable(pairs)
     ends = pairs.select(F.col("da").alias("doc_id")).unionAll(pairs.select("db")).distinct()
-    texts = texts.mapInArrow(_only(Bitmap(ends, "doc_id", ends.count())), "doc_id long, sid long, text string")
+    texts = texts.mapInArrow(lean(_only(Bitmap(ends, "doc_id", ends.count()))), "doc_id long, sid long, text string")
     left, right = texts.toDF("da", "a", "text_a"), texts.toDF("db", "b", "text_b")
     both = pairs.hint("merge").join(left, ["a", "da"]).join(right, ["b", "db"]).select("da", "text_a", "db", "text_b")
-    return both.mapInArrow(_verify(n, num, den), "a long, b long")
+    return both.mapInArrow(lean(_verify(n, num, den)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,9 +233,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     prepare(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = stored(rows.mapInArrow(_members(n), "doc_id long, sid long, n_shingles long"), "gram-members")
-    published = rows.select("text").where("length(text) > 0").mapInArrow(_publish(n, bands), "key long, sid long")
-    runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_shared, "key long, sid long, n_sets long")
+    members = stored(rows.mapInArrow(lean(_members(n)), "doc_id long, sid long, n_shingles long"), "gram-members")
+    published = rows.select("text").where("length(text) > 0").mapInArrow(lean(_publish(n, bands)), "key long, sid long")
+    runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(lean(_shared), "key long, sid long, n_sets long")
     # a row per set: its shared pieces, bounded by its own size
     sets = durable(runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys")))
 
@@ -243,7 +243,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     chosen = durable(sets.select("sid").join(firsts, "sid"))
     fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
-    found = rows.where("doc_id is not null").mapInArrow(_widen(n, Bitmap(chosen, "doc_id", chosen.count())), fields)
+    found = rows.where("doc_id is not null").mapInArrow(lean(_widen(n, Bitmap(chosen, "doc_id", chosen.count()))), fields)
     wanted = stored(found, "gram-texts")  # some others too, which no join below meets
     texts = wanted.select("doc_id", "sid", "text")
     sketches = durable(wanted.drop("text").join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]))

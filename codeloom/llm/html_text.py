@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, table, texts_of
+from .common import lean, prepare, slices, table, texts_of
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -235,7 +235,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """(page_id, url, text, n_chars) of every row."""
     prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(_run), f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

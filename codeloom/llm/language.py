@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, slices, table, texts_of
+from .common import free_name, lean, prepare, slices, table, texts_of
 
 DIM, GRAM, TRAIN_ROWS, MAX_LANGUAGES = 1024, 3, 20_000, 500
 TEXTS, GRAMS = 512, 8192
@@ -133,7 +133,7 @@ def learn(texts: DataFrame, *, train_rows: int = TRAIN_ROWS, max_languages: int
     n = rows.select("doc_id").count()
     if n > train_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
-    part = rows.select("text", "lang").mapInArrow(_learn, "lang string, v array<double>")
+    part = rows.select("text", "lang").mapInArrow(lean(_learn), "lang string, v array<double>")
     found = part.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     found = found.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("lang").limit(max_languages + 1).collect()
     if len(found) > max_languages:
@@ -152,7 +152,7 @@ def predict(rows: DataFrame, known: dict[str, np.ndarray], text_col: str, drop:
     matrix = np.stack([known[x] for x in names]) if names else np.zeros((0, DIM), np.float32)
     lang, score = free_name(rows, "lang"), free_name(rows, "score")
     schema = T.StructType([*(f for f in rows.schema.fields if f.name not in drop), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return rows.mapInArrow(_predict(names, matrix, text_col, schema.names), schema), lang, score
+    return rows.mapInArrow(lean(_predict(names, matrix, text_col, schema.names)), schema), lang, score
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:

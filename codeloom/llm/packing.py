@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, table
+from .common import lean, prepare, slices, table
 from .tokens import Encoder, default_path
 
 SIZES = (1024, 512, 256, 128)
@@ -164,7 +164,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int
     """One row per piece. ``size`` is the sequence's length, ``step_id`` its step group."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer or default_path(), end_id, tuple(sorted(sizes, reverse=True)), window_ids, step_rows), SCHEMA)
+    return rows.mapInArrow(lean(_packer(tokenizer or default_path(), end_id, tuple(sorted(sizes, reverse=True)), window_ids, step_rows)), SCHEMA)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

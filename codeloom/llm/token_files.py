@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stored, table
+from .common import lean, prepare, slices, stored, table
 from .tokens import Encoder, default_path
 
 SAMPLE = 64
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, *, tokenizer: str | None = None, end_id:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie.asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie.asc(), F.col("text").asc_nulls_first())
-    return stored(dealt.mapInArrow(_blocks(tokenizer or default_path(), end_id, block_ids), BLOCK_SCHEMA), "token-files")
+    return stored(dealt.mapInArrow(lean(_blocks(tokenizer or default_path(), end_id, block_ids)), BLOCK_SCHEMA), "token-files")
 
 
 def _entries(batches):
@@ -142,7 +142,7 @@ def read_index(blocks: DataFrame) -> DataFrame:
     """One row per document of written blocks: its global start, length and checksum, read from the files."""
     prepare(blocks.sparkSession)
     rows = _placed(blocks).select("part", "block", "n_docs", "id_bytes", "doc_ids", "ids", "low", "high", "low_bits", "samples", "base")
-    return rows.mapInArrow(_entries, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block int")
+    return rows.mapInArrow(lean(_entries), "doc_id long, start long, n_tokens long, ids_crc32 long, part int, block int")
 
 
 def _chosen(batches):
@@ -163,7 +163,7 @@ def read_documents(blocks: DataFrame, doc_ids: DataFrame) -> DataFrame:
     wanted = doc_ids.toDF("wanted").where("wanted is not null").distinct()
     places = blocks.select("part", "block", F.posexplode("doc_ids").alias("place", "wanted")).join(wanted, "wanted").groupBy("part", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
     rows = _placed(blocks).join(places, ["part", "block"]).select("n_docs", "id_bytes", "doc_ids", "ids", "low", "high", "low_bits", "samples", "base", "places")
-    return rows.mapInArrow(_chosen, "doc_id long, start long, ids array<long>")
+    return rows.mapInArrow(lean(_chosen), "doc_id long, start long, ids array<long>")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
