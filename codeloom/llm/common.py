@@ -13,6 +13,7 @@ import os
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -59,11 +60,27 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return written(df, what)[0]
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files of what is written within go when it is written, not when the driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """``stored``, with the table's folder."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    with freed_shuffles(spark):
+        df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where), where
 
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, shared_dir, stored, table
+from .common import free_name, freed_shuffles, shared_dir, stored, table
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,7 +74,8 @@ def dropped_lines(docs: DataFrame, *, batches: int = 4, fanout: int = 3, least_c
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= least_chars)
     keyed = keyed.select(batch.alias("batch"), "doc_id", "fp", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     where = f"{shared_dir(docs.sparkSession)}/line-keys-{uuid.uuid4().hex}"
-    keyed.write.partitionBy("batch").parquet(where)
+    with freed_shuffles(docs.sparkSession):
+        keyed.write.partitionBy("batch").parquet(where)
     keyed = docs.sparkSession.read.schema(keyed.schema).parquet(where)
 
     runs, out = Runs(fanout), []

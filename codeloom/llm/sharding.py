@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, prepare, shared_dir, table
+from .common import free_name, freed_shuffles, prepare, shared_dir, table
 
 
 def _second_pass(seed: int, starts: Broadcast, cuts: np.ndarray, bucket: str, order: list[str]):
@@ -61,7 +61,8 @@ def write_shards(docs: DataFrame, *, shards: int = 8, seed: int = 17, bucket_byt
     plain = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (id_col, text_col)]
     shuffled = dealt.groupBy(bucket).applyInArrow(_second_pass(seed, spark.sparkContext.broadcast(starts), cuts, bucket, [id_col, text_col, *plain]), schema)
     where = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    shuffled.write.partitionBy("shard").parquet(where)
+    with freed_shuffles(spark):
+        shuffled.write.partitionBy("shard").parquet(where)
     return spark.read.schema(schema).parquet(where)
 
 
