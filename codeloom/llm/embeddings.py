@@ -155,4 +155,12 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_near_vectors": op2_near_vectors}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_near_vectors": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a AS vec_id, b AS other FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT x.vec_id, coalesce(c.n, 0) AS n_links, least(x.vec_id, coalesce(m.least, x.vec_id)) AS component_id, least(x.vec_id, coalesce(m.least, x.vec_id)) = x.vec_id AS kept FROM embeddings x
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) c ON c.vec_id = x.vec_id LEFT JOIN (SELECT vec_id, min(other) AS least FROM r GROUP BY 1) m ON m.vec_id = x.vec_id
+"""
+}

@@ -281,4 +281,14 @@ def op6_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_gram_join": op6_gram_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_gram_join": """
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [hash(array_to_string(words, ' '))] ELSE list_transform(range(1, len(words) - 2), lambda k: hash(array_to_string(words[k:k + 3], ' '))) END) AS gram FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT x.doc_id, y.doc_id AS other, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+JOIN n a ON a.doc_id = p.doc_id JOIN n b ON b.doc_id = p.other WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+r AS (SELECT a AS doc_id, b AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
+"""
+}
