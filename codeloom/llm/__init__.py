@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "embeddings", "language", "packing", "html_text", "gram_join", "url_rules", "sharding", "line_dedup", "token_files"]
+MODULES = ["decontaminate", "embeddings", "language", "packing", "html_text", "gram_join", "url_rules", "sharding", "line_dedup", "token_files", "bpe", "middle", "whitening"]
 
 
 def queries() -> dict:

@@ -186,6 +186,9 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return cuts(raw, starts)
+
     def _learn(self, h: np.ndarray, pieces: list[bytes], joins: np.ndarray) -> None:
         """Adds pieces; ``joins``: 1 for those that may follow each other, 2 for those that may with a line feed between, else 0."""
         for kind in (1, 2):
@@ -258,7 +261,7 @@ class Encoder:
                 hi -= 1
             k0, k1 = int(np.searchsorted(at, lo, side="left")), int(np.searchsorted(at, hi, side="left"))
             some = raw[lo:hi]
-            i = cuts(some, np.unique(np.append(at[k0:k1] - lo, 0)))
+            i = self._cuts(some, np.unique(np.append(at[k0:k1] - lo, 0)))
             if hi < end and at[np.searchsorted(at, hi)] != hi:
                 if len(i) == 1:  # nowhere to cut: a longer window
                     size *= 2
