@@ -4,12 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codeloom.llm import html_text, language, sharding, url_rules
-from codeloom.llm.decontaminate import decontaminate, matches, op1_decontaminate, smith_waterman
+from codeloom.llm.decontaminate import _passages, _windows, candidates, decontaminate, matches, op1_decontaminate, smith_waterman
 
 EN = "the of and to in that is was for on are with they be at this have from or one had by word but not what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part"
 DE = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ihr jahre schon wenn können gegen vom kein jetzt alle immer unter gut"
@@ -178,6 +179,50 @@ def test_edited_copies(spark):
     assert len(want) > 50 and got == want
 
 
+def test_common_grams_are_no_seeds(spark):
+    """Items that share a phrase which documents have too don't meet those; an edited copy is found although others are exact."""
+    random.seed(12)
+    phrase = "which one of the following is the best answer to the question"
+    items = [(k, phrase + " " + " ".join(f"i{k}w{random.randrange(5000)}" for _ in range(30))) for k in range(1000)]
+    filler = lambda d: [random.choice((*EN.split(), f"d{d}")) for _ in range(120)]
+    rows, want = [], set()
+    for d in range(300):
+        text = [*filler(d), *phrase.split(), *filler(d)]
+        if d < 60:
+            words = items[d // 6][1].split()
+            if d % 6 == 0:
+                words = [w if j % 6 else "zz" for j, w in enumerate(words)]
+            text[100:100] = words
+            want.add((d, d // 6))
+        rows.append((d, " ".join(text)))
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in matches(docs, tests).collect()} == want
+    parts = tests.mapInArrow(_passages(3, 64), "item_id long, part int, words array<long>, grams array<long>, need int, spread int")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    assert candidates(keyed, parts, 3, 64).select("item_id", "wid").distinct().count() <= 3 * len(want)
+
+
+def test_windows_cover_texts():
+    """Every run of half a window's words lies in one window, and both readings cut the same ones."""
+
+    class Every:
+        def has(self, x):
+            return np.ones(len(x), dtype=bool)
+
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 2, 3, 15, 16, 17, 31, 32, 33, 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "fp", "text"])
+    (found,) = _windows(3, 4, Every(), False)([batch])
+    (words,) = _windows(3, 4, Every(), True)([batch])
+    known = {r["wid"]: r for r in words.to_pylist()}
+    for r in found.to_pylist():
+        w = known[r["wid"]]
+        assert (w["doc_id"], w["at"]) == (r["doc_id"], r["at"]) and len(w["held"]) <= 16 and len(r["held"]) == len(w["held"]) - 2
+    for k, text in enumerate(texts):
+        spans = [(r["at"], r["at"] + len(r["held"])) for r in words.to_pylist() if r["doc_id"] == k]
+        n = len(text.split())
+        assert all(any(a <= p and min(n, p + 8) <= b for a, b in spans) for p in range(n))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a = "</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">The and of to in</a></li></ul></nav><div class="ad">Buy the best of the best and more of it in the shop that is on this page.</div>
 <article><h1>Title &amp; more</h1><p>It is the <b>first</b> para&shy;graph of the text, and it has many of the words that are in use.<p>Short.<br>Next&nbsp;line</p>
