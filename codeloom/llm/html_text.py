@@ -3,14 +3,17 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by
 their own measures: characters, the share of them inside links, and the share of
 stop words. Blocks under menus, headers, footers, sidebars, notices, adverts, forms
-or reader comments (by element, role, or clear class and id words) are boilerplate at once,
-and so are blocks outside the article or main element of a page that has one. Class words
+or reader comments (by element, role, or clear class and id words) are boilerplate at once.
+The article and main elements that hold most of a page's decided prose are its frame, and
+blocks outside it are boilerplate; where more prose stands outside all of them (cards of
+other stories are often ``article`` elements), the small ones are boilerplate. Class words
 that frameworks also give to content (``form-group``, ``alert``) only raise the bar: a run
 of such blocks is content if it is long prose as a whole, else boilerplate. A form around
 the whole article is a page's frame and no form. Short
-blocks, and long ones with few stop words, stay open. The second pass gives each
+blocks, long ones with few stop words, and paragraphs of the frame that are mostly links
+stay open. The second pass gives each
 open block the label of its nearest decided neighbours: good if both are, or the
-nearer one is; with none decided, whether it stands in the article.
+nearer one is; with none decided, whether it stands in the frame.
 
 Cases: null and empty html give an empty text; unclosed elements end with the page;
 an unfinished tag at the end is dropped; a lone ``<`` is text; character references
@@ -67,6 +70,8 @@ _attribute = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*
 _word = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG, LINKS, STOPS = 70, 200, 0.5, 0.18
+#: of the article with the most prose, what share another one needs to belong to the page's text
+PART = 0.2
 HARD, SOFT, FRAME = 1, 2, 3
 
 
@@ -93,14 +98,17 @@ def _marked(name: str, attributes: str) -> int:
     return SOFT if soft else 0
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters in links, mark by place, in the article) of each block that has text."""
-    out: list[tuple[str, int, int, bool]] = []
+Block = tuple[str, int, int, int, bool]
+
+
+def blocks(page: str) -> list[Block]:
+    """(text, characters in links, mark by place, number of the outermost article or 0, is a paragraph) of each block that has text."""
+    out: list[Block] = []
     holders: list[tuple[str, int]] = []  # open elements that matter, with their mark
     still_open: Counter[str] = Counter()
     marks = [0, 0, 0, 0]  # how many open elements have each mark
-    inside = own_mark = 0
-    link = heading = False
+    inside = own_mark = articles = 0
+    link = heading = paragraph = False
     text: list[str] = []
     linked: list[str] = []
 
@@ -113,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
                 title = heading and inside and not own_mark and marks[HARD] == 1 and not marks[SOFT] and still_open["header"] > 0
                 hard = marks[HARD] or own_mark == HARD or marks[FRAME] and not inside
                 soft = marks[SOFT] or own_mark == SOFT
-                out.append((whole, in_links, 0 if title else HARD if hard else SOFT if soft else 0, inside > 0))
+                out.append((whole, in_links, 0 if title else HARD if hard else SOFT if soft else 0, articles if inside else 0, paragraph))
             text, linked = [], []
 
     at, n = 0, len(page)
@@ -141,7 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
         if name in BLOCK_TAGS or name in HOLDERS:
             close()
             link = False
-            own_mark, heading = 0, False
+            own_mark, heading, paragraph = 0, False, False
         if closing:
             if still_open[name] > 0:
                 while holders:
@@ -159,9 +167,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
                 holders.append((name, mark))
                 still_open[name] += 1
                 marks[mark] += 1
-                inside += name in ("article", "main")
+                if name in ("article", "main"):
+                    articles += not inside
+                    inside += 1
             elif name in BLOCK_TAGS:
-                own_mark, heading = mark, name in ("h1", "h2", "h3")
+                own_mark, heading, paragraph = mark, name in ("h1", "h2", "h3"), name == "p"
     close()
     return out
 
@@ -171,32 +181,49 @@ def _stops(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _softened(found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, bool, bool]]:
+def _softened(found: list[Block]) -> list[tuple[str, int, bool, int, bool]]:
     """Blocks with a plain mark: a run of softly marked ones is boilerplate unless it is long prose."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, int, bool]] = []
     for mark, run in groupby(found, key=lambda x: x[2]):
         some = list(run)
         if mark == SOFT:
             whole = " ".join(x[0] for x in some)
             mark = len(whole) < LONG or sum(x[1] for x in some) > len(whole) / 5 or _stops(whole) < STOPS
-        out += [(text, in_links, bool(mark), inside) for text, in_links, _, inside in some]
+        out += [(text, in_links, bool(mark), *rest) for text, in_links, _, *rest in some]
     return out
 
 
+def _frame(found: list[tuple[str, int, bool, int, bool]], stops: list[float]) -> set[int]:
+    """The articles that make up the page's text, with 0, for what stands outside of all, if more of the prose does."""
+    prose: Counter[int] = Counter()
+    size: Counter[int] = Counter()
+    for (text, in_links, bad, article, _), share in zip(found, stops, strict=True):
+        if not bad:
+            size[article] += len(text)
+            if len(text) >= SHORT and in_links <= LINKS * len(text) and share >= STOPS:
+                prose[article] += len(text)
+    counts = prose or size  # no language of the word list: length alone
+    own = {k: n for k, n in counts.items() if k}
+    outside = not own or counts[0] > sum(own.values())
+    most = counts[0] if outside else max(own.values())
+    return {k for k, n in own.items() if n >= PART * most} | ({0} if outside else set())
+
+
 def main_text(page: str) -> str:
     found = _softened(blocks(page))
-    has_article = any(inside and not bad for _, _, bad, inside in found)
+    stops = [0.0 if bad else _stops(text) for text, _, bad, *_ in found]
+    frame = _frame(found, stops)
+    within = [article in frame and article > 0 for *_, article, _ in found]
     labels: list[bool | None] = []
-    for text, in_links, bad, inside in found:
+    for (text, in_links, bad, article, paragraph), inside, share in zip(found, within, stops, strict=True):
         density = in_links / len(text)
-        if bad or has_article and not inside or density > LINKS:
+        if bad or article not in frame or density > LINKS and not (inside and paragraph):
             labels.append(False)
             continue
-        if len(text) < SHORT:
+        if len(text) < SHORT or density > LINKS:
             labels.append(False if density > 0 and not inside else None)
             continue
-        stops = _stops(text)
-        labels.append(True if stops >= STOPS and (inside or len(text) >= LONG or stops >= 1.5 * STOPS) else None)
+        labels.append(True if share >= STOPS and (inside or len(text) >= LONG or share >= 1.5 * STOPS) else None)
     if True not in labels:  # no language of the word list: length alone decides
         labels = [True if label is None and len(x[0]) >= LONG else label for x, label in zip(found, labels, strict=True)]
     before: list[tuple[bool, int] | None] = []
@@ -209,10 +236,10 @@ def main_text(page: str) -> str:
         label = labels[k]
         if label is None:
             near = [x for x in (before[k], after) if x is not None]
-            if found[k][3]:  # in the article, boilerplate next to it tells nothing
+            if within[k]:  # in the frame, boilerplate next to it tells nothing
                 near = [x for x in near if x[0]]
             if not near:
-                good = found[k][3]
+                good = within[k]
             elif len(near) == 2 and near[0][0] != near[1][0]:
                 good = min(near, key=lambda x: abs(x[1] - k))[0]
             else:

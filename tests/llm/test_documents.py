@@ -284,6 +284,27 @@ def test_html_form_around_the_page():
     assert html_text.main_text(f"<form><p>{long}</p><article><p>{long}</p><form><p>{long}</p></form></article></form>") == long
 
 
+PROSE = ["It is the first of the paragraphs that we have written for the page, and it is as long as the others of it are, so that it can be told from a card.", "The second one is about the things that were done in the town, and of those who had been there when it was all over, with a word from each of them."]
+
+
+def test_html_frame_is_the_prose_not_the_tag():
+    card = lambda k: f'<article class="card"><h3><a href="/{k}">Story {k}</a></h3><p>A short teaser of the story.</p></article>'
+    text, body = " ".join(PROSE), "".join(f"<p>{x}</p>" for x in PROSE)
+    assert html_text.main_text(f"<body>{card(1)}<div>{body}</div>{card(2)}</body>") == text
+    assert html_text.main_text(f"<body>{card(1)}<article>{body}</article>{card(2)}</body>") == text
+    assert html_text.main_text(f"<body><div>{PROSE[0]}</div><article>{body}{body}</article></body>") == f"{text} {text}"
+    assert html_text.main_text(f"<body><article><p>{PROSE[0]}</p></article><p>Next</p><article><p>{PROSE[1]}</p></article></body>") == text
+    assert html_text.main_text(f"<body><p>{PROSE[0]}</p><p>{PROSE[1]}</p></body>") == text
+    assert html_text.main_text("<body><main><p>Words.</p></main></body>") == "Words."
+
+
+def test_html_linked_paragraphs():
+    linked = '<p><a href="/x">See the whole report.</a></p>'
+    assert html_text.main_text(f"<article><p>{PROSE[0]}</p>{linked}<p>{PROSE[1]}</p></article>") == f"{PROSE[0]} See the whole report. {PROSE[1]}"
+    assert html_text.main_text(f'<article><p>{PROSE[0]}</p><p>{PROSE[1]}</p><ul><li><a href="/x">Other story</a></li></ul></article>') == " ".join(PROSE)
+    assert html_text.main_text(f"{linked}<div><p>{PROSE[0]}</p></div>") == PROSE[0]
+
+
 def test_html_query_against_pages_built_from_known_text(spark, tmp_path):
     """Random pages of known blocks: the text is the article's blocks, in order."""
     random.seed(12)
