@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .resolve import module_map, resolve_target
 from .steps import kept
+from .strong import cyclic_core
 
 # Words of configuration and entry file names.
 ENTRY_WORDS = ("config", "readme", "license", "package", "setup", "layout", "page", "route", ".d.ts")
@@ -137,19 +138,6 @@ def modularity(edges: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("edges", "intra", F.round(F.when(F.col("edges") == 0, 1.0).otherwise(F.col("intra") / F.col("edges")), 3).alias("modularity"))
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without in-edges or out-edges are peeled off; empty if and only if there is no cycle."""
-    now = kept(edges.select("src", "dst").distinct())
-    n = now.count()
-    while n:
-        now = kept(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = now.count()
-        if m == n:
-            break
-        n = m
-    return now
-
-
 def cycles(edges: DataFrame, most: int | None = 5, *, longest: int | None = None) -> DataFrame:
     """(nodes, length) of simple directed cycles, each once, from its smallest node.
 
