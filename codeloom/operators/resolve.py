@@ -96,8 +96,8 @@ def module_map(files: DataFrame, only: DataFrame | None = None) -> DataFrame:
     return found.groupBy("repository_id", "module").agg(F.count("*").alias("files")).orderBy("repository_id", F.desc("files"), "module")
 
 
-def _candidates(imports: DataFrame) -> DataFrame:
-    """(import_id, at, candidate) of relative and aliased imports (import_id, path, level, target)."""
+def candidate_paths(imports: DataFrame) -> DataFrame:
+    """(import_id, repository_id, at, candidate) of relative and aliased imports (import_id, path, level, target)."""
     parts = F.split("path", "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
     up = F.col("level") - 1
@@ -120,7 +120,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     paths, of which the first that is a file counts.
     """
     names = importable_names(files).where("name is not null").select("repository_id", F.col("name").alias("target"), F.col("id").alias("absolute_id"))
-    near = _candidates(imports).join(files.select("repository_id", F.col("path").alias("candidate"), "id"), ["repository_id", "candidate"])
+    near = candidate_paths(imports).join(files.select("repository_id", F.col("path").alias("candidate"), "id"), ["repository_id", "candidate"])
     near = near.groupBy("import_id").agg(F.min_by("id", "at").alias("relative_id"))
     out = imports.join(names, ["repository_id", "target"], "left").join(near, "import_id", "left")
     python = F.col("path").endswith(".py")

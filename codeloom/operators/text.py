@@ -56,27 +56,39 @@ def search_lines(lines: DataFrame, query: str, *, regex: bool = False, cap: int
     return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n").orderBy("path", "line").limit(cap)
 
 
+def line_words(lines: DataFrame) -> DataFrame:
+    """(name, file_id, path, line): the words of each line, each once; a posting list of whole words."""
+    own = ["repository_id"] if "repository_id" in lines.columns else []
+    return lines.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("name"), "file_id", "path", "line", *own)
+
+
 def references(lines: DataFrame, symbols: DataFrame, *, cap: int | None = 50) -> DataFrame:
+    """``references_of_words`` of lines: they are cut into words once, so the scan doesn't grow with the number of symbols."""
+    return references_of_words(line_words(lines), symbols, cap=cap)
+
+
+def references_of_words(words: DataFrame, symbols: DataFrame, *, cap: int | None = 50) -> DataFrame:
     """(symbol_id, name, file_id, path, line) of whole-word uses of symbol names, without the definition line.
 
-    Lines are cut into words once, and only words that are a name go on, so the scan
-    doesn't grow with the number of symbols. Caps hold for names before symbols come in,
+    Words (name, file_id, path, line) that are no name go first. Caps hold for names before symbols come in,
     so a name that many symbols share is not multiplied by all its lines: a symbol takes
     ``cap`` lines of a file, its own line among them, and ``cap`` in all, which are among
     the first ``cap + 1`` of its name. Spark caps the rows of a name in each task first.
+    Where both sides have ``repository_id``, names meet words of their own repository only.
     """
-    names = symbols.select(F.col("id").alias("symbol_id"), "name", F.col("path").alias("own_path"), F.col("line_start").alias("own_line"))
-    words = lines.select("file_id", "path", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("name"))
-    found = words.join(names.select("name").distinct(), "name", "left_semi")
+    own = ["repository_id"] if "repository_id" in words.columns and "repository_id" in symbols.columns else []
+    key = [*own, "name"]
+    names = symbols.select(*own, F.col("id").alias("symbol_id"), "name", F.col("path").alias("own_path"), F.col("line_start").alias("own_line"))
+    found = words.join(names.select(*key).distinct(), key, "left_semi")
     if cap is not None:
-        per_file, per_name = Window.partitionBy("name", "path").orderBy("line"), Window.partitionBy("name").orderBy("path", "line")
+        per_file, per_name = Window.partitionBy(*key, "path").orderBy("line"), Window.partitionBy(*key).orderBy("path", "line")
         found = found.withColumn("__n", F.row_number().over(per_file)).where(F.col("__n") <= cap)
         found = found.withColumn("__n", F.row_number().over(per_name)).where(F.col("__n") <= cap + 1)
-    found = found.join(names, "name").where(~((F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))))
+    found = found.join(names, key).where(~((F.col("path") == F.col("own_path")) & (F.col("line") == F.col("own_line"))))
     if cap is not None:
-        over_all = Window.partitionBy("symbol_id").orderBy("path", "line")
+        over_all = Window.partitionBy("symbol_id", *own).orderBy("path", "line")
         found = found.withColumn("__n", F.row_number().over(over_all)).where(F.col("__n") <= cap)
-    return found.select("symbol_id", "name", "file_id", "path", "line")
+    return found.select("symbol_id", "name", "file_id", "path", "line", *own)
 
 
 def reference_tallies(symbols: DataFrame, hits: DataFrame, *, cap: int = 50) -> DataFrame:

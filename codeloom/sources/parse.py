@@ -13,8 +13,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SYMBOL = "struct<name:string,kind:string,line_start:long,line_end:long,docstring:string,parent:int>"
-IMPORT = "struct<level:int,target:string,line:long>"
+from ..schema import IMPORT, SYMBOL
+
 MAX_IMPORT_DEPTH = 100
 
 
