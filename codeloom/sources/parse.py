@@ -1,7 +1,7 @@
 """Symbols and imports of source texts, one reading of a file for both.
 
-Python is read by its own syntax tree; where that fails, by the indentation of
-definition lines. For TypeScript and JavaScript, comments and literals are blanked
+Python is read by its own syntax tree; where that fails, by logical lines and their
+indentation, resuming at the next definition. For TypeScript and JavaScript, comments and literals are blanked
 in place and definitions are taken at brace depth 0, methods one level inside a class.
 """
 
@@ -47,29 +47,222 @@ def python_symbols(source: str) -> list[tuple]:
     return out
 
 
-_definition = re.compile(r"^([ \t]*)(?:(class)|(?:async[ \t]+)?def)[ \t]+([A-Za-z_]\w*)")
+_definition = re.compile(r"(?:(class)|(?:async[ \t]+)?def)[ \t]+([A-Za-z_]\w*)")
+_restart = re.compile(r"[ \t]*(?:@[A-Za-z_]|(?:async[ \t]+)?def[ \t]+\w+[ \t]*[(\[]|class[ \t]+\w+[ \t]*[(:\[]|import[ \t]+\w|from[ \t]+[.\w]+[ \t]+import\b)")
+_literal = re.compile(r"[rRuU]?(\"\"\"|\'\'\'|\"|\')")
+_pairs = {")": "(", "]": "[", "}": "{"}
 
 
-def _python_symbols_by_lines(source: str) -> list[tuple]:
-    """Definitions of a text that isn't valid Python; a span ends before the next line that isn't deeper."""
-    lines = source.splitlines()
-    width = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
-    out: list[tuple] = []
-    holder, inner = None, None
-    for k, line in enumerate(lines):
-        m = _definition.match(line)
-        if not m:
+def _string_end(source: str, at: int, quote: str) -> int:
+    """Position after the literal whose opening quote begins at ``at``, or -1 if it isn't closed."""
+    end = at + len(quote)
+    while end < len(source):
+        if source[end] == "\\":
+            end += 2
+        elif source.startswith(quote, end):
+            return end + len(quote)
+        elif len(quote) == 1 and source[end] == "\n":
+            return -1
+        else:
+            end += 1
+    return -1
+
+
+def statements(source: str) -> tuple[list[tuple[int, int, int, str]], int]:
+    """(first line, last line, indent, text) of the logical lines of a Python text, valid or not, and how often it was broken.
+
+    Brackets and literals carry a logical line on. An open bracket is given up where a line no
+    deeper than the statement's begins a definition, decorator or import; a literal that is never
+    closed ends with its line; a closing bracket that closes nothing is passed over.
+    """
+    out: list[tuple[int, int, int, str]] = []
+    broken, at, n, line = 0, 0, len(source), 1
+    while at < n:
+        start, first, open_brackets, solid = at, line, [], False
+        body = re.compile(r"[ \t\f]*").match(source, at)
+        indent = len(body[0].expandtabs(8))
+        at = body.end()
+        begin, end = at, at
+        while at < n:
+            c = source[at]
+            if c == "\n":
+                line += 1
+                at += 1
+                if not open_brackets:
+                    break
+                deeper = re.compile(r"[ \t\f]*").match(source, at)
+                if _restart.match(source, at) and len(deeper[0].expandtabs(8)) <= indent:
+                    broken += 1
+                    break
+                continue
+            if c == "#":
+                stop = source.find("\n", at)
+                at = n if stop < 0 else stop
+                continue
+            if c == "\\" and source.startswith("\n", at + 1):
+                line, at = line + 1, at + 2
+                continue
+            if c in "\"'":
+                quote = source[at : at + 3] if source.startswith(c * 3, at) else c
+                stop = _string_end(source, at, quote)
+                if stop < 0:
+                    broken += 1
+                    stop = source.find("\n", at)
+                    stop = n if stop < 0 else stop
+                line += source.count("\n", at, stop)
+                at = end = stop
+                solid = True
+                continue
+            if c in "([{":
+                open_brackets.append(c)
+            elif c in ")]}":
+                if open_brackets and open_brackets[-1] == _pairs[c]:
+                    open_brackets.pop()
+                else:
+                    broken += 1
+            if not c.isspace():
+                solid, end = True, at + 1
+            at += 1
+        if open_brackets and at >= n:
+            broken += 1
+        if solid:
+            text = source[begin:end]
+            out.append((first, first + source.count("\n", start, end), indent, text))
+    return out, broken
+
+
+def _first_literal(text: str) -> str | None:
+    """What a statement that is a plain string has as docstring."""
+    m = _literal.match(text)
+    if not m:
+        return None
+    stop = _string_end(text, m.start(1), m[1])
+    if stop < 0 or text[stop:].lstrip()[:1] not in ("", "#", ";", '"', "'", "\\"):
+        return None
+    whole = text[:stop] if text[stop:].lstrip()[:1] in ("", "#", ";") else text
+    for mark in ('"""', "'''"):
+        if len(whole) >= 6 and whole.startswith(mark) and whole.endswith(mark):
+            return whole[3:-3]
+    return whole
+
+
+def _after_header(text: str) -> str:
+    """What stands behind the colon of a definition's header."""
+    depth, at = 0, 0
+    while at < len(text):
+        c = text[at]
+        if c in "\"'":
+            stop = _string_end(text, at, c * 3 if text.startswith(c * 3, at) else c)
+            at = stop if stop > 0 else len(text)
             continue
-        end = next((j for j in range(k + 1, len(lines)) if width[j] is not None and width[j] <= width[k]), len(lines))
-        while end > k + 1 and width[end - 1] is None:
-            end -= 1
-        if width[k] == 0:
-            holder, inner = (len(out), None) if m[2] else (None, None)
-            out.append((m[3], "class" if m[2] else "function", k + 1, end, None, None))
-        elif holder is not None and not m[2] and (inner is None or width[k] == inner) and k < out[holder][3]:
-            inner = width[k]
-            out.append((m[3], "method", k + 1, end, None, holder))
-    return out
+        depth += (c in "([{") - (c in ")]}")
+        if c == ":" and depth <= 0:
+            return text[at + 1 :].strip()
+        at += 1
+    return ""
+
+
+def tolerant_tree(source: str) -> tuple[list[dict], int]:
+    """The definitions of a Python text at any depth, valid or not, in order, and how often it was broken.
+
+    A definition counts if it stands directly in the text or in the body of another one that counts.
+    """
+    lines, broken = statements(source)
+    out: list[dict] = []
+    stack: list[dict] = []  # open blocks: their indent, that of their body once known, their definition or None
+    marks: list[str] = []
+    for first, last, indent, text in lines:
+        while stack and indent <= stack[-1]["indent"]:
+            stack.pop()
+        for x in stack:
+            if x["at"] is not None:
+                out[x["at"]]["line_end"] = last
+        holder = stack[-1] if stack else {"indent": -1, "body": 0, "at": None, "counts": True}
+        if holder["body"] is None:
+            holder["body"] = indent
+            if holder["at"] is not None and (note := _first_literal(text)) is not None:
+                out[holder["at"]]["docstring"] = note
+        m = _definition.match(text)
+        if m and holder["counts"] and indent == holder["body"]:
+            owner = holder["at"]
+            kind = "class" if m[1] else "method" if owner is not None and out[owner]["kind"] == "class" else "function"
+            rest = _after_header(text)
+            out.append({"name": m[2], "kind": kind, "line_start": first, "line_end": last, "docstring": _first_literal(rest) if rest else None, "parent": owner, "decorators": marks})
+            if not rest or rest.startswith("#"):
+                stack.append({"indent": indent, "body": None, "at": len(out) - 1, "counts": True})
+        elif re.match(r"[A-Za-z_]", text) and text.rstrip().endswith(":"):
+            stack.append({"indent": indent, "body": None, "at": None, "counts": False})
+        marks = [*marks, " ".join(text[1:].split())] if text.startswith("@") else []
+    return out, broken
+
+
+def python_tree(source: str) -> tuple[list[dict], int]:
+    """``tolerant_tree``, by the syntax tree where the text is valid."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return tolerant_tree(source)
+    out: list[dict] = []
+
+    def visit(body: list, owner: int | None, in_class: bool) -> None:
+        for x in body:
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                at, is_class = len(out), isinstance(x, ast.ClassDef)
+                decorators = [" ".join((ast.get_source_segment(source, d) or "").split()) for d in x.decorator_list]
+                out.append({"name": x.name, "kind": "class" if is_class else "method" if in_class else "function", "line_start": x.lineno, "line_end": x.end_lineno, "docstring": _docstring(x, source), "parent": owner, "decorators": decorators})
+                visit(x.body, at, is_class)
+
+    visit(tree.body, None, False)
+    return out, 0
+
+
+def numbered_tree(source: str) -> tuple[list[dict], int]:
+    """``python_tree`` with ``depth``, and with ``pre`` and ``post``, the turns at which a walk enters and leaves a definition: one lies inside another exactly if its turns do."""
+    found, broken = python_tree(source)
+    turn, open_ones = 0, []
+    for k, x in enumerate(found):
+        while open_ones and open_ones[-1] != x["parent"]:
+            found[open_ones.pop()]["post"] = turn
+            turn += 1
+        x["pre"], x["depth"] = turn, len(open_ones)
+        open_ones.append(k)
+        turn += 1
+    while open_ones:
+        found[open_ones.pop()]["post"] = turn
+        turn += 1
+    return found, broken
+
+
+def _python_symbols_by_lines(source: str) -> list[tuple]:
+    """Top-level definitions and methods of a text that isn't valid Python."""
+    found, _ = tolerant_tree(source)
+    keep = [k for k, x in enumerate(found) if x["parent"] is None or x["kind"] == "method" and found[x["parent"]]["parent"] is None]
+    place = {k: i for i, k in enumerate(keep)}
+    return [(found[k]["name"], found[k]["kind"], found[k]["line_start"], found[k]["line_end"], found[k]["docstring"], place.get(found[k]["parent"])) for k in keep]
+
+
+def _imports_of(text: str, line: int) -> list[tuple[int, int, int, str]]:
+    """(line, order, level, target) of a logical line that may be an import, valid or not."""
+    if not re.match(r"(?:from|import)\b", text):
+        return []
+    try:
+        nodes = [x for x in ast.walk(ast.parse(text)) if isinstance(x, (ast.Import, ast.ImportFrom))]
+    except (SyntaxError, ValueError):
+        nodes = None
+    found = []
+    if nodes is not None:
+        for x in nodes:
+            if isinstance(x, ast.Import):
+                found += [(line, x.col_offset, 0, y.name) for y in x.names]
+            else:
+                names = [x.module] if x.module else [y.name for y in x.names if y.name != "*"]
+                found += [(line, x.col_offset, x.level, y) for y in names]
+    elif m := re.match(r"from\s+(\.*)([\w.]*)\s+import\s+(.+)", text, re.S):
+        names = [m[2]] if m[2] else [x.split(" as ")[0].strip(" ()\n") for x in m[3].split("#")[0].split(",")]
+        found = [(line, 0, len(m[1]), x) for x in names if re.fullmatch(r"\w+(\.\w+)*", x)]
+    elif m := re.match(r"import\s+([\w. ,]+)", text):
+        found = [(line, 0, 0, x.split(" as ")[0].strip()) for x in m[1].split(",") if x.strip()]
+    return found
 
 
 def python_imports(source: str) -> list[tuple[int, str, int]]:
@@ -83,12 +276,8 @@ def python_imports(source: str) -> list[tuple[int, str, int]]:
                 names = [node.module] if node.module else [x.name for x in node.names if x.name != "*"]
                 found += [(node.lineno, node.col_offset, node.level, x) for x in names]
     except (SyntaxError, ValueError, RecursionError):
-        for k, line in enumerate(source.splitlines(), 1):
-            if m := re.match(r"\s*from\s+(\.*)([\w.]*)\s+import\s+(.+)", line):
-                names = [m[2]] if m[2] else [x.split(" as ")[0].strip(" ()") for x in m[3].split("#")[0].split(",")]
-                found += [(k, 0, len(m[1]), x) for x in names if x and x != "*"]
-            elif m := re.match(r"\s*import\s+([\w. ,]+)", line):
-                found += [(k, 0, 0, x.split(" as ")[0].strip()) for x in m[1].split(",") if x.strip()]
+        for k, _, _, text in statements(source)[0]:
+            found += _imports_of(text, k)
     seen, out = set(), []
     for line, _, level, target in sorted(found, key=lambda x: x[:2]):
         if (level, target) not in seen:
@@ -292,3 +481,17 @@ def _run(batches):
 def parse_files(texts: DataFrame) -> DataFrame:
     """(file_id, repository_id, path, symbols, imports) of texts (file_id, repository_id, path, content)."""
     return texts.select("file_id", "repository_id", "path", "content").mapInPandas(_run, f"file_id long, repository_id long, path string, symbols array<{SYMBOL}>, imports array<{IMPORT}>")
+
+
+TREE = "struct<pre:int,post:int,depth:int,parent:int,name:string,kind:string,line_start:long,line_end:long,docstring:string,decorators:array<string>>"
+
+
+def _trees(batches):
+    for pdf in batches:
+        found = [numbered_tree(t or "") for t in pdf["content"]]
+        yield pd.DataFrame({"file_id": pdf["file_id"], "path": pdf["path"], "broken": [b for _, b in found], "nodes": [x for x, _ in found]})
+
+
+def symbol_trees(texts: DataFrame) -> DataFrame:
+    """(file_id, path, broken, nodes) of Python texts (file_id, path, content): definitions at any depth, and how often the text was broken."""
+    return texts.select("file_id", "path", "content").mapInPandas(_trees, f"file_id long, path string, broken int, nodes array<{TREE}>")

@@ -8,8 +8,6 @@ machines share.
 from __future__ import annotations
 
 import os
-import subprocess
-from datetime import UTC, datetime
 from pathlib import Path
 
 import pandas as pd
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stats import document_rank
 from ..operators.text import line_count
+from . import readers
 
 # Directories that are never entered.
 PRUNED = frozenset(
@@ -49,7 +48,7 @@ def language(path):
     return out
 
 
-def _below(root: str, start: str, pruned, dot_dirs: bool, deep: bool):
+def below(root: str, start: str, pruned, dot_dirs: bool, deep: bool):
     """(path, bytes, mtime) of the files below ``start``, and its sub-directories where they aren't entered (``deep`` false)."""
     files, folders = [], []
     for here, dirs, names in os.walk(os.path.join(root, start)):
@@ -70,28 +69,13 @@ def _below(root: str, start: str, pruned, dot_dirs: bool, deep: bool):
 def list_tree(spark: SparkSession, root: str, repository_id: int, *, pruned=PRUNED, dot_dirs: bool = True) -> DataFrame:
     """(repository_id, root, path, bytes, mtime) of all files below ``root`` outside pruned directories.
 
-    The driver lists two levels; tasks list what lies below, a directory of the second level each.
+    The driver lists two levels of directories; tasks list files, and what lies below, a directory of the second level each.
     """
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    found, first = _below(root, "", pruned, dot_dirs, False)
-    second: list[str] = []
-    for folder in first:
-        files, below = _below(root, folder, pruned, dot_dirs, False)
-        found, second = found + files, second + below
-    where = [F.lit(repository_id).cast("long").alias("repository_id"), F.lit(root).alias("root"), "path", "bytes", "mtime"]
-    rows = spark.createDataFrame(found, "path string, bytes long, mtime double")
-    if second:
-
-        def walk(batches):
-            for pdf in batches:
-                files = [x for start in pdf["start"] for x in _below(root, start, pruned, dot_dirs, True)[0]]
-                yield pd.DataFrame(files, columns=["path", "bytes", "mtime"])
-
-        tasks = max(1, min(len(second), 4 * spark.sparkContext.defaultParallelism))
-        starts = spark.createDataFrame([(x,) for x in second], "start string").repartition(tasks)
-        rows = rows.unionAll(starts.mapInPandas(walk, "path string, bytes long, mtime double"))
-    return rows.select(*where)
+    readers.register(spark)
+    rows = spark.read.format("source_tree").options(path=root, pruned=",".join(sorted(pruned)), dot_dirs=str(dot_dirs).lower()).load()
+    return rows.select(F.lit(repository_id).cast("long").alias("repository_id"), F.lit(root).alias("root"), "path", "bytes", "mtime")
 
 
 def _read(batches):
@@ -171,27 +155,17 @@ def documents(spark: SparkSession, root: str, repository_id: int) -> DataFrame:
 
 
 def git_log(spark: SparkSession, root: str, repository_id: int, *, max_commits: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(commits, touches): the newest commits with committer time as naive UTC, and the paths that each changed against its first parent."""
-    commits, touches = [], []
-    form = "%x1e%H%x1f%an%x1f%ae%x1f%ct%x1f%B%x1f"
-    try:
-        out = subprocess.run(["git", "-C", root, "log", f"-{max_commits}", f"--format={form}", "--name-only", "-z", "--diff-merges=first-parent", "--root", "--no-renames"], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-    except (OSError, subprocess.CalledProcessError):
-        out = ""
-    for record in out.split("\x1e")[1:]:
-        sha, name, mail, when, message, names = record.split("\x1f", 5)
-        commits.append((repository_id, sha, name or mail or "Unknown", datetime.fromtimestamp(int(when), UTC).replace(tzinfo=None), message.strip()))
-        touches += [(repository_id, sha, x.strip("\n")) for x in names.split("\0") if x.strip("\n")]
-    return (
-        spark.createDataFrame(commits, "repository_id long, hash string, author string, date timestamp_ntz, message string"),
-        spark.createDataFrame(touches, "repository_id long, hash string, path string"),
-    )
+    """(commits, touches): the newest commits (0: all) with committer time as naive UTC, and the paths that each changed against its first parent."""
+    readers.register(spark)
+    log = lambda table: spark.read.format("git_log").options(path=root, table=table, max_commits=max_commits).load().select(F.lit(repository_id).cast("long").alias("repository_id"), "*")
+    return log("commits"), log("touches")
 
 
-def issues_json(spark: SparkSession, path: str, repository_id: int, *, cap: int = 100) -> DataFrame:
-    """Issues and pull requests from an exported JSON file or folder, the latest updated first."""
-    raw = spark.read.schema("number long, title string, state string, labels array<struct<name string>>, html_url string, body string, updated_at string").json(path, multiLine=True)
-    return raw.orderBy(F.desc("updated_at"), F.desc("number")).limit(cap).select(F.lit(repository_id).cast("long").alias("repository_id"), "number", "title", "state", F.coalesce(F.transform("labels", lambda x: x["name"]), F.array().cast("array<string>")).alias("labels"), F.col("html_url").alias("url"), "body")
+def issues_json(spark: SparkSession, path: str, repository_id: int, *, cap: int = 100, owner: str = "", repo: str = "") -> DataFrame:
+    """Issues and pull requests from an exported JSON file or folder, the latest updated first; ``owner`` and ``repo`` are of the repository's address."""
+    readers.register(spark)
+    raw = spark.read.format("issue_export").options(path=path, owner=owner, repo=repo).load()
+    return raw.orderBy(F.desc("updated_at"), F.desc("number")).limit(cap).select(F.lit(repository_id).cast("long").alias("repository_id"), "number", "title", "state", "labels", "url", "body")
 
 
 def repository_root(root: str, repository_id: int, name: str, clones: str) -> str | None:
