@@ -4,9 +4,11 @@ Stated rules come first: the longest one whose host is the URL's or a parent of
 and whose path begins the URL's decides. For the rest, Spark's FP-growth mines
 combinations of URL tokens (host labels, path words, query keys; digits are one
 token) that go with a label, ``block`` or ``allow``. A rule is kept from ``min_count``
-labelled pages on, however many pages are labelled, at ``min_confidence``, and if it
-beats the label's share of all labelled pages by ``min_lift``; rules that a shorter one
-of no less confidence covers are dropped. Each rule is posted under its rarest token
+labelled pages on, however many pages are labelled, if its confidence beats the label's
+share of all labelled pages by ``min_lift`` and even its lower bound, ``z`` standard
+deviations down, is above that share: where few pages are blocked, half of a token's pages
+may be reason enough, and chance is not. Rules that a shorter one of no less confidence
+covers are dropped. Each rule is posted under its rarest token
 only; a URL meets the rules posted under its tokens, and of those whose tokens it has
 all, the one of the largest lift decides. Where none fits, the verdict is ``allow``.
 
@@ -65,7 +67,13 @@ def url_tokens(url, host, path):
     return F.array_sort(F.array_distinct(F.filter(F.concat(hosts, words, keys), lambda x: F.length(x) > 2)))
 
 
-def mine_rules(baskets: DataFrame, *, min_count: int = 30, min_confidence: float = 0.6, min_lift: float = 1.05) -> DataFrame:
+def lower_bound(share, n, z: float):
+    """The least share of a label that ``n`` pages with that share speak for, ``z`` standard deviations down (Wilson's interval)."""
+    spread = F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - z * spread) / (1 + z * z / n)
+
+
+def mine_rules(baskets: DataFrame, *, min_count: int = 30, min_lift: float = 1.05, z: float = 4.0) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, lift, support) from rows of (tokens, block)."""
     spark = baskets.sparkSession
     n, n_block = baskets.agg(F.count("*"), F.count_if("block")).first()
@@ -73,12 +81,13 @@ def mine_rules(baskets: DataFrame, *, min_count: int = 30, min_confidence: float
         return spark.createDataFrame([], "rule_id long, tokens array<string>, verdict string, confidence double, lift double, support double")
     min_support = (min_count - 0.5) / n  # Spark rounds the product with n up: half a page less stays clear of its rounding
     label = F.when(F.col("block"), F.lit(LABEL + "block")).otherwise(F.lit(LABEL + "allow"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets.select(F.concat("tokens", F.array(label)).alias("items")))
-    verdict = F.element_at("consequent", 1)
-    rules = model.associationRules.where(F.startswith(verdict, F.lit(LABEL)))
+    found = durable(FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.select(F.concat("tokens", F.array(label)).alias("items"))).freqItemsets)
+    own = F.get(F.filter("items", lambda x: F.startswith(x, F.lit(LABEL))), F.lit(0))
+    sets = found.select(F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit(LABEL)))).alias("tokens"), own.alias("label"), "freq").where(F.size("tokens") > 0)
+    with_label = sets.where("label is not null").select("tokens", F.substr("label", F.lit(len(LABEL) + 1)).alias("verdict"), F.col("freq").alias("k"))
     share = F.when(F.col("verdict") == "block", F.lit(n_block / n)).otherwise(F.lit(1 - n_block / n))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.substr(verdict, F.lit(len(LABEL) + 1)).alias("verdict"), "confidence", "support")
-    rules = rules.withColumn("lift", F.col("confidence") / share).where(F.col("lift") >= min_lift)
+    rules = with_label.join(sets.where("label is null").select("tokens", "freq"), "tokens").withColumn("confidence", F.col("k") / F.col("freq"))
+    rules = rules.withColumns({"lift": F.col("confidence") / share, "support": F.col("k") / F.lit(n), "bound": lower_bound(F.col("confidence"), F.col("freq"), z)}).where((F.col("lift") >= min_lift) & (F.col("bound") > share))
     rules = durable(rules.select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict", "confidence", "lift", "support"))
     shorter = rules.select(F.element_at("tokens", 1).alias("token"), "verdict", F.col("tokens").alias("short"), F.col("confidence").alias("short_confidence"))
     covered = rules.select("rule_id", "tokens", "verdict", "confidence", F.explode("tokens").alias("token")).join(shorter, ["token", "verdict"])

@@ -347,7 +347,21 @@ def test_url_rules_of_few_pages(spark):
     assert got == set(range(8000, 8030))
 
 
-def mined_by_brute_force(baskets, least, confidence, lift):
+def test_block_rules_where_few_pages_are_blocked(spark):
+    """A token whose pages are blocked half the time, of 26 % in all, makes a rule; labels dealt at random make none."""
+    random.seed(23)
+    urls = [(k, f"https://h{k % 40}.net/{random.choice('abc')}/{'poker' if k % 9 == 0 else 'page'}/{k}") for k in range(3600)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    chance = [(k, int(random.random() >= 0.26), 0) for k, _ in urls]
+    planted = [(k, int(random.random() >= (0.5 if "poker" in u else 0.23)), 0) for k, u in urls]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, table(planted), rules=())
+    blocked = {r.page_id: r.mined_tokens for r in got.where("verdict = 'block'").collect()}
+    assert set(blocked) == {k for k, u in urls if "poker" in u} and all("p=poker" in t for t in blocked.values())
+    assert url_rules.judge(pages, table(chance), rules=()).where("mined").count() == 0
+
+
+def mined_by_brute_force(baskets, least, z, lift):
     """All token sets of labelled pages, counted; kept as the operator's docstring states."""
     n = len(baskets)
     counts, having = {}, {}
@@ -359,7 +373,8 @@ def mined_by_brute_force(baskets, least, confidence, lift):
                 having[key] = having.get(key, 0) + 1
     share = {"block": sum(b for _, b in baskets) / n}
     share["allow"] = 1 - share["block"]
-    rules = {(some, verdict): (c / counts[some], c / counts[some] / share[verdict], c / n) for (some, verdict), c in having.items() if c >= least and c / counts[some] >= confidence and c / counts[some] / share[verdict] >= lift}
+    bound = lambda p, m: (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+    rules = {(some, verdict): (c / counts[some], c / counts[some] / share[verdict], c / n) for (some, verdict), c in having.items() if c >= least and bound(c / counts[some], counts[some]) > share[verdict] and c / counts[some] / share[verdict] >= lift}
     return {k: v for k, v in rules.items() if not any(o != k and o[1] == k[1] and set(o[0]) < set(k[0]) and w[0] >= v[0] for o, w in rules.items())}
 
 
@@ -382,7 +397,7 @@ def test_url_query_against_a_brute_force_miner(spark, tmp_path):
         return words | {"q=" + x.split("=")[0] for x in (rest.split("?")[1].split("&") if "?" in rest else [])}
 
     quality = {d: q for d, q, _ in labels}
-    rules = mined_by_brute_force([(tokens(u), quality[k] == 0) for k, u in pages if k in quality], 30, 0.6, 1.05)
+    rules = mined_by_brute_force([(tokens(u), quality[k] == 0) for k, u in pages if k in quality], 30, 4.0, 1.05)
     assert {v for _, v in rules} == {"allow", "block"}
     stated = {"z.org": ("org/", "allow")}
     decided = 0
