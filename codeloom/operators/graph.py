@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
 from .resolve import module_map, resolve_target
+from .snippets import excerpts
 from .steps import kept
 from .strong import cyclic_core
 
@@ -110,18 +112,40 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def hubs(edges: DataFrame, files: DataFrame, least: int = 4, high: int = 8) -> DataFrame:
+    """(id, path, in_degree, risk_level, assessment) of the files that many import, the most imported first."""
     risk = F.when(F.col("in_degree") >= high, "High").otherwise("Medium")
-    return degrees(edges, files).where(F.col("in_degree") >= least).select("id", "path", "in_degree", risk.alias("risk_level")).orderBy(F.desc("in_degree"), "id")
+    # The wording of an assessment.
+    told = F.concat(F.lit("Directly imported by "), F.col("in_degree").cast("string"), F.lit(" files. Changes to this interface could have widespread downstream impact."))
+    return degrees(edges, files).where(F.col("in_degree") >= least).select("id", "path", "in_degree", risk.alias("risk_level"), told.alias("assessment")).orderBy(F.desc("in_degree"), "id")
 
 
 def is_entry(path: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(path), F.lit(k)) for k in ENTRY_WORDS])
 
 
+def linked_nodes(edges: DataFrame) -> DataFrame:
+    """(id) of the ends of edges."""
+    return edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+
+
+def with_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """The files that are an end of an edge."""
+    return files.join(linked_nodes(edges), "id", "left_semi")
+
+
+def without_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """The files that are no end of an edge."""
+    return files.join(linked_nodes(edges), "id", "left_anti")
+
+
+def passed_through(edges: DataFrame) -> DataFrame:
+    """(id) of the nodes that edges both enter and leave."""
+    return edges.select(F.col("src").alias("id")).intersect(edges.select("dst"))
+
+
 def orphans(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Files without edges that are no configuration or entry file."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
-    return files.join(ends, "id", "left_anti").where(~is_entry(F.col("path"))).select("id", "path").orderBy("id")
+    return without_edges(edges, files).where(~is_entry(F.col("path"))).select("id", "path").orderBy("id")
 
 
 def top_directory(path: Column) -> Column:
@@ -166,10 +190,11 @@ def cycles(edges: DataFrame, most: int | None = 5, *, longest: int | None = None
 
 def health(edges: DataFrame, files: DataFrame) -> DataFrame:
     """One row: cycles (five at most), hubs, high hubs, orphans, modularity, score and grade."""
+    top = kept(hubs(edges, files))
     counts = {
         "cycles": cycles(edges, 5).agg(F.count("*")),
-        "hubs": hubs(edges, files).agg(F.count("*")),
-        "high_hubs": hubs(edges, files).agg(F.count_if(F.col("risk_level") == "High")),
+        "hubs": top.agg(F.count("*")),
+        "high_hubs": top.agg(F.count_if(F.col("risk_level") == "High")),
         "orphans": orphans(edges, files).agg(F.count("*")),
         "modularity": modularity(edges, files).select("modularity"),
     }
@@ -179,6 +204,45 @@ def health(edges: DataFrame, files: DataFrame) -> DataFrame:
     return one.withColumn("score", score.cast("long")).withColumn("grade", grade(F.col("score")))
 
 
+# What the four metrics of a health report are called and how they are described, and the sentences of its recommendations.
+METRICS = (
+    ("Circular Dependency Loops", "Zero cyclic import loops ensure clean build order and prevent initialization deadlocks."),
+    ("Coupling Hotspots", "Files with high in-degree centrality require strict contract testing."),
+    ("Dead / Orphaned Files", "Files not imported or importing other modules in the application dependency graph."),
+    ("Subsystem Modularity", "Ratio of cohesive intra-subsystem dependencies to global cross-system imports."),
+)
+ADVICE = {
+    "no files": "No files indexed yet.",
+    "no cycles": "✅ Excellent dependency hierarchy: No circular import loops detected.",
+    "cycles": "⚠️ Resolve %d circular import loop(s) to avoid runtime initialization errors.",
+    "hub": "💡 Consider interface abstraction for `%s` (imported by %d files) to reduce blast radius.",
+    "orphans": "🔍 Audit %d unreferenced source file(s) for potential cleanup or missing routes.",
+    "no orphans": "✅ Clean codebase hygiene: Zero orphaned code files detected.",
+}
+
+
+def health_report(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(part, position, name, value, status, text): a health report's ``metric`` and ``recommendation`` rows; without files, the one recommendation says so."""
+    one = kept(health(edges, files))
+    share = modularity(edges, files).select(F.when(F.col("edges") == 0, 1.0).otherwise(F.col("intra") / F.col("edges")).alias("ratio"))
+    top = hubs(edges, files).limit(1).agg(F.first("path").alias("path"), F.first("in_degree").alias("n"))
+    base = one.withColumns({"ratio": share.scalar(), "hub": top.select("path").scalar(), "hub_n": top.select("n").scalar()})
+    number = lambda c, unit: F.concat(F.col(c).cast("string"), F.lit(unit))
+    state = lambda fine, other: F.when(fine, "healthy").otherwise(other)
+    values = [number("cycles", " detected"), number("hubs", " central hubs"), number("orphans", " unlinked"), F.concat((F.col("ratio") * 100).cast("int").cast("string"), F.lit("%"))]
+    states = [state(F.col("cycles") == 0, "alert"), state(F.col("hubs") <= 2, "warning"), state(F.col("orphans") == 0, "warning"), state(F.col("ratio") >= 0.4, "warning")]
+    rows = [F.struct(F.lit("metric").alias("part"), F.lit(k + 1).alias("position"), F.lit(name).alias("name"), value.alias("value"), status.alias("status"), F.lit(text).alias("text")) for k, ((name, text), value, status) in enumerate(zip(METRICS, values, states, strict=True))]
+    said = [
+        F.when(F.col("cycles") == 0, F.lit(ADVICE["no cycles"])).otherwise(F.format_string(ADVICE["cycles"], "cycles")),
+        F.when(F.col("hubs") > 0, F.format_string(ADVICE["hub"], F.coalesce("hub", F.lit("")), "hub_n")),
+        F.when(F.col("orphans") > 0, F.format_string(ADVICE["orphans"], "orphans")).otherwise(F.lit(ADVICE["no orphans"])),
+    ]
+    advice = F.when(F.col("files") == 0, F.array(F.lit(ADVICE["no files"]))).otherwise(F.filter(F.array(*said), lambda x: x.isNotNull()))
+    none = F.lit(None).cast("string")
+    metrics = base.where("files > 0").select(F.inline(F.array(*rows)))
+    return metrics.unionAll(base.select(F.lit("recommendation").alias("part"), F.posexplode(advice).alias("at", "text")).select("part", (F.col("at") + 1).alias("position"), none.alias("name"), none.alias("value"), none.alias("status"), "text"))
+
+
 def health_cycles(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(cycle, length) of the five cycles that ``health`` counts, as paths, ``file_`` and the id where a path is unknown."""
     top = cycles(edges, 5).withColumn("k", F.monotonically_increasing_id())
@@ -200,25 +264,36 @@ def truth(value) -> bool:
     return value.strip().lower() in ("true", "1", "yes", "y", "on") if isinstance(value, str) else bool(value)
 
 
-def dependencies(edges: DataFrame, files: DataFrame, target: str, depth=1) -> DataFrame:
+def dependencies(edges: DataFrame, files: DataFrame, target: str, depth=1, *, lines: DataFrame | None = None) -> DataFrame:
     """(node_id, node_path, depth, direction, id, path, dist): what the file that ``target`` names depends on (``out``) and what depends on it (``in``).
 
     A depth that is no number is 1, a negative one 0. Where nothing is within reach, one
     row has the file and nulls; where the target names no file, one row has the depth alone.
+    With ``lines``, ``snippet`` has the file's first lines.
     """
     depth = whole_number(depth, 1, 0)
     root = resolve_target(files, target)
     near = closures(edges, root.select(F.col("id").alias("root")), depth).join(files.select(F.col("id").alias("node"), "path"), "node", "left")
     near = near.select("direction", F.col("node").alias("id"), F.coalesce("path", F.concat(F.lit("#"), F.col("node").cast("string"))).alias("path"), "dist")
     head = edges.sparkSession.range(1).select(F.lit(depth).alias("depth")).join(root.select(F.col("id").alias("node_id"), F.col("path").alias("node_path")), F.lit(True), "left")
-    return head.join(near, F.col("node_id").isNotNull(), "left").select("node_id", "node_path", "depth", "direction", "id", "path", "dist")
+    out = head.join(near, F.col("node_id").isNotNull(), "left").select("node_id", "node_path", "depth", "direction", "id", "path", "dist")
+    if lines is None:
+        return out
+    told = excerpts(root.select("path", F.lit(0).alias("position")), lines, files=1, rows=MAP_ROWS, skip=(), strip=True)
+    return out.withColumn("snippet", told.agg(F.first("snippet")).scalar())
+
 
+#: lines of an excerpt in a map, excerpts of it, and characters of its overview document
+MAP_ROWS, MAP_FILES, OVERVIEW = 75, 5, 2000
 
-def architecture(edges: DataFrame, files: DataFrame, target: str | None = None, *, top_k=10, radius=2) -> DataFrame:
+
+def architecture(edges: DataFrame, files: DataFrame, target: str | None = None, *, top_k=10, radius=2, documents: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(scope, focus_path, part, position, name, value, other) of a map of a repository (edges of file ids, files with repository_id).
 
     ``part`` is ``module`` (name, number of files), ``key_file`` (path, centrality in the
-    whole graph) or ``edge`` (source, target as ``other``). A target makes it the map of the
+    whole graph) or ``edge`` (source, target as ``other``); with ``documents`` (path, content),
+    ``overview``, the beginning of the preferred one; with ``lines``, ``snippet``, the first lines of
+    the focus and then of key files, five in all, as ``other``. A target makes it the map of the
     files within ``radius`` undirected hops; one that names no file gives an empty map.
     """
     top_k, radius, target = whole_number(top_k, 10, 1), whole_number(radius, 2, 0), (target or "").strip()
@@ -235,7 +310,18 @@ def architecture(edges: DataFrame, files: DataFrame, target: str | None = None,
     order = F.array_sort(F.collect_list(F.struct((-F.col("centrality")).alias("c"), F.coalesce("path", F.concat(F.lit("#"), F.col("id").cast("string"))).alias("path"))))
     keys = central.agg(order.alias("k")).select(F.posexplode("k").alias("at", "k")).select(F.lit("key_file").alias("part"), (F.col("at") + 1).cast("long").alias("position"), F.col("k.path").alias("name"), (-F.col("k.c")).alias("value"), F.lit(None).cast("string").alias("other"))  # top_k rows
     links = edge_views(inside, files).select(F.lit("edge").alias("part"), F.lit(None).cast("long").alias("position"), F.col("source").alias("name"), F.lit(None).cast("double").alias("value"), F.col("target").alias("other"))
-    return modules.unionAll(keys).unionAll(links).select(F.lit(scope).alias("scope"), focus.alias("focus_path"), "part", "position", "name", "value", "other")
+    out = modules.unionAll(keys).unionAll(links)
+    none, number = F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("position")
+    if documents is not None:
+        best = stats.overview_document(documents.select("path", "content"))
+        out = out.unionAll(best.select(F.lit("overview").alias("part"), number, F.col("path").alias("name"), none, F.concat(F.lit("["), "path", F.lit("]:\n"), F.left("content", F.lit(OVERVIEW))).alias("other")))
+    if lines is not None:
+        wanted = keys.select(F.col("name").alias("path"), "position")
+        if target:
+            wanted = root.select("path", F.lit(0).cast("long").alias("position")).unionAll(wanted)
+        told = excerpts(wanted, lines, files=MAP_FILES, rows=MAP_ROWS, skip=(), strip=True)
+        out = out.unionAll(told.select(F.lit("snippet").alias("part"), F.col("position").cast("long").alias("position"), F.col("path").alias("name"), none, F.col("snippet").alias("other")))
+    return out.select(F.lit(scope).alias("scope"), focus.alias("focus_path"), "part", "position", "name", "value", "other")
 
 
 def viewer_nodes(edges: DataFrame, files: DataFrame, target: str | None = None, *, depth=1) -> DataFrame:
@@ -265,6 +351,9 @@ def endpoints(edges: DataFrame, files: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).union(files.select("id")).distinct()
 
 
+# The limits of grades and bands, and the directories that make a subsystem.
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A+").when(score >= 80, "A").when(score >= 70, "B").when(score >= 60, "C").otherwise("D")
 

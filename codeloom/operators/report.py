@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, stats, text
 
+
+def labelled(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges (src, dst, label) with what their target is shown as: its path, else the label, else ``external``."""
+    paths = files.select(F.col("id").alias("dst"), F.col("path").alias("target"))
+    return edges.join(paths, "dst", "left").withColumn("shown", F.coalesce("target", "label", F.lit("external"))).drop("target")
+
+
 def file_detail(files: DataFrame, symbols: DataFrame, edges: DataFrame, target: DataFrame) -> DataFrame:
     """(id, path, symbols, imports, referenced_by) of the files in ``target`` (column id); edges are (src, dst, label, source_type)."""
     chosen = files.join(target.select("id"), "id", "left_semi")
     s = symbols.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("line_start", "name", "kind"))).alias("symbols"))
-    paths = files.select(F.col("id").alias("dst"), F.col("path").alias("target"))
-    i = edges.join(paths, "dst", "left").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set(F.coalesce("target", "label", F.lit("external")))).alias("imports"))
+    i = labelled(edges, files).groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("shown")).alias("imports"))
     sources = files.select(F.col("id").alias("src"), F.col("path").alias("source"))
     r = edges.where("source_type = 'file'").join(sources, "src").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("referenced_by"))
     return chosen.select("id", "path").join(s, "id", "left").join(i, "id", "left").join(r, "id", "left")
@@ -47,11 +53,30 @@ def hulls(positions: DataFrame, padding: float = 45.0) -> DataFrame:
     return box.select("part", (F.col("a") - padding).alias("x"), (F.col("c") - padding).alias("y"), F.greatest(F.lit(160.0), F.col("b") - F.col("a") + 2 * padding).alias("width"), F.greatest(F.lit(130.0), F.col("d") - F.col("c") + 2 * padding).alias("height"), "count")
 
 
-def mermaid(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst, line): the edges as Mermaid flow chart lines, in order of both ids."""
-    views = graph.edge_views(edges, files)
-    name = lambda c: F.regexp_replace(c, "[^a-zA-Z0-9]", "_")
-    return views.select("src", "dst", F.concat(F.lit("    "), name("source"), F.lit('["'), "source", F.lit('"] --> '), name("target"), F.lit('["'), "target", F.lit('"]')).alias("line"))
+STAR = 3  # in-degree from which a file has a star
+
+
+def mermaid(edges: DataFrame, files: DataFrame, part: Column | None = None) -> DataFrame:
+    """(block, place, second, line): the text of a Mermaid flow chart, in order of the first three.
+
+    Block 0 is the head; then each subsystem, by name, has a block of its files, by id, with
+    the most imported starred; the last block has the edges by both ids. ``part`` is the
+    column that names a file's subsystem, its path's by default.
+    """
+    name = lambda c: F.regexp_replace(c, "[^a-zA-Z0-9_]", "_")
+    ins = graph.degrees(edges, files).select("id", "in_degree")
+    nodes = files.select("id", "path", (graph.subsystem(F.col("path")) if part is None else part).alias("part")).join(ins, "id")
+    parts = nodes.select("part").distinct().withColumn("block", F.row_number().over(Window.orderBy("part")))  # a row per part
+    base = F.when(F.element_at(F.split("path", "/"), -1) != "", F.element_at(F.split("path", "/"), -1)).otherwise(F.col("path"))
+    star = F.when(F.col("in_degree") >= STAR, F.lit(" ⭐")).otherwise("")
+    inner = nodes.join(F.broadcast(parts), "part").select("block", F.col("id").alias("place"), F.lit(0).cast("long").alias("second"), F.concat(F.lit("    "), name(F.col("id").cast("string")), F.lit('["'), base, star, F.lit('"]')).alias("line"))
+    here = lambda k: F.lit(k).cast("long")
+    opened = parts.select("block", here(-(1 << 62)).alias("place"), here(0).alias("second"), F.concat(F.lit("  subgraph "), name(F.col("part")), F.lit(' ["📦 '), "part", F.lit('"]')).alias("line"))
+    closed = parts.select("block", here(1 << 62).alias("place"), here(0).alias("second"), F.lit("  end").alias("line"))
+    head = parts.sparkSession.range(1).select(F.lit(0).alias("block"), here(0).alias("place"), here(0).alias("second"), F.lit("graph TD").alias("line"))
+    links = edges.select("src", "dst").distinct()
+    drawn = links.select(F.lit((1 << 31) - 1).alias("block"), F.col("src").alias("place"), F.col("dst").alias("second"), F.concat(F.lit("  "), name(F.col("src").cast("string")), F.lit(" --> "), name(F.col("dst").cast("string"))).alias("line"))
+    return head.unionAll(opened).unionAll(inner).unionAll(closed).unionAll(drawn)
 
 
 EXCERPT = 3000

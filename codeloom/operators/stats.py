@@ -59,6 +59,23 @@ def issues_of(issues: DataFrame, target: str | None = None) -> DataFrame:
     return issues.select("number", "title", "state", F.coalesce("labels", none).alias("labels"), "url", F.coalesce("linked_files", none).alias("linked_files"), is_pull(F.col("url")).alias("is_pr")).orderBy(F.desc("number"))
 
 
+def activity_by_day(commits: DataFrame) -> DataFrame:
+    """(author, day, commits)."""
+    return commits.groupBy("author", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("commits"))
+
+
+def detail_counts(files: DataFrame, **tables: DataFrame) -> DataFrame:
+    """One row: files, their lines, and the rows of each other table by its name."""
+    one = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"))
+    return one.withColumns({name: df.agg(F.count("*")).scalar() for name, df in tables.items()})
+
+
+def chat_messages(messages: DataFrame, session_id: int | None = None) -> DataFrame:
+    """The messages of one session, or of all, in order."""
+    some = messages if session_id is None else messages.where(F.col("session_id") == session_id)
+    return some.orderBy("session_id", "id")
+
+
 def chat_sessions(messages: DataFrame) -> DataFrame:
     """(session_id, messages, last_message), newest session first."""
     return messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.max_by("content", "id").alias("last_message")).orderBy(F.desc("session_id"))
@@ -121,6 +138,7 @@ def subsystem_flags(files: DataFrame, *keys: str) -> DataFrame:
     return files.groupBy(*keys).agg(*flags) if keys else files.agg(*flags)
 
 
+# Words of paths and the roles that they give, in order.
 def role(path: Column) -> Column:
     """A file's role from words of its path; the first that fits."""
     has = lambda *w: reduce(lambda a, b: a | b, [F.contains(path, F.lit(x)) for x in w])
@@ -141,6 +159,7 @@ def endpoint(path: Column) -> Column:
     return F.regexp_replace(start, r"/route\.(js|ts)x?", "")
 
 
+# The pattern of an exported handler.
 def route_methods(content: Column) -> Column:
     """Sorted distinct HTTP methods that a source exports, as ``GET/POST`` where none is found."""
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)"), F.lit(1))))
@@ -166,6 +185,21 @@ def fold_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def fold_json(text: Column) -> Column:
+    """A JSON text whose strings, at any depth, have ``\\n`` for every other line end; other escapes, and all else, stay as written."""
+    # an escape begins after an even number of back slashes
+    return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\(?:r|u000[dD])(?:\\(?:n|u000[aA]))?", r"$1\\n")
+
+
+def quoted(text: Column) -> Column:
+    """A text as a literal: in single quotes, or in double ones if only single ones stand in it; back slashes, tabs and line ends are escaped."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(shown))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def capped(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(" …"))).otherwise(text)
 

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once: a table in the folder that ``spark.checkpoint.dir`` names or, in a local session without one, memory."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    out = df.cache()
-    out.count()
-    return out
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def kept(df: DataFrame, log: list[str] | None = None) -> DataFrame:
+    """``df`` computed once, as a table that all machines share; ``log`` gets its path, for ``discard``."""
+    path = f"{folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if log is not None:
+        log.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, log: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for where in log:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    log.clear()
 
 
 def numbered(df: DataFrame, *order: str, within: str = "repository_id") -> DataFrame:

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import kept
+from .steps import discard, kept
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -30,16 +30,18 @@ def _single(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return _ends(edges).join(near, "v", "left").select("v", F.when(F.col("n") == 1, F.col("to")).alias(name), F.col("n").isNull().alias(f"{name}_dead"))
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """Distinct edges (src, dst) without self-loops, less the nodes whose way on, or back, is forced to a dead end."""
+def trimmed(edges: DataFrame, log: list[str]) -> DataFrame:
+    """Distinct edges (src, dst) without self-loops, less the nodes whose way on, or back, is forced to a dead end; ``log`` gets its tables."""
     now = edges
     while not now.isEmpty():
-        at, n = kept(_single(now, "src", "dst", "on").join(_single(now, "dst", "src", "back"), "v")), None
+        at, n = kept(_single(now, "src", "dst", "on").join(_single(now, "dst", "src", "back"), "v"), log), None
+        if at.where("on_dead or back_dead").isEmpty():  # a forced way ends nowhere then
+            return now
         while True:
             for way in ("on", "back", "on", "back"):  # a node takes its next one's next, twice
                 far = at.select(F.col("v").alias(way), F.col(way).alias("next"), F.col(f"{way}_dead").alias("far_dead"))
                 at = at.join(far, way, "left").withColumn(way, F.col("next")).withColumn(f"{way}_dead", F.col(f"{way}_dead") | F.coalesce("far_dead", F.lit(False))).drop("next", "far_dead")
-            at = kept(at)
+            at = kept(at, log)
             ends = tuple(at.agg(*(F.count_if(c) for c in (F.col("on_dead"), F.col("back_dead"), F.col("on").isNull(), F.col("back").isNull()))).first())
             if ends == n:
                 break
@@ -47,26 +49,31 @@ def trimmed(edges: DataFrame) -> DataFrame:
         dead = at.where("on_dead or back_dead").select("v")
         if dead.isEmpty():
             return now
-        now = kept(now.join(dead.withColumnRenamed("v", "src"), "src", "left_anti").join(dead.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst"))
+        now = kept(now.join(dead.withColumnRenamed("v", "src"), "src", "left_anti").join(dead.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst"), log)
     return now
 
 
-def _marks(edges: DataFrame, seed: int) -> DataFrame:
+def _step(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """``at`` (v, f, b, pf, pb, ...) after marks have gone along each edge, and from ``pf`` and to ``pb``: nodes further on, which move on in turn."""
+    new = at
+    for own, way, a, b in (("f", "pf", "src", "dst"), ("b", "pb", "dst", "src")):
+        from_edges = edges.join(at.select(F.col("v").alias(a), F.col(own).alias("m")), a).groupBy(F.col(b).alias("v")).agg(F.max(F.struct("m", F.col(a).alias("u"))).alias(f"{own}_edge"))
+        from_way = at.select(F.col("v").alias(way), F.col(own).alias(f"{own}_far"), F.col(way).alias(f"{own}_next"))
+        new = new.join(from_edges, "v", "left").join(from_way, way, "left")
+    for own, way in (("f", "pf"), ("b", "pb")):
+        edge, far, after = F.col(f"{own}_edge"), F.col(f"{own}_far"), F.col(f"{own}_next")
+        aim = F.when(far > F.col(own), after).when((after != F.col(way)) & (edge["m"] <= F.col(own)), after).otherwise(F.coalesce(edge["u"], F.col("v")))
+        new = new.withColumns({way: aim, own: F.greatest(own, edge["m"], far)}).drop(f"{own}_edge", f"{own}_far", f"{own}_next")
+    return new
+
+
+def _marks(edges: DataFrame, seed: int, log: list[str]) -> DataFrame:
     """(v, f, b): the largest marks of the nodes that reach each node and that it reaches, its own among them."""
     mark = F.xxhash64(F.lit(seed), "v")
-    at = kept(_ends(edges).select("v", mark.alias("f"), mark.alias("b"), F.col("v").alias("pf"), F.col("v").alias("pb")))
+    at = kept(_ends(edges).select("v", mark.alias("f"), mark.alias("b"), F.col("v").alias("pf"), F.col("v").alias("pb")), log)
     while True:
-        new = at
-        for own, way, a, b in (("f", "pf", "src", "dst"), ("b", "pb", "dst", "src")):
-            from_edges = edges.join(at.select(F.col("v").alias(a), F.col(own).alias("m")), a).groupBy(F.col(b).alias("v")).agg(F.max(F.struct("m", F.col(a).alias("u"))).alias(f"{own}_edge"))
-            from_way = at.select(F.col("v").alias(way), F.col(own).alias(f"{own}_far"), F.col(way).alias(f"{own}_next"))
-            new = new.join(from_edges, "v", "left").join(from_way, way, "left")
-        cols: list[Column] = []
-        for own, way in (("f", "pf"), ("b", "pb")):
-            edge, far = F.col(f"{own}_edge"), F.col(f"{own}_far")
-            cols += [F.greatest(own, edge["m"], far).alias(own), F.when(far > F.col(own), F.col(f"{own}_next")).when((F.col(f"{own}_next") != F.col(way)) & (edge["m"] <= F.col(own)), F.col(f"{own}_next")).otherwise(F.coalesce(edge["u"], F.col("v"))).alias(way)]
-        moved = reduce(lambda x, y: x | y, [F.greatest(own, F.col(f"{own}_edge")["m"], F.col(f"{own}_far")) != F.col(own) for own in ("f", "b")])
-        at = kept(new.select("v", *cols, moved.alias("moved")))
+        new = _step(edges, _step(edges, at.withColumns({"f0": F.col("f"), "b0": F.col("b")})))
+        at = kept(new.select("v", "f", "b", "pf", "pb", ((F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0"))).alias("moved")), log)
         if at.where("moved").isEmpty():
             return at.select("v", "f", "b")  # read from the last step
         at = at.drop("moved")
@@ -74,23 +81,25 @@ def _marks(edges: DataFrame, seed: int) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the nodes that lie on a cycle, with the smallest node of their component. Edges with a null end are left out."""
-    links = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    log: list[str] = []
+    links = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), log)
     found = [links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))]
-    now, seed = trimmed(links.where("src <> dst")), 0
+    now, seed = trimmed(links.where("src <> dst"), log), 0
     while not now.isEmpty():
-        marks = _marks(now, seed)
+        marks = _marks(now, seed, log)
         done = marks.where("f = b")
-        named = done.join(done.groupBy("f").agg(F.min("v").alias("component"), F.count("*").alias("n")).where("n > 1"), "f").select(F.col("v").alias("node"), "component")
-        found.append(named)
+        found.append(done.join(done.groupBy("f").agg(F.min("v").alias("component"), F.count("*").alias("n")).where("n > 1"), "f").select(F.col("v").alias("node"), "component"))
         left = marks.where("f <> b")
         a, b = left.select(F.col("v").alias("src"), F.col("f").alias("sf"), F.col("b").alias("sb")), left.select(F.col("v").alias("dst"), F.col("f").alias("df"), F.col("b").alias("db"))
-        now = trimmed(kept(now.join(a, "src").join(b, "dst").where("sf = df and sb = db").select("src", "dst")))
+        now = trimmed(kept(now.join(a, "src").join(b, "dst").where("sf = df and sb = db").select("src", "dst"), log), log)
         seed += 1
-    return reduce(DataFrame.unionAll, found).groupBy("node").agg(F.min("component").alias("component"))
+    out = kept(reduce(DataFrame.unionAll, found).groupBy("node").agg(F.min("component").alias("component")))
+    discard(edges.sparkSession, log)
+    return out
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """The distinct edges within a component, those of a node to itself included; empty if and only if there is no cycle."""
-    of = kept(strong_components(edges))
+    of = strong_components(edges)
     a, b = of.select(F.col("node").alias("src"), F.col("component").alias("a")), of.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     return kept(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))

@@ -91,12 +91,12 @@ def references_of_words(words: DataFrame, symbols: DataFrame, *, cap: int | None
     return found.select("symbol_id", "name", "file_id", "path", "line", *own)
 
 
-def reference_tallies(symbols: DataFrame, hits: DataFrame, *, cap: int = 50) -> DataFrame:
-    """One row: symbols, hits, hits outside indexed files (dropped), edges added, symbols without a hit and with ``cap`` hits."""
+def reference_tallies(symbols: DataFrame, hits: DataFrame, *keys: str, cap: int = 50) -> DataFrame:
+    """One row (for each ``keys`` of the symbols): symbols, hits, hits outside indexed files (dropped), edges added, symbols without a hit and with ``cap`` hits."""
     per = hits.groupBy("symbol_id").agg(F.count("*").alias("hits"), F.count_if(F.col("file_id").isNull()).alias("dropped"), F.count_distinct("file_id").alias("added"))
     n = F.coalesce("hits", F.lit(0))
     of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return symbols.select(F.col("id").alias("symbol_id")).join(per, "symbol_id", "left").agg(F.count("*").alias("symbols"), of("hits"), of("dropped"), of("added"), F.count_if(n == 0).alias("unused"), F.count_if(n >= cap).alias("saturated"))
+    return symbols.select(*keys, F.col("id").alias("symbol_id")).join(per, "symbol_id", "left").groupBy(*keys).agg(F.count("*").alias("symbols"), of("hits"), of("dropped"), of("added"), F.count_if(n == 0).alias("unused"), F.count_if(n >= cap).alias("saturated"))
 
 
 def import_tallies(edges: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import report, resolve, stats, text
 from .graph import truth, whole_number
+from .snippets import excerpts
 from .steps import kept
 
 # Search words and the shorter forms that names use.
@@ -18,19 +19,18 @@ ALIASES = {"authentication": "auth", "authorization": "auth", "database": "db",
 REPO_WIDE = frozenset(("", ".", "repository_root", "repo", "all", "root", "*", "whole_repo"))
 REPO_WORDS = ("repo", "root")
 REPO_NAMES = frozenset(("git", "project"))
-# Parts of names of files that make no excerpt.
-NO_EXCERPT = ("package-lock", "yarn.lock", ".min.", "chunk")
 
 
 def unified_search(files: DataFrame, symbols: DataFrame, lines: DataFrame, query: str, kind: str = "symbol", *, symbol_kind: str | None = None, regex=False, cap=50) -> DataFrame:
-    """(file_id, path, name, symbol_kind, line, text) of a search of ``kind`` symbol, file or text, ``cap`` (1 to 200) at most."""
-    cap = min(200, whole_number(cap, 50, 1))
+    """(file_id, path, name, symbol_kind, line, text) of a search of ``kind`` symbol, file or text, ``cap`` (1 to 200; None: all) at most."""
+    cap = None if cap is None else min(200, whole_number(cap, 50, 1))
+    limited = lambda df: df if cap is None else df.limit(cap)
     none = lambda t: F.lit(None).cast(t)
     if kind == "symbol":
-        found = text.search_symbols(symbols, files, query, symbol_kind).limit(cap)
+        found = limited(text.search_symbols(symbols, files, query, symbol_kind))
         return found.select("file_id", F.col("file").alias("path"), "name", F.col("kind").alias("symbol_kind"), F.col("line_start").cast("long").alias("line"), none("string").alias("text"))
     if kind == "file":
-        found = text.search_files(files, query).limit(cap)
+        found = limited(text.search_files(files, query))
         return found.select(F.col("id").alias("file_id"), "path", none("string").alias("name"), none("string").alias("symbol_kind"), none("long").alias("line"), none("string").alias("text"))
     if kind != "text":
         raise ValueError(f"a search is for symbol, file or text, not {kind!r}")
@@ -49,33 +49,56 @@ def search_terms(query: str) -> tuple[str, str | None, list[str]]:
 def fallback(search: Callable[[str], DataFrame], query: str, enough: int = 25) -> DataFrame:
     """The hits of ``search(query)`` with ``rank`` and ``term``; where there are none, those of its alias; where there are none, of its words in turn until ``enough``.
 
-    All terms are met in one pass; which of them count follows from their numbers of hits.
+    Terms are searched in turn, and only as far as they are needed.
     """
     first, alias, words = search_terms(query)
-    terms = [(0, first), *([(1, alias)] if alias else []), *((2 + k, w) for k, w in enumerate(words))]
-    hits = kept(reduce(DataFrame.unionAll, [search(t).select(F.lit(k).alias("rank"), F.lit(t).alias("term"), "*") for k, t in terms]))
-    counts = hits.groupBy("rank").agg(F.count("*").alias("n"))  # a row for each term of the query
-    before = F.coalesce(F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    best = F.min("rank").over(Window.partitionBy())
-    used = counts.select("rank", before.alias("before"), best.alias("best")).where((F.col("rank") == F.col("best")) | (F.col("best") >= 2) & (F.col("before") < enough))
-    return hits.join(F.broadcast(used.select("rank")), "rank", "left_semi")
+    found: list[DataFrame] = []
 
+    def take(rank: int, term: str) -> int:
+        hits = kept(search(term).select(F.lit(rank).alias("rank"), F.lit(term).alias("term"), "*"))
+        n = hits.count()
+        if n or not found:
+            found.append(hits)
+        return n
 
-def excerpts(paths: DataFrame, lines: DataFrame, *, files: int = 3, rows: int = 45, skip: tuple[str, ...] = NO_EXCERPT) -> DataFrame:
-    """(position, path, snippet): the first ``rows`` lines of the first ``files`` distinct paths (position, path), but for lock files and bundles.
+    n = take(0, first)
+    if not n and alias:
+        n = take(1, alias)
+    if not n:
+        for k, word in enumerate(words):
+            n += take(2 + k, word)
+            if n >= enough:
+                break
+    return reduce(DataFrame.unionAll, found)
 
-    A path that has no lines is tried without its first part. Paths of nothing but
-    white space are left out after they are counted.
+
+#: arguments that a step may hand on to each search, beside the query
+STEP_ARGUMENTS = {"search_symbols": ("kind",), "search_files": (), "search_text": ("regex",)}
+
+
+def search_step(files: DataFrame, symbols: DataFrame, lines: DataFrame, tool: str, args: dict) -> tuple[DataFrame, DataFrame]:
+    """(hits, excerpts) of one step of a plan: a search by name, its query with fallbacks, and the first lines of the files that it found.
+
+    Hits are rows of ``unified_search`` with ``rank``, ``term`` and ``position``; arguments
+    that a search doesn't know are dropped, one without a query is an error.
     """
-    usable = reduce(lambda a, b: a & b, [~F.contains(F.lower("path"), F.lit(w)) for w in skip], F.lit(True))
-    chosen = paths.where(usable).groupBy("path").agg(F.min("position").alias("position")).orderBy("position", "path").limit(files)
-    heads = lines.where(F.col("line") <= rows).select(F.col("path").alias("at"), "line", "text")
-    chosen = kept(chosen.withColumn("tail", F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", r"^[^/]*/(.*)$", 1))))
-    direct = chosen.join(heads, F.col("path") == F.col("at")).select("position", "path", "line", "text")
-    rest = chosen.join(heads.select(F.col("at").alias("path")), "path", "left_anti")
-    other = rest.join(heads, F.col("tail") == F.col("at")).select("position", "path", "line", "text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return direct.unionAll(other).groupBy("position", "path").agg(joined.alias("snippet")).where(F.col("snippet").rlike(r"\S"))
+    if tool not in STEP_ARGUMENTS:
+        raise ValueError(f"no such search: {tool!r}")
+    if "query" not in args:
+        raise ValueError(f"{tool} needs a query")
+    some = {k: args[k] for k in STEP_ARGUMENTS[tool] if k in args}
+    kind = {"search_symbols": "symbol", "search_files": "file", "search_text": "text"}[tool]
+    cap = {"symbol": None, "file": None, "text": 50}[kind]
+    hits = fallback(lambda q: unified_search(files, symbols, lines, q, kind, symbol_kind=some.get("kind"), regex=some.get("regex", False), cap=cap), str(args["query"]))
+    order = ["rank", *(["name"] if kind == "symbol" else []), "path", "line", "file_id"]
+    hits = kept(hits)
+    first = hits.groupBy("path").agg(F.min(F.struct(*order)).alias("o")).orderBy("o").limit(50)  # enough for three excerpts after lock files
+    places = first.agg(F.array_sort(F.collect_list(F.struct("o", "path"))).alias("p")).select(F.posexplode("p").alias("position", "p")).select("position", "p.path")
+    return hits, excerpts(places, lines)
+
+
+#: authors that a history lists, the most active first; ``stats.contributors`` has all as rows
+MOST_AUTHORS = 10_000
 
 
 def file_history(files: DataFrame, commits: DataFrame, touches: DataFrame, target: str | None = None, *, cap=10) -> DataFrame:
@@ -101,7 +124,7 @@ def file_history(files: DataFrame, commits: DataFrame, touches: DataFrame, targe
         mine = touches.join(found.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("commit_id").alias("id")).distinct()
         some = commits.join(mine, "id", "left_semi")
         head = files.join(found.select("id"), "id", "left_semi").select(F.col("path").alias("file_path"), "last_modified")
-    people = stats.contributors(some).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))  # one row an author
+    people = stats.contributors(some).limit(MOST_AUTHORS).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
     last = stats.recent_commits(some, cap).agg(F.collect_list(F.struct("date", "hash", "message", "author")).alias("r"))  # cap rows
     newest = F.reverse(F.array_sort("r"))
     return head.select(
@@ -119,7 +142,7 @@ def file_view(files: DataFrame, symbols: DataFrame, edges: DataFrame, commits: D
     detail = report.file_detail(files, symbols, edges, found)
     mine = touches.join(found.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("commit_id").alias("id")).distinct()
     some = commits.join(mine, "id", "left_semi")
-    people = stats.contributors(some).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
+    people = stats.contributors(some).limit(MOST_AUTHORS).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
     last = stats.recent_commits(some, whole_number(cap, 10, 0)).agg(F.reverse(F.array_sort(F.collect_list(F.struct("date", "hash", "author")))).alias("r"))
     out = detail.join(one, "id").withColumns({"top_contributors": people.scalar(), "recent_commits": last.scalar()})
     if lines is None:

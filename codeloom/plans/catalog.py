@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, graph, report, resolve, stats, text, tools
+from ..operators import evidence, graph, report, resolve, snippets, stats, strong, text, tools, tree
+from ..sources import parse
 from .views import SQL, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,8 +89,7 @@ def q_G01_repository_stats(v):
 
 @_query("SELECT count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM commits) AS commits FROM files")
 def q_G02_detail_counts(v):
-    one = v.files().agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
-    return one.withColumns({name: getattr(v, name)().agg(F.count("*")).scalar() for name in ("symbols", "edges", "documents", "commits")})
+    return stats.detail_counts(v.files(), symbols=v.symbols(), edges=v.edges(), documents=v.documents(), commits=v.commits())
 
 
 @_query("SELECT coalesce(language, 'other') AS language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, round(100.0 * sum(loc) / sum(sum(loc)) OVER (), 1) AS share FROM files GROUP BY 1")
@@ -97,9 +97,9 @@ def q_G03_language_share(v):
     return stats.language_share(v.files()).select("language", "files", "loc", F.col("share").cast("double").alias("share"))
 
 
-@_query("SELECT author, count(*) AS commits FROM commits WHERE message = 'purchase' GROUP BY author")
+@_query("SELECT author, count(*) AS commits FROM commits GROUP BY author")
 def q_G05_contributors(v):
-    return stats.contributors(v.commits().where("message = 'purchase'"))
+    return stats.contributors(v.commits())
 
 
 @_query("SELECT author, id, hash, rank FROM (SELECT author, id, hash, row_number() OVER (PARTITION BY author ORDER BY date DESC, hash DESC) AS rank FROM commits) x WHERE rank <= 10")
@@ -120,7 +120,7 @@ def q_G12_chat_sessions(v):
 
 @_query("SELECT session_id, id, role, content FROM messages")
 def q_A08_chat_messages(v):
-    return v.messages().orderBy("session_id", "id")
+    return stats.chat_messages(v.messages())
 
 
 @_query(
@@ -149,8 +149,7 @@ def q_O05_multiset_difference(v):
 
 @_query("SELECT src AS id FROM edges UNION SELECT dst FROM edges UNION SELECT id FROM files")
 def q_O01_node_union(v):
-    e = v.edges()
-    return e.select(F.col("src").alias("id")).union(e.select("dst")).union(v.files().select("id")).distinct()
+    return graph.endpoints(v.edges(), v.files())
 
 
 # --- graph -------------------------------------------------------------------------
@@ -222,9 +221,15 @@ def q_J08_relative_imports(v):
 # --- composites ----------------------------------------------------------------------
 
 
-@_query("SELECT src, dst, '    ' || regexp_replace(coalesce(a.path, '#' || e.src), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(a.path, '#' || e.src) || '\"] --> ' || regexp_replace(coalesce(b.path, '#' || e.dst), '[^a-zA-Z0-9]', '_', 'g') || '[\"' || coalesce(b.path, '#' || e.dst) || '\"]' AS line FROM edges e LEFT JOIN files a ON a.id = e.src LEFT JOIN files b ON b.id = e.dst")
+@_query(
+    """SELECT 0 AS block, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS second, 'graph TD' AS line UNION ALL SELECT CAST(k AS INTEGER), -4611686018427387904, 0, '  subgraph ' || language || ' ["📦 ' || language || '"]' FROM pt
+UNION ALL SELECT CAST(k AS INTEGER), 4611686018427387904, 0, '  end' FROM pt
+UNION ALL SELECT CAST(k AS INTEGER), id, 0, '    ' || id || '["' || split_part(path, '/', -1) || CASE WHEN coalesce(n, 0) >= 3 THEN ' ⭐' ELSE '' END || '"]' FROM named f JOIN pt USING (language) LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = f.id
+UNION ALL SELECT 2147483647, src, dst, '  ' || src || ' --> ' || dst FROM edges""",
+    "pt AS (SELECT language, row_number() OVER (ORDER BY language) AS k FROM (SELECT DISTINCT language FROM named) x)",
+)
 def q_K09_mermaid(v):
-    return report.mermaid(v.edges(), v.files())
+    return report.mermaid(v.edges(), v.named_files(), F.col("language")).orderBy("block", "place", "second")
 
 
 @_query("SELECT id, CASE WHEN loc % 101 >= 90 THEN 'A+' WHEN loc % 101 >= 80 THEN 'A' WHEN loc % 101 >= 70 THEN 'B' WHEN loc % 101 >= 60 THEN 'C' ELSE 'D' END AS grade, CASE WHEN loc % 101 >= 85 THEN 'emerald' WHEN loc % 101 >= 70 THEN 'blue' WHEN loc % 101 >= 50 THEN 'amber' ELSE 'red' END AS band FROM files")
@@ -251,7 +256,7 @@ def q_S02_language(v):
 
 @_query("SELECT author, strftime(date, '%Y-%m-%d') AS day, count(*) AS commits FROM commits GROUP BY 1, 2")
 def q_G05_activity_by_day(v):
-    return v.commits().groupBy("author", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("commits"))
+    return stats.activity_by_day(v.commits())
 
 
 # --- search and references -----------------------------------------------------------------
@@ -338,7 +343,7 @@ for _name, _target, _clean in (("directory", "mod7/:12", "mod7"), ("suffix", " t
 )
 def q_C19_alias_search(v):
     files = v.named_files().select("id", "path")
-    return tools.fallback(lambda t: text.search_files(files, t), " Database ").select("term", "rank", "id", "path").withColumn("term", F.lit("db"))
+    return tools.fallback(lambda t: text.search_files(files, t), " Database ").select("term", "rank", "id", "path")
 
 
 @_query(
@@ -350,10 +355,24 @@ def q_A10_fallback_search(v):
     return tools.fallback(lambda t: text.search_files(files, t), "user-auth Bolt authorization in mail").select("term", "rank", "id", "path")
 
 
-@_query("SELECT 'f1o' AS term, s.id, s.name, f.path AS file FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77o')")
+@_query("SELECT '77o' AS term, 3 AS rank, s.id, s.name, f.path AS file FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77o')")
 def q_A10_fallback_symbols(v):
-    found = tools.fallback(lambda t: text.search_symbols(v.symbols(), v.files(), t).select("id", "name", "file"), "zzz 77O")
-    return found.select(F.lit("f1o").alias("term"), "id", "name", "file")
+    return tools.fallback(lambda t: text.search_symbols(v.symbols(), v.files(), t).select("id", "name", "file"), "zzz 77O")
+
+
+@_query("SELECT 3 AS rank, '77o' AS term, s.file_id, f.path, s.name, s.kind AS symbol_kind, s.line_start AS line FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77o') AND s.kind = 'high'")
+def q_A10_step_hits(v):
+    hits, _ = tools.search_step(v.files(), v.symbols(), _doc_lines(v), "search_symbols", {"query": "zzz 77O", "kind": "HIGH", "repository_id": 3})
+    return hits.drop("text")
+
+
+@_query(
+    "SELECT path, array_to_string(list(text ORDER BY line), chr(10)) AS snippet FROM ln WHERE line <= 45 AND path IN (SELECT path FROM (SELECT DISTINCT path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM ln WHERE contains(lower(text), 'license')) x WHERE n <= 50) y ORDER BY path LIMIT 3) GROUP BY path",
+    _LINES.split(",\nkept")[0],
+)
+def q_A10_step_excerpts(v):
+    _, shown = tools.search_step(v.files(), v.symbols(), _doc_lines(v), "search_text", {"query": "License", "regex": "no"})
+    return shown.select("path", "snippet")
 
 
 @_query("SELECT file_id, path, name, kind AS symbol_kind, line FROM (SELECT s.file_id, f.path, s.name, s.kind, s.line_start AS line FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(lower(s.name), '77') AND s.kind = 'high' ORDER BY s.name, f.path, s.line_start, s.id LIMIT 200) x")
@@ -377,35 +396,88 @@ def q_A09_search_text(v):
 # --- evidence -------------------------------------------------------------------------------
 
 
-_HITS = """hits AS (SELECT row_number() OVER (ORDER BY kind DESC, path, line_start, id) AS position, * FROM (
-SELECT 'symbol' AS kind, f.path, s.name, s.kind AS symbol_kind, s.line_start, s.line_start + s.id % 3 AS line_end, s.id, f.language, f.loc FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.id % 997 = 5
-UNION ALL SELECT 'file', path, NULL, NULL, NULL, NULL, id, language, loc FROM named WHERE contains(path, 'auth_1')) x),
-shown AS (SELECT * FROM hits WHERE position <= 40)"""
+_QUOTED = "CASE WHEN contains({0}, chr(39)) AND NOT contains({0}, '\"') THEN '\"' || {1} || '\"' ELSE chr(39) || replace({1}, chr(39), '\\' || chr(39)) || chr(39) END"
+_ESCAPED = "replace(replace(replace(replace({0}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+_CAPPED_TEXT = "CASE WHEN length({0}) > {1} THEN left({0}, {1}) || ' …' ELSE {0} END"
+
+
+def _shown_sql(column: str, most: int) -> str:
+    cut = _CAPPED_TEXT.format(column, most)
+    return _QUOTED.format(f"({cut})", _ESCAPED.format(f"({cut})"))
+
+
+_HITS = """hits AS (SELECT s.id % 5 AS turn, 'symbol' AS kind, f.path, s.name, s.kind AS symbol_kind, s.line_start, s.line_start + s.id % 3 AS line_end, s.id, 'Docs of ' || repeat(s.name || chr(39) || 's \\ ', s.id % 40) || chr(10) || 'end' AS docstring, f.language, f.loc, NULL AS text FROM symbols s JOIN files f ON f.id = s.file_id WHERE contains(s.name, '77')
+UNION ALL SELECT id % 5, 'file', path, NULL, NULL, NULL, NULL, id, NULL, language, loc, NULL FROM named WHERE contains(path, 'auth_1') UNION ALL SELECT file_id % 5, 'text', path, NULL, NULL, line, NULL, file_id, NULL, NULL, NULL, text FROM ln WHERE contains(lower(text), 'license')),
+shown AS (SELECT *, row_number() OVER (ORDER BY turn, kind, path, line_start, id) AS position FROM hits ORDER BY turn, kind, path, line_start, id LIMIT 40), ctx AS (SELECT 'docs/extra.md' AS path)"""
 
 
 @_query(
-    """SELECT 0 AS section, CAST(0 AS BIGINT) AS position, '((NOTE: ' || count(*) || ' hits in total; the first 40 are listed.))' AS line FROM hits HAVING count(*) > 40
-UNION ALL SELECT CASE WHEN kind = 'symbol' THEN 1 ELSE 2 END, position, CASE WHEN kind = 'symbol' THEN '- `' || path || ':L' || line_start || CASE WHEN line_end = line_start THEN '' ELSE '-' || line_end END || '` -- ' || name || ' (' || symbol_kind || ')' ELSE '- `' || path || '` (' || language || ', ' || loc || ' LOC)' END FROM shown
-UNION ALL SELECT 4, 0, 'Allowed citation paths: ' || array_to_string(list_transform(list_sort(list(DISTINCT path)), lambda x: '`' || x || '`'), ', ') FROM shown""",
-    _HITS,
-)
+    """SELECT 0 AS section, CAST(0 AS BIGINT) AS position, '((NOTE: the tools returned ' || count(*) || ' hits in total; only the first 40 are listed below. Cite ONLY from the hits shown here.))' AS line FROM hits HAVING count(*) > 40
+UNION ALL SELECT DISTINCT CASE kind WHEN 'symbol' THEN 2 WHEN 'file' THEN 3 ELSE 4 END, 0, CASE kind WHEN 'symbol' THEN '## Symbol hits (each has a line number; cite as `path:line` or `path:start-end`)' WHEN 'file' THEN '## File hits (NO line numbers; cite the path WITHOUT a line -- never invent a line number for these)' ELSE '## Text hits (each is a matched source line; cite as `path:line`)' END FROM shown
+UNION ALL SELECT CASE kind WHEN 'symbol' THEN 2 WHEN 'file' THEN 3 ELSE 4 END, position, CASE kind WHEN 'symbol' THEN '- `' || path || ':L' || line_start || CASE WHEN line_end = line_start THEN '' ELSE '-' || line_end END || '` -- ' || name || ' (' || symbol_kind || ') -- ' || """ + _shown_sql("docstring", 300) + """
+WHEN 'file' THEN '- `' || path || '` (' || language || ', ' || loc || ' LOC)' ELSE '- `' || path || ':' || line_start || '` -- ' || """ + _shown_sql("text", 400) + """ END FROM shown
+UNION ALL SELECT 5, 0, 'Allowed citation paths: ' || array_to_string(list_transform(list_sort(list(DISTINCT path)), lambda x: '`' || x || '`'), ', ') FROM (SELECT path FROM shown UNION SELECT path FROM ctx) z""",
+    _LINES.split(",\nkept")[0] + ", " + _HITS,
+)
 def q_A15_evidence(v):
-    s = v.symbols().where("id % 997 = 5").join(v.files().select(F.col("id").alias("file_id"), "path", "language", "loc"), "file_id")
     none = lambda t: F.lit(None).cast(t)
-    s = s.select(F.lit("symbol").alias("kind"), "path", "name", F.col("kind").alias("symbol_kind"), F.col("line_start"), (F.col("line_start") + F.col("id") % 3).alias("line_end"), "id", "language", "loc")
-    f = text.search_files(v.named_files(), "auth_1").select(F.lit("file"), "path", none("string"), none("string"), none("long"), none("long"), "id", "language", "loc")
-    hits = s.unionAll(f).withColumn("docstring", none("string")).withColumn("text", none("string"))
-    ranked = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("kind"), "path", "line_start", "id")))
-    return evidence.evidence(ranked).select("section", "position", "line")
+    s = v.symbols().where(text.contains_folded(F.col("name"), "77")).join(v.files().select(F.col("id").alias("file_id"), "path", "language", "loc"), "file_id")
+    doc = F.concat(F.lit("Docs of "), F.repeat(F.concat("name", F.lit("'s \\ ")), (F.col("id") % 40).cast("int")), F.lit("\r\nend"))
+    s = s.select((F.col("id") % 5).alias("turn"), F.lit("symbol").alias("kind"), "path", "name", F.col("kind").alias("symbol_kind"), F.col("line_start"), (F.col("line_start") + F.col("id") % 3).alias("line_end"), "id", doc.alias("docstring"), "language", "loc", none("string").alias("text"))
+    f = text.search_files(v.named_files(), "auth_1").select(F.col("id") % 5, F.lit("file"), "path", none("string"), none("string"), none("long"), none("long"), "id", none("string"), "language", "loc", none("string"))
+    t = text.search_lines(_doc_lines(v), "license", cap=None).select(F.col("file_id") % 5, F.lit("text"), "path", none("string"), none("string"), F.col("line").cast("long"), none("long"), "file_id", none("string"), none("string"), none("long"), "text")
+    context = v.spark.createDataFrame([("docs/extra.md",)], "path string")
+    return evidence.evidence(s.unionAll(f).unionAll(t), "turn", "kind", "path", "line_start", "id", context=context).select("section", "position", "line")
+
+
+def _results(v) -> DataFrame:
+    """Every document as the result of a tool, with line ends of three kinds."""
+    body = F.struct(F.col("path").alias("node_path"), F.concat(F.lit("a\r\nb \"\\r"), "content").alias("target_file_snippet"), F.array(F.struct(F.concat(F.lit("k/"), "path").alias("path"), F.lit("s\r").alias("snippet"))).alias("key_file_snippets"))
+    return v.documents().where("content is not null").select((F.col("doc_id") + 1).alias("position"), F.lit("dependency_graph").alias("tool"), F.lit("{}").alias("args"), F.to_json(body).alias("result"))
+
+
+_RESULTS = """rs AS (SELECT doc_id + 1 AS position, path, 'a' || chr(13) || chr(10) || 'b "\\r' || content AS snippet, to_json({'node_path': path, 'target_file_snippet': 'a' || chr(10) || 'b "\\r' || content, 'key_file_snippets': [{'path': 'k/' || path, 'snippet': 's' || chr(10)}]})::VARCHAR AS dumped FROM docs WHERE content IS NOT NULL),
+tp AS (SELECT * FROM rs ORDER BY position LIMIT 8)"""
 
 
 @_query(
-    """SELECT id, CASE id % 4 WHEN 0 THEN 'xapp/[slug]/page_' || k || '.tsx|slug' WHEN 3 THEN 'lib/util_' || k || '.ts|util_' || k || '.ts' ELSE '' END AS cited,
-CASE id % 4 WHEN 3 THEN 'util_' || k || '.ts' ELSE '' END AS ungrounded FROM (SELECT id, id % 180 AS k FROM bodies) x WHERE id % 4 = 3"""
+    """SELECT CAST(0 AS BIGINT) AS position, 0 AS k, '## Context results (structural, relational, and architectural facts from repository tools):' AS line
+UNION ALL SELECT position, 0, '### Target File Implementation (`' || path || '` source excerpt):' || chr(10) || '```' || chr(10) || snippet || chr(10) || '```' || chr(10) FROM tp UNION ALL SELECT position, 1, '### Key Implementation File Snippets:' FROM tp
+UNION ALL SELECT position, 2, '#### `k/' || path || '` (source excerpt):' || chr(10) || '```' || chr(10) || 's' || chr(13) || chr(10) || '```' FROM tp
+UNION ALL SELECT position, 3, '- dependency_graph (args={}) -> ' || CASE WHEN length(dumped) > 4000 THEN left(dumped, 4000) || ' …' ELSE dumped END FROM tp
+UNION ALL SELECT 4611686018427387904, 0, '((NOTE: ' || count(*) || ' context results were returned in total; only the first 8 are listed here.))' FROM rs HAVING count(*) > 8""",
+    _RESULTS,
 )
+def q_R13_context_block(v):
+    return evidence.context_block(_results(v))
+
+
+@_query("SELECT position, path FROM rs UNION ALL SELECT position, 'k/' || path FROM rs", _RESULTS)
+def q_A15_context_paths(v):
+    return evidence.context_paths(_results(v))
+
+
+@_query(
+    """SELECT session_id, id, 0 AS step, 'search_text' AS tool, role AS query, 2 AS hits, to_json({'args': {'query': role}, 'hits': [{'text': replace(content, ' ', chr(10))}, {'text': ''}], 'tool': 'search_text'})::VARCHAR AS entry FROM messages WHERE content IS NOT NULL
+UNION ALL SELECT session_id, id, 1, 'search_files', NULL, 0, '{"tool":"search_files"}' FROM messages WHERE content IS NOT NULL"""
+)
+def q_K08_trace_steps(v):
+    step = F.struct(F.lit("search_text").alias("tool"), F.struct(F.col("role").alias("query")).alias("args"), F.array(F.struct(F.replace("content", F.lit(" "), F.lit("\r\n")).alias("text")), F.struct(F.lit("").alias("text"))).alias("hits"))
+    trace = F.concat(F.lit("["), F.to_json(step), F.lit(',{"tool":"search_files"}]'))
+    return evidence.trace_steps(v.messages().where("content is not null").select("session_id", "id", trace.alias("tool_trace")))
+
+
+@_query("SELECT doc_id, to_json({'a': [{'b': replace(replace(content, ' the ', chr(10)), ' a', chr(10))}], 'c': '\\r'})::VARCHAR AS folded FROM docs WHERE content IS NOT NULL")
+def q_C06_fold_nested(v):
+    raw = F.replace(F.replace(F.col("content"), F.lit(" the "), F.lit("\r")), F.lit(" a"), F.lit("\r\n"))
+    nested = F.struct(F.array(F.struct(raw.alias("b"))).alias("a"), F.lit("\\r").alias("c"))
+    return v.documents().where("content is not null").select("doc_id", stats.fold_json(F.to_json(nested)).alias("folded"))
+
+
+@_query("SELECT id, 'lib/util_' || (id % 180) || '.ts|util_' || (id % 180) || '.ts' AS cited, 'util_' || (id % 180) || '.ts' AS ungrounded FROM bodies")
 def q_C16_cited_paths(v):
     k = (F.col("id") % 180).cast("string")
-    answers = v.bodies().where("id % 4 = 3").select("id", F.concat(F.lit("In `lib/util_"), k, F.lit(".ts` and util_"), k, F.lit(".ts, not 1/2; see lib/util_"), k, F.lit(".ts")).alias("answer"))
+    answers = v.bodies().select("id", F.concat(F.lit("In `lib/util_"), k, F.lit(".ts` and util_"), k, F.lit(".ts, not 1/2; see lib/util_"), k, F.lit(".ts")).alias("answer"))
     ground = answers.select("id", F.concat(F.lit("lib/util_"), (F.col("id") % 180).cast("string"), F.lit(".ts")).alias("path"), F.lit(1).alias("place")).unionAll(answers.select("id", F.lit("gone.py"), F.lit(0)))
     return evidence.cited_paths(answers, ground).select("id", F.array_join("cited", "|").alias("cited"), F.array_join("ungrounded", "|").alias("ungrounded"))
 
@@ -421,12 +493,14 @@ def q_C15_json_object(v):
 
 
 @_query(
-    """SELECT root, direction, node, CAST(min(dist) AS INTEGER) AS dist FROM (SELECT src AS root, 'out' AS direction, dst AS node, 1 AS dist FROM edges UNION ALL SELECT dst, 'in', src, 1 FROM edges
-UNION ALL SELECT DISTINCT a.src, 'out', b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst UNION ALL SELECT DISTINCT b.dst, 'in', a.src, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst) x GROUP BY 1, 2, 3"""
+    """SELECT root, direction, node, CAST(min(dist) AS INTEGER) AS dist FROM (SELECT r.id AS root, 'out' AS direction, dst AS node, 1 AS dist FROM edges JOIN top r ON r.id = src UNION ALL SELECT r.id, 'in', src, 1 FROM edges JOIN top r ON r.id = dst
+UNION ALL SELECT DISTINCT a.src, 'out', b.dst, 2 FROM top r JOIN edges a ON a.src = r.id JOIN edges b ON a.dst = b.src WHERE a.src <> b.dst UNION ALL SELECT DISTINCT b.dst, 'in', a.src, 2 FROM top r JOIN edges b ON b.dst = r.id JOIN edges a ON a.dst = b.src WHERE a.src <> b.dst) x GROUP BY 1, 2, 3""",
+    _CENTRAL + ", top AS (SELECT id FROM c ORDER BY centrality DESC, path, id LIMIT 10)",
 )
 def q_N02_closures(v):
+    """From the key files, whose number doesn't grow with the graph."""
     e = v.edges()
-    return graph.closures(e, e.select(F.col("src").alias("root")).union(e.select("dst")).distinct(), 2)
+    return graph.closures(e, graph.key_files(e, v.files()).select(F.col("id").alias("root")), 2)
 
 
 @_query(
@@ -437,6 +511,23 @@ def q_N03_dependencies(v):
     return graph.dependencies(v.edges(), v.named_files(), "customer_12.py", "none")
 
 
+_DOC_FILES = "df AS (SELECT doc_id AS id, CAST(doc_id % 25 AS BIGINT) AS repository_id, path FROM docs)"
+
+
+def _doc_files(v) -> DataFrame:
+    """Documents as the files of a tree, so that they have lines."""
+    return v.documents().select(F.col("doc_id").alias("id"), (F.col("doc_id") % 25).cast("long").alias("repository_id"), "path")
+
+
+@_query(
+    """SELECT r.id AS node_id, r.path AS node_path, 1 AS depth, d.direction, d.id, coalesce(f.path, '#' || d.id) AS path, CASE WHEN d.id IS NOT NULL THEN 1 END AS dist, (SELECT nullif(trim(array_to_string(list(text ORDER BY line), chr(10)), ' ' || chr(9) || chr(10) || chr(13)), '') FROM kept WHERE file_id = 12 AND line <= 75) AS snippet FROM (SELECT * FROM df WHERE id = 12) r
+LEFT JOIN (SELECT src AS root, 'out' AS direction, dst AS id FROM edges UNION ALL SELECT dst, 'in', src FROM edges) d ON d.root = r.id LEFT JOIN df f ON f.id = d.id""",
+    _DOC_FILES + ", " + _LINES,
+)
+def q_N03_dependencies_excerpt(v):
+    return graph.dependencies(v.edges(), _doc_files(v), "_12.md", lines=_doc_lines(v))
+
+
 @_query("SELECT CAST(NULL AS BIGINT) AS node_id, CAST(NULL AS VARCHAR) AS node_path, 0 AS depth, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS dist FROM (SELECT count(*) FROM named)")
 def q_N03_unresolved(v):
     return graph.dependencies(v.edges(), v.named_files(), "no/such/file.py", -3)
@@ -461,6 +552,16 @@ def q_N05_architecture_focused(v):
     return graph.architecture(v.edges(), v.named_files(), "customer_12.py", radius="1").withColumn("value", F.round("value", 6))
 
 
+@_query(
+    """SELECT part, position, name, other FROM (SELECT 'key_file' AS part, k AS position, path AS name, NULL AS other FROM kf UNION ALL SELECT 'overview', NULL, path, '[' || path || ']:' || chr(10) || left(content, 2000) FROM (SELECT path, content FROM docs ORDER BY CASE WHEN contains(lower(path), 'readme') THEN 1 WHEN contains(lower(path), 'overview') THEN 2 ELSE 3 END, path LIMIT 1) o
+UNION ALL SELECT 'snippet', k, path, sn FROM (SELECT kf.k, kf.path, trim(array_to_string(list(text ORDER BY line), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS sn FROM kf JOIN kept l ON l.path = kf.path WHERE k <= 5 AND line <= 75 GROUP BY 1, 2) z WHERE sn <> '') x""",
+    _DOC_FILES + ", " + _LINES + ", kf AS (SELECT path, row_number() OVER (ORDER BY n DESC, path, id) AS k FROM (SELECT f.id, f.path, coalesce(i.n, 0) AS n FROM df f LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = f.id) y ORDER BY n DESC, path, id LIMIT 10)",
+)
+def q_N05_architecture_enriched(v):
+    out = graph.architecture(v.edges(), _doc_files(v), documents=v.documents(), lines=_doc_lines(v))
+    return out.where("part in ('key_file', 'overview', 'snippet')").select("part", "position", "name", "other")
+
+
 @_query(
     """SELECT f.id, f.path, f.language, f.loc, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM named f LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = f.id LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = f.id
 WHERE f.id = 12 OR f.id IN (SELECT dst FROM edges WHERE src = 12) OR f.id IN (SELECT src FROM edges WHERE dst = 12)"""
@@ -469,9 +570,9 @@ def q_N09_viewer_nodes(v):
     return graph.viewer_nodes(v.edges(), v.named_files(), "customer_12.py")
 
 
-@_query("SELECT id, array_to_string(list_sort(list(DISTINCT src)), ',') AS incoming, (SELECT array_to_string(list_sort(list(DISTINCT dst)), ',') FROM edges o WHERE o.src = x.id) AS outgoing FROM (SELECT dst AS id, src FROM edges) x GROUP BY id")
+@_query("SELECT coalesce(i.id, o.id) AS id, coalesce(incoming, '') AS incoming, coalesce(outgoing, '') AS outgoing FROM (SELECT dst AS id, array_to_string(list_sort(list(DISTINCT src)), ',') AS incoming FROM edges GROUP BY 1) i FULL JOIN (SELECT src AS id, array_to_string(list_sort(list(DISTINCT dst)), ',') AS outgoing FROM edges GROUP BY 1) o ON o.id = i.id")
 def q_N11_adjacency(v):
-    return graph.adjacency(v.edges()).where("size(incoming) > 0").select("id", F.array_join("incoming", ",").alias("incoming"), F.array_join("outgoing", ",").alias("outgoing"))
+    return graph.adjacency(v.edges()).select("id", F.array_join("incoming", ",").alias("incoming"), F.array_join("outgoing", ",").alias("outgoing"))
 
 
 # five cycles of two nodes are there, so longer ones don't count
@@ -485,6 +586,15 @@ def q_N06_long_cycles(v):
     return graph.cycles(v.ring_edges(), None).select(F.array_join("nodes", ">").alias("cycle"), "length")
 
 
+@_query("SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, floor(c_custkey / 200)) AS component FROM customer")
+def q_N06_components(v):
+    """Rings that are linked one way, each to the ring of the next two hundred keys."""
+    rings = v.ring_edges()
+    onward = v.t("customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 200).alias("k")).agg(F.min("c_custkey").alias("low"))
+    links = onward.alias("a").join(onward.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("b.k") == F.col("a.k") + 1)).select(F.col("a.low").alias("src"), F.col("b.low").alias("dst"))
+    return strong.strong_components(rings.unionAll(links))
+
+
 _ENTRY = "regexp_matches(lower(path), 'config|readme|license|package|setup|layout|page|route|\\.d\\.ts')"
 
 
@@ -495,7 +605,12 @@ def q_N07_orphans(v):
 
 @_query("SELECT f.id, f.path, d.n AS in_degree, CASE WHEN d.n >= 60 THEN 'High' ELSE 'Medium' END AS risk_level FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 48) d JOIN named f ON f.id = d.dst")
 def q_R09_hubs(v):
-    return graph.hubs(v.edges(), v.named_files(), 48, 60)
+    return graph.hubs(v.edges(), v.named_files(), 48, 60).drop("assessment")
+
+
+@_query("SELECT f.id, f.path, d.n AS in_degree, CASE WHEN d.n >= 8 THEN 'High' ELSE 'Medium' END AS risk_level, 'Directly imported by ' || d.n || ' files. Changes to this interface could have widespread downstream impact.' AS assessment FROM (SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 4) d JOIN named f ON f.id = d.dst")
+def q_R09_hub_risks(v):
+    return graph.hubs(v.edges(), v.named_files())
 
 
 @_query(
@@ -510,6 +625,25 @@ def q_N08_health(v):
     return graph.health(v.edges(), v.named_files())
 
 
+_HEALTH = f"""d AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1),
+h AS (SELECT (SELECT least(5, count(*)) FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst) AS cycles, (SELECT count(*) FROM d JOIN named f ON f.id = d.dst WHERE n >= 4) AS hubs,
+(SELECT count(*) FROM named WHERE id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges) AND NOT {_ENTRY}) AS orphans, (SELECT sum(CASE WHEN a.repository_id = b.repository_id THEN 1 ELSE 0 END) / count(*) FROM edges e JOIN named a ON a.id = e.src JOIN named b ON b.id = e.dst) AS ratio), t AS (SELECT f.path, d.n FROM d JOIN named f ON f.id = d.dst ORDER BY d.n DESC, f.id LIMIT 1)"""
+
+
+@_query(
+    """SELECT 'metric' AS part, 1 AS position, 'Circular Dependency Loops' AS name, cycles || ' detected' AS value, CASE WHEN cycles = 0 THEN 'healthy' ELSE 'alert' END AS status, 'Zero cyclic import loops ensure clean build order and prevent initialization deadlocks.' AS text FROM h
+UNION ALL SELECT 'metric', 2, 'Coupling Hotspots', hubs || ' central hubs', CASE WHEN hubs <= 2 THEN 'healthy' ELSE 'warning' END, 'Files with high in-degree centrality require strict contract testing.' FROM h
+UNION ALL SELECT 'metric', 3, 'Dead / Orphaned Files', orphans || ' unlinked', CASE WHEN orphans = 0 THEN 'healthy' ELSE 'warning' END, 'Files not imported or importing other modules in the application dependency graph.' FROM h
+UNION ALL SELECT 'metric', 4, 'Subsystem Modularity', CAST(trunc(ratio * 100) AS INTEGER) || '%', CASE WHEN ratio >= 0.4 THEN 'healthy' ELSE 'warning' END, 'Ratio of cohesive intra-subsystem dependencies to global cross-system imports.' FROM h
+UNION ALL SELECT 'recommendation', CAST(row_number() OVER (ORDER BY k) AS INTEGER), NULL, NULL, NULL, text FROM (SELECT 1 AS k, CASE WHEN cycles = 0 THEN '✅ Excellent dependency hierarchy: No circular import loops detected.' ELSE '⚠️ Resolve ' || cycles || ' circular import loop(s) to avoid runtime initialization errors.' END AS text FROM h
+UNION ALL SELECT 2, '💡 Consider interface abstraction for `' || path || '` (imported by ' || n || ' files) to reduce blast radius.' FROM t WHERE n >= 4
+UNION ALL SELECT 3, CASE WHEN orphans > 0 THEN '🔍 Audit ' || orphans || ' unreferenced source file(s) for potential cleanup or missing routes.' ELSE '✅ Clean codebase hygiene: Zero orphaned code files detected.' END FROM h) x""",
+    _HEALTH,
+)
+def q_N08_health_report(v):
+    return graph.health_report(v.edges(), v.named_files())
+
+
 #: paths that meet each branch of the classifier, and their part; ``#`` stands for the size
 _SUBSYSTEMS = (
     ("x.py", "root"), ("r/lib/x.py", "lib"), ("r/helpers/x.py", "lib"), ("r/app/api/x.ts", "api"), ("r/app/api/k#/route.ts", "api/k#"), ("r/app/admin/x.ts", "admin"), ("r/app/ui/x.ts", "components"), ("r\\components\\x.ts", "components"),
@@ -578,12 +712,12 @@ def q_J07_absolute_imports(v):
     """SELECT f.id, f.path, array_to_string(list_sort(list_distinct(s.names)), ',') AS symbols, array_to_string(list_sort(list_distinct(i.paths)), ',') AS imports, array_to_string(list_sort(list_distinct(r.paths)), ',') AS referenced_by FROM files f
 LEFT JOIN (SELECT file_id, list(name) AS names FROM symbols GROUP BY 1) s ON s.file_id = f.id
 LEFT JOIN (SELECT e.src, list(CASE WHEN e.dst % 5 = 0 THEN CASE WHEN e.dst % 2 = 0 THEN 'external' ELSE 'pkg' || e.dst END ELSE g.path END) AS paths FROM edges e JOIN files g ON g.id = e.dst GROUP BY 1) i ON i.src = f.id
-LEFT JOIN (SELECT e.dst, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.src WHERE e.dst % 5 <> 0 GROUP BY 1) r ON r.dst = f.id WHERE f.id IN (SELECT dst FROM edges)"""
+LEFT JOIN (SELECT e.dst, list(g.path) AS paths FROM edges e JOIN files g ON g.id = e.src WHERE e.dst % 5 <> 0 GROUP BY 1) r ON r.dst = f.id"""
 )
 def q_A05_file_detail(v):
     outside = F.col("dst") % 5 == 0
     e = v.edges().select("src", F.when(~outside, F.col("dst")).alias("dst"), F.when(outside & (F.col("dst") % 2 == 1), F.concat(F.lit("pkg"), F.col("dst").cast("string"))).alias("label"), F.lit("file").alias("source_type"))
-    out = report.file_detail(v.files(), v.symbols(), e, v.edges().select(F.col("dst").alias("id")))
+    out = report.file_detail(v.files(), v.symbols(), e, v.files().select("id"))
     names = F.array_sort(F.transform("symbols", lambda x: x["name"]))
     return out.select("id", "path", F.array_join(names, ",").alias("symbols"), F.array_join("imports", ",").alias("imports"), F.array_join("referenced_by", ",").alias("referenced_by"))
 
@@ -641,7 +775,7 @@ def q_F07_linked_issues(v):
 
 @_query("SELECT 'mod/customer_12.py' AS file_path, d.doc_id AS number, coalesce(l.toxic = 1, false) AS is_pr FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 30 = 12")
 def q_A04_tracker(v):
-    files = v.named_files().where("id % 12 = 0").select("id", F.regexp_replace("path", "^mod[0-9]+", "mod").alias("path"))
+    files = v.named_files().select("id", F.regexp_replace("path", "^mod[0-9]+", "mod").alias("path"))
     return tools.tracker(_issues(v), files, "customer_12.py").select("file_path", "number", "is_pr")
 
 
@@ -805,7 +939,7 @@ def q_S16_repository_scan(v):
 
 @_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE line <= 3", _LINES.split(",\nkept")[0])
 def q_S18_snippets(v):
-    return _long(text.source_lines(v.documents().withColumnRenamed("doc_id", "file_id")).where("line <= 3"), "line")
+    return _long(snippets.first_lines(_doc_lines(v), 3), "line")
 
 
 @_query(
@@ -816,32 +950,32 @@ def q_R10_file_detail(v):
     return resolve.resolve_detail(v.parts(), "src\\brand_7/:12")
 
 
-@_query("SELECT f.id AS file_id, coalesce(s.name, 'external') AS symbol FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent'")
+@_query("SELECT e.src, e.dst, CASE WHEN e.dst % 5 > 0 THEN f.path WHEN e.dst % 2 = 1 THEN 'pkg' || e.dst ELSE 'external' END AS shown FROM edges e JOIN files f ON f.id = e.dst")
 def q_J03_left_label(v):
-    s = v.symbols().where("kind = 'urgent'").select("file_id", "name")
-    f = v.files().select(F.col("id").alias("file_id"))
-    return f.join(s, "file_id", "left").select("file_id", F.coalesce("name", F.lit("external")).alias("symbol"))
+    """Targets by path, by label where they are none of the files, else as ``external``."""
+    label = F.when(F.col("dst") % 2 == 1, F.concat(F.lit("pkg"), F.col("dst").cast("string")))
+    return report.labelled(v.edges().select("src", "dst", label.alias("label")), v.files().where("id % 5 > 0")).select("src", "dst", "shown")
 
 
 @_query("SELECT DISTINCT f.id, f.path FROM files f JOIN edges e ON e.src = f.id")
 def q_J04_reverse_dependents(v):
-    return v.files().join(v.edges().select(F.col("src").alias("id")), "id").select("id", "path").distinct()
+    return graph.dependents(v.edges(), v.files())
 
 
-@_query("SELECT id, path FROM files f WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.kind = 'urgent')")
+@_query("SELECT id, path FROM named f WHERE EXISTS (SELECT 1 FROM edges e WHERE e.src = f.id) OR EXISTS (SELECT 1 FROM edges e WHERE e.dst = f.id)")
 def q_J05_semi(v):
-    return v.files().join(v.symbols().where("kind = 'urgent'").select(F.col("file_id").alias("id")), "id", "left_semi").select("id", "path")
+    return graph.with_edges(v.edges(), v.named_files()).select("id", "path")
 
 
-@_query("SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = f.id AND s.line_start > 900)")
+@_query("SELECT id, path FROM parts f WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = f.id)")
 def q_J06_anti(v):
-    return v.files().join(v.symbols().where("line_start > 900").select(F.col("file_id").alias("id")), "id", "left_anti").select("id", "path")
+    return graph.without_edges(v.edges(), v.parts()).select("id", "path")
 
 
-@_query("SELECT page_id, split_part(url, '/', 4) AS first, CASE WHEN contains(url, '/en/') THEN 'Authentication & User Session Management' ELSE 'other' END AS kind, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM pages")
+@_query("SELECT id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS first, regexp_replace(path, '[^a-zA-Z0-9_-]', '_', 'g') AS safe FROM (SELECT id, path FROM named UNION ALL SELECT -id, 'x' || id || '.py' FROM named) x")
 def q_C02_path_parts(v):
-    url = F.col("url")
-    return v.t("pages").select("page_id", F.split_part(url, F.lit("/"), F.lit(4)).alias("first"), F.when(F.contains(url, F.lit("/en/")), "Authentication & User Session Management").otherwise("other").alias("kind"), stats.safe_name(url).alias("safe"))
+    paths = v.named_files().select("id", "path").unionAll(v.named_files().select(-F.col("id"), F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(".py"))))
+    return paths.select("id", graph.top_directory(F.col("path")).alias("first"), stats.safe_name(F.col("path")).alias("safe"))
 
 
 @_query(
@@ -853,32 +987,55 @@ def q_A07_report_languages(v):
     return lines.select("repository_id", (F.col("position") - 2).cast("int").alias("position"), F.regexp_replace("line", r"(?<=\d),(?=\d)", "").alias("line"))
 
 
-@_query("SELECT name, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS saturated FROM (SELECT f.repository_id, f.id, count(s.id) AS n FROM files f LEFT JOIN symbols s ON s.file_id = f.id AND s.kind = 'urgent' GROUP BY 1, 2) x JOIN repositories r ON r.id = x.repository_id GROUP BY name")
+@_query(
+    """SELECT repository_id, count(*) AS symbols, CAST(sum(n) AS BIGINT) AS hits, CAST(0 AS BIGINT) AS dropped, CAST(sum(m) AS BIGINT) AS added, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unused, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS saturated FROM (
+SELECT f.repository_id, s.id, count(l.file_id) AS n, count(DISTINCT l.file_id) AS m FROM symbols s JOIN files f ON f.id = s.file_id LEFT JOIN links l ON l.commit_id = s.id GROUP BY 1, 2) x GROUP BY 1"""
+)
 def q_G15_quality_counters(v):
-    s = v.symbols().where("kind = 'urgent'").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("n"))
-    per = v.files().select("id", "repository_id").join(s, "id", "left").join(v.repositories().withColumnRenamed("id", "repository_id"), "repository_id")
-    n = F.coalesce("n", F.lit(0))
-    return per.groupBy("name").agg(F.count_if(n == 0).alias("unused"), F.count_if(n >= 3).alias("saturated"))
+    symbols = v.symbols().join(v.files().select(F.col("id").alias("file_id"), "repository_id"), "file_id").select("id", "repository_id")
+    return text.reference_tallies(symbols, v.links().withColumnRenamed("commit_id", "symbol_id"), "repository_id", cap=3)
 
 
 @_query("SELECT src AS id FROM edges INTERSECT SELECT dst FROM edges")
 def q_O02_intersection(v):
-    return v.edges().select(F.col("src").alias("id")).intersect(v.edges().select("dst"))
+    return graph.passed_through(v.edges())
 
 
-@_query("SELECT count(*) AS issues, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS closed FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains(string_split(d.text, ' '), 'the')")
+@_query("SELECT d.doc_id AS number, CASE WHEN quality = 0 THEN 'closed' ELSE 'open' END AS state, coalesce(toxic = 1, false) AS is_pr FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE list_contains(string_split(d.text, ' '), 'the')")
 def q_F07_array_membership(v):
-    both = v.t("documents").join(v.t("labels"), "doc_id").where(F.array_contains(F.split("text", " "), "the"))
-    return both.agg(F.count("*").alias("issues"), F.count_if(F.col("quality") == 0).alias("closed"))
+    url = F.when(F.col("toxic") == 1, "https://x/pull/1")
+    issues = v.t("documents").join(v.t("labels"), "doc_id", "left").select(F.col("doc_id").alias("number"), F.lit("t").alias("title"), F.when(F.col("quality") == 0, "closed").otherwise("open").alias("state"), F.lit(None).cast("array<string>").alias("labels"), url.alias("url"), F.split("text", " ").alias("linked_files"))
+    return stats.issues_of(issues, "the").select("number", "state", "is_pr")
 
 
-@_query("SELECT page_id, contains(url, '.html') OR contains(url, '/api/') AS is_route, '/' || split_part(url, 'example.', 2) AS endpoint FROM pages WHERE contains(url, 'example.')")
+@_query("SELECT page_id, contains(url, 'route.') OR contains(url, '/api/') AS is_route, CASE WHEN contains(url, 'app/') THEN '/' || substr(url, strpos(url, 'app/') + 4) ELSE url END AS endpoint FROM (SELECT page_id, replace(url, '/en/', '/app/api/') AS url FROM pages) p")
 def q_F12_route_predicate(v):
-    url = F.col("url")
-    return v.t("pages").where(F.contains(url, F.lit("example."))).select("page_id", (F.contains(url, F.lit(".html")) | F.contains(url, F.lit("/api/"))).alias("is_route"), F.concat(F.lit("/"), F.split_part(url, F.lit("example."), F.lit(2))).alias("endpoint"))
+    url = F.replace(F.col("url"), F.lit("/en/"), F.lit("/app/api/"))
+    return v.t("pages").select("page_id", stats.is_route(url).alias("is_route"), stats.endpoint(url).alias("endpoint"))
 
 
-@_query("SELECT event_id AS id, CASE WHEN try_cast(regexp_extract(props, '(\\d+)', 1) AS INTEGER) > 50 THEN true ELSE false END AS flag FROM events")
+@_query("SELECT event_id AS id, greatest(50, coalesce(try_cast(regexp_extract(props, '(\\d+)', 1) AS INTEGER), 60)) AS n FROM events")
 def q_C14_loose_numbers(v):
-    number = F.regexp_extract("props", r"(\d+)", 1).try_cast("int")
-    return v.t("events").select(F.col("event_id").alias("id"), F.coalesce(number > 50, F.lit(False)).alias("flag"))
+    return v.t("events").select(F.col("event_id").alias("id"), stats.loose_number(F.regexp_extract("props", r"(\d+)", 1), 60, 50).alias("n"))
+
+
+# --- trees of definitions ------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT n.id AS file_id, n.depth, CASE WHEN n.depth % 2 = 0 THEN 'class' ELSE 'method' END AS kind, 'n' || n.depth || '_' || n.id AS name, array_to_string(list_transform(range(0, n.depth + 1), lambda k: 'n' || k || '_' || n.id), '.') AS qualified, CAST(n.id % 9 - n.depth AS BIGINT) AS inner_ones, CAST(0 AS BIGINT) AS broken FROM nest n""",
+    "RECURSIVE_NEST",
+)
+def q_S19_symbol_tree(v):
+    """Classes and methods that lie in each other, as deep as a file's number says, read back from their source."""
+    deep = (F.col("id") % 9).cast("int")
+    line = lambda k: F.concat(F.repeat(F.lit(" "), (4 * k).cast("int")), F.when(k % 2 == 0, "class ").otherwise("def "), F.lit("n"), k.cast("string"), F.lit("_"), F.col("id").cast("string"), F.when(k % 2 == 0, ":").otherwise("(self):"))
+    body = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), deep), line), "\n"), F.lit("\n"), F.repeat(F.lit(" "), 4 * deep + 4), F.lit("pass\n"))
+    trees = parse.symbol_trees(v.named_files().select(F.col("id").alias("file_id"), "path", body.alias("content")))
+    rows = tree.definitions(trees)
+    names = tree.qualified_names(rows).select("file_id", "pre", "qualified")
+    breaks = trees.select("file_id", F.col("broken").cast("long").alias("broken"))
+    return rows.join(names, ["file_id", "pre"]).join(breaks, "file_id").select("file_id", "depth", "kind", "name", "qualified", F.col("inner").alias("inner_ones"), "broken")
+
+
+ORACLE_SQL["S19_symbol_tree"] = ORACLE_SQL["S19_symbol_tree"].replace("WITH repositories", "WITH RECURSIVE repositories").replace("RECURSIVE_NEST", "nest AS (SELECT c_custkey AS id, 0 AS depth FROM customer UNION ALL SELECT id, depth + 1 FROM nest WHERE depth < id % 9)")

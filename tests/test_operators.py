@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -291,13 +292,72 @@ def test_excerpts_and_search(spark):
 
 def test_evidence(spark):
     schema = "position long, kind string, path string, name string, symbol_kind string, line_start long, line_end long, docstring string, language string, loc long, text string"
-    hits = spark.createDataFrame([(1, "text", "a.py", None, None, 3, None, None, None, None, "x\r\ny"), (2, "symbol", "b.py", "f", "function", 4, 9, "d" * 200, None, None, None), (3, "file", "c.py", None, None, None, None, None, "python", 7, None)], schema)
-    got = [r.line for r in evidence.evidence(hits).orderBy("section", "position").collect()]
-    assert got == ["- `b.py:L4-9` -- f (function) -- " + "d" * 160 + " …", "- `c.py` (python, 7 LOC)", "- `a.py:3` -- x\ny", "Allowed citation paths: `a.py`, `b.py`, `c.py`"]
-    got = [r.line for r in evidence.evidence(hits, most=1).orderBy("section", "position").collect()]
-    assert got[0] == "((NOTE: 3 hits in total; the first 1 are listed.))" and got[-1] == "Allowed citation paths: `a.py`"
-    assert [r.line for r in evidence.evidence(hits.limit(0)).collect()] == ["Allowed citation paths: (none)"]
+    hits = spark.createDataFrame([(1, "text", "a.py", None, None, 3, None, None, None, None, "x\r\ny"), (2, "symbol", "b.py", "f", "function", 4, 9, "d" * 301, None, None, None), (3, "file", "c.py", None, None, None, None, None, "python", 7, None)], schema)
+    get = lambda *a, **k: [r.line for r in evidence.evidence(*a, **k).orderBy("section", "position").collect()]
+    assert get(hits, "position") == [
+        evidence.HEADS[2], "- `b.py:L4-9` -- f (function) -- '" + "d" * 300 + " …'", evidence.HEADS[3], "- `c.py` (python, 7 LOC)", evidence.HEADS[4], "- `a.py:3` -- 'x\\ny'", "Allowed citation paths: `a.py`, `b.py`, `c.py`"
+    ]
+    got = get(hits, "position", most=1)
+    assert got[0] == "((NOTE: the tools returned 3 hits in total; only the first 1 are listed below. Cite ONLY from the hits shown here.))" and got[-1] == "Allowed citation paths: `a.py`"
+    assert get(hits.limit(0), "position") == ["(no hits were returned by any search tool)", "Allowed citation paths: (none)"]
+    told = spark.createDataFrame([(k, f"s{k}.py", "code") for k in range(5)] + [(9, "empty.py", "")], "position long, path string, snippet string")
+    got = get(hits.limit(0), "position", snippets=told, context=spark.createDataFrame([("z.md",)], "path string"))
+    assert got[0] == evidence.HEADS[1] and got[1] == "### `s0.py` (source excerpt):\n```\ncode\n```" and len(got) == 1 + 3 + 2 + 1 and got[-1] == "Allowed citation paths: `s0.py`, `s1.py`, `s2.py`, `s3.py`, `s4.py`, `z.md`"
     answers = spark.createDataFrame([(1, "See src/app.py, lib/ and app.py; 1/2 no. x.md")], "id long, answer string")
     ground = spark.createDataFrame([(1, "src/app.py", 2), (1, "x", 1), (1, "gone.py", 3)], "id long, path string, place int")
     row = evidence.cited_paths(answers, ground).first()
     assert row.cited == ["x", "src/app.py", "app.py", "x.md"] and row.ungrounded == ["app.py", "x.md"]
+
+
+def test_quoting_and_folding(spark):
+    texts = ["plain", "it's", 'say "x"', "it's \"x\"", "a\nb\tc\\d", ""]
+    got = [r.q for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(stats.quoted(F.col("t")).alias("q")).collect()]
+    assert got == [repr(t) for t in texts]
+    docs = [{"a": ["x\r\ny", {"b\r": "\r\r\n\\r"}], "c": "\\\r"}, {"a": "none"}]
+    folded = [json.loads(r.j) for r in spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "k int, t string").orderBy("k").select(stats.fold_json(F.col("t")).alias("j")).collect()]
+    assert folded == [{"a": ["x\ny", {"b\n": "\n\n\\r"}], "c": "\\\n"}, {"a": "none"}]
+
+
+def test_context(spark):
+    results = [(1, "map", "{}", json.dumps({"overview_doc": "[README.md]:\nhi", "key_files": [{"path": "a.py"}, {"path": None}], "node": {"path": "n.py"}, "target": "lib/x"})), (2, "graph", "{}", json.dumps({"node_path": "b.py", "target_file_snippet": "code", "neighbors_in": [{"path": "c.py"}], "target": "word"})), (3, "odd", "{}", "no json")]
+    df = spark.createDataFrame(results + [(k, "more", "{}", "{}") for k in range(4, 11)], "position long, tool string, args string, result string")
+    assert {(r.position, r.path) for r in evidence.context_paths(df).collect()} == {(1, "README.md"), (1, "a.py"), (1, "n.py"), (1, "lib/x"), (2, "b.py"), (2, "c.py")}
+    lines = [r.line for r in evidence.context_block(df).orderBy("position", "k").collect()]
+    assert lines[1] == "### Repository Overview Documentation:\n[README.md]:\nhi\n" and lines[3] == "### Target File Implementation (`b.py` source excerpt):\n```\ncode\n```\n" and "- odd (args={}) -> no json" in lines
+    assert lines[-1] == "((NOTE: 10 context results were returned in total; only the first 8 are listed here.))" and len(lines) == 1 + 2 + 2 + 1 + 5 + 1
+    assert evidence.context_block(df.limit(0)).count() == 0
+    steps = spark.createDataFrame([(1, 1, '[{"tool": "t", "args": {"query": "q"}, "hits": [1, 2]}, {}]'), (1, 2, None), (1, 3, "bad")], "session_id long, id long, tool_trace string")
+    assert [(r.id, r.step, r.tool, r.query, r.hits) for r in evidence.trace_steps(steps).orderBy("step").collect()] == [(1, 0, "t", "q", 2), (1, 1, None, None, 0)]
+
+
+def test_maps_with_documents_and_lines(spark, edges, files):
+    lines = spark.createDataFrame([(i, p, k, f"{p} {k}") for i, p in FILES for k in range(1, 91)], "file_id long, path string, line int, text string")
+    documents = spark.createDataFrame([("docs/x.md", "x"), ("README.md", "r" * 3000)], "path string, content string")
+    rows = graph.architecture(edges, files, "tools/run.py", radius=3, documents=documents, lines=lines).collect()
+    (overview,) = [r for r in rows if r.part == "overview"]
+    assert overview.other == "[README.md]:\n" + "r" * 2000
+    told = sorted((r.position, r.name) for r in rows if r.part == "snippet")
+    assert told == [(0, "tools/run.py"), (1, "pkg/utils.py"), (2, "pkg/__init__.py"), (3, "pkg/helpers.py"), (4, "pkg/models.py")]
+    assert all(r.other.split("\n")[-1] == f"{r.name} 75" for r in rows if r.part == "snippet")
+    assert graph.dependencies(edges, files, "pkg/utils.py", lines=lines).first().snippet.startswith("pkg/utils.py 1\n")
+    assert graph.dependencies(edges, files, "zzz", lines=lines).first().snippet is None
+
+
+def test_health_report_and_chart(spark, edges, files):
+    rows = graph.health_report(edges, files).orderBy("part", "position").collect()
+    assert [(r.value, r.status) for r in rows[:4]] == [("0 detected", "healthy"), ("0 central hubs", "healthy"), ("0 unlinked", "healthy"), ("80%", "healthy")]
+    assert [r.text for r in rows[4:]] == [graph.ADVICE["no cycles"], graph.ADVICE["no orphans"]]
+    assert [r.text for r in graph.health_report(edges.limit(0), files.limit(0)).collect()] == ["No files indexed yet."]
+    chart = [r.line for r in report.mermaid(edges, files).orderBy("block", "place", "second").collect()]
+    assert chart[:3] == ["graph TD", '  subgraph pkg ["📦 pkg"]', '    1["__init__.py"]'] and chart[-1] == "  5 --> 1" and chart.count("  end") == 2
+
+
+def test_search_steps(spark, files):
+    lines = spark.createDataFrame([(i, p, 1, f"use {p}") for i, p in FILES], "file_id long, path string, line int, text string")
+    symbols = spark.createDataFrame([(1, 2, "helper", "function", 1)], "id long, file_id long, name string, kind string, line_start long")
+    hits, told = tools.search_step(files, symbols, lines, "search_files", {"query": "zzz helpers", "cap": 1, "session": 4})
+    assert [(r.rank, r.term, r.path) for r in hits.collect()] == [(3, "helpers", "pkg/helpers.py")] and told.first().snippet == "use pkg/helpers.py"
+    assert tools.search_step(files, symbols, lines, "search_text", {"query": "USE", "regex": "true"})[0].count() == 5
+    for tool, args in (("other", {"query": "x"}), ("search_text", {})):
+        with pytest.raises(ValueError):
+            tools.search_step(files, symbols, lines, tool, args)
