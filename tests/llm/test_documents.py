@@ -428,3 +428,16 @@ def test_shards(spark):
     assert sharding.write_shards(docs.limit(3)).count() == 3 and sharding.write_shards(docs.limit(0)).count() == 0
     padded = sharding.write_shards(docs.withColumn("shard", F.lit("mine")).withColumn("__bucket", F.lit("x")))
     assert padded.columns == ["doc_id", "text", "__bucket", "slot", "shard"] and {r.shard for r in padded.collect()} == set(range(8))
+
+
+def test_shard_query(spark, tmp_path):
+    """The query's own columns against plain values, a very long text among them."""
+    rows = [(k, f"wört {k % 17} " * (k % 5)) for k in range(97)] + [(200, "x" * 3_000_000), (201, None), (None, "no id"), (5, "same"), (5, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op8_shards(spark, str(tmp_path)).collect()
+    want = sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows), key=repr)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    for k in range(8):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots))) and len(slots) in (len(rows) // 8, len(rows) // 8 + 1)
