@@ -361,3 +361,12 @@ def test_search_steps(spark, files):
     for tool, args in (("other", {"query": "x"}), ("search_text", {})):
         with pytest.raises(ValueError):
             tools.search_step(files, symbols, lines, tool, args)
+
+
+def test_references_stay_in_their_repository(spark):
+    lines = spark.createDataFrame([(1, "a.py", 1, "go()", 1), (2, "b.py", 1, "go()", 2)], "file_id long, path string, line int, text string, repository_id long")
+    symbols = spark.createDataFrame([(7, "go", "x.py", 1, 1), (8, "stop", "x.py", 2, 2)], "id long, name string, path string, line_start int, repository_id long")
+    assert [(r.symbol_id, r.file_id, r.repository_id) for r in text.references(lines, symbols).collect()] == [(7, 1, 1)]
+    assert {r.file_id for r in text.references(lines.drop("repository_id"), symbols).collect()} == {1, 2}
+    tallies = text.reference_tallies(symbols, text.references(lines, symbols), "repository_id").collect()
+    assert {(r.repository_id, r.symbols, r.hits, r.unused) for r in tallies} == {(1, 1, 1, 0), (2, 1, 0, 1)}
