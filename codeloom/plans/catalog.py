@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, graph, report, resolve, snippets, stats, strong, text, tools, tree
+from ..operators import evidence, graph, grams, report, resolve, snippets, stats, strong, text, tools, tree
 from ..sources import parse
 from .views import SQL, Views
 
@@ -61,6 +61,30 @@ def q_F09_regex_search(v):
     return text.search_lines(lines, r"\b(token|secret)\s*=", regex=True, cap=None).agg(F.count("*").alias("lines"), F.count_distinct("file_id").alias("files"))
 
 
+@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE contains(lower(text), 'reserved')", _LINES.split(",\nkept")[0])
+def q_F09_indexed_search(v):
+    index = grams.gram_index(v.documents().select("path", "content"))
+    return _long(grams.search_index(index, _doc_lines(v), "Reserved", cap=None), "line")
+
+
+@_query("SELECT file_id, path, CAST(line AS BIGINT) AS line, text FROM ln WHERE regexp_matches(text, '(?i)(license|copyright)\\b.*\\d')", _LINES.split(",\nkept")[0])
+def q_F09_indexed_regex(v):
+    index = grams.gram_index(v.documents().select("path", "content"))
+    return _long(grams.search_index(index, _doc_lines(v), r"(license|copyright)\b.*\d", regex=True, cap=None), "line")
+
+
+@_query(
+    """SELECT target, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n = 1 THEN path END AS path FROM (SELECT target, rank, count(*) AS n, min(id) AS id, min(path) AS path, min(rank) OVER (PARTITION BY target) AS best FROM (
+SELECT t.target, f.id, f.path, CASE WHEN f.path = t.target THEN 0 WHEN f.path = t.target || '.py' OR suffix(f.path, '/' || t.target || '.py') THEN 1 WHEN f.path = t.target || '/__init__.py' OR suffix(f.path, '/' || t.target || '/__init__.py') THEN 2 WHEN contains(lower(f.path), lower(t.target)) THEN 3 END AS rank
+FROM (SELECT split_part(path, '/', -1)[:-4] AS target FROM named) t JOIN named f ON contains(lower(f.path), lower(t.target))) x WHERE rank IS NOT NULL GROUP BY 1, 2) y WHERE rank = best"""
+)
+def q_R05_many_targets(v):
+    """Every file's name without its suffix, as a target, all at once."""
+    last = F.element_at(F.split("path", "/"), -1)
+    targets = v.named_files().select(F.substr(last, F.lit(1), F.length(last) - 3).alias("target"))
+    return grams.resolve_targets(v.named_files(), targets)
+
+
 @_query("SELECT doc_id, CAST(len(string_split(content, chr(10))) - CASE WHEN suffix(content, chr(10)) OR content = '' THEN 1 ELSE 0 END AS BIGINT) AS loc FROM docs WHERE content IS NOT NULL")
 def q_S03_line_count(v):
     return v.documents().where("content is not null").select("doc_id", text.line_count(F.col("content")).cast("long").alias("loc"))
