@@ -15,6 +15,8 @@ from .strong import cyclic_core
 
 # Words of configuration and entry file names.
 ENTRY_WORDS = ("config", "readme", "license", "package", "setup", "layout", "page", "route", ".d.ts")
+#: walks that ``near_closures`` leaves to a recursive query at most
+MOST_WALKS = 1 << 20
 
 
 def internal_edges(edges: DataFrame, repository_id: int | None = None) -> DataFrame:
@@ -52,6 +54,28 @@ def closures(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return out.unionAll(reach(back, roots, depth).select("root", F.lit("in").alias("direction"), "node", "dist"))
 
 
+def near_closures(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """``closures`` of few roots at a small depth, each direction in one plan: a recursive query whose steps are joined, not written.
+
+    A recursion follows walks and not nodes, since its steps can't look at earlier ones.
+    Walks are at most the roots times the largest degree once for each hop; where this
+    exceeds ``MOST_WALKS``, or the depth Spark's limit of levels, ``closures`` does it.
+    """
+    spark = edges.sparkSession
+    starts = kept(roots.select("root").where("root is not null").distinct())
+    links = kept(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    degree = lambda c: links.groupBy(c).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    n = starts.count()
+    levels = int(spark.conf.get("spark.sql.cteRecursionLevelLimit"))
+    if not 0 < depth < levels or n * max(degree("src"), degree("dst")) ** depth > MOST_WALKS:
+        return closures(links, starts, depth)
+    step = """WITH RECURSIVE w(root, node, dist) AS (
+        SELECT root, root, 0 FROM {starts} UNION ALL SELECT w.root, l.{far}, w.dist + 1 FROM w JOIN {links} l ON l.{near} = w.node WHERE w.dist < {depth})
+        SELECT root, {direction} AS direction, node, min(dist) AS dist FROM (SELECT * FROM w LIMIT ALL) WHERE node <> root GROUP BY root, node"""
+    ways = [spark.sql(step.replace("{near}", near).replace("{far}", far), starts=starts, links=links, depth=depth, direction=way) for way, near, far in (("out", "src", "dst"), ("in", "dst", "src"))]
+    return ways[0].unionAll(ways[1])
+
+
 def ball(edges: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """(root, node): nodes within ``radius`` undirected hops, the root included."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -527,6 +527,18 @@ def q_N02_closures(v):
     return graph.closures(e, graph.key_files(e, v.files()).select(F.col("id").alias("root")), 2)
 
 
+@_query(
+    "SELECT root, direction, node, CAST(min(dist) AS INTEGER) AS dist FROM w WHERE node <> root GROUP BY 1, 2, 3",
+    _CENTRAL + """, top AS (SELECT id FROM c ORDER BY centrality DESC, path, id LIMIT 1),
+w AS (SELECT id AS root, way AS direction, id AS node, 0 AS dist FROM top, (VALUES ('out'), ('in')) x(way)
+UNION SELECT w.root, w.direction, l.far, w.dist + 1 FROM w JOIN (SELECT 'out' AS way, src AS near, dst AS far FROM edges UNION ALL SELECT 'in', dst, src FROM edges) l ON l.way = w.direction AND l.near = w.node WHERE w.dist < 3)""",
+)
+def q_N02_near_closures(v):
+    """From the most central file, three hops both ways."""
+    e = v.edges()
+    return graph.near_closures(e, graph.key_files(e, v.files(), 1).select(F.col("id").alias("root")), 3)
+
+
 @_query(
     """SELECT r.id AS node_id, r.path AS node_path, 1 AS depth, d.direction, d.id, coalesce(f.path, '#' || d.id) AS path, 1 AS dist FROM (SELECT * FROM named WHERE contains(path, 'customer_12.py')) r
 LEFT JOIN (SELECT src AS root, 'out' AS direction, dst AS id FROM edges UNION ALL SELECT dst, 'in', src FROM edges) d ON d.root = r.id LEFT JOIN named f ON f.id = d.id"""
@@ -1063,3 +1075,4 @@ def q_S19_symbol_tree(v):
 
 
 ORACLE_SQL["S19_symbol_tree"] = ORACLE_SQL["S19_symbol_tree"].replace("WITH repositories", "WITH RECURSIVE repositories").replace("RECURSIVE_NEST", "nest AS (SELECT c_custkey AS id, 0 AS depth FROM customer UNION ALL SELECT id, depth + 1 FROM nest WHERE depth < id % 9)")
+ORACLE_SQL["N02_near_closures"] = ORACLE_SQL["N02_near_closures"].replace("WITH repositories", "WITH RECURSIVE repositories")
