@@ -79,6 +79,8 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """``stored``, with the table's folder."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(where)
     with freed_shuffles(spark):
         df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where), where
@@ -90,6 +92,32 @@ def discard(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_open: list[list[str]] = []  # folders of the tables written in each open ``temporary``
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables written within go at its end, whether it fails or not, but for the folders added to the set that it gives.
+
+    What is returned from within may read only those. In another ``temporary``, they go at its end.
+    """
+    made: list[str] = []
+    staying: set[str] = set()
+    _open.append(made)
+    try:
+        yield staying
+    except BaseException:
+        staying.clear()
+        raise
+    finally:
+        _open.pop()
+        for where in made:
+            if where not in staying:
+                discard(spark, where)
+        if _open:
+            _open[-1].extend(staying)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever extra columns it carries."""
     taken = {c.lower() for c in df.columns}

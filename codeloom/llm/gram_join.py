@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bitmap, components, durable, lean, mix, overlap, prepare, shingle_sets, slices, stored, table
+from .common import Bitmap, components, durable, lean, mix, overlap, prepare, shingle_sets, slices, stored, table, temporary, written
 
 _U = np.uint64
 WIDE = 16  # 64-bit words of the wide sketch
@@ -231,45 +231,47 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when ``den * intersection >= num * union``."""
     prepare(docs.sparkSession)
-    bands = Bands(num, den)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = stored(rows.mapInArrow(lean(_members(n)), "doc_id long, sid long, n_shingles long"), "gram-members")
-    published = rows.select("text").where("length(text) > 0").mapInArrow(lean(_publish(n, bands)), "key long, sid long")
-    runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(lean(_shared), "key long, sid long, n_sets long")
-    # a row per set: its shared pieces, bounded by its own size
-    sets = durable(runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys")))
-
-    # one text of every set that shares a piece
-    firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    chosen = durable(sets.select("sid").join(firsts, "sid"))
-    fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
-    found = rows.where("doc_id is not null").mapInArrow(lean(_widen(n, Bitmap(chosen, "doc_id", chosen.count()))), fields)
-    wanted = stored(found, "gram-texts")  # some others too, which no join below meets
-    texts = wanted.select("doc_id", "sid", "text")
-    sketches = durable(wanted.drop("text").join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]))
-
-    # the most central set of each set's commonest and rarest piece against it
-    pieces = sets.select(F.explode("keys").alias("key"), "sid", "weight")
-    centre = pieces.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
-    own = sets.select(F.explode(F.array_distinct(F.array("common", "rare"))).alias("key"), F.col("sid").alias("b"))
-    stars = own.join(centre, "key").where("a <> b").select("a", "b").distinct()
-    x, y = sketches.alias("x"), sketches.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _similar("x", "y", num, den))
-    links = durable(_links(stars.select("a", F.col("x.doc_id").alias("da"), "b", F.col("y.doc_id").alias("db")), texts, n, num, den))
-    label = components(links, "a", "b").withColumnRenamed("node", "doc_id")
-
-    # sets of one piece that are still in different components
-    known = chosen.join(label, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("comp"))
-    marked = sets.join(known, "sid").select(F.explode("keys").alias("key"), "sid", "comp")
-    still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    still = durable(marked.join(still, "key").join(sketches, "sid"))
-    x, y = still.alias("x"), still.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
-    pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("x.doc_id").alias("da"), F.col("y.sid").alias("b"), F.col("y.doc_id").alias("db")).distinct()
-    final = components(links.unionAll(_links(pairs, texts, n, num, den)), "a", "b").withColumnRenamed("node", "doc_id")
-
-    # a row per set, written: the join below is then one of plain shuffles, whose hot sets AQE splits
-    named = durable(firsts.join(final, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component_id")))
+    with temporary(docs.sparkSession) as staying:
+        bands = Bands(num, den)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        members, at = written(rows.mapInArrow(lean(_members(n)), "doc_id long, sid long, n_shingles long"), "gram-members")
+        published = rows.select("text").where("length(text) > 0").mapInArrow(lean(_publish(n, bands)), "key long, sid long")
+        runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(lean(_shared), "key long, sid long, n_sets long")
+        # a row per set: its shared pieces, bounded by its own size
+        sets = durable(runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys")))
+
+        # one text of every set that shares a piece
+        firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+        chosen = durable(sets.select("sid").join(firsts, "sid"))
+        fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
+        found = rows.where("doc_id is not null").mapInArrow(lean(_widen(n, Bitmap(chosen, "doc_id", chosen.count()))), fields)
+        wanted = stored(found, "gram-texts")  # some others too, which no join below meets
+        texts = wanted.select("doc_id", "sid", "text")
+        sketches = durable(wanted.drop("text").join(chosen, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]))
+
+        # the most central set of each set's commonest and rarest piece against it
+        pieces = sets.select(F.explode("keys").alias("key"), "sid", "weight")
+        centre = pieces.groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("top")).select("key", F.col("top.sid").alias("a"))
+        own = sets.select(F.explode(F.array_distinct(F.array("common", "rare"))).alias("key"), F.col("sid").alias("b"))
+        stars = own.join(centre, "key").where("a <> b").select("a", "b").distinct()
+        x, y = sketches.alias("x"), sketches.alias("y")
+        stars = stars.join(x, F.col("a") == F.col("x.sid")).join(y, (F.col("b") == F.col("y.sid")) & _similar("x", "y", num, den))
+        links = durable(_links(stars.select("a", F.col("x.doc_id").alias("da"), "b", F.col("y.doc_id").alias("db")), texts, n, num, den))
+        label = components(links, "a", "b").withColumnRenamed("node", "doc_id")
+
+        # sets of one piece that are still in different components
+        known = chosen.join(label, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("comp"))
+        marked = sets.join(known, "sid").select(F.explode("keys").alias("key"), "sid", "comp")
+        still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        still = durable(marked.join(still, "key").join(sketches, "sid"))
+        x, y = still.alias("x"), still.alias("y")
+        near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
+        pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("x.doc_id").alias("da"), F.col("y.sid").alias("b"), F.col("y.doc_id").alias("db")).distinct()
+        final = components(links.unionAll(_links(pairs, texts, n, num, den)), "a", "b").withColumnRenamed("node", "doc_id")
+
+        # a row per set, written: the join below is then one of plain shuffles, whose hot sets AQE splits
+        named, named_at = written(firsts.join(final, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("component_id")), "step")
+        staying |= {at, named_at}  # all that the result reads
     full = members.where("n_shingles > 0").join(named, "sid", "left")
     full = full.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
