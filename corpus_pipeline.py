@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import prepare, stored, table
+from codeloom.llm.common import discard, prepare, table, temporary, written
 from codeloom.llm.decontaminate import decontaminate
 from codeloom.llm.gram_join import jaccard_components
 from codeloom.llm.language import keep_known
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage; a stage's own tables and its input go when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark) as staying:
+            docs, where = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            staying.add(where)
+        if before:
+            discard(spark, before)
+        before = where
     return docs
