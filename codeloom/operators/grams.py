@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
+from .steps import kept
 
 #: ways through a pattern that are told apart; one with more is searched in all lines
 MOST_WAYS = 16
@@ -110,12 +111,39 @@ def search_index(index: DataFrame, lines: DataFrame, query: str, *, regex: bool
     return text.search_lines(lines if some is None else lines.join(some, "path", "left_semi").select(lines.columns), query, regex=regex, cap=cap)
 
 
+#: lengths of the runs by which a target is found in paths, each little longer than the one before
+RUN_LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 22, 29, 38, 50, 64)
+
+
+def _best(hits: DataFrame) -> DataFrame:
+    """(target, b): the smallest and largest id and the smallest path of each target's hits of its best rank."""
+    per = hits.groupBy("target", "rank").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("path").alias("path"))
+    return per.groupBy("target").agg(F.min_by(F.struct("id", "last", "path"), "rank").alias("b"))
+
+
+def _within(known: DataFrame, rest: DataFrame) -> DataFrame:
+    """(target, rank, id, path): the paths that contain each target (target, low, size).
+
+    A target's runs of ``size`` characters are nearly as long as itself, so few paths have
+    its rarest one and not the target. Only the lengths in use are indexed.
+    """
+    sizes = sorted(r["size"] for r in rest.select("size").distinct().collect())  # at most one for each of RUN_LENGTHS
+    if not sizes:
+        return known.select(F.lit(None).cast("string").alias("target"), F.lit(3).alias("rank"), "id", "path").limit(0)
+    index = known.select("id", "path", F.explode(F.flatten(F.array(*(_runs(F.col("path"), n) for n in sizes)))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    keys = reduce(DataFrame.unionAll, [rest.where(F.col("size") == n).select("target", "low", F.explode(_runs(F.col("low"), n)).alias("gram")) for n in sizes])
+    key = keys.join(counts.hint("merge"), "gram").groupBy("target", "low").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return key.select("target", "low", "gram").join(index.hint("merge"), "gram").where(F.contains(F.lower("path"), F.col("low"))).select("target", F.lit(3).alias("rank"), "id", "path")
+
+
 def resolve_targets(files: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, id, path) of ``resolve.resolve_target`` for many targets (column ``target``) at once; one that names no file, or several, has nulls.
 
-    Exact paths, modules and packages are equi-joins on paths and their tails; a target that
-    may be part of a path meets the paths that have its rarest trigram, or all of them if it
-    has none, and is held against them.
+    Exact paths, modules and packages are equi-joins on paths and their tails. Only targets
+    that have none of these, since they rank before, are looked for inside paths. Both sides
+    grow, so all joins are by shuffle: the size of what is exploded is guessed too small,
+    and a guess would send it through the driver.
     """
     asked = targets.select("target", F.trim(F.coalesce("target", F.lit(""))).alias("t")).distinct()
     plain = F.replace(F.col("t"), F.lit("\\"), F.lit("/"))
@@ -124,20 +152,14 @@ def resolve_targets(files: DataFrame, targets: DataFrame) -> DataFrame:
     known = files.select("id", "path")
     parts = F.split("path", "/")
     tails = known.select("id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("tail"))
-    exact = asked.join(known, F.col("t") == F.col("path")).select("target", F.lit(0).alias("rank"), "id", "path")
-    named = [asked.select("target", F.concat("stem", F.lit(end)).alias("tail")).join(tails, "tail").select("target", F.lit(rank).alias("rank"), "id", "path") for rank, end in ((1, ".py"), (2, "/__init__.py"))]
-    index = known.select("id", "path", F.explode(trigrams(F.col("path"))).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    keys = asked.select("target", "t", F.explode(trigrams(F.col("t"))).alias("gram")).join(counts, "gram", "left")
-    key = keys.groupBy("target", "t").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    inside = F.contains(F.lower("path"), F.lower("t"))
-    within = key.join(index, "gram").where(inside).select("target", F.lit(3).alias("rank"), "id", "path")
-    short = asked.where(F.length(F.lower("t")) < 3)
-    grams = lambda n: known.select("id", "path", F.explode(_runs(F.col("path"), n)).alias("gram"))
-    little = [short.where(F.length(F.lower("t")) == n).join(grams(n), F.lower("t") == F.col("gram")).select("target", F.lit(3).alias("rank"), "id", "path") for n in (1, 2)]
-    hits = reduce(DataFrame.unionAll, [exact, *named, within, *little])
-    best = hits.groupBy("target", "rank").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.min("path").alias("path"))
-    top = best.groupBy("target").agg(F.min_by(F.struct("n", "id", "path"), "rank").alias("b"))
-    told = targets.select("target").distinct().join(top, "target", "left")
-    one = F.col("b.n") == 1
+    ends = [asked.select("target", F.lit(rank).alias("rank"), F.concat("stem", F.lit(end)).alias("tail")) for rank, end in ((1, ".py"), (2, "/__init__.py"))]
+    exact = asked.join(known.hint("merge"), F.col("t") == F.col("path")).select("target", F.lit(0).alias("rank"), "id", "path")
+    named = ends[0].unionAll(ends[1]).join(tails.hint("merge"), "tail").select("target", "rank", "id", "path")
+    sure = kept(_best(exact.unionAll(named)))
+    low = F.lower("t")
+    size = reduce(lambda a, n: F.when(F.length(low) >= n, n).otherwise(a), RUN_LENGTHS, F.lit(0))
+    rest = kept(asked.join(sure.hint("merge"), "target", "left_anti").select("target", low.alias("low"), size.alias("size")))
+    top = sure.unionAll(_best(_within(known, rest)))
+    told = targets.select("target").distinct().join(top.hint("merge"), "target", "left")
+    one = F.col("b.id") == F.col("b.last")
     return told.select("target", F.when(one, F.col("b.id")).alias("id"), F.when(one, F.col("b.path")).alias("path"))

@@ -47,3 +47,16 @@ def test_many_targets(spark):
         assert got[target] == (want[0] if want else (None, None)), target
     many = files.select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("target")).unionAll(spark.range(3000).select(F.concat(F.lit("app"), F.col("id").cast("string")).alias("target")))
     assert grams.resolve_targets(files, many).where("id is not null").count() == 0
+
+
+def test_many_targets_inside_paths_without_a_broadcast(spark):
+    """Exploded paths look small to the planner; they must not pass through the driver all the same."""
+    paths = [f"mod{k % 3}/{'Very_' * 20}long_{k}/x{k}.ts" for k in range(120)] + ["pages/7.py", "lib/77.py"]
+    files = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "id long, path string")
+    asked = ["very_" * 20 + "LONG_7/", "long_119", "LONG_11", "x118.", "7", "77", "very_" * 21, "g_5/x5", "nothing of it", "y_long_64/"]
+    got = grams.resolve_targets(files, spark.createDataFrame([(t,) for t in asked], "target string"))
+    assert "BroadcastExchange" not in got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+    found = {r.target: (r.id, r.path) for r in got.collect()}
+    for target in asked:
+        want = [(r.id, r.path) for r in resolve.resolve_target(files, target).collect()]
+        assert found[target] == (want[0] if want else (None, None)), target
