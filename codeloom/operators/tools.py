@@ -97,8 +97,17 @@ def search_step(files: DataFrame, symbols: DataFrame, lines: DataFrame, tool: st
     return hits, excerpts(places, lines)
 
 
-#: authors that a history lists, the most active first; ``stats.contributors`` has all as rows
-MOST_AUTHORS = 10_000
+def _people(commits: DataFrame) -> DataFrame:
+    """One row (c): all authors, the most active first. A sorted limit would pass them through the driver."""
+    per = commits.groupBy("author").agg(F.count("*").alias("commits"))
+    return per.agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
+
+
+def _beside(one: DataFrame, **rows: DataFrame) -> DataFrame:
+    """``one``, of a row or none, with the column of each single row of ``rows``; no row passes through the driver, as a scalar's would."""
+    for name, df in rows.items():
+        one = one.crossJoin(df.withColumnRenamed(df.columns[0], name).hint("shuffle_replicate_nl"))
+    return one
 
 
 def file_history(files: DataFrame, commits: DataFrame, touches: DataFrame, target: str | None = None, *, cap=10) -> DataFrame:
@@ -124,12 +133,9 @@ def file_history(files: DataFrame, commits: DataFrame, touches: DataFrame, targe
         mine = touches.join(found.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("commit_id").alias("id")).distinct()
         some = commits.join(mine, "id", "left_semi")
         head = files.join(found.select("id"), "id", "left_semi").select(F.col("path").alias("file_path"), "last_modified")
-    people = stats.contributors(some).limit(MOST_AUTHORS).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
     last = stats.recent_commits(some, cap).agg(F.collect_list(F.struct("date", "hash", "message", "author")).alias("r"))  # cap rows
     newest = F.reverse(F.array_sort("r"))
-    return head.select(
-        "file_path", stats.iso(F.col("last_modified")).alias("last_modified"), people.scalar().alias("c"), last.scalar().alias("r")
-    ).select(
+    return _beside(head.select("file_path", stats.iso(F.col("last_modified")).alias("last_modified")), c=_people(some), r=last).select(
         "file_path", "last_modified", F.transform("c", lambda x: F.struct(x["author"].alias("author"), (-x["n"]).alias("commits"))).alias("top_contributors"),
         F.transform(newest, lambda x: F.struct(x["hash"].alias("hash"), x["message"].alias("message"), stats.iso(x["date"]).alias("date"), x["author"].alias("author"))).alias("recent_commits"),
     )
@@ -142,9 +148,8 @@ def file_view(files: DataFrame, symbols: DataFrame, edges: DataFrame, commits: D
     detail = report.file_detail(files, symbols, edges, found)
     mine = touches.join(found.select(F.col("id").alias("file_id")), "file_id", "left_semi").select(F.col("commit_id").alias("id")).distinct()
     some = commits.join(mine, "id", "left_semi")
-    people = stats.contributors(some).limit(MOST_AUTHORS).agg(F.array_sort(F.collect_list(F.struct((-F.col("commits")).alias("n"), "author"))).alias("c"))
     last = stats.recent_commits(some, whole_number(cap, 10, 0)).agg(F.reverse(F.array_sort(F.collect_list(F.struct("date", "hash", "author")))).alias("r"))
-    out = detail.join(one, "id").withColumns({"top_contributors": people.scalar(), "recent_commits": last.scalar()})
+    out = _beside(detail.join(one, "id"), top_contributors=_people(some), recent_commits=last)
     if lines is None:
         return out
     body = lines.join(found.select(F.col("id").alias("file_id")), "file_id", "left_semi").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))

@@ -280,6 +280,14 @@ def test_file_history_targets(spark):
     assert get("util.py").recent_commits == [] and get("app.py", cap=-1).recent_commits == []
 
 
+def test_file_history_lists_all_authors(spark):
+    files = spark.createDataFrame([(1, "a/app.py", None)], "id long, path string, last_modified timestamp_ntz")
+    commits = spark.range(12_000).select("id", F.hex("id").alias("hash"), F.lit("m").alias("message"), F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz").alias("date"), F.col("id").alias("author"))
+    touches = commits.select(F.lit(1).alias("file_id"), F.col("id").alias("commit_id"))
+    for target in (None, "app.py"):
+        assert [c.author for c in tools.file_history(files, commits, touches, target).first().top_contributors] == list(range(12_000))
+
+
 def test_excerpts_and_search(spark):
     lines = spark.createDataFrame([(1, "a.py", k, f"l{k}") for k in range(1, 60)] + [(2, "b.py", 1, " "), (3, "yarn.lock", 1, "x"), (4, "in/c.py", 1, "c")], "file_id long, path string, line int, text string")
     paths = spark.createDataFrame([(1, "yarn.lock"), (2, "a.py"), (3, "a.py"), (4, "b.py"), (5, "root/in/c.py"), (6, "never.py")], "position long, path string")
