@@ -36,13 +36,15 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("dist")).distinct()
     if depth <= 0:
         return seen.where("dist > 0")
-    links = edges.select("src", "dst").distinct()
+    links = kept(edges.select("src", "dst").distinct())
     front = seen
     for d in range(1, depth + 1):
         step = front.join(links, front.node == links.src).select("root", F.col("dst").alias("node")).distinct()
-        front = kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("dist")))
-        if front.isEmpty():
-            break
+        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("dist"))
+        if d < depth:  # the last step, the largest, is read once
+            front = kept(front)
+            if front.isEmpty():
+                break
         seen = seen.unionAll(front)
     return seen.where("dist > 0")
 

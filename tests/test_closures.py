@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -63,3 +64,14 @@ def test_near_closures_past_the_row_limit(spark):
 @pytest.mark.parametrize(("links", "roots", "depth"), [([], [1], 3), ([(1, 2)], [], 3), ([(1, 2)], [1], 0), ([(1, 2)], [1], 200)])
 def test_near_closures_edges_of_the_input(spark, links, roots, depth):
     assert rows(graph.near_closures(*tables(spark, links, roots), depth)) == sorted(plain(links, roots, min(depth, 5)))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_registered_closures_start_from_every_node(spark):
+    from codeloom.plans import catalog
+    from codeloom.plans.views import Views
+
+    e = Views(spark, "/root/testdata/sf0.001").edges()
+    links = [tuple(r) for r in e.select("src", "dst").collect()]
+    got = catalog.QUERIES["N02_closures"](spark, "/root/testdata/sf0.001")
+    assert rows(got) == sorted(plain(links, {x for pair in links for x in pair}, 2))
