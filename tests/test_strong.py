@@ -75,3 +75,14 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert strong_components(none).count() == 0 and graph.cycles(none).count() == 0
     assert found(strong_components(spark.createDataFrame([(1, 1), (2, 3)], "src long, dst long"))) == {1: 1}
+
+
+def test_a_chain_of_rings_takes_few_rounds(spark, rounds):
+    """Rings linked one way, with a branch off each; forwards, and with all edges turned."""
+    random.seed(4)
+    names = random.sample(range(9_000), 600)
+    links = [(6 * r + k, 6 * r + (k + 1) % 5) for r in range(100) for k in range(5)] + [(6 * r, 6 * r + 6) for r in range(99)] + [(6 * r + 2, 6 * r + 5) for r in range(100)]
+    links = [(names[a], names[b]) for a, b in links]
+    want = {names[6 * r + k]: min(names[6 * r : 6 * r + 5]) for r in range(100) for k in range(5)}
+    assert found(strong_components(spark.createDataFrame(links, "src long, dst long"))) == want and rounds[0] <= 45
+    assert found(strong_components(spark.createDataFrame([(b, a) for a, b in links], "src long, dst long"))) == want
