@@ -12,6 +12,11 @@ and by the pigeonhole principle two similar sets agree in a piece.
 * A band has ``d + 1 + e`` pieces for a bound of ``d`` differences. A set with at
   most ``e`` empty pieces doesn't publish them: ``e + 1`` pieces of a similar pair
   agree, so an agreeing piece that isn't empty is left.
+  A piece holds the XOR of its shingles' hashes, 32 bits wide, so pieces of one
+  shingle each agree only where they share it, however many sets there are.
+* Of the ``e + 1`` agreeing pieces only those that are empty in a set which doesn't
+  publish them go unseen. A set with fewer shared pieces than its own empty ones
+  leave is dropped at once, and so is a pair that agrees less often.
 * Published pieces are ranged over by (piece, set), so no single piece is ever
   one task's work, and runs of one set are dropped while they stream by.
 * Copies of a set are one set from the start: each task publishes a set once.
@@ -20,7 +25,8 @@ Links are then found without pairing all sets of a piece. First, each piece's mo
 central set (the one in the most and largest pieces) is compared with the others:
 linear in the published pieces. Then sets of one piece whose components still
 differ are compared: a wide bit sketch bounds the difference in the join condition
-and only what passes is verified on the texts. A link between sets that are
+(it is full for sets of some thousand shingles), the number of agreeing pieces
+decides next, and only what passes both is verified on the texts. A link between sets that are
 connected already can't change a component, so the components are exact.
 
 Cases: null text, no words: ``n_shingles`` 0, linked with nothing, own component;
@@ -70,15 +76,32 @@ class Bands:
         # the larger of a pair whose smaller set is in the band below
         return [b] if b == 0 or n * self.num > self.den * (int(self.edges[b]) - 1) else [b - 1, b]
 
+    def places(self, s: np.ndarray, b: int) -> np.ndarray:
+        return ((s >> _U(32)) % _U(self.pieces[b])).astype(np.int64)
+
+    def needs(self, s: np.ndarray) -> tuple[int, int]:
+        """(sure, both): published pieces that a similar set shares at least, whichever it is, and if it publishes its empty pieces wherever this one does.
+
+        Two similar sets agree in ``sure`` of either one and in the smaller ``both``.
+        """
+        sure = both = self.pieces[-1]
+        bands = self.of(len(s))
+        for b in bands:
+            all_agree = self.spare[b] + 1
+            empty = self.pieces[b] - int(np.count_nonzero(np.bincount(self.places(s, b), minlength=self.pieces[b])))
+            hidden = empty <= self.spare[b]
+            sure = min(sure, all_agree - empty if hidden else 1)
+            both = min(both, all_agree - empty if hidden else all_agree)
+        return (sure, both) if bands else (1, 1)
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         """The published pieces of a set of distinct hashes."""
         out = []
         for b in self.of(len(s)):
-            p = self.pieces[b]
-            at = ((s >> _U(32)) % _U(p)).astype(np.int64)
+            p, at = self.pieces[b], self.places(s, b)
             order = np.argsort(at, kind="stable")
             counts = np.bincount(at, minlength=p)
-            bits = mix((s[order] & _U(0xFFFF)) + _U(1))
+            bits = mix((s[order] & _U(0xFFFFFFFF)) + _U(1))
             filled = np.flatnonzero(counts)
             content = np.zeros(p, dtype=np.uint64)
             content[filled] = np.bitwise_xor.reduceat(bits, (np.cumsum(counts) - counts)[filled])
@@ -97,14 +120,16 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(x[:1] + x[1:2] * _U(3) + x[2:] * _U(5)).view(np.int64)[0])
 
 
-def _members(n: int):
+def _members(n: int, bands: Bands):
     def run(batches):
         for batch in batches:
-            ids, sizes = [], []
+            ids, sizes, needs = [], [], []
             for _, s in shingle_sets(batch.column(1), n):
                 ids.append(set_id(s))
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "sid", "n_shingles"])
+                needs.append(bands.needs(s))
+            sure, both = np.array(needs, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sure), pa.array(both)], ["doc_id", "sid", "n_shingles", "sure", "both"])
 
     return run
 
@@ -234,15 +259,16 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     with temporary(docs.sparkSession) as staying:
         bands = Bands(num, den)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        members, at = written(rows.mapInArrow(lean(_members(n)), "doc_id long, sid long, n_shingles long"), "gram-members")
+        members, at = written(rows.mapInArrow(lean(_members(n, bands)), "doc_id long, sid long, n_shingles long, sure long, both long"), "gram-members")
         published = rows.select("text").where("length(text) > 0").mapInArrow(lean(_publish(n, bands)), "key long, sid long")
         runs = published.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(lean(_shared), "key long, sid long, n_sets long")
-        # a row per set: its shared pieces, bounded by its own size
-        sets = durable(runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys")))
+        # a row per set that shares as many pieces as a similar set needs: these, bounded by its own size, and one of its documents
+        firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("sure").alias("sure"), F.min("both").alias("both"))
+        sets = runs.groupBy("sid").agg(F.sum("n_sets").alias("weight"), F.max_by("key", "n_sets").alias("common"), F.min_by("key", "n_sets").alias("rare"), F.collect_list("key").alias("keys"))
+        sets = durable(sets.join(firsts, "sid").where(F.size("keys") >= F.col("sure")))
 
-        # one text of every set that shares a piece
-        firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-        chosen = durable(sets.select("sid").join(firsts, "sid"))
+        # their texts
+        chosen = sets.select("sid", "doc_id")
         fields = ", ".join(["doc_id long, text string, sid long, n long", *(f"w{k} long" for k in range(WIDE))])
         found = rows.where("doc_id is not null").mapInArrow(lean(_widen(n, Bitmap(chosen, "doc_id", chosen.count()))), fields)
         wanted = stored(found, "gram-texts")  # some others too, which no join below meets
@@ -261,12 +287,14 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
 
         # sets of one piece that are still in different components
         known = chosen.join(label, "doc_id", "left").select("sid", F.coalesce("component", "doc_id").alias("comp"))
-        marked = sets.join(known, "sid").select(F.explode("keys").alias("key"), "sid", "comp")
+        marked = sets.join(known, "sid").select(F.explode("keys").alias("key"), "sid", "comp", "sure", "both")
         still = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
         still = durable(marked.join(still, "key").join(sketches, "sid"))
         x, y = still.alias("x"), still.alias("y")
         near = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = x.join(y, near & _similar("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("x.doc_id").alias("da"), F.col("y.sid").alias("b"), F.col("y.doc_id").alias("db")).distinct()
+        need = F.greatest(F.least("x.both", "y.both"), "x.sure", "y.sure").alias("need")
+        pairs = x.join(y, near & _similar("x", "y", num, den)).groupBy(F.col("x.sid").alias("a"), F.col("x.doc_id").alias("da"), F.col("y.sid").alias("b"), F.col("y.doc_id").alias("db"), need).agg(F.count("*").alias("agree"))
+        pairs = pairs.where("agree >= need").select("a", "da", "b", "db")
         final = components(links.unionAll(_links(pairs, texts, n, num, den)), "a", "b").withColumnRenamed("node", "doc_id")
 
         # a row per set, written: the join below is then one of plain shuffles, whose hot sets AQE splits

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from codeloom.llm import gram_join
 from codeloom.llm.common import components
 from codeloom.llm.embeddings import near_duplicates, op2_near_vectors
 from codeloom.llm.gram_join import jaccard_components
@@ -43,6 +44,29 @@ def shingle_set(text, n):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+def test_long_texts_with_common_phrases_are_not_verified(spark, monkeypatch):
+    """The wide sketch of some thousand shingles is full, so it lets any two long texts pass; that they agree in too few pieces keeps their texts from being paired."""
+    random.seed(11)
+    phrases = [" ".join(f"p{random.randint(0, 5000)}" for _ in range(10)) for _ in range(60)]
+    texts = []
+    for _ in range(14):
+        lines = [" ".join(f"w{random.randint(0, 50000)}" for _ in range(10)) for _ in range(260)] + phrases
+        random.shuffle(lines)
+        texts.append("\n".join(lines))
+    texts.append(texts[0].replace("w1", "v1", 30))
+    seen, links = [], gram_join._links
+
+    def counted(pairs, *rest):
+        seen.append(pairs.select("a", "b").distinct().count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(gram_join, "_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs).collect()}
+    assert got == {k: k % 14 for k in range(15)}
+    assert sum(seen) == 1
+
+
 def test_jaccard_components(spark):
     random.seed(7)
     rows = []

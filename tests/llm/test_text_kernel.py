@@ -59,6 +59,34 @@ def test_pieces_meet_for_every_similar_pair():
                 assert set(bands.keys(base).tolist()) & set(bands.keys(other).tolist())
 
 
+def test_similar_pairs_agree_as_often_as_needed():
+    rng = np.random.default_rng(6)
+    open_sets = similar = 0
+    for num, den in ((85, 100), (80, 100)):
+        bands = Bands(num, den)
+        for _ in range(1500):
+            lo = int(rng.choice(bands.edges[:9]))  # few shingles a piece stand at a band's lower end
+            base = np.unique(rng.integers(0, 2**63, int(lo * rng.uniform(1, 1.3)), dtype=np.uint64))
+            cut = int(rng.integers(0, max(1, len(base) // 6)))
+            other = np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, int(rng.integers(0, max(1, len(base) // 8))), dtype=np.uint64)]))
+            common_ones = common.overlap(base, other)
+            if den * common_ones < num * (len(base) + len(other) - common_ones) or set_id(base) == set_id(other):
+                continue
+            (sure_a, both_a), (sure_b, both_b) = bands.needs(base), bands.needs(other)
+            agree = len(set(bands.keys(base).tolist()) & set(bands.keys(other).tolist()))
+            assert agree >= max(min(both_a, both_b), sure_a, sure_b) >= 1
+            similar, open_sets = similar + 1, open_sets + (both_a > sure_a and both_b > sure_b)
+    assert similar > 500 and open_sets > 10
+
+
+def test_unlike_sets_share_no_pieces():
+    """Pieces of one shingle each, of many small sets: with contents of 16 bits some agreed by chance."""
+    rng, bands = np.random.default_rng(7), Bands(80, 100)
+    keys = [bands.keys(np.unique(rng.integers(0, 2**63, 5, dtype=np.uint64))) for _ in range(4000)]
+    keys = np.concatenate([k for k in keys if len(k) < bands.pieces[0]])  # those that don't publish empty pieces
+    assert len(keys) > 4000 and len(np.unique(keys)) == len(keys)
+
+
 def test_shared_runs(monkeypatch):
     from codeloom.llm import gram_join
 
