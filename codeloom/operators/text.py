@@ -31,10 +31,14 @@ def search_symbols(symbols: DataFrame, files: DataFrame, query: str, kind: str |
     return out.orderBy("name", "file", "line_start", "id")
 
 
-def source_lines(texts: DataFrame) -> DataFrame:
-    """(file_id, path, line, text) of texts (file_id, path, content); lines count from 1, a final line end adds none."""
-    parts = F.split("content", "\r\n|\n|\r", -1)
-    kept = F.when(F.col("content") == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+def source_lines(texts: DataFrame, *, ends: str = "\r\n|\n|\r", final: bool = False) -> DataFrame:
+    """(file_id, path, line, text) of texts (file_id, path, content); lines count from 1, a final line end adds none.
+
+    ``ends``: the line ends, as a pattern. ``final``: what follows the last line end is a line too, even if it is empty.
+    """
+    kept = parts = F.split("content", ends, -1)
+    if not final:
+        kept = F.when(F.col("content") == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return texts.select("file_id", "path", F.posexplode(kept).alias("at", "text")).select("file_id", "path", (F.col("at") + 1).alias("line"), "text")
 
 

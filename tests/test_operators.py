@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -150,6 +151,26 @@ def test_line_search(spark):
     assert [r.n for r in texts.orderBy("file_id").select(text.line_count(F.col("content")).alias("n")).collect()] == [4, 0, 1]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("query", ["S18_snippets", "F09_line_search"])
+def test_document_lines_equal_sql(spark, tmp_path, query):
+    """Final line ends, empty texts and carriage returns are lines or parts of lines, as the SQL splits them."""
+    duckdb = pytest.importorskip("duckdb")
+    from codeloom.plans import catalog
+
+    texts = ["a\n", "license\r\nb\rc\n\n", "", None, "\n", "x License\ry", "a\nb\nc\n"]
+    docs = spark.createDataFrame([(k, t, "de", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    for name in os.listdir("/root/testdata/sf0.001"):
+        where = tmp_path / name / "*.parquet" if name == "documents.parquet" else f"/root/testdata/sf0.001/{name}"
+        db.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM read_parquet('{where}')")
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted((tuple(r) for r in catalog.QUERIES[query](spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(db.execute(catalog.ORACLE_SQL[query]).fetchall(), key=key)
+    assert len(got) == {"S18_snippets": 12, "F09_line_search": 2}[query]
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         stats.slash_path(F.lit(".\\a\\b.py")).alias("a"), stats.endpoint(F.lit("web/app/api/x/route.ts")).alias("b"), stats.route_methods(F.lit("export async function POST() {}\nexport function GET() {}")).alias("c"), stats.route_methods(F.lit("")).alias("d"),
