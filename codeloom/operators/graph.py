@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
+from .packed import fresh_nodes, packed
 from .resolve import module_map, resolve_target
 from .snippets import excerpts
 from .steps import kept
@@ -49,11 +50,37 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen.where("dist > 0")
 
 
-def closures(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, direction, node, dist) both ways; the directions don't meet."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    out = reach(edges, roots, depth).select("root", F.lit("out").alias("direction"), "node", "dist")
-    return out.unionAll(reach(back, roots, depth).select("root", F.lit("in").alias("direction"), "node", "dist"))
+def wide_reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """``reach`` of whole numbers from very many roots: a step shuffles a node's neighbours as one packed row for each root, not a row for each walk.
+
+    Edges with a null end count for nothing.
+    """
+    seen = roots.select(F.col("root").cast("long").alias("root"), F.col("root").cast("long").alias("node"), F.lit(0).alias("dist")).where("root is not null")
+    if depth <= 0:
+        return seen.where("dist > 0")
+    next_to = kept(packed(edges.where("src is not null and dst is not null"), "src", "dst"))
+    front = seen
+    for d in range(1, depth + 1):
+        found = front.join(next_to, front.node == next_to.key).select(F.col("root").alias("key"), "block", "nodes")
+        front = fresh_nodes(found, packed(seen, "root", "node")).withColumn("dist", F.lit(d))
+        if d < depth:  # the last step, the largest, is read once
+            front = kept(front)
+            if front.isEmpty():
+                break
+        seen = seen.unionAll(front)
+    return seen.where("dist > 0")
+
+
+def closures(edges: DataFrame, roots: DataFrame, depth: int, *, few: bool = False) -> DataFrame:
+    """(root, direction, node, dist) both ways; the directions don't meet. ``few``: from few roots, by ``reach``."""
+    links = edges.select("src", "dst").distinct()
+    starts = roots.select("root").distinct()
+    if not few:  # both are read in every step
+        links, starts = kept(links), kept(starts)
+    step = reach if few else wide_reach
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    out = step(links, starts, depth).select("root", F.lit("out").alias("direction"), "node", "dist")
+    return out.unionAll(step(back, starts, depth).select("root", F.lit("in").alias("direction"), "node", "dist"))
 
 
 def near_closures(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
@@ -299,7 +326,7 @@ def dependencies(edges: DataFrame, files: DataFrame, target: str, depth=1, *, li
     """
     depth = whole_number(depth, 1, 0)
     root = resolve_target(files, target)
-    near = closures(edges, root.select(F.col("id").alias("root")), depth).join(files.select(F.col("id").alias("node"), "path"), "node", "left")
+    near = closures(edges, root.select(F.col("id").alias("root")), depth, few=True).join(files.select(F.col("id").alias("node"), "path"), "node", "left")
     near = near.select("direction", F.col("node").alias("id"), F.coalesce("path", F.concat(F.lit("#"), F.col("node").cast("string"))).alias("path"), "dist")
     head = edges.sparkSession.range(1).select(F.lit(depth).alias("depth")).join(root.select(F.col("id").alias("node_id"), F.col("path").alias("node_path")), F.lit(True), "left")
     out = head.join(near, F.col("node_id").isNotNull(), "left").select("node_id", "node_path", "depth", "direction", "id", "path", "dist")
@@ -355,7 +382,7 @@ def viewer_nodes(edges: DataFrame, files: DataFrame, target: str | None = None,
     chosen = files
     if (target or "").strip():
         root = kept(resolve_target(files, target).select(F.col("id").alias("root")))
-        near = closures(edges, root, whole_number(depth, 1, 0)).select(F.col("node").alias("id")).union(root.select("root")).distinct()
+        near = closures(edges, root, whole_number(depth, 1, 0), few=True).select(F.col("node").alias("id")).union(root.select("root")).distinct()
         chosen = files.join(near, "id", "left_semi")
     return chosen.select("id", "path", "language", "loc").join(degrees(edges, files).select("id", "in_degree", "out_degree"), "id")
 
